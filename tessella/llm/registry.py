@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import op8_minhash
+from .suffixes import op6_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_minhash": op8_minhash}
+    return {"op6_suffix_dedup": op6_suffix_dedup, "op8_minhash": op8_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
