@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import op8_minhash
+from .phrases import OP2_SQL, op2_decontamination
 from .suffixes import op6_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_suffix_dedup": op6_suffix_dedup, "op8_minhash": op8_minhash}
+    return {"op2_decontamination": op2_decontamination, "op6_suffix_dedup": op6_suffix_dedup, "op8_minhash": op8_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL}
