@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import op8_minhash
+from .mixing import OP10_SQL, op10_mixing
 from .phrases import OP2_SQL, op2_decontamination
 from .suffixes import op6_suffix_dedup
 
@@ -14,8 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_decontamination": op2_decontamination, "op6_suffix_dedup": op6_suffix_dedup, "op8_minhash": op8_minhash}
+    return {"op2_decontamination": op2_decontamination, "op10_mixing": op10_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op8_minhash": op8_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op10_mixing": OP10_SQL}
