@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op3_language_id
 from .minhash import op8_minhash
 from .mixing import OP10_SQL, op10_mixing
 from .phrases import OP2_SQL, op2_decontamination
@@ -15,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_decontamination": op2_decontamination, "op10_mixing": op10_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op8_minhash": op8_minhash}
+    return {"op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run, "op6_suffix_dedup": op6_suffix_dedup, "op8_minhash": op8_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
