@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import OP7_SQL, op7_embedding_dedup
 from .langid import op3_language_id
 from .minhash import op8_minhash
 from .mixing import OP10_SQL, op10_mixing
@@ -17,8 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run, "op6_suffix_dedup": op6_suffix_dedup, "op8_minhash": op8_minhash}
+    return {"op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run, "op6_suffix_dedup": op6_suffix_dedup, "op7_embedding_dedup": op7_embedding_dedup, "op8_minhash": op8_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
