@@ -12,14 +12,15 @@ from .langid import op3_language_id
 from .minhash import op8_minhash
 from .mixing import OP10_SQL, op10_mixing
 from .phrases import OP2_SQL, op2_decontamination
+from .quality import op1_quality
 from .suffixes import op6_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run, "op6_suffix_dedup": op6_suffix_dedup, "op7_embedding_dedup": op7_embedding_dedup, "op8_minhash": op8_minhash}
+    return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run, "op6_suffix_dedup": op6_suffix_dedup, "op7_embedding_dedup": op7_embedding_dedup, "op8_minhash": op8_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_quality": op1_quality, "op2_decontamination": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
