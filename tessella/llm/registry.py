@@ -14,12 +14,13 @@ from .mixing import OP10_SQL, op10_mixing
 from .phrases import OP2_SQL, op2_decontamination
 from .quality import op1_quality
 from .suffixes import op6_suffix_dedup
+from .toxicity import op9_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run, "op6_suffix_dedup": op6_suffix_dedup, "op7_embedding_dedup": op7_embedding_dedup, "op8_minhash": op8_minhash}
+    return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run, "op6_suffix_dedup": op6_suffix_dedup, "op7_embedding_dedup": op7_embedding_dedup, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
