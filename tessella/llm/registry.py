@@ -15,13 +15,31 @@ from .phrases import OP2_SQL, op2_decontamination
 from .quality import op1_quality
 from .suffixes import op6_suffix_dedup
 from .toxicity import op9_toxicity
+from .warc import OP5_SQL, op5_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run, "op6_suffix_dedup": op6_suffix_dedup, "op7_embedding_dedup": op7_embedding_dedup, "op8_minhash": op8_minhash, "op9_toxicity": op9_toxicity}
+    return {
+        "op1_quality": op1_quality,
+        "op2_decontamination": op2_decontamination,
+        "op3_language_id": op3_language_id,
+        "op5_warc": op5_warc,
+        "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_minhash": op8_minhash,
+        "op9_toxicity": op9_toxicity,
+        "op10_mixing": op10_mixing,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": op1_quality, "op2_decontamination": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
+    sql = {
+        "op2_decontamination": OP2_SQL,
+        "op5_warc": OP5_SQL,
+        "op7_embedding_dedup": OP7_SQL,
+        "op10_mixing": OP10_SQL,
+    }
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
