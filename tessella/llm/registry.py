@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .brown import op4_brown_lm
 from .embeddings import OP7_SQL, op7_embedding_dedup
 from .langid import op3_language_id
 from .minhash import op8_minhash
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op1_quality": op1_quality,
         "op2_decontamination": op2_decontamination,
         "op3_language_id": op3_language_id,
+        "op4_brown_lm": op4_brown_lm,
         "op5_warc": op5_warc,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_embedding_dedup": op7_embedding_dedup,
