@@ -14,6 +14,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCK = frozenset("p div section article main ul ol table blockquote pre dl figure address aside details summary".split())
 PLAIN_DROP = frozenset(("script", "style", "noscript"))
 PAGE_DROP = frozenset("head title meta link base script style noscript svg iframe form header footer nav button select img picture video source".split())
+#: Open elements that a start tag ends.
+CLOSED_BY = {"li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 FURNITURE = re.compile(r"breadcrumb|subscribe|newsletter|modal", re.I)
 
 
@@ -33,7 +35,7 @@ class _Tree(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open[-1].tag == tag:
+        while self.open[-1].tag in CLOSED_BY.get(tag, ()):
             self.open.pop()
         if self.open[-1].tag == "p" and (tag in BLOCK or re.fullmatch("h[1-6]", tag)):
             self.open.pop()
@@ -75,6 +77,7 @@ class _Writer:
     def __init__(self, page: bool):
         self.page = page
         self.drop = PAGE_DROP if page else PLAIN_DROP
+        self.marks: list[str] = []  # emphasis that is open: an unclosed tag must not mark its text twice
 
     def inside(self, node: Node) -> str:
         return "".join(self.write(c) for c in node.children)
@@ -97,7 +100,12 @@ class _Writer:
         if t == "code":
             return f"`{_text(node)}`"
         if t in ("b", "strong", "i", "em"):
-            body, mark = self.inside(node), "**" if t in ("b", "strong") else "_"
+            mark = "**" if t in ("b", "strong") else "_"
+            if mark in self.marks or any(isinstance(c, Node) and c.tag in BLOCK for c in node.children):
+                return self.inside(node)
+            self.marks.append(mark)
+            body = self.inside(node)
+            self.marks.pop()
             return f"{body[: len(body) - len(body.lstrip())]}{mark}{body.strip()}{mark}{body[len(body.rstrip()) :]}" if body.strip() else body
         if t == "a":
             body = self.inside(node)
