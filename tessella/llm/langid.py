@@ -123,12 +123,14 @@ class LanguageModel:
         """Predicted language and posterior of each text."""
         pred: list[str | None] = []
         scores = []
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
         low = folded(texts)
         for c in tk.chunks(low):
             data, w = tk.words(c, "letters", lower=False)
             one, inverse = _distinct_words(data, w)
             table_ = self.word_scores(data, w.start[one], w.end[one], w.hash[one])
-            total = np.stack([tk.sum_by(w.doc, table_[inverse, i], len(c)) for i in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(c), 0))
+            total = np.stack([tk.sum_by(w.doc, table_[inverse, i], len(c)) for i in range(len(self.langs))], axis=1)
             n = np.maximum(np.diff(w.first), 1)
             letter = np.zeros(len(c), dtype=bool)
             has = np.flatnonzero(np.diff(w.first))
@@ -137,10 +139,6 @@ class LanguageModel:
             letter[has] = seen[c.end[has]] > seen[c.start[has]]
             for i in has[~letter[has]]:
                 letter[i] = bool(_LETTER.search(low[c.lo + int(i)].as_py()))
-            if not self.langs:
-                pred += ["und"] * len(c)
-                scores.append(np.zeros(len(c)))
-                continue
             z = (total - total.max(axis=1, keepdims=True)) * np.log(10) / np.sqrt(n)[:, None]
             p = np.exp(z)
             p = p.max(axis=1) / p.sum(axis=1)
@@ -193,8 +191,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """`docs` (text, ...) with lang_pred and score (0 to 1) added.
 
     `und` with score 0: null or empty texts, texts without a letter, and all texts of a model
-    that saw no labelled document.
+    that saw no labelled document.  Columns of these names that are there already are replaced.
     """
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -106,9 +106,11 @@ def mix(
     sorted output has the target weights in every stretch.  `budget` is a multiple of all
     tokens; no source is repeated beyond `repeats` (a larger budget is cut to that).  A null
     source is a source of its own; null or empty texts have no tokens; a source without tokens
-    gets no budget.  No rows give no rows.  `tokens` names a column that has the counts already.
+    gets no budget.  No rows give no rows.  Added columns replace any of
+    these names; a repeated row is mixed as often as it stands.  `tokens` names a column that has the counts already.
     """
     spark = docs.sparkSession
+    docs = docs.drop("mix_epoch", "mix_weight", "mix_key")
     checkpoint_root(spark)
     with Workspace(spark, "mixing") as ws:
         n_tokens = F.col(tokens).cast("long") if tokens else count_tokens(F.col("text"))

@@ -147,7 +147,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def add_scores(docs: DataFrame, model: object) -> DataFrame:
-    """`docs` (text, ...) with `score` added; `model` has score(texts)."""
+    """`docs` (text, ...) with `score` added (one that is there already is replaced); `model` has score(texts)."""
+    docs = docs.drop("score")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -275,17 +275,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options: int) -> Dat
     A cut may fall inside a multi-byte character; what is left of it is dropped, so `text` stays
     valid.  `n_chars`, where there is one, is counted anew.  Null texts stay null.
     """
-    spark = docs.sparkSession
     spans = repeated_spans(docs, length, **options)
-    keyed = docs.withColumn("_rk", row_key("doc_id", "text"))
-    n = spans.count()
-    cut = keyed.join(F.broadcast(spans) if n <= BROADCAST_ROWS // 20 else spans, keyed["_rk"] == spans["rk"], "left").drop("rk", "_rk")
+    keyed = docs.withColumn("_cut_key", row_key("doc_id", "text"))
+    spans = spans.select(F.col("rk").alias("_cut_at"), F.col("spans").alias("_cut_spans"))
+    few = spans.limit(BROADCAST_ROWS // 20 + 1).count() <= BROADCAST_ROWS // 20
+    cut = keyed.join(F.broadcast(spans) if few else spans, F.col("_cut_key") == F.col("_cut_at"), "left").drop("_cut_key", "_cut_at")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, found in zip(batch["text"], batch["spans"], strict=True):
+            for text, found in zip(batch["text"], batch["_cut_spans"], strict=True):
                 text = text.as_py()
                 if found.as_py():
                     body = text.encode()
