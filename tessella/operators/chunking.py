@@ -35,10 +35,6 @@ def pack(items: Column, conf: EngineConf = DEFAULT) -> Column:
     return F.transform(groups, lambda g: F.transform(g, lambda x: x["p"]))
 
 
-def _joined(c: str = "p") -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ppos", c))), lambda s: s[c]), "\n\n")
-
-
 def marked(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs with the shape of their section (qa, table, plain), question group, table run and caption mark."""
     whole = Window.partitionBy(*_BY)
@@ -54,40 +50,29 @@ def marked(paragraphs: DataFrame) -> DataFrame:
     )
 
 
-_OUT = ("doc_id", "section", "heading_path", "run", "slot", "part", "kind", "text", "question", "part_index", "part_count")
-
-
-def qa_drafts(m: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One draft per question with its whole answer; what precedes the first question is prose."""
-    q = F.max(F.when(F.col("is_q"), F.col("p")))
-    kept = [F.first(c).alias(c) for c in ("heading_path", *carry)]
-    d = m.where("shape = 'qa'").groupBy(*_BY, "qgroup").agg(*kept, _joined().alias("text"), q.alias("question"))
-    kind = F.when(F.col("qgroup") == 0, "prose").otherwise("qa")
-    none = F.lit(None).cast("int")
-    return d.select(*_BY, "heading_path", F.col("qgroup").alias("run"), F.lit(0).alias("slot"), F.lit(0).alias("part"), kind.alias("kind"), "text", "question", none.alias("part_index"), none.alias("part_count"), *carry)
-
-
-def table_drafts(m: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Tables whole, with the paragraph before as caption."""
-    kept = [F.first(c).alias(c) for c in ("heading_path", *carry)]
-    d = m.where("shape = 'table' and (is_table or caption)").groupBy(*_BY, "trun").agg(*kept, _joined().alias("text"))
-    none = F.lit(None).cast("int")
-    return d.select(*_BY, "heading_path", F.col("trun").alias("run"), F.lit(1).alias("slot"), F.lit(0).alias("part"), F.lit("table").alias("kind"), "text", F.lit(None).cast("string").alias("question"), none.alias("part_index"), none.alias("part_count"), *carry)
-
+def drafts(m: DataFrame, conf: EngineConf = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Marked paragraphs -> drafts: doc_id, section, heading_path, run, slot, part, kind, text, question, part_index, part_count.
 
-def packed_drafts(m: DataFrame, conf: EngineConf = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Other paragraphs, packed; part numbers only where a run needs more than one chunk."""
-    kept = [F.first(c).alias(c) for c in ("heading_path", *carry)]
-    rest = m.where("shape = 'plain' or (shape = 'table' and not is_table and not caption)")
+    A question takes its whole answer, and what precedes the first question is prose.  A table
+    stays whole with the paragraph before as caption.  Other paragraphs are packed, with part
+    numbers only where a run needs more than one chunk.  All kinds come from one grouping.
+    """
+    table = (F.col("shape") == "table") & (F.col("is_table") | F.col("caption"))
+    kind = F.when((F.col("shape") == "qa") & (F.col("qgroup") == 0), "prose").when(F.col("shape") == "qa", "qa").when(table, "table").otherwise("clause")
+    run = F.when(F.col("shape") == "qa", F.col("qgroup")).otherwise(F.col("trun"))
+    keyed = m.withColumns({"kind": kind, "run": run, "slot": F.when(table, 1).otherwise(0)})
     items = F.transform(F.array_sort(F.collect_list(F.struct("ppos", "p", "tokens"))), lambda s: F.struct(s["p"].alias("p"), s["tokens"].alias("tokens")))
-    d = rest.groupBy(*_BY, "trun").agg(*kept, items.alias("items")).withColumn("groups", pack(F.col("items"), conf))
-    d = d.withColumn("n", F.size("groups")).select("*", F.posexplode("groups").alias("part", "g"))
+    question = F.max(F.when((F.col("kind") == "qa") & F.col("is_q"), F.col("p")))
+    kept = [F.first(c).alias(c) for c in ("heading_path", *carry)]
+    g = keyed.groupBy(*_BY, "run", "slot", "kind").agg(*kept, items.alias("items"), question.alias("question"))
+    whole = F.array(F.transform("items", lambda x: x["p"]))
+    g = g.withColumn("groups", F.when(F.col("kind") == "clause", pack(F.col("items"), conf)).otherwise(whole)).withColumn("n", F.size("groups"))
+    d = g.drop("items").select("*", F.posexplode("groups").alias("part", "g"))
     many = F.col("n") > 1
-    return d.select(*_BY, "heading_path", F.col("trun").alias("run"), F.lit(0).alias("slot"), "part", F.lit("clause").alias("kind"), F.array_join("g", "\n\n").alias("text"), F.lit(None).cast("string").alias("question"), F.when(many, F.col("part")).alias("part_index"), F.when(many, F.col("n")).alias("part_count"), *carry)
-
-
-def drafts(m: DataFrame, conf: EngineConf = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
-    return qa_drafts(m, carry).unionByName(table_drafts(m, carry)).unionByName(packed_drafts(m, conf, carry))
+    return d.select(
+        *_BY, "heading_path", "run", "slot", "part", "kind", F.array_join("g", "\n\n").alias("text"), "question",
+        F.when(many, F.col("part")).alias("part_index"), F.when(many, F.col("n")).alias("part_count"), *carry,
+    )
 
 
 def number_chunks(d: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
@@ -104,22 +89,18 @@ def chunk_documents(docs: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     id, document_id, ordinal, text, kind, heading_path (title first), anchor, question,
     part_index, part_count, source_url, source_title.  Null or blank documents have no chunks.
     """
-    lines = structure.doc_lines(docs.select("doc_id", "markdown", "title", "source_url"), conf)
-    lined = structure.section_lines(structure.promote(structure.heading_candidates(lines, conf)))
-    key = X.normalize_title(F.col("title_"))
-    named = lined.drop("key").withColumnRenamed("title", "heading").withColumn("title_", F.coalesce("heading", F.lit("")))
-    doc = Window.partitionBy("doc_id")
-    named = named.withColumn("heading_keys", F.collect_set(F.when(F.col("heading").isNotNull(), key)).over(doc))
-    base = docs.select("doc_id", "title", "source_url")
-    carry = ("toc", "heading_keys", "source_url")
-    parts = structure.paragraphs(structure.sections(named, carry), conf)
+    named = docs.select("doc_id", "markdown", F.col("title").alias("doc_title"), "source_url")
+    lines = structure.section_lines(structure.promote(structure.heading_candidates(structure.doc_lines(named, conf), conf)))
+    key = F.when(F.col("title").isNotNull(), X.normalize_title(F.col("title")))
+    lines = lines.withColumn("heading_keys", F.collect_set(key).over(Window.partitionBy("doc_id")))
+    carry = ("toc", "heading_keys", "source_url", "doc_title")
+    parts = structure.paragraphs(structure.sections(lines, carry), conf)
     out = number_chunks(drafts(marked(parts), conf, carry), conf)
-    out = out.drop("source_url").join(base.dropDuplicates(["doc_id"]), "doc_id")
-    leaf = X.normalize_title(F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.col("title")))
+    leaf = X.normalize_title(F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.col("doc_title")))
     anchor = F.when(F.array_contains("heading_keys", leaf), F.try_element_at("toc", leaf))
     return out.select(
-        "id", F.col("doc_id").alias("document_id"), "ordinal", "text", "kind", X.breadcrumb(F.col("title"), F.col("heading_path")).alias("heading_path"),
-        anchor.alias("anchor"), "question", "part_index", "part_count", "source_url", F.col("title").alias("source_title"),
+        "id", F.col("doc_id").alias("document_id"), "ordinal", "text", "kind", X.breadcrumb(F.col("doc_title"), F.col("heading_path")).alias("heading_path"),
+        anchor.alias("anchor"), "question", "part_index", "part_count", "source_url", F.col("doc_title").alias("source_title"),
     )
 
 

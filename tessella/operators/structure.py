@@ -92,8 +92,7 @@ def section_lines(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("section", F.count("level").over(by).cast("int"))
     at = {k: F.coalesce(F.max(F.when(F.col("level") == k, F.col("pos"))).over(by), F.lit(-1)) for k in LEVELS}
     named = {k: F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(by) for k in LEVELS}
-    for k in LEVELS:
-        lines = lines.withColumn(f"_p{k}", at[k]).withColumn(f"_t{k}", named[k])
+    lines = lines.withColumns({f"_p{k}": at[k] for k in LEVELS} | {f"_t{k}": named[k] for k in LEVELS})  # one window node
     open_ = [F.when(F.col(f"_p{k}") > F.greatest(F.lit(-1), *[F.col(f"_p{j}") for j in LEVELS if j < k], F.lit(-1)), F.col(f"_t{k}")) for k in LEVELS]
     path = F.filter(F.array(*open_), lambda t: t.isNotNull())
     return lines.withColumn("heading_path", path).drop(*[f"_{a}{k}" for a in "pt" for k in LEVELS])

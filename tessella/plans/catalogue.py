@@ -364,17 +364,17 @@ _D = "doc_id, section, run, slot, part, kind, text, question, part_index, part_c
 
 @query(S.chain(S.DRAFTS, f"SELECT {_D} FROM qa"))
 def qa_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.qa_drafts(_marked(spark, sf_dir)).select(*_D.split(", "))
+    return chunking.drafts(_marked(spark, sf_dir)).where("kind in ('qa', 'prose')").select(*_D.split(", "))
 
 
 @query(S.chain(S.DRAFTS, f"SELECT {_D} FROM tab"))
 def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.table_drafts(_marked(spark, sf_dir)).select(*_D.split(", "))
+    return chunking.drafts(_marked(spark, sf_dir)).where("kind = 'table'").select(*_D.split(", "))
 
 
 @query(S.chain(S.DRAFTS, f"SELECT {_D} FROM packed"))
 def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.packed_drafts(_marked(spark, sf_dir), _SMALL).select(*_D.split(", "))
+    return chunking.drafts(_marked(spark, sf_dir), _SMALL).where("kind = 'clause'").select(*_D.split(", "))
 
 
 @query(S.chain(S.CHUNKS, "SELECT id, document_id, ordinal, text, kind, array_to_string(heading_path, ' > ') AS heading_path, anchor, question, part_index, part_count, source_url, source_title FROM chunks"))
