@@ -202,3 +202,25 @@ def clean_citations(answer: Column, valid: Column) -> Column:
 
 def sse_frame(event: Column, data: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(data), F.lit("\n\n"))
+
+
+def chip_label(path: Column) -> Column:
+    """Breadcrumb without the document's title; the title where there is nothing else."""
+    return F.coalesce(F.nullif(F.array_join(F.slice(path, F.lit(2), F.greatest(F.size(path), F.lit(1))), " › "), F.lit("")), F.get(path, F.lit(0)))
+
+
+def chunk_label(kind: Column, part_index: Column, part_count: Column, anchor: Column) -> Column:
+    part = F.when(part_index.isNotNull(), F.concat(F.lit(" · part "), (part_index + 1).cast("string"), F.lit("/"), part_count.cast("string"))).otherwise("")
+    return F.concat(kind, part, F.when(anchor.isNotNull(), F.concat(F.lit(" · #"), anchor)).otherwise(""))
+
+
+def content_text(content: Column) -> Column:
+    """Text of a message whose content is a list of parts: their texts, joined."""
+    return F.array_join(F.transform(content, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+
+
+def answer_blocks(answer: Column) -> Column:
+    """array<struct<kind, text>>: an answer's blocks, each a list where all its lines are bullets, else prose."""
+    blocks = F.filter(F.transform(F.split(answer, r"\n{2,}"), trimmed), lambda b: b != "")
+    is_list = lambda b: F.forall(F.split(b, "\n"), lambda x: trimmed(x).rlike(r"^[-*]\s"))
+    return F.transform(blocks, lambda b: F.named_struct(F.lit("kind"), F.when(is_list(b), "list").otherwise("prose"), F.lit("text"), b))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions import text as X
+from .store import VersionedTable
 
 REFUSAL = "I have nothing about that in the knowledge base."
 SYSTEM_PROMPT = "Answer only from the numbered passages. Cite each statement with its passage number in square brackets. Say plainly what the passages do not answer."
@@ -121,3 +122,51 @@ def retrieval_meta(hits: DataFrame) -> DataFrame:
     item = F.struct((-F.col("score")).alias("s"), F.col("id"), "score", "kind", "heading_path", F.substring("text", 1, 160).alias("snippet"))
     kept = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"), x["kind"].alias("kind"), x["heading_path"].alias("heading_path"), x["snippet"].alias("snippet")))
     return hits.groupBy("qid").agg(kept.alias("retrieved"))
+
+
+TURN_SCHEMA = "key string, chat_id string, turn int, role string, content string, at timestamp"
+TITLE_SCHEMA = "chat_id string, title string, at timestamp"
+
+
+class ChatStore:
+    """Conversations as two keyed tables: turns, and titles that were given by hand."""
+
+    def __init__(self, spark: SparkSession, path: str, conf: EngineConf = DEFAULT):
+        self.spark, self.conf = spark, conf
+        self.turns = VersionedTable(spark, f"{path}/turns", "key", buckets=8)
+        self.titles = VersionedTable(spark, f"{path}/titles", "chat_id", buckets=4)
+
+    def _checked(self, chat_id: str) -> str:
+        if not self.spark.range(1).where(X.is_chat_id(F.lit(chat_id))).count():
+            raise ValueError(f"malformed chat id {chat_id!r}")
+        return chat_id
+
+    def append(self, chat_id: str, role: str, content: str, at: str) -> int:
+        """Adds a turn; returns its number."""
+        rows = self.turns.read(TURN_SCHEMA).where(F.col("chat_id") == self._checked(chat_id))
+        turn = (rows.agg(F.max("turn")).first()[0] if rows.count() else -1) + 1
+        row = self.spark.createDataFrame([(f"{chat_id}:{turn}", chat_id, turn, role, content)], "key string, chat_id string, turn int, role string, content string")
+        self.turns.upsert(row.withColumn("at", F.lit(at).cast("timestamp")))
+        return turn
+
+    def get(self, chat_id: str) -> DataFrame:
+        return self.turns.read(TURN_SCHEMA).where(F.col("chat_id") == self._checked(chat_id)).orderBy("turn")
+
+    def rename(self, chat_id: str, title: str, at: str) -> None:
+        title = title.strip()[: self.conf.chat_title_chars]
+        if not title:
+            raise ValueError("a title must not be blank")
+        row = self.spark.createDataFrame([(self._checked(chat_id), title)], "chat_id string, title string")
+        self.titles.upsert(row.withColumn("at", F.lit(at).cast("timestamp")))
+
+    def delete(self, chat_id: str) -> None:
+        self.turns.delete(F.col("chat_id") == self._checked(chat_id))
+        self.titles.delete(F.col("chat_id") == chat_id)
+
+    def list(self) -> DataFrame:
+        """chat_id, title, n_turns, updated_at; the latest first."""
+        turns = self.turns.read(TURN_SCHEMA)
+        own = self.titles.read(TITLE_SCHEMA).select("chat_id", F.col("title").alias("own"), F.col("at").alias("named_at"))
+        when = turns.groupBy("chat_id").agg(F.max("at").alias("said_at"))
+        out = sessions(turns, self.conf).join(when, "chat_id").join(own, "chat_id", "left")
+        return out.select("chat_id", F.coalesce("own", "title").alias("title"), "n_turns", F.greatest("said_at", "named_at").alias("updated_at")).orderBy(F.col("updated_at").desc(), "chat_id")

@@ -105,6 +105,13 @@ class Ingestor:
             self.remove(doc)
         return self.spark.createDataFrame(out)
 
+    def mark_failed(self, document_id: str, error: str, now: str = "2024-01-01 00:00:00") -> None:
+        """Roll a document back: its chunks go first, then the manifest says why."""
+        self.store.delete_by_document(document_id)
+        change = self.spark.createDataFrame([(document_id, "failed", error, 0)], "id string, status string, error string, chunk_count int")
+        row = patch(self.documents().where(F.col("id") == document_id), change, F.lit(now).cast("timestamp"))
+        self.manifest.upsert(row)
+
     def remove(self, document_id: str) -> None:
         """Chunks first, then the manifest row."""
         self.store.delete_by_document(document_id)

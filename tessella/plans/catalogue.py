@@ -178,6 +178,33 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("qid", "context", F.array_join(cite, "|").alias("citations"))
 
 
+@query(f"WITH RECURSIVE {_CH}, {_KNN}, {_EXP}, {_TEXTS}, f AS (SELECT qid, document_id, min(n) AS n FROM kept GROUP BY ALL) SELECT qid, string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY n) AS documents FROM f GROUP BY qid")
+def cited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a context, each once, in the order of their first citation."""
+    rows = retrieval.number_citations(retrieval.select_budget(_scored_texts(spark, sf_dir), _BUDGET))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("n", "document_id"))), lambda s: s["document_id"].cast("string"))
+    return rows.groupBy("qid").agg(F.array_join(F.array_distinct(order), ",").alias("documents"))
+
+
+@query(f"""WITH {_CH}, {_KNN}, h AS (SELECT hits.qid, hits.id, hits.score, d.text FROM hits JOIN documents d ON d.doc_id = hits.id)
+SELECT qid, string_agg(id || ':' || substr(text, 1, 160), '|' ORDER BY score DESC, id) AS retrieved FROM h GROUP BY qid""")
+def retrieval_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of each query by falling score with the opening of their text."""
+    texts = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = _hits(spark, sf_dir).join(texts, "id").withColumns({"kind": F.lit("clause"), "heading_path": F.array(F.lit("T"))})
+    item = F.transform("retrieved", lambda r: F.concat(r["id"].cast("string"), F.lit(":"), r["snippet"]))
+    return chats.retrieval_meta(hits).select("qid", F.array_join(item, "|").alias("retrieved"))
+
+
+@query(f"""WITH {_CH} SELECT id, 'clause' || CASE WHEN part_index IS NOT NULL THEN ' · part ' || (part_index + 1) || '/' || part_count ELSE '' END || CASE WHEN ordinal % 4 = 0 THEN ' · #s' || ordinal ELSE '' END AS label,
+  CASE WHEN ordinal = 0 THEN 'T' ELSE 'S' || ordinal || ' › P' END AS chip FROM ch""")
+def chunk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("ordinal").cast("string")
+    path = F.when(F.col("ordinal") == 0, F.array(F.lit("T"))).otherwise(F.array(F.lit("T"), F.concat(F.lit("S"), o), F.lit("P")))
+    anchor = F.when(F.col("ordinal") % 4 == 0, F.concat(F.lit("s"), o))
+    return chunk_input(spark, sf_dir).select("id", X.chunk_label(F.lit("clause"), F.col("part_index"), F.col("part_count"), anchor).alias("label"), X.chip_label(path).alias("chip"))
+
+
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:32] AS h FROM embeddings), n AS (SELECT vec_id, h, sqrt(list_dot_product(h, h)) AS l FROM v)
 SELECT vec_id, len(h) AS dims, round(h[1] / l, 6) AS first, round(list_sum(h) / l, 6) AS total FROM n""")
 def conform_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -555,3 +582,25 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CAST(CASE WHEN user_id % 7 = 0 THEN 0 ELSE round(100.0 * (event_id % 50) / (user_id % 7 * 50)) END AS INTEGER) AS pct FROM events")
 def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", X.progress_percent(F.col("event_id") % 50, F.col("user_id") % 7 * 50).alias("pct"))
+
+
+@query("""SELECT conv_id AS qid, string_agg(text, '' ORDER BY turn) FILTER (WHERE role <> 'system') AS tokens,
+  coalesce(arg_max(text, turn) FILTER (WHERE role = 'system'), string_agg(text, '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS answer FROM conversations GROUP BY conv_id""")
+def answer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token events joined in order, a final answer event over them; turns stand for tokens, system turns for answers."""
+    c = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("seq"), F.when(F.col("role") == "system", "answer").otherwise("token").alias("event"), "text")
+    tokens = E.accumulate_answers(c.where("event = 'token'")).withColumnRenamed("answer", "tokens")
+    return E.accumulate_answers(c).join(tokens, "qid", "left")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily windows over events: an extension, not one of the retrieval operators."""
+    return E.event_counts(_t(spark, sf_dir, "events"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '…' ELSE text END AS snippet, conv_id || '-' || turn ~ '^[A-Za-z0-9_-]{1,64}$' AS good_id FROM conversations")
+def turn_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "conversations")
+    ident = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return c.select("conv_id", "turn", X.snippet(F.col("text"), 100).alias("snippet"), X.is_chat_id(ident).alias("good_id"))

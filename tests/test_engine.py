@@ -284,3 +284,38 @@ def test_ingest_stream(spark, tmp_path):
     (d / "b.txt").write_text("two")
     run()
     assert seen == ["a.txt", "b.txt"]
+
+
+def test_chat_store(spark, tmp_path):
+    s = chats.ChatStore(spark, str(tmp_path / "chats"))
+    assert s.list().count() == 0
+    assert [s.append("a-1", r, c, t) for r, c, t in (("user", "x" * 90, "2024-01-01 10:00:00"), ("assistant", "yes", "2024-01-01 10:01:00"))] == [0, 1]
+    s.append("b", "assistant", "hello", "2024-01-01 09:00:00")
+    assert [(r.chat_id, r.title) for r in s.list().collect()] == [("a-1", "x" * 70), ("b", "New conversation")]
+    s.rename("b", "  My chat ", "2024-01-02 00:00:00")
+    assert [(r.chat_id, r.title) for r in s.list().collect()] == [("b", "My chat"), ("a-1", "x" * 70)]
+    for bad in (lambda: s.rename("b", " ", "2024-01-01 00:00:00"), lambda: s.get("../b")):
+        with pytest.raises(ValueError):
+            bad()
+    s.delete("a-1")
+    assert [r.chat_id for r in s.list().collect()] == ["b"] and s.get("a-1").count() == 0
+
+
+def test_roll_back(spark, tmp_path):
+    eng = ingest.Ingestor(spark, str(tmp_path / "kb"), EngineConf(embedding_dimensions=8))
+    row = ("d", "# T\n\nSome text that is long enough to make a chunk, surely it is.", "T", "t.md", None, None)
+    schema = "doc_id string, markdown string, title string, filename string, source_url string, error string"
+    eng.ingest(spark.createDataFrame([row], schema))
+    doc_id = eng.documents().first().id
+    eng.mark_failed(doc_id, "broken")
+    assert eng.store.count() == 0 and (eng.documents().first().status, eng.documents().first().error) == ("failed", "broken")
+    assert [r.outcome for r in ingest.seed_totals(eng.ingest(spark.createDataFrame([row], schema))).collect()] == ["ok"]
+    assert eng.store.count() == 1
+
+
+def test_labels_and_blocks(spark):
+    assert one(spark, X.answer_blocks(F.lit("Intro.\n\n- a\n- b\n\n\nEnd"))) == [("prose", "Intro."), ("list", "- a\n- b"), ("prose", "End")]
+    assert one(spark, X.content_text(F.array(F.struct(F.lit("a").alias("text")), F.struct(F.lit(None).cast("string").alias("text")), F.struct(F.lit("b").alias("text"))))) == "ab"
+    assert one(spark, X.relative_day(F.lit("2024-01-01 08:30:00").cast("timestamp"), F.lit("2024-01-02 01:00:00").cast("timestamp"))) == "Yesterday"
+    assert one(spark, X.safe_upload_name(F.lit("a/b/we ird$$name.md"))) == "we ird_name.md"
+    assert one(spark, X.slug_title(F.lit("https://e.org/a/opening-hours_now/?q=1"))) == "Opening Hours Now"
