@@ -174,7 +174,7 @@ _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 def _verify(size: int, threshold: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "task"):
+        for t in whole_groups(batches, "task", 4 << 20):
             task = t["task"].to_numpy()
             ids = t["rep"].to_numpy()
             hs, sizes = [], []
@@ -225,7 +225,8 @@ def near_duplicates(
         classes = live.groupBy("n_shingles", "set_lo", "set_hi").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
         classes = ws.save(classes, "classes")
         posted = classes.select("rep", F.explode("bands").alias("bucket"))
-        heads = posted.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        # Written first: a join of two plain shuffles, which AQE splits where a bucket is hot.
+        heads = ws.save(posted.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "heads")
         stars = posted.join(heads, "bucket").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"))
         family = ws.save(connected_components(stars, ws, "families"), "family")
         sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
