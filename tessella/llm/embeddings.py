@@ -151,7 +151,8 @@ def near_duplicates(
         mean = unit.agg(*[F.coalesce(F.avg(F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)) / F.col("norm")), F.lit(0.0)).alias(f"m{i}") for i in range(dims)]).first()
         mean = np.array(list(mean))
         posted = ws.save(classes.select("lab", "rep", "embedding").mapInArrow(_post(mean, n_pivots, prefix, shared), "key string, rep long"), "posted")
-        lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        # Written first: a join of two plain shuffles, which AQE splits where a list is hot.
+        lists = ws.save(posted.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "lists")
         met = posted.join(lists, "key").withColumn("g", F.ceil(F.col("k") / F.lit(list_rows // 2)).cast("int"))
         met = met.withColumn("g", F.when(F.col("k") <= list_rows, 1).otherwise(F.col("g"))).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
         met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
