@@ -78,7 +78,11 @@ def passes_exclusions(t: Column, conf: EngineConf = DEFAULT) -> Column:
 
 
 def looks_like_heading(line: Column, conf: EngineConf = DEFAULT) -> Column:
-    t = trimmed(line)
+    return has_heading_shape(trimmed(line), conf)
+
+
+def has_heading_shape(t: Column, conf: EngineConf = DEFAULT) -> Column:
+    """The test for a line that is trimmed already; pass a stored column, it is read many times."""
     return passes_exclusions(t, conf) & (t.rlike(NUMBERED) | is_title_case(t, conf) | is_sentence_case(t, conf))
 
 

@@ -59,18 +59,18 @@ def heading_candidates(lines: DataFrame, conf: EngineConf = DEFAULT) -> DataFram
     """Lines with key, in_fence, alone (first, or after a blank), followed (by content) and candidate."""
     by = Window.partitionBy("doc_id").orderBy("pos")
     back = Window.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    blank = X.trimmed(F.col("line")) == ""
+    blank = F.col("_t") == ""
     fence = F.sum(F.col("line").rlike(r"^\s*```").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1
-    following = F.last(F.when(~blank, F.col("line")), ignorenulls=True).over(back)
+    following = F.last(F.when(~blank, F.col("_t")), ignorenulls=True).over(back)
     out = (
-        lines.withColumn("following", following)
+        lines.withColumn("_t", X.trimmed(F.col("line"))).withColumn("following", following)
         .withColumn("in_fence", fence).withColumn("alone", F.coalesce(F.lag(blank).over(by), F.lit(True)))
         .withColumn("key", X.normalize_title(F.col("line")))
     )
     listed = (F.col("key") != "") & F.coalesce(F.map_contains_key("toc", F.col("key")), F.lit(False)) & ~F.col("line").rlike(r"^\s*#")
-    content = F.coalesce(~X.trimmed(F.col("following")).rlike(r"^#{1,6}\s"), F.lit(False))
-    good = ~F.col("in_fence") & F.col("alone") & ~blank & (listed | X.looks_like_heading(F.col("line"), conf)) & content
-    return out.withColumn("followed", content).withColumn("candidate", good).drop("following")
+    content = F.coalesce(~F.col("following").rlike(r"^#{1,6}\s"), F.lit(False))
+    good = ~F.col("in_fence") & F.col("alone") & ~blank & (listed | X.has_heading_shape(F.col("_t"), conf)) & content
+    return out.withColumn("followed", content).withColumn("candidate", good).drop("following", "_t")
 
 
 def promote(candidates: DataFrame) -> DataFrame:
