@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .brown import op4_brown_lm
 from .embeddings import OP7_SQL, op7_embedding_dedup
 from .langid import op3_language_id
-from .minhash import op8_minhash
+from .minhash import OP8_SQL, op8_minhash
 from .mixing import OP10_SQL, op10_mixing
 from .phrases import OP2_SQL, op2_decontamination
 from .quality import op1_quality
@@ -42,6 +42,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": OP2_SQL,
         "op5_warc": OP5_SQL,
         "op7_embedding_dedup": OP7_SQL,
+        "op8_minhash": OP8_SQL,
         "op10_mixing": OP10_SQL,
     }
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
