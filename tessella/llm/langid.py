@@ -65,7 +65,7 @@ def _count(orders: int):
         for batch in batches:
             langs = batch["lang"].dictionary_encode()
             names, code = langs.dictionary, langs.indices.to_numpy(zero_copy_only=False)
-            for c in tk.chunks(folded(batch["text"])):
+            for c in tk.chunks(batch["text"], prepare=folded):
                 data, w = tk.words(c, "letters", lower=False)
                 lang = code[c.lo : c.hi][w.doc].astype(np.int64)
                 one, inverse = _distinct_words(data, w)
@@ -125,8 +125,7 @@ class LanguageModel:
         scores = []
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        low = folded(texts)
-        for c in tk.chunks(low):
+        for c in tk.chunks(texts, prepare=folded):
             data, w = tk.words(c, "letters", lower=False)
             one, inverse = _distinct_words(data, w)
             table_ = self.word_scores(data, w.start[one], w.end[one], w.hash[one])
@@ -138,7 +137,7 @@ class LanguageModel:
             seen = np.concatenate([[0], np.cumsum(plain)])
             letter[has] = seen[c.end[has]] > seen[c.start[has]]
             for i in has[~letter[has]]:
-                letter[i] = bool(_LETTER.search(low[c.lo + int(i)].as_py()))
+                letter[i] = bool(_LETTER.search(texts[c.lo + int(i)].as_py()))
             z = (total - total.max(axis=1, keepdims=True)) * np.log(10) / np.sqrt(n)[:, None]
             p = np.exp(z)
             p = p.max(axis=1) / p.sum(axis=1)

@@ -33,6 +33,8 @@ from .common import Workspace, batch_of, checkpoint_root, row_key, table
 from .minhash import BROADCAST_ROWS, whole_groups
 
 LENGTH, QGRAM = 200, 32
+#: Text that a task works on at a time; its arrays take some hundred bytes for each byte.
+STEP_BYTES = 1 << 20
 _BYTE = tk.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _RUNS = pa.schema([("rk", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("seg", pa.int64())])
 
@@ -83,7 +85,7 @@ def _find_runs(length: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch["rk"].to_numpy(zero_copy_only=False)
-            for c in tk.chunks(batch["text"]):
+            for c in tk.chunks(batch["text"], STEP_BYTES):
                 doc, start, n, anchor, seg = runs(c, length, q)
                 yield batch_of(_RUNS, rk=keys[c.lo + doc], start=start.astype(np.int32), n=n.astype(np.int32), anchor=anchor.view(np.int64), seg=seg.view(np.int64))
 
@@ -139,7 +141,7 @@ _DUP = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("from", pa.list_
 
 def _refine_groups(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "anchor", 4 << 20):
+        for t in whole_groups(batches, "anchor", STEP_BYTES):
             t = t.combine_chunks()
             n, c = t["n"].to_numpy(), t["c"].to_numpy()
             size = n + length - 1
@@ -216,7 +218,7 @@ def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "rk", "left_semi")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_rows: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_rows: int = 4_000) -> DataFrame:
     """(doc_id, text) -> rk, spans: byte spans [lo, hi) whose every byte lies in a repeated string of `length` bytes.
 
     One row for each distinct (doc_id, text) with a repeat; spans may touch or overlap (merge()
@@ -228,9 +230,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_ro
         slim = docs.select(row_key("doc_id", "text").alias("rk"), "text").where("text is not null")
         all_runs = ws.save(slim.mapInArrow(_find_runs(length, q), "rk long, start int, n int, anchor long, seg long"), "runs")
         shared = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("k > 1")
-        kept = all_runs.join(shared.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor")
+        # Written first: a join of two plain shuffles, which AQE splits where an anchor is hot.
+        shared = ws.save(shared.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
+        kept = all_runs.join(shared, "anchor")
         kept = ws.save(kept, "shared")
-        ws.drop("runs")
+        ws.drop("runs", "anchors")
         first = F.min(F.struct("rk", "start")).alias("at")
         distinct = kept.where("mixed").groupBy("anchor", "seg", "n").agg(F.count(F.lit(1)).alias("c"), first)
         distinct = ws.save(distinct.select("anchor", "seg", "n", "c", "at.rk", "at.start"), "distinct")

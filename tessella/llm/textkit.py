@@ -7,14 +7,14 @@ forms a chunk of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _pows: dict[int, np.ndarray] = {}
@@ -91,10 +91,22 @@ class Chunk:
         return self.hi - self.lo
 
 
-def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES, separate: bool = True) -> Iterator[Chunk]:
-    """Cut a string array into chunks; null counts as empty.  With `separate` a newline follows each text."""
+def chunks(texts: pa.Array, max_bytes: int | None = None, separate: bool = True, prepare: Callable[[pa.Array], pa.Array] | None = None, rows: int = 512) -> Iterator[Chunk]:
+    """Cut a string array into chunks; null counts as empty.  With `separate` a newline follows each text.
+
+    Rows are prepared and copied a few hundred at a time, whatever the size of the batch.
+    """
+    max_bytes = max_bytes or CHUNK_BYTES
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    for base in range(0, len(texts), rows):
+        part = texts.slice(base, rows)
+        for c in _chunks(prepare(part) if prepare else part, max_bytes, separate):
+            c.lo, c.hi = c.lo + base, c.hi + base
+            yield c
+
+
+def _chunks(texts: pa.Array, max_bytes: int, separate: bool) -> Iterator[Chunk]:
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(sizes + 1)])

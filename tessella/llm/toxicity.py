@@ -68,7 +68,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that have each feature, by half of the sample and label."""
     for batch in batches:
         group = batch["half"].to_numpy(zero_copy_only=False) * 2 + (1 - batch["label"].to_numpy(zero_copy_only=False))
-        for c in tk.chunks(folded(batch["text"])):
+        for c in tk.chunks(batch["text"], prepare=folded):
             w, h, owner, inverse = token_features(c)
             keys, key = np.unique(h, return_inverse=True)
             order = np.argsort(owner, kind="stable")
@@ -155,7 +155,7 @@ class ToxicityModel:
 
     def segments(self, texts: pa.Array) -> Iterator[tuple[int, Segments]]:
         """(number of words, maximal segments) of each text, in order."""
-        for c in tk.chunks(folded(texts)):
+        for c in tk.chunks(texts, prepare=folded):
             w, s = self.token_scores(c)
             hit = np.flatnonzero(s > 0)
             cut = np.searchsorted(w.doc[hit], np.arange(len(c) + 1))
@@ -230,7 +230,7 @@ def _background(rows: DataFrame, model: ToxicityModel) -> float:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in tk.chunks(folded(batch["text"])):
+            for c in tk.chunks(batch["text"], prepare=folded):
                 s, n = np.unique(np.round(model.token_scores(c)[1], 1), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.float64()), pa.array(n, pa.int64())], names=["s", "n"])
 
