@@ -17,17 +17,20 @@ from ..functions import text as X
 LEVELS = range(1, 7)
 
 
-def mark_toc(docs: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
+def mark_toc(docs: DataFrame, conf: EngineConf = DEFAULT, marks_only: bool = False) -> DataFrame:
     """(doc_id, markdown, ...) -> one row per line: i, line, is_toc, and the other columns.
 
     Link-only bullets among the first lines are the contents list, up to the first heading that
-    follows one of them.
+    follows one of them.  With `marks_only` other lines than links and headings stay behind
+    before the exchange; they decide nothing.
     """
     other = [c for c in docs.columns if c != "markdown"]
-    lines = docs.select(*other, F.posexplode(F.split("markdown", "\n")).alias("i", "line")).repartition("doc_id")
+    lines = docs.select(*other, F.posexplode(F.split("markdown", "\n")).alias("i", "line"))
     whole = Window.partitionBy("doc_id")
     link = (F.col("i") <= conf.max_toc_scan_lines) & F.col("line").rlike(X.TOC_LINE)
-    lines = lines.withColumn("_link", link).withColumn("_first", F.min(F.when(F.col("_link"), F.col("i"))).over(whole))
+    if marks_only:
+        lines = lines.where(link | F.col("line").rlike(r"^#{1,6}\s"))
+    lines = lines.repartition("doc_id").withColumn("_link", link).withColumn("_first", F.min(F.when(F.col("_link"), F.col("i"))).over(whole))
     end = F.min(F.when(F.col("line").rlike(r"^#{1,6}\s") & (F.col("i") > F.col("_first")), F.col("i"))).over(whole)
     lines = lines.withColumn("_end", end).withColumn("is_toc", F.col("_link") & F.coalesce(F.col("i") < F.col("_end"), F.lit(True)))
     return lines.drop("_link", "_first", "_end")
@@ -52,7 +55,7 @@ def doc_lines(docs: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     lines = mark_toc(docs, conf)
     rest = lines.where(~F.col("is_toc")).drop("is_toc")
     rest = rest.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1).cast("int")).drop("i")
-    return rest.join(toc_maps(lines), "doc_id", "left")
+    return rest.join(toc_maps(mark_toc(docs.select("doc_id", "markdown"), conf, marks_only=True)), "doc_id", "left")
 
 
 def heading_candidates(lines: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
