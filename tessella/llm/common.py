@@ -26,7 +26,11 @@ def row_key(*columns: str) -> Column:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set.
+
+    Every operator begins here, so the session's Arrow batches are bounded here too.
+    """
+    bound_batches(spark)
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -34,6 +38,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root or sc._jsc.sc().getCheckpointDir().get()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and about 8 MB, where the session has Spark's own defaults.
+
+    A batch exists several times over between the JVM and a Python worker; the default of 10,000
+    documents would take hundreds of MB of an executor for nothing.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 class Workspace:
     """Scratch tables in the shared checkpoint folder.
 

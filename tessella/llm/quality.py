@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import batch_of, fold, table
+from .common import batch_of, checkpoint_root, fold, table
 from .langid import bounded_sample, word_grams
 
 #: Bounds of the fit: labelled documents, bytes of their features sent to the driver follow.
@@ -131,6 +131,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = BUCKETS,
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS, buckets: int = BUCKETS) -> QualityModel:
     """docs (doc_id, text) and labels (doc_id, label) -> model.  Null texts, ids and labels teach nothing."""
+    checkpoint_root(docs.sparkSession)
     rows = bounded_sample(labelled(docs, labels, label), max_docs)
     got = rows.select("label", "text").mapInArrow(_bags(buckets), "label int, bucket array<int>, n array<float>").toArrow()
     bags = []
