@@ -1,15 +1,18 @@
 """Language-model scoring with Brown class-based bigrams.
 
 P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)), both smoothed by half a count.
-The commonest words are clustering units of their own; every other word, seen or not, belongs
-to a unit by the hash of its last three bytes, so each word has a class.  Exchange clustering moves units between
-classes while the class-bigram likelihood grows.
+The commonest words are clustering units of their own; the others begin in units by the hash of their last
+three bytes.  Exchange clustering moves units between classes while the class-bigram likelihood grows; then every
+other training word is taken out of its unit's class alone and put where its own contexts make that likelihood
+largest.  Only words that training lacks have no contexts and take the class of their unit.
 
 Passes over the texts, each over all documents of its kind:
 1. counts of every training token (one shuffle of partial sums; the table grows with the corpus);
 2. unit bigrams of all training tokens (bounded: units squared), clustered on the driver;
-3. scoring of all documents.  Counts of frequent words (at most `head_words`, chosen by a count
-   threshold) are sent to the tasks; the other words of a document are joined with the count
+3. classes before and after each other training word (sparse; the table grows with the vocabulary), and its class;
+4. bigrams of the final classes of all training tokens;
+5. scoring of all documents.  Counts and classes of frequent words (at most `head_words`, chosen by a count
+   threshold) are sent to the tasks; the other words of a document are joined with the word
    table by hash.  No word is dropped: rare and unseen words are scored by their exact counts.
 """
 
@@ -20,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import Workspace, batch_of, checkpoint_root, fold, row_key, table
+from .common import Workspace, batch_of, checkpoint_root, fold, table
 from .minhash import whole_groups
 
 HEAD_WORDS, WORD_UNITS, SUFFIX_UNITS, CLASSES, ROUNDS = 1 << 18, 1000, 512, 64, 6
@@ -40,22 +44,21 @@ def suffix_units(data: np.ndarray, w: tk.Words) -> np.ndarray:
     return (tk.mix(h) % np.uint64(SUFFIX_UNITS)).astype(np.int64)
 
 
-_COUNTS = pa.schema([("h", pa.int64()), ("sfx", pa.int32()), ("c", pa.int64())])
+_COUNTS = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hs, ss, ns = [], [], []
+        hs, ns = [], []
         for c in tk.chunks(batch["text"]):
-            data, w = tk.words(c, "nonspace")
-            h, one, n = np.unique(w.hash, return_index=True, return_counts=True)
+            _, w = tk.words(c, "nonspace")
+            h, n = np.unique(w.hash, return_counts=True)
             hs.append(h)
-            ss.append(suffix_units(data, w)[one])
             ns.append(n)
         if hs:
-            h, one, back = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+            h, back = np.unique(np.concatenate(hs), return_inverse=True)
             n = np.bincount(back, weights=np.concatenate(ns)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-            yield batch_of(_COUNTS, h=h.view(np.int64), sfx=np.concatenate(ss)[one].astype(np.int32), c=n)
+            yield batch_of(_COUNTS, h=h.view(np.int64), c=n)
 
 
 @dataclass
@@ -166,14 +169,221 @@ def exchange_clustering(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -
     return label
 
 
+_CONTEXTS = pa.schema([("h", pa.int64()), ("own", pa.int32()), ("ctx", pa.list_(pa.int64()))])
+_WORDS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("cls", pa.int32())])
+CTX_BITS, CTX_TOKENS, CTX_ENTRIES = 40, 1 << 20, 1 << 14
+
+
+def _contexts(units: Units, label: np.ndarray, k: int):
+    """Words that are no unit: class of the unit, and how often which class follows (0..), precedes (k..), or the word follows itself (2k)."""
+
+    def sums(hs: list, own: list, codes: list) -> pa.RecordBatch:
+        h, one, back = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+        key, n = np.unique(back * (2 * k + 1) + np.concatenate(codes), return_counts=True)
+        lists = np.searchsorted(key // (2 * k + 1), np.arange(len(h) + 1)).astype(np.int32)
+        ctx = pa.ListArray.from_arrays(pa.array(lists), pa.array(key % (2 * k + 1) << CTX_BITS | n))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate(own)[one].astype(np.int32)), ctx], schema=_CONTEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, own, codes, held = [], [], [], 0
+        for batch in batches:
+            for c in tk.chunks(batch["text"]):
+                data, w = tk.words(c, "nonspace")
+                u = units.stream(data, w, len(c))
+                h = np.concatenate([[np.uint64(0)], np.insert(w.hash, w.first[1 : len(c) + 1], np.uint64(0))])
+                cls, at = label[u], np.flatnonzero(u > len(units.words))
+                if not len(at):
+                    continue
+                again, before = (u[at + 1] == u[at]) & (h[at + 1] == h[at]), (u[at - 1] == u[at]) & (h[at - 1] == h[at])
+                hs += [h[at], h[at[~before]]]
+                own += [cls[at], cls[at[~before]]]
+                codes += [np.where(again, 2 * k, cls[at + 1]), k + cls[at[~before] - 1]]
+                held += len(at)
+                if held >= CTX_TOKENS:
+                    yield sums(hs, own, codes)
+                    hs, own, codes, held = [], [], [], 0
+        if held:
+            yield sums(hs, own, codes)
+
+    return run
+
+
+def best_classes(grid: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    """Where each word alone makes the class-bigram likelihood largest, all others being where `grid` has them; ties as in `exchange_clustering`.
+
+    grid: class bigrams; own: class of each word; right and left: counts of each word with the class after and
+    before it, itself: of the word after itself (not in right and left).  Every word has a class after and before it.
+    """
+    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    every = np.arange(len(own))
+
+    def side(cells: np.ndarray, mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+        i, j = np.nonzero(mine)
+        n = mine[i, j]
+        g = cells[j]  # of each neighbour class, by the class the word may go to
+        g[np.arange(len(i)), own[i]] -= n
+        at = np.flatnonzero(j == own[i])
+        g[at] -= other[i[at]]
+        g[at, j[at]] -= itself[i[at]]
+        return np.add.reduceat(f(g + n[:, None]) - f(g), np.searchsorted(i, every), axis=0)
+
+    def margin(sums: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        n = mine.sum(axis=1) + itself  # what others have with the word stays in their sums
+        x = np.repeat(sums[None], len(own), axis=0)
+        x[every, own] -= n
+        return f(x + n[:, None]) - f(x)
+
+    gain = side(grid.T, right, left) + side(grid, left, right)
+    d = np.repeat(np.diagonal(grid)[None], len(own), axis=0)
+    d[every, own] -= right[every, own] + left[every, own] + itself
+    gain += f(d + right + left + itself[:, None]) - f(d + right) - f(d + left) + f(d)
+    gain -= margin(grid.sum(axis=1), right) + margin(grid.sum(axis=0), left)
+    gain[:, 0] = -np.inf
+    return np.where(gain.max(axis=1) <= gain[every, own] + 1e-9, own, gain.argmax(axis=1))
+
+
+def _assign(grid: np.ndarray):
+    k = len(grid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "h", 1 << 20):
+            t = t.combine_chunks()
+            h, one, back = np.unique(t["h"].to_numpy(), return_index=True, return_inverse=True)
+            own, ctx = t["own"].to_numpy()[one].astype(np.int64), pa.concat_arrays(t["ctx"].chunks)
+            word = np.repeat(back, np.diff(ctx.offsets.to_numpy()))
+            value = ctx.flatten().to_numpy()
+            key, at = np.unique(word * (2 * k + 1) + (value >> CTX_BITS), return_inverse=True)
+            n = np.bincount(at, weights=value & (1 << CTX_BITS) - 1)
+            word, code = np.divmod(key, 2 * k + 1)
+            first = np.searchsorted(word, np.arange(len(h) + 1))
+            lo = 0
+            while lo < len(h):
+                hi = min(max(lo + 1, int(np.searchsorted(first, first[lo] + CTX_ENTRIES, side="right")) - 1), len(h))
+                e = slice(first[lo], first[hi])
+                cells = np.bincount((word[e] - lo) * (2 * k + 1) + code[e], weights=n[e], minlength=(hi - lo) * (2 * k + 1)).reshape(hi - lo, -1)
+                right, left, itself = cells[:, :k], cells[:, k:-1], cells[:, -1]
+                cls = best_classes(grid, own[lo:hi], right, left, itself)
+                yield batch_of(_WORDS, h=h[lo:hi], c=(right.sum(axis=1) + itself).astype(np.int64), cls=cls.astype(np.int32))
+                lo = hi
+
+    return run
+
+
 @dataclass
-class BrownModel:
+class Classes:
+    """Classes of words: of the head exactly, of others that of their unit until the word table is joined."""
+
     units: Units
     label: np.ndarray  # class of each unit
+    head: np.ndarray  # sorted hashes of frequent words
+    head_label: np.ndarray  # class of them
+    k: int
+
+    def coded(self, data: np.ndarray, w: tk.Words, docs: int) -> Coded:
+        at = tk.lookup(self.head, w.hash)
+        code = self.head_label[at].astype(np.int64) if len(self.head) else np.zeros(len(w), np.int64)
+        rest = np.flatnonzero(at < 0)
+        rest = rest[np.lexsort((w.hash[rest], w.doc[rest]))]
+        h, d = w.hash[rest], w.doc[rest]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)]
+        cut = np.flatnonzero(new)
+        lists = np.searchsorted(d[cut], np.arange(docs + 1))
+        code[rest] = self.k + np.cumsum(new) - 1 - lists[d]
+        fallback = self.label[suffix_units(data, w)[rest[cut]] + 1 + len(self.units.words)]
+        stream = np.concatenate([[0], np.insert(code, w.first[1 : docs + 1], 0)])
+        doc = np.insert(w.doc, w.first[1 : docs + 1], np.arange(docs))
+        apart = (stream[:-1] >= self.k) | (stream[1:] >= self.k)
+        return Coded(at, stream[:-1], stream[1:], doc, apart, lists, h[cut], np.diff(np.append(cut, len(h))), fallback)
+
+    def opened(self, x: Coded, docs: int) -> dict[str, pa.Array]:
+        """Lists a document: its rare words, their classes by unit, and the bigrams that hold one."""
+        lists, pairs = pa.array(x.lists.astype(np.int32)), pa.array(np.searchsorted(x.doc[x.apart], np.arange(docs + 1)).astype(np.int32))
+        made = lambda at, v: pa.ListArray.from_arrays(at, pa.array(v))
+        return {
+            "rare": made(lists, x.rare.view(np.int64)), "own": made(lists, x.fallback.astype(np.int32)),
+            "left": made(pairs, x.left[x.apart].astype(np.int32)), "right": made(pairs, x.right[x.apart].astype(np.int32)),
+        }
+
+
+@dataclass
+class Coded:
+    """Bigrams of a chunk: class, or classes + place in the document's list of rare words."""
+
+    at: np.ndarray  # place of each word in the head
+    left: np.ndarray
+    right: np.ndarray
+    doc: np.ndarray
+    apart: np.ndarray  # whether a bigram holds a rare word
+    lists: np.ndarray  # where the rare words of each document begin
+    rare: np.ndarray
+    tf: np.ndarray
+    fallback: np.ndarray
+
+
+_OPENED = [("rare", pa.list_(pa.int64())), ("own", pa.list_(pa.int32())), ("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32()))]
+OPENED = "rare array<long>, own array<int>, left array<int>, right array<int>"
+_GRID = pa.schema([("rk", pa.int64()), *_OPENED, ("n", pa.list_(pa.int64()))])
+_CELLS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+
+
+def join_rare(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """rows (rk, unique; rare) with `found`: place in rare, class and count of those that `words` has."""
+    rare = rows.select("rk", F.posexplode("rare").alias("i", "h"))
+    found = rare.join(words, "h").groupBy("rk").agg(F.collect_list(F.struct("i", "cls", "c")).alias("found"))
+    return rows.join(found, "rk", "left")
+
+
+def _resolved(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each row: classes of its open bigrams, and places and counts of the rare words found."""
+    ints = lambda x: np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64)
+    for r in range(batch.num_rows):
+        table_ = np.concatenate([np.arange(k), ints(batch["own"][r])])
+        f = batch["found"][r]
+        i = c = np.zeros(0, np.int64)
+        if f.is_valid:
+            i, cls, c = (f.values.field(x).to_numpy() for x in ("i", "cls", "c"))
+            table_[k + i] = cls
+        yield r, table_[ints(batch["left"][r])], table_[ints(batch["right"][r])], i, c
+
+
+def _class_bigrams(held: Broadcast):
+    """Rows of training texts with open bigrams; closed ones are summed into one row without a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        total = np.zeros(m.k * m.k, dtype=np.int64)
+        for batch in batches:
+            for c in tk.chunks(batch["text"]):
+                data, w = tk.words(c, "nonspace")
+                x = m.coded(data, w, len(c))
+                total += np.bincount(x.left[~x.apart] * m.k + x.right[~x.apart], minlength=len(total))
+                out = batch_of(_GRID, rk=batch["rk"].slice(c.lo, len(c)), **m.opened(x, len(c)), n=pa.nulls(len(c), pa.list_(pa.int64())))
+                yield out.filter(pa.array(np.diff(x.lists) > 0))
+        at = np.flatnonzero(total)
+        yield batch_of(_GRID, rk=[None], rare=[[]], own=[[]], left=[(at // m.k).astype(np.int32)], right=[(at % m.k).astype(np.int32)], n=[total[at]])
+
+    return run
+
+
+def _cells(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, dtype=np.int64)
+        for batch in batches:
+            for r, a, b, _, _ in _resolved(batch, k):
+                n = batch["n"][r]
+                total += np.bincount(a * k + b, weights=np.asarray(n.values) if n.is_valid else None, minlength=len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield batch_of(_CELLS, a=(at // k).astype(np.int32), b=(at % k).astype(np.int32), n=total[at])
+
+    return run
+
+
+@dataclass
+class BrownModel:
+    classes: Classes
     transition: np.ndarray  # log10 P(class | class)
     room: np.ndarray  # log10 denominators of P(word | class)
-    head: np.ndarray  # sorted hashes of frequent words
-    log_count: np.ndarray  # log10(count + 1/2) of them
+    log_count: np.ndarray  # log10(count + 1/2) of the words of the head
     end_log_count: float
     end_known: bool
     base_room: float
@@ -183,25 +393,32 @@ class BrownModel:
         for c in tk.chunks(batch["text"]):
             data, w = tk.words(c, "nonspace")
             n = np.diff(w.first)
-            cls = self.label[self.units.stream(data, w, len(c))]
-            doc = np.insert(w.doc, w.first[1:], np.arange(len(c)))
-            model = tk.sum_by(doc, self.transition[cls[:-1], cls[1:]] - self.room[cls[1:]], len(c))
-            at = tk.lookup(self.head, w.hash)
-            some = at >= 0
-            seen = tk.sum_by(w.doc, np.where(some, self.log_count[np.maximum(at, 0)] if len(self.head) else 0.0, np.log10(HALF)), len(c)) + self.end_log_count
+            x = self.classes.coded(data, w, len(c))
+            a, b = x.left[~x.apart], x.right[~x.apart]
+            model = tk.sum_by(x.doc[~x.apart], self.transition[a, b] - self.room[b], len(c))
+            some = x.at >= 0
+            seen = tk.sum_by(w.doc, np.where(some, self.log_count[np.maximum(x.at, 0)] if len(self.log_count) else 0.0, np.log10(HALF)), len(c)) + self.end_log_count
             known = tk.sum_by(w.doc, some, len(c)).astype(np.int64) + int(self.end_known)
-            rest = np.flatnonzero(~some)
-            order = np.lexsort((w.hash[rest], w.doc[rest]))
-            rest = rest[order]
-            h, d = w.hash[rest], w.doc[rest]
-            cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)])
-            lists = pa.array(np.searchsorted(d[cut], np.arange(len(c) + 1)).astype(np.int32))
             take = lambda k: batch[k].slice(c.lo, len(c))  # noqa: B023, E731
+            lists = pa.array(x.lists.astype(np.int32))
             yield batch_of(_LOCAL, doc_id=take("doc_id"), held_out=take("held_out"), rk=take("rk"), n_tokens=n + 1, n_known=known, base=seen - (n + 1) * self.base_room, model=seen + model,
-                           rare=pa.ListArray.from_arrays(lists, pa.array(h[cut].view(np.int64))), tf=pa.ListArray.from_arrays(lists, pa.array(np.diff(np.append(cut, len(h))).astype(np.int32))))
+                           tf=pa.ListArray.from_arrays(lists, pa.array(x.tf.astype(np.int32))), **self.classes.opened(x, len(c)))
 
+    def joined(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Adds what the rare words of each row contribute, now that their classes and counts are known."""
+        n_known, base, model = (batch[x].to_numpy().copy() for x in ("n_known", "base", "model"))
+        for r, a, b, i, c in _resolved(batch, self.classes.k):
+            tf = np.asarray(batch["tf"][r].values)[i]
+            more = (tf * (np.log10(c + HALF) - np.log10(HALF))).sum()
+            n_known[r] += tf.sum()
+            base[r] += more
+            model[r] += more + (self.transition[a, b] - self.room[b]).sum()
+        return batch_of(_SCORES, doc_id=batch["doc_id"], held_out=batch["held_out"], n_tokens=batch["n_tokens"], n_known=n_known, base_score=base, score=model)
 
-_LOCAL = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("rk", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32()))])
+
+_KEPT = [("doc_id", pa.int64()), ("held_out", pa.bool_())]
+_LOCAL = pa.schema([*_KEPT, ("rk", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("tf", pa.list_(pa.int32())), *_OPENED])
+_SCORES = pa.schema([*_KEPT, ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def _head_threshold(counts: DataFrame, most: int) -> int:
@@ -216,15 +433,16 @@ def _head_threshold(counts: DataFrame, most: int) -> int:
     return least
 
 
-def train(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WORDS, word_units: int = WORD_UNITS, classes: int = CLASSES) -> tuple[BrownModel, int]:
-    """Training documents (text) and their token counts -> model, and the count from which words are in its head."""
+def train(docs: DataFrame, counts: DataFrame, ws: Workspace, head_words: int = HEAD_WORDS, word_units: int = WORD_UNITS, classes: int = CLASSES) -> tuple[BrownModel, DataFrame]:
+    """Training documents (text) and their token counts -> model, and the words outside its head (h, c, cls)."""
     n_docs = docs.count()
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = _head_threshold(counts, head_words)
     head = counts.where(F.col("c") >= least).toArrow()
-    h, c, sfx = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy(), head["sfx"].to_numpy()
-    top = np.lexsort((h, -c))[:word_units]
-    top = top[np.argsort(h[top])]
+    h, c = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    top = np.sort(np.lexsort((h, -c))[:word_units])
     units = Units(h[top])
     parts = docs.select("text").mapInArrow(_bigrams(units), "u int, to array<int>, n array<long>")
     rows = parts.repartition("u").sortWithinPartitions("u").mapInArrow(_add_rows(units.n), "u int, to array<int>, n array<long>").toArrow()
@@ -236,19 +454,32 @@ def train(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WORDS, word
     k = classes + 1
     member = np.zeros((units.n, k))
     member[np.arange(units.n), label] = 1
-    grid = member.T @ pairs @ member
+    contexts = docs.select("text").mapInArrow(_contexts(units, label, k), "h long, own int, ctx array<long>")
+    words = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_assign(member.T @ pairs @ member), "h long, c long, cls int")
+    words = ws.save(words, "words")
+    head_label = np.zeros(len(h), dtype=np.int16)
+    head_label[top] = label[1 : 1 + len(top)]
+    own = words.where(F.col("c") >= least).select("h", "cls").toArrow()
+    head_label[np.searchsorted(h, own["h"].to_numpy().view(np.uint64))] = own["cls"].to_numpy()
+    rare = words.where(F.col("c") < least)
+    made = Classes(units, label, h, head_label, k)
+    held = docs.sparkSession.sparkContext.broadcast(made)
+    opened = docs.select("text", F.monotonically_increasing_id().alias("rk")).mapInArrow(_class_bigrams(held), f"rk long, {OPENED}, n array<long>")
+    cells = join_rare(ws.save(opened, "opened"), rare).select("own", "left", "right", "n", "found").mapInArrow(_cells(k), "a int, b int, n long")
+    grid = np.zeros((k, k))
+    for r in cells.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes squared at most
+        grid[r["a"], r["b"]] = r["n"]
+    held.unpersist()
+    ws.drop("opened")
     transition = np.log10((grid + HALF) / (grid.sum(axis=1, keepdims=True) + HALF * k))
-    kinds = np.zeros(units.n)
-    kinds[0] = n_docs > 0
-    kinds[1 : 1 + len(top)] = 1
-    for r in counts.groupBy("sfx").agg(F.count(F.lit(1)).alias("n")).collect():  # SUFFIX_UNITS rows at most
-        kinds[1 + len(top) + r["sfx"]] = r["n"]
-    np.subtract.at(kinds, 1 + len(top) + sfx[top], 1)
-    room = np.log10(member.T @ pairs.sum(axis=0) + HALF * (member.T @ kinds + 1))
-    order = np.argsort(h)
+    kinds = np.bincount(label[1 : 1 + len(top)], minlength=k).astype(float)
+    kinds[0] += n_docs > 0
+    for r in words.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a class
+        kinds[r["cls"]] += r["n"]
+    room = np.log10(grid.sum(axis=0) + HALF * (kinds + 1))
     all_tokens, all_kinds = int(tokens) + n_docs, int(distinct) + (n_docs > 0)
     base_room = float(np.log10(all_tokens + HALF * (all_kinds + 1)))
-    return BrownModel(units, label, transition, room, h[order], np.log10(c[order] + HALF), float(np.log10(n_docs + HALF)), n_docs > 0, base_room, all_tokens), least
+    return BrownModel(made, transition, room, np.log10(c + HALF), float(np.log10(n_docs + HALF)), n_docs > 0, base_room, all_tokens), rare
 
 
 def score(docs: DataFrame, training: DataFrame, **options: int) -> DataFrame:
@@ -260,29 +491,27 @@ def score(docs: DataFrame, training: DataFrame, **options: int) -> DataFrame:
     """
     spark = docs.sparkSession
     checkpoint_root(spark)
-    schema = "doc_id long, held_out boolean, rk long, n_tokens long, n_known long, base double, model double, rare array<long>, tf array<int>"
+    schema = f"doc_id long, held_out boolean, rk long, n_tokens long, n_known long, base double, model double, tf array<int>, {OPENED}"
     with Workspace(spark, "brown") as ws:
         training = training.select("text")
-        counts = training.mapInArrow(_count, "h long, sfx int, c long").groupBy("h").agg(F.first("sfx").alias("sfx"), F.sum("c").alias("c"))
+        counts = training.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
         counts = ws.save(counts, "counts")
-        model, least = train(training, counts, **options)
+        model, words = train(training, counts, ws, **options)
+        ws.drop("counts")
         held = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield from held.value.local(batch)
 
-        local = ws.save(docs.select("doc_id", "held_out", "text", row_key("doc_id", "text").alias("rk")).mapInArrow(run, schema), "local")
-        rare = local.select("rk", F.explode(F.arrays_zip("rare", "tf")).alias("t")).select("rk", F.col("t.rare").alias("h"), F.col("t.tf").alias("tf"))
-        known = rare.join(counts.where(F.col("c") < least).select("h", "c"), "h")
-        more = known.groupBy("rk").agg(F.sum(F.col("tf") * (F.log10(F.col("c") + HALF) - F.log10(F.lit(HALF)))).alias("more"), F.sum("tf").alias("found"))
-        copies = F.count(F.lit(1)).over(Window.partitionBy("rk"))  # rows that repeat id and text share one sum
-        rows = local.drop("rare", "tf").withColumn("copies", copies).join(more, "rk", "left")
-        add, found = F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0)), F.coalesce(F.floor(F.col("found") / F.col("copies")), F.lit(0))
-        out = rows.select(
-            "doc_id", "held_out", "n_tokens", (F.col("n_known") + found).cast("long").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-            (F.col("base") + add).alias("base_score"), (F.col("model") + add).alias("score"),
-        )
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield held.value.joined(batch)
+
+        # A key a row: written once, so it stays what it is.
+        local = ws.save(docs.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("rk")).mapInArrow(run, schema), "local")
+        rows = join_rare(local, words).mapInArrow(join, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        out = rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
         return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).checkpoint()
 
 

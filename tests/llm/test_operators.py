@@ -260,6 +260,44 @@ def test_exchange_finds_the_classes():
     assert len({(int(label[u])) for u in range(1, 9, 2)}) == 1 and len({int(label[u]) for u in range(2, 9, 2)}) == 1 and label[1] != label[2]
 
 
+def test_one_word_exchange_equals_the_likelihood():
+    rng = np.random.default_rng(2)
+    label = np.array([0, *rng.integers(1, 5, 19)])
+    pairs = rng.integers(0, 6, (20, 20))
+    pairs[0, 0] = 3
+
+    def likelihood(label):
+        grid = np.zeros((5, 5))
+        np.add.at(grid, (label[:, None], label[None]), pairs)
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(grid) - f(grid.sum(axis=0)) - f(grid.sum(axis=1)), grid
+
+    member, at, u = np.eye(5)[label], np.arange(1, 20), np.diagonal(pairs)[1:].astype(float)
+    right, left = (pairs @ member)[1:], (pairs.T @ member)[1:]
+    right[at - 1, label[1:]] -= u
+    left[at - 1, label[1:]] -= u
+    got = brown.best_classes(likelihood(label)[1], label[1:], right, left, u)
+    for w in at:
+        tries = [likelihood(np.where(np.arange(20) == w, b, label))[0] for b in range(1, 5)]
+        assert abs(tries[got[w - 1] - 1] - max(tries)) < 1e-6
+
+
+@pytest.mark.parametrize("head_words", [7, 1000])  # the words compared are joined, or in the head
+def test_brown_words_of_one_suffix_have_classes_of_their_own(spark, docs_of, head_words):
+    rng = random.Random(6)
+    kinds = [[f"{a}{i}end" for i in range(20)] for a in "pq"]
+    frames = [("he", "runs"), ("the", "house")]
+    mid = lambda i: rng.choice([*["alpha", "omega"][i : i + 1] * 20, *kinds[i]])  # noqa: E731  a common word of each kind
+    texts = [" ".join(x for _ in range(30) for x in (frames[i % 2][0], mid(i % 2), frames[i % 2][1])) for i in range(40)]
+    train = docs_of(texts).select("text")
+    # both texts have the same words, so only classes tell them apart
+    words = [kinds[0][0], kinds[1][0]]
+    asked = [f"he {a} runs the {b} house" for a, b in (words, words[::-1])]
+    docs = docs_of(asked).select("doc_id", "text", F.lit(True).alias("held_out"))
+    right, swapped = (r.score for r in brown.score(docs, train, head_words=head_words, word_units=6, classes=7).orderBy("doc_id").collect())
+    assert right > swapped + 1
+
+
 # ------------------------------------------------------------------ archives
 
 
