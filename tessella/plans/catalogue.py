@@ -3,14 +3,16 @@
 The generated tables have no headings, questions, tables or document structure, so queries
 declare an input: `markdown_input` writes structure into the lines of documents by line number,
 `chunk_input` reads embeddings as split sections of ten-part documents.  The same input is
-written in SQL; it is scaffolding of the comparison, not engine behaviour.  Every query reads
-its whole tables.
+written in SQL; it is scaffolding of the comparison, not engine behaviour.  The search queries
+that have SQL search for rows 0 to 19 only; the queries named `..._all` are the same for every row
+whose id is divisible by 20, against all rows.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,6 +49,27 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
+#: Whether queries are being built for all searches.
+_ALL: ContextVar[bool] = ContextVar("all", default=False)
+
+
+def _variant(name: str, flag: ContextVar[bool], *of: Query) -> None:
+    """Register queries again as `<query>_<name>`, built with the flag set; they have no SQL."""
+
+    def made(fn: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            token = flag.set(True)
+            try:
+                return fn(spark, sf_dir)
+            finally:
+                flag.reset(token)
+
+        return run
+
+    for fn in of:
+        QUERIES[f"{fn.__name__}_{name}"] = made(fn)
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,10 +111,15 @@ _KNN = """sc AS (SELECT q.id AS qid, c.id, round(list_cosine_similarity(q.e, c.e
 hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 8)"""
 
 
+def _asked(chunks: DataFrame) -> DataFrame:
+    """Rows that are searched for."""
+    return chunks.where("id % 20 = 0" if _ALL.get() else "id < 20")
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 8 for vectors 0 to 19; 0 to 9 find themselves, the others must not."""
+    """Top 8 of each search; vectors 0 to 9 find themselves, the others must not."""
     c = chunk_input(spark, sf_dir)
-    q = c.where("id < 20").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    q = _asked(c).select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
     own = retrieval.search(q.where("qid < 10"), c, 8)
     other = retrieval.search(q.where("qid >= 10"), c, 9).where("id <> qid")
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
@@ -113,13 +141,13 @@ SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-8 among rows that a predicate admits; the predicate reaches the scan."""
     c = chunk_input(spark, sf_dir)
-    q = c.where("id < 20").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    q = _asked(c).select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
     return retrieval.search(q, c, 8, F.col("label") == 3).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_CH}, {_KNN} SELECT c.id AS qid, round(coalesce(max(score), 0), 6) AS top_score, coalesce(max(score), 0) < 0.55 AS gated FROM ch c LEFT JOIN hits ON c.id = hits.qid WHERE c.id < 20 GROUP BY c.id")
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunk_input(spark, sf_dir).where("id < 20").select(F.col("id").alias("qid"))
+    c = _asked(chunk_input(spark, sf_dir)).select(F.col("id").alias("qid"))
     head, _ = retrieval.gate(_hits(spark, sf_dir), c)
     return head.select("qid", F.round("top_score", 6).alias("top_score"), "gated")
 
@@ -196,6 +224,9 @@ def retrieval_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.retrieval_meta(hits).select("qid", F.array_join(item, "|").alias("retrieved"))
 
 
+_variant("all", _ALL, knn_topk, knn_filtered, relevance_gate, sibling_expand, context_budget, context_blocks, cited_documents, retrieval_meta)
+
+
 @query(f"""WITH {_CH} SELECT id, 'clause' || CASE WHEN part_index IS NOT NULL THEN ' · part ' || (part_index + 1) || '/' || part_count ELSE '' END || CASE WHEN ordinal % 4 = 0 THEN ' · #s' || ordinal ELSE '' END AS label,
   CASE WHEN ordinal = 0 THEN 'T' ELSE 'S' || ordinal || ' › P' END AS chip FROM ch""")
 def chunk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,3 +25,30 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_searches_for_every_twentieth_row(spark, sf):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, labels = np.array([r.vec_id for r in rows]), np.array([r.label for r in rows])
+    e = np.array([r.embedding for r in rows], dtype=np.float64)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    got = {n: catalogue.queries()[f"{n}_all"](spark, sf).collect() for n in ("knn_topk", "knn_filtered", "relevance_gate", "sibling_expand", "context_budget", "context_blocks", "cited_documents", "retrieval_meta")}
+    top, filtered = ({(r.qid, r["rank"]): (r.id, r.score) for r in got[n]} for n in ("knn_topk", "knn_filtered"))
+    asked = [int(i) for i in ids if i % 20 == 0]
+    assert len(asked) > 20 and {q for q, _ in top} == {q for q, _ in filtered} == {r.qid for r in got["relevance_gate"]} == set(asked)
+    best = {}
+    for q in asked:
+        score = np.round(e @ e[ids == q][0], 12)
+        for found, may in ((top, (ids != q) | (q < 10)), (filtered, labels == 3)):
+            want = sorted((-s, int(i)) for s, i in zip(score[may], ids[may], strict=True))[:8]
+            assert [found[q, k + 1][0] for k in range(8)] == [i for _, i in want]
+            assert all(abs(found[q, k + 1][1] + s) < 2e-6 for k, (s, _) in enumerate(want))
+        best[q] = top[q, 1][1]
+    gated = {r.qid for r in got["relevance_gate"] if r.gated}
+    assert gated == {q for q in asked if best[q] < 0.55}
+    for n in ("sibling_expand", "context_budget", "context_blocks", "cited_documents"):
+        assert {r.qid for r in got[n]} == set(asked) - gated
+    docs = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    assert {r.qid for r in got["retrieval_meta"]} == {q for (q, _), (i, _) in top.items() if i in docs}
