@@ -5,7 +5,8 @@ declare an input: `markdown_input` writes structure into the lines of documents
 `chunk_input` reads embeddings as split sections of ten-part documents.  The same input is
 written in SQL; it is scaffolding of the comparison, not engine behaviour.  The search queries
 that have SQL search for rows 0 to 19 only; the queries named `..._all` are the same for every row
-whose id is divisible by 20, against all rows.
+whose id is divisible by 20, against all rows.  The structure with SQL replaces and cuts lines;
+the structure and chunk queries named `..._whole` get it as additional lines, with every line of the text whole.
 """
 
 from __future__ import annotations
@@ -49,8 +50,9 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-#: Whether queries are being built for all searches.
+#: Whether queries are being built for all searches, and over whole texts.
 _ALL: ContextVar[bool] = ContextVar("all", default=False)
+_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 
 
 def _variant(name: str, flag: ContextVar[bool], *of: Query) -> None:
@@ -78,7 +80,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def markdown_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, markdown, title, source_url: a title, a contents list, then the lines as sections, questions, tables."""
+    """doc_id, markdown, title, source_url: a title, a contents list, then the lines as sections, questions, tables.
+
+    For `..._whole` queries the headings, questions and tables stand before the lines, which stay as they are.
+    """
 
     def line(x: Column, i: Column) -> Column:
         n = i.cast("string")
@@ -90,10 +95,21 @@ def markdown_input(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(x)
         )
 
+    def before(x: Column, i: Column) -> Column:
+        n = i.cast("string")
+        return F.concat(
+            F.when(i % 12 == 0, F.concat(F.lit("## Section "), n, F.lit("\n\n")))
+            .when((i % 24).isin(3, 5), F.concat(F.lit("What does line "), n, F.lit(" say?\n\n")))
+            .when(i % 12 == 8, F.concat(F.lit("| Line |\n| "), n, F.lit(" |\n\n")))
+            .when(i % 24 == 10, F.concat(n, F.lit("\\. Part "), n, F.lit("\n\n")))
+            .otherwise(""),
+            x,
+        )
+
     d = _t(spark, sf_dir, "documents").select("doc_id", "text")
     title, url = F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.concat(F.lit("https://example.org/d/"), F.col("doc_id").cast("string"))
     toc = F.concat(F.lit("- [Section 0]("), url, F.lit("#s0)\n- [Section 12]("), url, F.lit("#s12)\n\n"))
-    body = F.array_join(F.transform(F.split("text", "\n"), line), "\n\n")
+    body = F.array_join(F.transform(F.split("text", "\n"), before if _WHOLE.get() else line), "\n\n")
     return d.select("doc_id", F.concat(F.lit("# "), title, F.lit("\n\n"), toc, body).alias("markdown"), title.alias("title"), url.alias("source_url"))
 
 
@@ -465,6 +481,12 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", X.embedding_text(F.col("heading_path"), F.col("text")).alias("embedding_text"))
 
 
+_variant(
+    "whole", _WHOLE, toc_split, heading_candidates, promote_headings, section_paths, paragraphs, qa_chunks, table_chunks, packed_chunks,
+    chunk_documents, chunk_kind_hist, chunk_stats, family_integrity, embedding_text,
+)
+
+
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 k AS (SELECT *, trim(line) AS key, regexp_matches(trim(line), '^#{1,6}\s') OR length(trim(line)) >= 25 AS worth FROM l)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM k QUALIFY NOT worth OR row_number() OVER (PARTITION BY doc_id, worth, key ORDER BY pos) = 1""")

@@ -52,3 +52,29 @@ def test_searches_for_every_twentieth_row(spark, sf):
         assert {r.qid for r in got[n]} == set(asked) - gated
     docs = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     assert {r.qid for r in got["retrieval_meta"]} == {q for (q, _), (i, _) in top.items() if i in docs}
+
+
+WHOLE = ("toc_split", "heading_candidates", "promote_headings", "section_paths", "paragraphs", "qa_chunks", "table_chunks", "packed_chunks", "chunk_documents", "chunk_kind_hist", "chunk_stats", "family_integrity", "embedding_text")
+
+
+def test_structure_over_whole_texts(spark, sf):
+    from collections import defaultdict
+
+    queries = catalogue.queries()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text is not None}
+    lines = defaultdict(list)
+    for r in queries["promote_headings_whole"](spark, sf).orderBy("doc_id", "pos").collect():
+        lines[r.doc_id].append(r.line.lstrip("# ").strip())
+    for i, text in texts.items():
+        rest = iter(lines[i])
+        assert all(any(x.lstrip("# ").strip() == y for y in rest) for x in text.split("\n")), i  # every line, whole and in order
+    flat = lambda x: "".join(x.split())
+    chunks = defaultdict(str)
+    for r in queries["chunk_documents_whole"](spark, sf).orderBy("document_id", "ordinal").collect():
+        chunks[int(r.document_id)] += flat(f"{r.heading_path} {r.question or ''} {r.text}")
+    for i, text in texts.items():
+        # as in the reference, a chunk under min_chunk_tokens (12) is not kept: a short line alone in its section
+        assert all(flat(x.strip("# ")) in chunks[i] for x in text.split("\n") if len(x) >= 48), i
+    kinds = {r.kind for r in queries["chunk_kind_hist_whole"](spark, sf).collect()}
+    assert {"qa", "table", "clause"} <= kinds
+    assert all(queries[f"{n}_whole"](spark, sf).columns == queries[n](spark, sf).columns for n in WHOLE)
