@@ -239,7 +239,7 @@ def near_duplicates(
             .select(F.col("node").alias("rep"), F.when(F.col("o") < 0, F.xxhash64("component")).otherwise(F.xxhash64("component", F.least("b", "o"), F.greatest("b", "o"))).alias("task"))
         )
         placed = ws.save(placed, "placed")
-        chosen = _near(placed, family.count())
+        chosen = _near(placed, placed.count())
         members = (
             slim.where("doc_id is not null").join(chosen, slim["doc_id"] == chosen["rep"]).select("task", "rep", "text")
             .repartition("task").sortWithinPartitions("task", "rep")

@@ -231,6 +231,15 @@ def test_all_maximal_segments():
 # ------------------------------------------------------------------ language model
 
 
+def test_minhash_counts_the_rows_that_it_broadcasts(spark, docs_of, monkeypatch):
+    asked, near = [], minhash._near
+    monkeypatch.setattr(minhash, "_near", lambda df, rows: asked.append((df.count(), rows)) or near(df, rows))
+    base = [f"w{i}" for i in range(200)]
+    docs = docs_of([" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 200, 10)])
+    minhash.near_duplicates(docs, family_rows=4)
+    assert asked[0][0] == asked[0][1] > 20  # a family in blocks has several rows a node
+
+
 def test_brown_base_scores_and_improvement(spark, docs_of):
     rng = random.Random(4)
     v = vocab(rng, 200)
