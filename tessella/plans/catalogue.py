@@ -529,13 +529,17 @@ def citation_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, CASE WHEN contains(lower(html), '404 - page not found') THEN 'soft 404 body' WHEN length(substr(html, 1, CAST(page_id % 400 AS BIGINT))) < 200 THEN 'only ' || length(substr(html, 1, CAST(page_id % 400 AS BIGINT))) || ' chars of body' END AS skipped FROM pages")
 def refuse_short_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched pages that are no documents; the body length is declared as page_id mod 400."""
+    """Fetched pages that are no documents; the body length is declared as page_id mod 400, in `..._whole` it is that of the page's Markdown."""
     from ..sources.files import refuse_pages
 
-    p = _t(spark, sf_dir, "pages").withColumn("markdown", F.substr("html", F.lit(1), (F.col("page_id") % 400).cast("int")))
+    p = _t(spark, sf_dir, "pages")
+    p = H.with_markdown(p) if _WHOLE.get() else p.withColumn("markdown", F.substr("html", F.lit(1), (F.col("page_id") % 400).cast("int")))
     return refuse_pages(p).select("page_id", "skipped")
 
 
+_variant("whole", _WHOLE, refuse_short_pages)
+
+
 @query()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown without their furniture (no SQL equivalent)."""

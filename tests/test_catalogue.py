@@ -78,3 +78,11 @@ def test_structure_over_whole_texts(spark, sf):
     kinds = {r.kind for r in queries["chunk_kind_hist_whole"](spark, sf).collect()}
     assert {"qa", "table", "clause"} <= kinds
     assert all(queries[f"{n}_whole"](spark, sf).columns == queries[n](spark, sf).columns for n in WHOLE)
+
+
+def test_pages_are_judged_by_their_whole_body(spark, tmp_path):
+    words = "<p>" + "plain words of a page " * 40 + "</p>"
+    bodies = {1: words, 2: "<p>short</p>", 401: words, 399: "<p>404 - Page not found</p>" + words}
+    spark.createDataFrame([(i, f"http://a/{i}", f"<html><body>{b}</body></html>") for i, b in bodies.items()], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.skipped for r in catalogue.queries()["refuse_short_pages_whole"](spark, str(tmp_path)).collect()}
+    assert got[1] is None and got[401] is None and got[2].startswith("only ") and got[399] == "soft 404 body"
