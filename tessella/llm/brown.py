@@ -1,19 +1,26 @@
 """Language-model scoring with Brown class-based bigrams.
 
 P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)), both smoothed by half a count.
-The commonest words are clustering units of their own; the others begin in units by the hash of their last
-three bytes.  Exchange clustering moves units between classes while the class-bigram likelihood grows; then every
-other training word is taken out of its unit's class alone and put where its own contexts make that likelihood
-largest.  Only words that training lacks have no contexts and take the class of their unit.
+
+Exchange clustering moves words between classes while the class-bigram likelihood grows.  It
+begins on the driver with bounded units: the commonest words, and the others by the last three
+bytes.  From then on words move alone, each by its own contexts in all training texts: first the
+words of the head, in `passes` rounds over the texts, then in a last round every training word,
+however rare.  Within a round all words move at once, against the classes of the round before; a
+round whose likelihood is lower than the last one's is taken back.  Only words that training
+lacks have no contexts and take the class of their last three bytes.
 
 Passes over the texts, each over all documents of its kind:
 1. counts of every training token (one shuffle of partial sums; the table grows with the corpus);
 2. unit bigrams of all training tokens (bounded: units squared), clustered on the driver;
-3. classes before and after each other training word (sparse; the table grows with the vocabulary), and its class;
+3. rounds of exchange: classes before and after each word (sparse; the head, then the vocabulary);
 4. bigrams of the final classes of all training tokens;
-5. scoring of all documents.  Counts and classes of frequent words (at most `head_words`, chosen by a count
-   threshold) are sent to the tasks; the other words of a document are joined with the word
-   table by hash.  No word is dropped: rare and unseen words are scored by their exact counts.
+5. scoring of all documents.  Counts and classes of the `head_words` commonest words (of equally
+   common ones those of the smallest hashes) are sent to the tasks; the other words of a
+   document are joined with the word table by hash.  No word is dropped: rare and unseen words
+   are scored by their exact counts.
+
+A word is known by a 64-bit hash of its bytes, or of a strong digest of its bytes where it is long.
 """
 
 from __future__ import annotations
@@ -24,14 +31,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import Workspace, batch_of, checkpoint_root, fold, table
+from .common import Workspace, batch_of, fold, pick, table
 from .minhash import whole_groups
 
-HEAD_WORDS, WORD_UNITS, SUFFIX_UNITS, CLASSES, ROUNDS = 1 << 18, 1000, 512, 64, 6
+HEAD_WORDS, WORD_UNITS, SUFFIX_UNITS, CLASSES, ROUNDS, PASSES = 1 << 18, 1000, 512, 64, 6, 2
 HALF = 0.5
 
 
@@ -51,10 +58,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hs, ns = [], []
         for c in tk.chunks(batch["text"]):
-            _, w = tk.words(c, "nonspace")
-            h, n = np.unique(w.hash, return_counts=True)
-            hs.append(h)
-            ns.append(n)
+            for part in tk.pieces(c, "nonspace"):
+                h, n = np.unique(tk.words(part, "nonspace")[1].hash, return_counts=True)
+                hs.append(h)
+                ns.append(n)
         if hs:
             h, back = np.unique(np.concatenate(hs), return_inverse=True)
             n = np.bincount(back, weights=np.concatenate(ns)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
@@ -174,10 +181,13 @@ _WORDS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("cls", pa.int32())])
 CTX_BITS, CTX_TOKENS, CTX_ENTRIES = 40, 1 << 20, 1 << 14
 
 
-def _contexts(units: Units, label: np.ndarray, k: int):
-    """Words that are no unit: class of the unit, and how often which class follows (0..), precedes (k..), or the word follows itself (2k)."""
+def _contexts(held: Broadcast, only: Broadcast | None):
+    """Contexts of words: its class, and how often which class follows (0..), precedes (k..), or the word follows itself (2k).
 
-    def sums(hs: list, own: list, codes: list) -> pa.RecordBatch:
+    Of all words, or of those whose hashes are in `only`.  A row without a word has the class bigrams of the task.
+    """
+
+    def sums(k: int, hs: list, own: list, codes: list) -> pa.RecordBatch:
         h, one, back = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
         key, n = np.unique(back * (2 * k + 1) + np.concatenate(codes), return_counts=True)
         lists = np.searchsorted(key // (2 * k + 1), np.arange(len(h) + 1)).astype(np.int32)
@@ -185,29 +195,51 @@ def _contexts(units: Units, label: np.ndarray, k: int):
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate(own)[one].astype(np.int32)), ctx], schema=_CONTEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, own, codes, held = [], [], [], 0
+        m = held.value
+        k, wanted = m.k, None if only is None else only.value
+        hs, own, codes, size = [], [], [], 0
+        grid = np.zeros(k * k, dtype=np.int64)
         for batch in batches:
             for c in tk.chunks(batch["text"]):
                 data, w = tk.words(c, "nonspace")
-                u = units.stream(data, w, len(c))
-                h = np.concatenate([[np.uint64(0)], np.insert(w.hash, w.first[1 : len(c) + 1], np.uint64(0))])
-                cls, at = label[u], np.flatnonzero(u > len(units.words))
+                at = w.first[1 : len(c) + 1]
+                cls = np.concatenate([[0], np.insert(m.of(data, w), at, 0)])
+                h = np.concatenate([[np.uint64(0)], np.insert(w.hash, at, np.uint64(0))])
+                word = np.concatenate([[False], np.insert(np.ones(len(w), dtype=bool), at, False)])
+                grid += np.bincount(cls[:-1] * k + cls[1:], minlength=len(grid))
+                at = np.flatnonzero(word if wanted is None else word & (tk.lookup(wanted, h) >= 0))
                 if not len(at):
                     continue
-                again, before = (u[at + 1] == u[at]) & (h[at + 1] == h[at]), (u[at - 1] == u[at]) & (h[at - 1] == h[at])
+                again, before = word[at + 1] & (h[at + 1] == h[at]), word[at - 1] & (h[at - 1] == h[at])
                 hs += [h[at], h[at[~before]]]
                 own += [cls[at], cls[at[~before]]]
                 codes += [np.where(again, 2 * k, cls[at + 1]), k + cls[at[~before] - 1]]
-                held += len(at)
-                if held >= CTX_TOKENS:
-                    yield sums(hs, own, codes)
-                    hs, own, codes, held = [], [], [], 0
-        if held:
-            yield sums(hs, own, codes)
+                size += len(at)
+                if size >= CTX_TOKENS:
+                    yield sums(k, hs, own, codes)
+                    hs, own, codes, size = [], [], [], 0
+        if size:
+            yield sums(k, hs, own, codes)
+        cells = np.flatnonzero(grid)
+        yield batch_of(_CONTEXTS, h=[None], own=[None], ctx=[(cells << CTX_BITS | grid[cells]).astype(np.int64)])
 
     return run
 
 
+def class_grid(contexts: DataFrame, k: int) -> np.ndarray:
+    """Class bigrams of all tasks: classes squared at most reach the driver."""
+    cell = contexts.where("h is null").select(F.explode("ctx").alias("x")).groupBy(F.shiftright("x", CTX_BITS).alias("at"))
+    grid = np.zeros(k * k)
+    for r in cell.agg(F.sum(F.col("x").bitwiseAND(F.lit((1 << CTX_BITS) - 1))).alias("n")).collect():
+        grid[r["at"]] = r["n"]
+    return grid.reshape(k, k)
+
+
+def likelihood(grid: np.ndarray) -> float:
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    return f(grid) - f(grid.sum(axis=0)) - f(grid.sum(axis=1))
+
+
 def best_classes(grid: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, itself: np.ndarray) -> np.ndarray:
     """Where each word alone makes the class-bigram likelihood largest, all others being where `grid` has them; ties as in `exchange_clustering`.
 
@@ -279,6 +311,14 @@ class Classes:
     head_label: np.ndarray  # class of them
     k: int
 
+    def of(self, data: np.ndarray, w: tk.Words) -> np.ndarray:
+        """Class of each word: its own in the head, else that of its unit."""
+        at = tk.lookup(self.head, w.hash)
+        out = self.label[self.units.of(data, w)]
+        some = at >= 0
+        out[some] = self.head_label[at[some]]
+        return out
+
     def coded(self, data: np.ndarray, w: tk.Words, docs: int) -> Coded:
         at = tk.lookup(self.head, w.hash)
         code = self.head_label[at].astype(np.int64) if len(self.head) else np.zeros(len(w), np.int64)
@@ -421,30 +461,57 @@ _LOCAL = pa.schema([*_KEPT, ("rk", pa.int64()), ("n_tokens", pa.int64()), ("n_kn
 _SCORES = pa.schema([*_KEPT, ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _head_threshold(counts: DataFrame, most: int) -> int:
-    """Smallest count m so that at most `most` words have m or more; from a histogram of counts."""
-    per = counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("c").desc())
-    total, least = 0, 1 << 62
-    for r in per.toLocalIterator():
-        total += r["n"]
-        if total > most:
+def head_condition(counts: DataFrame, most: int) -> Column:
+    """Condition on (h, c) that holds for the `most` commonest words; of equally common ones those of the smallest hashes.
+
+    Found from histograms of some thousand rows.  Up to a sixty-fourth of `most` may be left out where very many words
+    are equally common; no words at all only where there are none.
+    """
+
+    def crossing(rows: DataFrame, key: Column, falling: bool, taken: int) -> tuple[int | None, int]:
+        """The first bin that does not fit any more, and how many words lie before it."""
+        per = {r["b"]: r["n"] for r in rows.groupBy(key.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for b in sorted(per, reverse=falling):
+            if taken + per[b] > most:
+                return b, taken
+            taken += per[b]
+        return None, taken
+
+    b, taken = crossing(counts, F.floor(F.log2("c")), True, 0)
+    if b is None:
+        return F.lit(True)
+    lo, hi = 1 << b, 2 << b
+    while hi - lo > 1:
+        step = -(-(hi - lo) // 1024)
+        b, taken = crossing(counts.where((F.col("c") >= lo) & (F.col("c") < hi)), F.floor((F.col("c") - lo) / step), True, taken)
+        lo, hi = lo + b * step, min(hi, lo + (b + 1) * step)
+    chosen = F.col("c") > lo
+    ties, prefix = counts.where(F.col("c") == lo), 0
+    for shift in (54, 44, 34, 24, 14, 4):
+        part = ties if shift == 54 else ties.where(F.shiftrightunsigned("h", shift + 10) == prefix)
+        b, taken = crossing(part, F.shiftrightunsigned("h", shift), False, taken)
+        if b is None:
             break
-        least = r["c"]
-    return least
+        chosen, prefix = (F.col("c") > lo) | (F.col("c") == lo) & (F.shiftrightunsigned("h", shift) < b), b
+        if most - taken <= most // 64:
+            break
+    return chosen
 
 
-def train(docs: DataFrame, counts: DataFrame, ws: Workspace, head_words: int = HEAD_WORDS, word_units: int = WORD_UNITS, classes: int = CLASSES) -> tuple[BrownModel, DataFrame]:
+def train(docs: DataFrame, counts: DataFrame, ws: Workspace, head_words: int = HEAD_WORDS, word_units: int = WORD_UNITS, classes: int = CLASSES, passes: int = PASSES) -> tuple[BrownModel, DataFrame]:
     """Training documents (text) and their token counts -> model, and the words outside its head (h, c, cls)."""
+    spark = docs.sparkSession
+    docs = docs.select("text")
     n_docs = docs.count()
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = _head_threshold(counts, head_words)
-    head = counts.where(F.col("c") >= least).toArrow()
+    in_head = head_condition(counts, head_words)
+    head = counts.where(in_head).toArrow()  # head_words at most
     h, c = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
     top = np.sort(np.lexsort((h, -c))[:word_units])
     units = Units(h[top])
-    parts = docs.select("text").mapInArrow(_bigrams(units), "u int, to array<int>, n array<long>")
+    parts = docs.mapInArrow(_bigrams(units), "u int, to array<int>, n array<long>")
     rows = parts.repartition("u").sortWithinPartitions("u").mapInArrow(_add_rows(units.n), "u int, to array<int>, n array<long>").toArrow()
     pairs = np.zeros((units.n, units.n), dtype=np.int64)
     for batch in rows.to_batches():
@@ -452,18 +519,30 @@ def train(docs: DataFrame, counts: DataFrame, ws: Workspace, head_words: int = H
             pairs[u, np.asarray(to.values)] = np.asarray(n.values)
     label = exchange_clustering(pairs, classes)
     k = classes + 1
-    member = np.zeros((units.n, k))
-    member[np.arange(units.n), label] = 1
-    contexts = docs.select("text").mapInArrow(_contexts(units, label, k), "h long, own int, ctx array<long>")
-    words = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_assign(member.T @ pairs @ member), "h long, c long, cls int")
-    words = ws.save(words, "words")
-    head_label = np.zeros(len(h), dtype=np.int16)
-    head_label[top] = label[1 : 1 + len(top)]
-    own = words.where(F.col("c") >= least).select("h", "cls").toArrow()
-    head_label[np.searchsorted(h, own["h"].to_numpy().view(np.uint64))] = own["cls"].to_numpy()
-    rare = words.where(F.col("c") < least)
-    made = Classes(units, label, h, head_label, k)
-    held = docs.sparkSession.sparkContext.broadcast(made)
+    made = Classes(units, label, h[top], label[1 : 1 + len(top)].astype(np.int16), k)
+    best, before = -np.inf, made
+    wanted = spark.sparkContext.broadcast(h)
+    words = None
+    for step in range(passes + 1):
+        last = step == passes
+        held = spark.sparkContext.broadcast(made)
+        contexts = ws.save(docs.mapInArrow(_contexts(held, None if last else wanted), "h long, own int, ctx array<long>"), f"contexts-{step}")
+        held.unpersist()
+        grid = class_grid(contexts, k)
+        if (now := likelihood(grid)) < best and not last:
+            made, best = before, np.inf  # taken back; the last round goes on from there
+            ws.drop(f"contexts-{step}")
+            continue
+        best, before = max(best, now), made
+        moved = contexts.where("h is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_assign(grid), "h long, c long, cls int")
+        words = ws.save(moved, f"words-{step}")
+        ws.drop(f"contexts-{step}")
+        own = (words.where(in_head) if last else words).select("h", "cls").toArrow()
+        head_label = np.zeros(len(h), dtype=np.int16)
+        head_label[np.searchsorted(h, own["h"].to_numpy().view(np.uint64))] = own["cls"].to_numpy()
+        made = Classes(units, label, h, head_label, k)
+    rare = words.where(~in_head)
+    held = spark.sparkContext.broadcast(made)
     opened = docs.select("text", F.monotonically_increasing_id().alias("rk")).mapInArrow(_class_bigrams(held), f"rk long, {OPENED}, n array<long>")
     cells = join_rare(ws.save(opened, "opened"), rare).select("own", "left", "right", "n", "found").mapInArrow(_cells(k), "a int, b int, n long")
     grid = np.zeros((k, k))
@@ -472,8 +551,8 @@ def train(docs: DataFrame, counts: DataFrame, ws: Workspace, head_words: int = H
     held.unpersist()
     ws.drop("opened")
     transition = np.log10((grid + HALF) / (grid.sum(axis=1, keepdims=True) + HALF * k))
-    kinds = np.bincount(label[1 : 1 + len(top)], minlength=k).astype(float)
-    kinds[0] += n_docs > 0
+    kinds = np.zeros(k)
+    kinds[0] = n_docs > 0
     for r in words.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a class
         kinds[r["cls"]] += r["n"]
     room = np.log10(grid.sum(axis=0) + HALF * (kinds + 1))
@@ -486,14 +565,16 @@ def score(docs: DataFrame, training: DataFrame, **options: int) -> DataFrame:
     """docs (doc_id, held_out, text) scored by a model of `training` (text): one row per input row.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of
-    the text and its end), perplexity.  Null texts are empty: one token, the end.  With no training
-    documents every count is zero.
+    the text and its end), perplexity.  Null and empty texts have one token, the end.  Very long
+    texts are scored whole, with some twenty times their length of memory.  Equal texts score
+    alike, and each of repeated rows has its row.  With no training documents every count is
+    zero; no documents give no rows.  Ties in clustering keep the lower class.  Extra columns are
+    ignored.
     """
     spark = docs.sparkSession
-    checkpoint_root(spark)
     schema = f"doc_id long, held_out boolean, rk long, n_tokens long, n_known long, base double, model double, tf array<int>, {OPENED}"
     with Workspace(spark, "brown") as ws:
-        training = training.select("text")
+        training = pick(training, "text")
         counts = training.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
         counts = ws.save(counts, "counts")
         model, words = train(training, counts, ws, **options)
@@ -509,13 +590,18 @@ def score(docs: DataFrame, training: DataFrame, **options: int) -> DataFrame:
                 yield held.value.joined(batch)
 
         # A key a row: written once, so it stays what it is.
-        local = ws.save(docs.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("rk")).mapInArrow(run, schema), "local")
+        local = ws.save(pick(docs, "doc_id", "held_out", "text").select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("rk")).mapInArrow(run, schema), "local")
         rows = join_rare(local, words).mapInArrow(join, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
         out = rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
         return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).checkpoint()
 
 
 def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Score of every document by a model of those outside the held-out fold.
+
+    A null id is in no fold: neither held out nor learnt from.  For null, empty, long and repeated texts,
+    ties and empty tables see `score`.
+    """
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out")
     return score(docs.select("doc_id", "text", held_out), docs.where(fold("doc_id", 5) != 1))

@@ -6,9 +6,9 @@ characters, each step down costing a constant factor.  A document's language has
 sum; the score is its posterior under equal priors, with the evidence tempered by the number
 of words.
 
-The model is a classifier of bounded size, fitted on a bounded sample of labelled documents:
-about `max_docs` by a hash of the id, the `max_words` commonest words and `max_grams` commonest
-n-grams of each order.  It is sent to every task; scoring reads whole texts in one pass.
+The model is fitted on a bounded sample of labelled documents: about `max_docs` of them, and 32 MB
+of text, by a hash of the id.  All words and n-grams of the sample are in it; what is sent to
+every task is bounded by the sample.  Scoring reads whole texts in one pass.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import Workspace, batch_of, checkpoint_root, fold, table
+from .common import Columns, Workspace, batch_of, fold, map_texts, pick, table
 
-MAX_DOCS, MAX_WORDS, MAX_GRAMS, ORDER, BACKOFF = 20_000, 100_000, 30_000, 5, 0.4
+MAX_DOCS, MAX_BYTES, ORDER, BACKOFF = 5_000, 32 << 20, 5, 0.4
 _LETTER = regex.compile(r"\p{L}")
-_COUNTS = pa.schema([("order", pa.int32()), ("lang", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
+_COUNTS = pa.schema([("order", pa.int32()), ("lang", pa.int32()), ("hash", pa.int64()), ("n", pa.int64())])
 
 
 def folded(texts: pa.Array) -> pa.Array:
@@ -38,20 +38,17 @@ def folded(texts: pa.Array) -> pa.Array:
 
 
 def word_grams(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the byte n-grams of ` word ` and the word of each; words too short have none."""
-    size = end - start + 2
-    count = np.maximum(size - n + 1, 0)
-    which = np.repeat(np.arange(len(start)), count)
-    first = np.cumsum(size) - size
-    flat = np.full(size.sum(), 0x20, dtype=np.uint8)
+    """Hashes of the character n-grams of ` word ` and the word of each; words too short have none."""
     body = end - start
-    inner = np.arange(body.sum()) - np.repeat(np.cumsum(body) - body, body)
-    flat[np.repeat(first + 1, body) + inner] = data[np.repeat(start, body) + inner]
-    at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    h = np.zeros(len(at), dtype=np.uint64)
-    for j in range(n):
-        h |= flat[at + j].astype(np.uint64) << np.uint64(8 * j)
-    return tk.mix(h + np.uint64(n << 56)), which
+    first = np.cumsum(body + 2) - body - 2
+    flat = np.full((body + 2).sum(), 0x20, dtype=np.uint8)
+    flat[tk.ranges(first + 1, body)] = data[tk.ranges(start, body)]
+    at = np.flatnonzero((flat & 0xC0) != 0x80)  # where characters begin; a word's first is its space
+    lead = np.searchsorted(at, first)
+    count = np.maximum(np.diff(np.append(lead, len(at))) - n + 1, 0)
+    which, c = np.repeat(np.arange(len(start)), count), tk.ranges(lead, count)
+    stop = np.append(at, len(flat))
+    return tk.mix(tk.span_hashes(flat, at[c], stop[c + n]) + np.uint64(n)), which
 
 
 def _distinct_words(data: np.ndarray, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -60,34 +57,30 @@ def _distinct_words(data: np.ndarray, w: tk.Words) -> tuple[np.ndarray, np.ndarr
     return first, inverse
 
 
-def _count(orders: int):
+def _count(orders: int, langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch["lang"].dictionary_encode()
-            names, code = langs.dictionary, langs.indices.to_numpy(zero_copy_only=False)
+            code = pc.index_in(batch["lang"], pa.array(langs)).to_numpy(zero_copy_only=False)
             for c in tk.chunks(batch["text"], prepare=folded):
                 data, w = tk.words(c, "letters", lower=False)
                 lang = code[c.lo : c.hi][w.doc].astype(np.int64)
                 one, inverse = _distinct_words(data, w)
-                pairs, n = np.unique(inverse * len(names) + lang, return_counts=True)
-                word, lang = pairs // len(names), pairs % len(names)
-                yield from _emit(0, names.take(pa.array(lang)), w.hash[one[word]], n)
+                pairs, n = np.unique(inverse * len(langs) + lang, return_counts=True)
+                word, lang = np.divmod(pairs, len(langs))
+                yield _emit(0, lang, w.hash[one[word]], n)
                 for k in range(1, orders + 1):
                     h, which = word_grams(data, w.start[one], w.end[one], k)
                     lo, hi = np.searchsorted(which, word), np.searchsorted(which, word, side="right")
-                    m = hi - lo
-                    row = np.repeat(np.arange(len(word)), m)
-                    g = h[np.arange(m.sum()) + np.repeat(lo - (np.cumsum(m) - m), m)]
-                    grams, back = np.unique(g, return_inverse=True)
-                    keys, again = np.unique(back * len(names) + lang[row], return_inverse=True)
-                    yield from _emit(k, names.take(pa.array(keys % len(names))), grams[keys // len(names)], np.bincount(again, weights=n[row]).astype(np.int64))
+                    row = np.repeat(np.arange(len(word)), hi - lo)
+                    grams, back = np.unique(h[tk.ranges(lo, hi - lo)], return_inverse=True)
+                    keys, again = np.unique(back * len(langs) + lang[row], return_inverse=True)
+                    yield _emit(k, keys % len(langs), grams[keys // len(langs)], np.bincount(again, weights=n[row], minlength=len(keys)).astype(np.int64))
 
     return run
 
 
-def _emit(order: int, lang: pa.Array, h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(h):
-        yield batch_of(_COUNTS, order=np.full(len(h), order), lang=lang, hash=h.view(np.int64), n=n)
+def _emit(order: int, lang: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return batch_of(_COUNTS, order=np.full(len(h), order, dtype=np.int32), lang=lang.astype(np.int32), hash=h.view(np.int64), n=n)
 
 
 @dataclass
@@ -126,18 +119,20 @@ class LanguageModel:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         for c in tk.chunks(texts, prepare=folded):
-            data, w = tk.words(c, "letters", lower=False)
-            one, inverse = _distinct_words(data, w)
-            table_ = self.word_scores(data, w.start[one], w.end[one], w.hash[one])
-            total = np.stack([tk.sum_by(w.doc, table_[inverse, i], len(c)) for i in range(len(self.langs))], axis=1)
-            n = np.maximum(np.diff(w.first), 1)
+            total, n = np.zeros((len(c), len(self.langs))), np.zeros(len(c), dtype=np.int64)
             letter = np.zeros(len(c), dtype=bool)
-            has = np.flatnonzero(np.diff(w.first))
-            plain = (data >= 0x61) & (data <= 0x7A)
-            seen = np.concatenate([[0], np.cumsum(plain)])
-            letter[has] = seen[c.end[has]] > seen[c.start[has]]
-            for i in has[~letter[has]]:
+            for part in tk.pieces(c, "letters"):
+                data, w = tk.words(part, "letters", lower=False)
+                one, inverse = _distinct_words(data, w)
+                table_ = self.word_scores(data, w.start[one], w.end[one], w.hash[one])
+                for i in range(len(self.langs)):
+                    total[:, i] += tk.sum_by(w.doc, table_[inverse, i], len(c))
+                n += np.diff(w.first)
+                plain = np.concatenate([[0], np.cumsum((data >= 0x61) & (data <= 0x7A))])
+                letter |= plain[part.end] > plain[part.start]
+            for i in np.flatnonzero((n > 0) & ~letter):
                 letter[i] = bool(_LETTER.search(texts[c.lo + int(i)].as_py()))
+            n = np.maximum(n, 1)
             z = (total - total.max(axis=1, keepdims=True)) * np.log(10) / np.sqrt(n)[:, None]
             p = np.exp(z)
             p = p.max(axis=1) / p.sum(axis=1)
@@ -147,33 +142,35 @@ class LanguageModel:
         return pred, np.concatenate([*scores, np.zeros(0)])
 
 
-def bounded_sample(docs: DataFrame, max_docs: int, salt: int = 17) -> DataFrame:
-    """About max_docs rows, chosen by a hash of doc_id: the same rows whatever the partitions."""
-    n = docs.count()
-    if n <= max_docs:
+def bounded_sample(docs: DataFrame, max_docs: int, max_bytes: int = 64 << 20, salt: int = 17) -> DataFrame:
+    """About max_docs rows (doc_id, text, ...) of about max_bytes together, chosen by a hash of doc_id: the same whatever the partitions.
+
+    Texts of over a sixteenth of max_bytes teach nothing, so that no single one can exceed the bound.
+    """
+    docs = docs.where(F.octet_length("text") <= max_bytes // 16)
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    part = min(max_docs / max(n, 1), max_bytes / max(size, 1))
+    if part >= 1:
         return docs
-    share = int((1 << 62) * (max_docs / n)) * 2
-    return docs.where(F.xxhash64("doc_id", F.lit(salt)).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(share))
+    return docs.where(F.xxhash64("doc_id", F.lit(salt)).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(int((1 << 62) * part) * 2))
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, order: int = ORDER) -> LanguageModel:
-    """(doc_id, text, lang) -> model.  Rows with null text or language teach nothing."""
-    checkpoint_root(docs.sparkSession)
-    labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    rows = bounded_sample(labelled, max_docs)
-    counts = rows.select("text", "lang").mapInArrow(_count(order), "order int, lang string, hash long, n long").groupBy("order", "lang", "hash").agg(F.sum("n").alias("n"))
-    per = counts.groupBy("order", "hash").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("all") > 1)
-    keys, logs = [], []
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, order: int = ORDER) -> LanguageModel:
+    """(doc_id, text, lang) -> model.  Rows with null text or language teach nothing; repeated rows teach twice."""
+    labelled = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
     with Workspace(docs.sparkSession, "langid") as ws:
-        per = ws.save(per, "counts")
-        found = [per.where(F.col("order") == k).orderBy(F.col("all").desc(), "hash").limit(max_words if k == 0 else max_grams).toArrow() for k in range(order + 1)]
-    langs = sorted({x for t in found for x in pc.struct_field(pc.list_flatten(t["by"]), "lang").unique().to_pylist()})
+        rows = ws.save(bounded_sample(labelled, max_docs, max_bytes), "sample")
+        langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+        counts = rows.select("text", "lang").mapInArrow(_count(order, langs), "order int, lang int, hash long, n long").groupBy("order", "lang", "hash").agg(F.sum("n").alias("n"))
+        per = ws.save(counts.groupBy("order", "hash").agg(F.collect_list(F.struct("lang", "n")).alias("by")), "counts")
+        found = [per.where(F.col("order") == k).select("hash", "by").toArrow() for k in range(order + 1)]
+    keys, logs = [], []
     for t in found:
         h = t["hash"].to_numpy().view(np.uint64)
         by = t["by"].combine_chunks()
         flat = by.flatten()
         which = np.repeat(np.arange(len(h)), np.diff(np.asarray(by.offsets)))
-        lang = np.searchsorted(langs, flat.field("lang").to_numpy(zero_copy_only=False).astype(str)) if len(flat) else np.zeros(0, int)
+        lang = flat.field("lang").to_numpy(zero_copy_only=False)
         m = np.full((len(h), len(langs)), 0.5)
         m[which, lang] += flat.field("n").to_numpy(zero_copy_only=False)
         sort = np.argsort(h)
@@ -183,43 +180,48 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS,
     return LanguageModel(langs, keys, logs, floor)
 
 
-_PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
+_ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, drop: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """`docs` (text, ...) with lang_pred and score (0 to 1) added.
 
     `und` with score 0: null or empty texts, texts without a letter, and all texts of a model
-    that saw no labelled document.  Columns of these names that are there already are replaced.
+    that saw no labelled document.  Of languages that score alike the first by name is taken.
+    Very long texts are scored whole; repeated rows alike.  An empty table stays empty.  Columns
+    of these names (in any case) that are there already are replaced; all others stay.
     """
-    docs = docs.drop("lang_pred", "score")
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pred, score = held.value.score(batch["text"])
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in names), pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+    def predict(texts: pa.Array) -> list[pa.Array]:
+        pred, score = held.value.score(texts)
+        return [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, predict, _ADDED, drop, text)
 
 
 def train_rows(docs: DataFrame) -> DataFrame:
-    return docs.where(fold("doc_id", 4) != 2)
+    return pick(docs, "doc_id", "text", "lang").where(fold("doc_id", 4) != 2)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` in a recognised language: not `und`, and of a posterior of at least `least`."""
+    """The rows of `docs` in a recognised language: not `und`, and of a posterior of at least `least`.
+
+    All columns stay as they are, whatever their names.  See `identify` for the other cases.
+    """
+    held = Columns(docs)
     model = train(train_rows(docs))
-    clash = {"lang_pred", "score"} & set(docs.columns)
-    safe = docs.select(*[F.col(c).alias(f"_own_{c}") if c in clash else F.col(c) for c in docs.columns])
-    kept = identify(safe, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.select(*[F.col(f"_own_{c}").alias(c) if c in clash else F.col(c) for c in docs.columns])
+    return held.back(identify(held.df, model, text=held.at("text")).where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    """Language of every document, learnt from those outside the held-out fold.
+
+    A null id is in no fold: neither held out nor learnt from.  For null, empty, long and repeated
+    texts, ties and empty tables see `identify`.
+    """
+    docs = table(spark, sf_dir, "documents")
     model = train(train_rows(docs))
-    out = identify(docs.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text"), model)
-    return out.drop("text")
+    rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
+    with Workspace(spark, "language"):
+        return identify(rows, model, drop=("text",)).checkpoint()

@@ -2,16 +2,22 @@
 
 Plan
 1. One Arrow pass over the texts: distinct 5-word shingles (64-bit hashes), their number, a
-   128-bit digest of the set and one bucket hash for each band of minima.
+   128-bit digest of the set (sums of two independent hashes of each shingle) and one bucket hash
+   for each band of minima.
 2. Documents with equal sets form a class; only one row a class goes on, so a third of all rows
    being copies of one text costs one row.
-3. Bucket hashes with two or more classes give star edges (class -> smallest class of the
-   bucket); large-star/small-star turns them into families: no link crosses two families.
-4. Within a family each class is compared breadth-first, only with classes not yet reached:
-   first by signature (five standard deviations below the threshold still pass), then exactly
-   on the full sets.  Families beyond `family_rows` are cut into blocks and every pair of
-   blocks is its own task, so no task holds an unbounded group and no pair is skipped.
-5. The links found (a forest, not all pairs) go through large-star/small-star again.
+3. Centres first: in each bucket with two or more classes, every class is compared with the
+   smallest one, by signature (five standard deviations below the threshold still pass) and then
+   by the full sets.  A centre with many members is dealt over tasks with its text.
+   Large-star/small-star joins what was linked.
+4. Buckets that still hold several components do the same with their largest class, once.
+5. What is open after that, buckets with several components, is compared in full: every pair of
+   different components of a family, by blocks of `block_rows` classes, every pair of blocks its
+   own task, so no task holds an unbounded group and no pair is skipped.  Links between members
+   of one component change nothing and are not looked for.
+6. All links (a forest, not all pairs) go through large-star/small-star again.
+
+Sets are compared by words themselves, numbered within a task, not by hashes of shingles.
 """
 
 from __future__ import annotations
@@ -24,39 +30,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import Workspace, batch_of, checkpoint_root, row_key, table
+from .common import Columns, Workspace, batch_of, near, pick, row_key, same_row, table
 from .components import connected_components
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 45, 5, 5, 0.75
-#: Up to so many ids a filter is sent to every task (16 bytes each); beyond, both sides shuffle.
-BROADCAST_ROWS = 500_000
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _A = (_RNG.integers(0, 1 << 31, 1024, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, 1024, dtype=np.uint32)
 _C = tk.mix(np.arange(1, 65, dtype=np.uint64))
 
 
-def shingle_sets(chunk: tk.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of a chunk sorted by document, and where each document's begin."""
-    _, w = tk.words(chunk, "nonspace")
-    n = np.diff(w.first)
+def _hashes(w: tk.Words) -> list[np.ndarray]:
+    return [w.hash, tk.key_hash(w.k1, w.k2, 1)]
+
+
+def _shingled(hashes: list[np.ndarray], n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of every shingle of texts of n words each, and its text, distinct and sorted by text."""
     count = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
-    at = np.cumsum(count) - count
-    doc = np.repeat(np.arange(len(chunk)), count)
-    pos = np.arange(count.sum()) - at[doc] + w.first[doc]
+    doc, pos = np.repeat(np.arange(len(n)), count), tk.ranges(np.cumsum(n) - n, count)
     whole = n[doc] >= size
-    h = np.zeros(len(doc), dtype=np.uint64)
-    padded = np.concatenate([w.hash, np.zeros(size, np.uint64)])
-    for j in range(size):
-        here = whole | (j < n[doc])
-        h += np.where(here, padded[pos + j] * (_C[j] | np.uint64(1)), np.uint64(0))
-    h = tk.mix(h + np.where(whole, size, n[doc]).astype(np.uint64) * _C[-1])
+    out = []
+    for h in hashes:
+        padded = np.concatenate([h, np.zeros(size, np.uint64)])
+        sums = np.zeros(len(doc), dtype=np.uint64)
+        for j in range(size):
+            sums += np.where(whole | (j < n[doc]), padded[pos + j] * (_C[j] | np.uint64(1)), np.uint64(0))
+        out.append(tk.mix(sums + np.where(whole, size, n[doc]).astype(np.uint64) * _C[-1]))
+    return _distinct(*out, doc)
+
+
+def _distinct(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    h, g, doc = h[order], g[order], doc[order]
     keep = np.ones(len(h), dtype=bool)
-    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[keep], doc[keep]
-    return h, np.searchsorted(doc, np.arange(len(chunk) + 1))
+    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])
+    return h[keep], g[keep], doc[keep]
+
+
+def shingle_sets(chunk: tk.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of a chunk (two hashes each) sorted by document, and where each document's begin."""
+    if len(chunk) > 1 or len(chunk.data) <= tk.PIECE_BYTES:
+        _, w = tk.words(chunk, "nonspace")
+        h, g, doc = _shingled(_hashes(w), np.diff(w.first), size)
+        return h, g, np.searchsorted(doc, np.arange(len(chunk) + 1))
+    held, parts = [np.zeros(0, np.uint64)] * 2, []
+    for piece in tk.pieces(chunk, "nonspace"):
+        _, w = tk.words(piece, "nonspace")
+        held = [np.concatenate(x) for x in zip(held, _hashes(w), strict=True)]
+        if len(held[0]) >= size:  # the last words of a part go on into the next
+            parts.append(_shingled(held, np.array([len(held[0])]), size))
+            held = [x[1 - size :] if size > 1 else x[:0] for x in held]
+    if not parts:
+        parts.append(_shingled(held, np.array([len(held[0])]), size))
+    h, g, doc = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return h, g, np.array([0, len(doc)])
+
+
+def exact_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of all texts, numbered by their words, sorted by text; and where each text's begin."""
+    none = np.zeros(0, np.uint64)
+    k1, k2, n = [none], [none], [np.zeros(0, np.int64)]
+    for c in tk.chunks(texts):
+        cut = [tk.words(piece, "nonspace")[1] for piece in tk.pieces(c, "nonspace")]
+        k1 += [w.k1 for w in cut]
+        k2 += [w.k2 for w in cut]
+        n.append(np.diff(cut[0].first) if len(cut) == 1 else np.array([sum(len(w) for w in cut)]))
+    n = np.concatenate(n)
+    ids, kinds = tk.numbers(np.concatenate(k1), np.concatenate(k2))
+    count = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
+    doc, pos = np.repeat(np.arange(len(n)), count), tk.ranges(np.cumsum(n) - n, count)
+    padded = np.concatenate([ids, np.full(size, kinds)])
+    code = padded[pos]
+    for j in range(1, size):
+        there = np.where(j < n[doc], padded[pos + j], kinds)  # short texts are padded by a word that none has
+        _, code = np.unique(code * np.int64(kinds + 1) + there, return_inverse=True)
+    many = max(len(code), 1)
+    doc, code = np.divmod(np.unique(doc * np.int64(many) + code), many)
+    return code, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
 def signatures(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
@@ -90,21 +140,19 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n_shingles", pa.int64()), ("set_lo", pa.int64()), ("set_hi", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("id", pa.int64()), ("rk", pa.int64()), ("n_shingles", pa.int64()), ("set_lo", pa.int64()), ("set_hi", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(bands: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in tk.chunks(batch["text"]):
-                h, first = shingle_sets(c, size)
-                n = np.diff(first)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(tk.mix(h), dtype=np.uint64)])
-                sums2 = np.concatenate([[np.uint64(0)], np.cumsum(tk.mix(h ^ _C[-2]), dtype=np.uint64)])
+                h, g, first = shingle_sets(c, size)
+                sums = [np.concatenate([[np.uint64(0)], np.cumsum(tk.mix(x), dtype=np.uint64)]) for x in (h, g)]
+                lo, hi = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
                 b = band_hashes(signatures(h, first, bands * rows), bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * bands), pa.array(b.ravel()))
-                yield batch_of(_SIGNED, doc_id=batch["doc_id"].slice(c.lo, len(c)), rk=batch["rk"].slice(c.lo, len(c)), n_shingles=n,
-                               set_lo=(sums[first[1:]] - sums[first[:-1]]).view(np.int64), set_hi=(sums2[first[1:]] - sums2[first[:-1]]).view(np.int64), bands=lists)
+                yield batch_of(_SIGNED, id=batch["id"].slice(c.lo, len(c)), rk=batch["rk"].slice(c.lo, len(c)), n_shingles=np.diff(first), set_lo=lo, set_hi=hi, bands=lists)
 
     return run
 
@@ -135,66 +183,80 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, max_bytes: int = 8
             yield table_
 
 
-def _reach(h: np.ndarray, first: np.ndarray, sig: np.ndarray, threshold: float) -> np.ndarray:
-    """Component (smallest local index) of each set of one family under Jaccard >= threshold."""
-    n = np.diff(first)
-    label = np.full(len(n), -1, dtype=np.int64)
-    words_, local = np.unique(h, return_inverse=True)
-    mark = np.zeros(len(words_), dtype=bool)
-    k = sig.shape[1]
-    least = k * threshold - 5 * np.sqrt(k * threshold * (1 - threshold))
-    left = np.flatnonzero(n > 0)
-    label[n == 0] = np.flatnonzero(n == 0)
-    pct = round(threshold * 100)
-    while len(left):
-        seed, left = left[0], left[1:]
-        label[seed] = seed
-        queue = [seed]
-        while queue and len(left):
-            s = queue.pop()
-            near = left[(n[left] * 100 >= pct * n[s]) & (n[left] * pct <= 100 * n[s])]
-            near = near[(sig[near] == sig[s]).sum(axis=1) >= least]
-            if not len(near):
-                continue
-            mark[local[first[s] : first[s + 1]]] = True
-            sizes = n[near]
-            idx = np.arange(sizes.sum()) + np.repeat(first[near] - (np.cumsum(sizes) - sizes), sizes)
-            inter = np.add.reduceat(mark[local[idx]].astype(np.int64), np.cumsum(sizes) - sizes)
-            mark[local[first[s] : first[s + 1]]] = False
-            hit = near[100 * inter >= pct * (sizes + n[s] - inter)]
-            if len(hit):
-                label[hit] = seed
-                left = left[label[left] < 0]
-                queue.extend(hit)
-    return label
+class Compared:
+    """Sets of one task: which of some of them are as near to one as the threshold asks."""
+
+    def __init__(self, texts: pa.Array, size: int, threshold: float, k: int):
+        h, first = [], [np.zeros(1, np.int64)]
+        for c in tk.chunks(texts):
+            x, _, at = shingle_sets(c, size)
+            h.append(x)
+            first.append(at[1:] + first[-1][-1])
+        self.sig = signatures(np.concatenate([*h, np.zeros(0, np.uint64)]), np.concatenate(first), k)
+        self.code, self.first = exact_sets(texts, size)
+        self.n = np.diff(self.first)
+        self.mark = np.zeros(int(self.code.max()) + 1 if len(self.code) else 0, dtype=bool)
+        self.pct, self.least = round(threshold * 100), k * threshold - 5 * np.sqrt(k * threshold * (1 - threshold))
+
+    def near(self, s: int, others: np.ndarray) -> np.ndarray:
+        n, mine = self.n, self.code[self.first[s] : self.first[s + 1]]
+        others = others[(n[others] > 0) & (n[others] * 100 >= self.pct * n[s]) & (n[others] * self.pct <= 100 * n[s])]
+        others = others[(self.sig[others] == self.sig[s]).sum(axis=1) >= self.least]
+        if not len(others):
+            return others
+        self.mark[mine] = True
+        sizes = n[others]
+        inter = np.add.reduceat(self.mark[self.code[tk.ranges(self.first[others], sizes)]].astype(np.int64), np.cumsum(sizes) - sizes)
+        self.mark[mine] = False
+        return others[100 * inter >= self.pct * (sizes + n[s] - inter)]
 
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _verify(size: int, threshold: float, k: int):
+def _groups(key: np.ndarray) -> list[tuple[int, int]]:
+    edge = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+    return list(zip(edge[:-1], edge[1:], strict=True))
+
+
+def _with_centre(size: int, threshold: float, k: int):
+    """Rows (task, rep, centre, text) sorted by task: links between each rep and its task's centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "task", 4 << 20):
+            task, rep, centre = (t[c].to_numpy() for c in ("task", "rep", "centre"))
+            sets = Compared(t["text"].combine_chunks(), size, threshold, k)
+            u, v = [], []
+            for a, b in _groups(task):
+                own = np.flatnonzero(rep[a:b] == centre[a:b]) + a
+                rows = np.arange(a, b)
+                for o in own:  # several where rows of one id hold several texts
+                    hit = sets.near(int(o), rows[rep[rows] != centre[rows]])
+                    u.append(rep[hit])
+                    v.append(centre[hit])
+            yield batch_of(_EDGES, u=np.concatenate([*u, np.zeros(0, np.int64)]), v=np.concatenate([*v, np.zeros(0, np.int64)]))
+
+    return run
+
+
+def _all_in(size: int, threshold: float, k: int):
+    """Rows (task, rep, comp, text) sorted by task: links that join different components of a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "task", 4 << 20):
-            task = t["task"].to_numpy()
-            ids = t["rep"].to_numpy()
-            hs, sizes = [], []
-            for c in tk.chunks(t["text"].combine_chunks()):
-                h, first = shingle_sets(c, size)
-                hs.append(h)
-                sizes.append(np.diff(first))
-            h, first = np.concatenate(hs), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            sig = signatures(h, first, k)
-            edge = np.flatnonzero(np.diff(task)) + 1
+            task, rep, comp = (t[c].to_numpy().copy() for c in ("task", "rep", "comp"))
+            sets = Compared(t["text"].combine_chunks(), size, threshold, k)
             u, v = [], []
-            for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(task)]]), strict=True):
-                label = _reach(h[first[a] : first[b]], first[a : b + 1] - first[a], sig[a:b], threshold)
-                mine = ids[a:b]
-                low = np.full(b - a, np.iinfo(np.int64).max)
-                np.minimum.at(low, label, mine)
-                u.append(mine)
-                v.append(low[label])
-            u, v = np.concatenate(u), np.concatenate(v)
-            yield batch_of(_EDGES, u=u[u != v], v=v[u != v])
+            for a, b in _groups(task):
+                for s in range(a, b):
+                    rest = np.arange(s + 1, b)
+                    for hit in sets.near(s, rest[comp[rest] != comp[s]]):
+                        if comp[hit] != comp[s]:
+                            u.append(rep[s])
+                            v.append(rep[hit])
+                            mine = comp[a:b]
+                            mine[mine == comp[hit]] = comp[s]
+            yield batch_of(_EDGES, u=u, v=v)
 
     return run
 
@@ -205,72 +267,118 @@ def near_duplicates(
     shingle: int = SHINGLE,
     bands: int = BANDS,
     rows: int = ROWS,
-    family_rows: int = 4000,
+    block_rows: int = 400,
 ) -> DataFrame:
     """(doc_id, text) -> doc_id, rk, n_shingles, component_id, kept: one row per input row.
 
     Two documents are linked when 100*|A∩B| >= 75*|A∪B| on their sets of distinct 5-word
     shingles (fewer words: the whole sequence is one shingle).  A pair at the threshold misses
-    all 45 bands of 5 minima with probability 5e-6.  Null or empty texts have no shingles and
-    link with nothing; a null doc_id links with nothing and has a null component, kept.  Rows
-    that share a doc_id are one document.  Ties take the smallest id.  Extra columns are ignored.
+    all 45 bands of 5 minima with probability 5e-6.
+
+    Null or empty texts have no shingles and link with nothing; a null doc_id links with nothing
+    and has a null component, kept.  Very long texts are cut into words in parts; what is held of
+    one is 16 bytes for each distinct shingle.  Rows that share a doc_id are one document.  Ties
+    take the smallest id.  Repeated rows each get their row.  An empty table gives an empty
+    table.  Extra columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    checkpoint_root(spark)
     with Workspace(spark, "minhash") as ws:
-        slim = docs.select("doc_id", "text", row_key("doc_id", "text").alias("rk"))
-        schema = "doc_id long, rk long, n_shingles long, set_lo long, set_hi long, bands array<long>"
+        slim = pick(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), "text", row_key("text").alias("rk"))
+        schema = "id long, rk long, n_shingles long, set_lo long, set_hi long, bands array<long>"
         signed = ws.save(slim.mapInArrow(_sign(bands, rows, shingle), schema), "signed")
-        live = signed.where("n_shingles > 0 and doc_id is not null")
-        classes = live.groupBy("n_shingles", "set_lo", "set_hi").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-        classes = ws.save(classes, "classes")
-        posted = classes.select("rep", F.explode("bands").alias("bucket"))
+        live = signed.where("n_shingles > 0 and id is not null")
+        # The text of a class is that of a row (id, rk): rows that repeat an id may hold several texts.
+        classes = live.groupBy("n_shingles", "set_lo", "set_hi").agg(F.min(F.struct("id", "rk")).alias("at"), F.first("bands").alias("bands"))
+        classes = ws.save(classes.select("n_shingles", "set_lo", "set_hi", F.col("at.id").alias("rep"), F.col("at.rk").alias("rk"), "bands"), "classes")
+        # A class is named by its smallest id; classes that share one (rows that repeat an id) are one node.
+        posted = classes.select("rep", F.explode("bands").alias("bucket")).distinct()
         # Written first: a join of two plain shuffles, which AQE splits where a bucket is hot.
-        heads = ws.save(posted.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "heads")
-        stars = posted.join(heads, "bucket").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"))
-        family = ws.save(connected_components(stars, ws, "families"), "family")
-        sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-        blocks = F.ceil(F.col("n") / F.lit(family_rows // 2)).cast("int")
-        mine = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
-        others = F.when(F.col("n") <= family_rows, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("g") - 1))
-        placed = (
-            family.join(sizes, "component").withColumn("g", blocks).withColumn("b", mine)
-            .select("node", "component", "b", F.explode(others).alias("o"))
-            .select(F.col("node").alias("rep"), F.when(F.col("o") < 0, F.xxhash64("component")).otherwise(F.xxhash64("component", F.least("b", "o"), F.greatest("b", "o"))).alias("task"))
-        )
-        placed = ws.save(placed, "placed")
-        chosen = _near(placed, placed.count())
-        members = (
-            slim.where("doc_id is not null").join(chosen, slim["doc_id"] == chosen["rep"]).select("task", "rep", "text")
-            .repartition("task").sortWithinPartitions("task", "rep")
-        )
-        links = ws.save(members.mapInArrow(_verify(shingle, threshold, min(bands * rows, 225)), "u long, v long"), "links")
-        comp = connected_components(links, ws, "components")
-        named = signed.select("doc_id", "rk", "n_shingles", "set_lo", "set_hi")
+        heads = ws.save(posted.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high"), "heads")
+        met = ws.save(posted.join(heads.select("bucket"), "bucket"), "met")
+        texts = classes.select("rep", "rk").join(slim, (classes["rep"] == slim["id"]) & (classes["rk"] == slim["rk"])).select("rep", "text").dropDuplicates(["rep", "text"])
+        texts = ws.save(_only(texts, met.select("rep").distinct()), "texts")
+        links = _star(met.join(heads, "bucket").select("rep", F.col("low").alias("centre")), texts, ws, "low", shingle, threshold, bands * rows)
+        comp = ws.save(connected_components(links, ws, "comp-low"), "stars-low")
+        for step in ("high", "rest"):
+            placed = met.join(comp, met["rep"] == comp["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+            placed = ws.save(placed, f"placed-{step}")
+            open_ = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max(F.struct("rep", "comp")).alias("top")).where("a <> b")
+            open_ = ws.save(open_.select("bucket", "top"), f"open-{step}")
+            if open_.isEmpty():
+                break
+            left = placed.join(open_, "bucket")
+            if step == "high":
+                more = _star(left.where("comp <> top.comp").select("rep", F.col("top.rep").alias("centre")), texts, ws, step, shingle, threshold, bands * rows)
+            else:
+                more = _families(left.select("bucket", "rep", "comp"), texts, ws, block_rows, shingle, threshold, bands * rows)
+            links = links.unionByName(more)
+            comp = ws.save(connected_components(links, ws, f"comp-{step}"), f"stars-{step}")
+        named = signed.select("id", "rk", "n_shingles", "set_lo", "set_hi")
         reps = classes.select("n_shingles", "set_lo", "set_hi", "rep")
         out = named.join(reps, ["n_shingles", "set_lo", "set_hi"], "left").join(comp, F.col("rep") == F.col("node"), "left")
-        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-        out = out.select("doc_id", "rk", "n_shingles", component.alias("component_id"))
+        found = ws.save(out.select("id", "rk", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component")), "found")
+        # Rows that share an id are one document: it lies where the smallest component of its rows is.
+        split = found.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+        split = split.where("a <> b")
+        if split.isEmpty():
+            out = found
+        else:
+            joined = connected_components(found.where("id is not null").select(F.col("id").alias("u"), F.col("component").alias("v")), ws, "ids")
+            joined = ws.save(joined.select("node", F.col("component").alias("to")), "joined")
+            out = found.join(joined, F.col("component") == F.col("node"), "left").select("id", "rk", "n_shingles", F.coalesce("to", "component").alias("component"))
+        out = out.select(F.col("id").alias("doc_id"), "rk", "n_shingles", F.col("component").alias("component_id"))
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).checkpoint()
 
 
-def _near(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of so many short rows only below BROADCAST_ROWS; else leave it to a shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _only(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    return texts.join(near(reps), "rep", "left_semi")
+
+
+def _star(pairs: DataFrame, texts: DataFrame, ws: Workspace, name: str, size: int, threshold: float, k: int, most: int = 200) -> DataFrame:
+    """(rep, centre) -> links of those that are near; about `most` reps a task, each task with its centre's text."""
+    pairs = ws.save(pairs.where("rep <> centre").distinct(), f"pairs-{name}")
+    share = ws.save(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("g")), f"centres-{name}")
+    part = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
+    members = pairs.join(share, "centre").select("rep", "centre", part.alias("part"))
+    centres = share.select(F.col("centre").alias("rep"), "centre", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("part"))
+    placed = ws.save(members.unionByName(centres).withColumn("task", F.xxhash64("centre", "part")), f"tasks-{name}")
+    rows = texts.join(near(placed), "rep").select("task", "rep", "centre", "text").repartition("task").sortWithinPartitions("task", "centre")
+    return ws.save(rows.mapInArrow(_with_centre(size, threshold, k), "u long, v long"), f"links-{name}")
+
+
+def _families(placed: DataFrame, texts: DataFrame, ws: Workspace, block_rows: int, size: int, threshold: float, k: int) -> DataFrame:
+    """(bucket, rep, comp) of open buckets -> links between components, all pairs of a family compared by blocks."""
+    nodes = placed.select("rep", "comp").distinct()
+    first = placed.groupBy("bucket").agg(F.min("comp").alias("first"))
+    family = connected_components(placed.join(first, "bucket").select(F.col("comp").alias("u"), F.col("first").alias("v")), ws, "families")
+    nodes = ws.save(nodes.join(family.withColumnRenamed("component", "family"), nodes["comp"] == F.col("node")).select("rep", "comp", "family"), "family")
+    sizes = ws.save(nodes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("g")), "sizes")
+    b = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
+    tasks = (
+        nodes.join(sizes, "family").withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        .select("rep", "comp", F.xxhash64("family", F.least("b", "o"), F.greatest("b", "o")).alias("task"))
+    )
+    tasks = ws.save(tasks, "blocks")
+    rows = texts.join(near(tasks), "rep").select("task", "rep", "comp", "text").repartition("task").sortWithinPartitions("task", "rep")
+    return ws.save(rows.mapInArrow(_all_in(size, threshold, k), "u long, v long"), "links-rest")
 
 
 def deduplicate(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps, all columns."""
+    """The rows of `docs` that `near_duplicates` keeps, all columns under their names, whatever these are.
+
+    Nulls, empty and long texts, ties and repeated rows as there: a row without words or id stays.
+    """
+    held = Columns(docs)
     found = near_duplicates(docs, **options)  # type: ignore[arg-type]
-    gone = found.where(~F.col("kept")).select(F.col("rk").alias("_gone")).distinct()
-    gone = _near(gone, gone.count())
-    return docs.withColumn("_rk", row_key("doc_id", "text")).join(gone, F.col("_rk") == F.col("_gone"), "left_anti").drop("_rk")
+    gone = near(found.where(~F.col("kept")).select(F.col("doc_id").alias("id"), "rk").distinct())
+    rows = held.df.withColumns({"id": F.col(held.at("doc_id")), "rk": row_key(held.at("text"))})
+    return held.back(rows.join(gone, same_row(rows, gone), "left_anti"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of `documents` (see `near_duplicates` for null, empty, long and repeated texts)."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
-
 OP8_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS t(i) WHERE len(w) > 0),

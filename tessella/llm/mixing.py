@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, checkpoint_root, row_key, table
+from .common import Columns, Workspace, pick, row_key, table, without
 
 STEPS = 40
 ENTROPY, REPEATS, BUDGET, SEED = 0.999, 4.0, 1.0, "mix"
@@ -105,18 +105,19 @@ def mix(
     Added columns: mix_epoch (0-based), mix_weight (the source's weight) and mix_key, by which a
     sorted output has the target weights in every stretch.  `budget` is a multiple of all
     tokens; no source is repeated beyond `repeats` (a larger budget is cut to that).  A null
-    source is a source of its own; null or empty texts have no tokens; a source without tokens
-    gets no budget.  No rows give no rows.  Added columns replace any of
-    these names; a repeated row is mixed as often as it stands.  `tokens` names a column that has the counts already.
+    source is a source of its own, a null id hashes as an empty one; null or empty texts have no
+    tokens; very long texts count whole; a source without tokens gets no budget.  No rows give
+    no rows.  Ties in the permutations go by id, then tokens; a repeated row is mixed as often as
+    it stands.  All other columns stay under their names, whatever these are; columns of the
+    added names, in any case, are replaced.  `tokens` names a column that has the counts already.
     """
     spark = docs.sparkSession
-    docs = docs.drop("mix_epoch", "mix_weight", "mix_key")
-    checkpoint_root(spark)
+    held = Columns(without(docs, "mix_epoch", "mix_weight", "mix_key"))
+    ident, source, content = held.at("doc_id"), held.at("source"), held.at(tokens or "text")
     with Workspace(spark, "mixing") as ws:
-        n_tokens = F.col(tokens).cast("long") if tokens else count_tokens(F.col("text"))
-        id_hash = _hash60(F.lit(seed), _doc_text())
-        rk = row_key("doc_id", tokens or "text")
-        slim = ws.save(docs.select("source", "doc_id", rk.alias("rk"), n_tokens.alias("n_tokens"), id_hash.alias("h")), "slim")
+        n_tokens = F.col(content).cast("long") if tokens else count_tokens(F.col(content))
+        slim = held.df.select(F.col(source).alias("source"), F.col(ident).alias("doc_id"), row_key(content).alias("rk"), n_tokens.alias("n_tokens"), _hash60(F.lit(seed), _doc_text(ident)).alias("h"))
+        slim = ws.save(slim, "slim")
         per = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("t")).where("t > 0")
         per = ws.save(per, "sources")
         total = per.agg(F.sum("t")).first()[0] or 0
@@ -141,24 +142,28 @@ def mix(
         part = _small(steps.where("take = 'part'").select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "room"))
         inside = Window.partitionBy("source", "block").orderBy(_hash60(F.lit(seed), F.col("epoch").cast("string"), _doc_text()), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
         edge = placed.join(part, placed["source"].eqNullSafe(part["s"]) & (placed["block"] == part["b"]))
-        edge = edge.withColumn("run", F.sum("n_tokens").over(inside)).where("run <= room").select("source", "block", "rk").distinct()
+        edge = edge.withColumn("run", F.sum("n_tokens").over(inside)).where("run <= room").select("doc_id", "rk").distinct()
         edge = ws.save(edge, "edge").checkpoint()
         steps = steps.checkpoint()
-    named = steps.select(*[F.col(c).alias(f"_{c}") for c in steps.columns])
-    blocks = _small(steps.select("source", "blocks").distinct().select(F.col("source").alias("_src"), F.col("blocks").alias("_n")))
-    keyed = docs.withColumn("_rk", row_key("doc_id", tokens or "text"))
-    keyed = keyed.join(blocks, keyed["source"].eqNullSafe(blocks["_src"])).withColumn("_b", F.pmod(_hash60(F.lit(seed), _doc_text()), F.col("_n")))
-    named = _small(named)
-    rows = keyed.join(named, keyed["source"].eqNullSafe(named["_source"]) & (keyed["_b"] == named["_block"]))
-    edge = _small(edge.select(F.col("rk").alias("_edge")).distinct())
-    rows = rows.join(edge, rows["_rk"] == edge["_edge"], "left").where("_take = 'all' or _edge is not null")
-    inner = _hash60(F.lit(seed), F.col("_epoch").cast("string"), _doc_text()) / F.lit(float(1 << 60))
-    key = (F.col("_epoch") + (F.col("_rank") - 1 + inner) / F.col("_blocks")) * F.col("_t") / F.col("_q")
-    return rows.select(*docs.columns, F.col("_epoch").alias("mix_epoch"), F.round("_w", 9).alias("mix_weight"), F.round(key, 6).alias("mix_key"))
+    named = _small(steps.select(*[F.col(c).alias(f"s_{c}") for c in steps.columns]))
+    blocks = _small(steps.select(F.col("source").alias("b_source"), F.col("blocks").alias("b_n")).distinct())
+    rows = held.df.withColumns({"rk": row_key(content), "id": F.col(ident)})
+    rows = rows.join(blocks, rows[source].eqNullSafe(blocks["b_source"])).withColumn("block", F.pmod(_hash60(F.lit(seed), _doc_text("id")), F.col("b_n")))
+    rows = rows.join(named, rows[source].eqNullSafe(named["s_source"]) & (rows["block"] == named["s_block"]))
+    edge = _small(edge.select(F.col("doc_id").alias("e_id"), F.col("rk").alias("e_rk")))
+    rows = rows.join(edge, (rows["rk"] == edge["e_rk"]) & rows["id"].eqNullSafe(edge["e_id"]), "left").where("s_take = 'all' or e_rk is not null")
+    inner = _hash60(F.lit(seed), F.col("s_epoch").cast("string"), _doc_text("id")) / F.lit(float(1 << 60))
+    key = (F.col("s_epoch") + (F.col("s_rank") - 1 + inner) / F.col("s_blocks")) * F.col("s_t") / F.col("s_q")
+    rows = rows.withColumns({"mix_epoch": F.col("s_epoch"), "mix_weight": F.round("s_w", 9), "mix_key": F.round(key, 6)})
+    return held.back(rows, "mix_epoch", "mix_weight", "mix_key")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
+    """Mixture of `documents` at the target weights of their sources.
+
+    For nulls, empty and long texts, ties, repeated rows and empty tables see `mix`.
+    """
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "source", "text").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
     return mix(docs, tokens="n_tokens")
 
 

@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-A word's features are the word itself and its character 2- to 4-grams, hashed into buckets; a
-word equal to the one before it adds the feature `repeat`.  Each bucket has a learned vector, a
-document is the average of its features' vectors, and a softmax over two classes reads it.  Both
-are trained by stochastic gradient descent in numpy on a bounded sample of labelled documents.
+A document's features are its words, its word bigrams, the character 2- to 4-grams of its words,
+and the patterns of its word n-grams (which of two or three words in a row are the same: `aa`,
+`aba`, ...), hashed into buckets.  Each bucket has a learned vector, a document is the average of its
+features' vectors, and a softmax over two classes reads it.  Both are trained by stochastic
+gradient descent in numpy on a bounded sample of labelled documents.
 
 As the output is linear in the average, a trained bucket acts through one number (the
 difference of its two class scores); these `buckets` numbers are what scoring sends to tasks.
@@ -21,23 +22,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import batch_of, checkpoint_root, fold, table
+from .common import Workspace, batch_of, fold, map_texts, pick, table
 from .langid import bounded_sample, word_grams
 
-#: Bounds of the fit: labelled documents, bytes of their features sent to the driver follow.
-MAX_DOCS, BUCKETS, DIMS, EPOCHS, RATE, ORDERS = 4_000, 1 << 17, 16, 12, 4.0, (2, 3, 4)
-REPEAT = 0  # the bucket of the feature `repeat`
+#: Bounds of the fit: labelled documents and bytes of their texts; their features are what the driver gets.
+MAX_DOCS, MAX_BYTES, BUCKETS, DIMS, EPOCHS, RATE, ORDERS = 2_000, 16 << 20, 1 << 18, 16, 8, 4.0, (2, 3, 4)
 
 
 @dataclass
 class Features:
-    """Features of a chunk's distinct words (CSR), the distinct word of each word, repeats by document."""
+    """Features of a chunk's distinct words (CSR), the distinct word of each word, n-grams of words and their documents."""
 
     bucket: np.ndarray
     first: np.ndarray
     word: np.ndarray
     words: tk.Words
-    repeats: np.ndarray
+    ngram: np.ndarray
+    ngram_doc: np.ndarray
 
 
 def features(chunk: tk.Chunk, buckets: int) -> Features:
@@ -50,10 +51,17 @@ def features(chunk: tk.Chunk, buckets: int) -> Features:
         owner.append(which)
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    bucket = (np.concatenate(parts)[order] % np.uint64(buckets - 1)).astype(np.int64) + 1
-    again = np.zeros(len(w), dtype=bool)
-    again[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
-    return Features(bucket, np.searchsorted(owner[order], np.arange(len(one) + 1)), inverse, w, tk.sum_by(w.doc, again, len(chunk)))
+    to = lambda h: (h % np.uint64(buckets)).astype(np.int64)
+    next_ = np.flatnonzero(w.doc[1:] == w.doc[:-1])
+    pair = tk.mix(w.hash[next_] * np.uint64(0x9E3779B97F4A7C15) + w.hash[next_ + 1])
+    same = w.hash[next_] == w.hash[next_ + 1]
+    three = np.flatnonzero(w.doc[2:] == w.doc[:-2])
+    a, b, c = (w.hash[three + j] for j in range(3))
+    pattern = tk.mix(np.concatenate([same + 1, 3 + (a == b) + 2 * (b == c) + 4 * (a == c)]).astype(np.uint64))
+    doc = np.concatenate([w.doc[next_], w.doc[next_], w.doc[three]])
+    by_doc = np.argsort(doc, kind="stable")
+    ngram = to(np.concatenate([pair, pattern]))[by_doc]
+    return Features(to(np.concatenate(parts)[order]), np.searchsorted(owner[order], np.arange(len(one) + 1)), inverse, w, ngram, doc[by_doc])
 
 
 _BAGS = pa.schema([("label", pa.int32()), ("bucket", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])
@@ -64,15 +72,14 @@ def _bags(buckets: int):
         for batch in batches:
             for c in tk.chunks(batch["text"]):
                 f = features(c, buckets)
+                ngrams = np.searchsorted(f.ngram_doc, np.arange(len(c) + 1))
                 ids, counts = [], []
                 for d in range(len(c)):
                     word, n = np.unique(f.word[f.words.first[d] : f.words.first[d + 1]], return_counts=True)
                     m = f.first[word + 1] - f.first[word]
-                    flat = f.bucket[np.arange(m.sum()) + np.repeat(f.first[word] - (np.cumsum(m) - m), m)]
+                    flat = np.concatenate([f.bucket[tk.ranges(f.first[word], m)], f.ngram[ngrams[d] : ngrams[d + 1]]])
                     b, back = np.unique(flat, return_inverse=True)
-                    k = np.bincount(back, weights=np.repeat(n, m)) if len(b) else np.zeros(0)
-                    if f.repeats[d]:
-                        b, k = np.append(b, REPEAT), np.append(k, f.repeats[d])
+                    k = np.bincount(back, weights=np.concatenate([np.repeat(n, m), np.ones(ngrams[d + 1] - ngrams[d])]), minlength=len(b))
                     ids.append(b.astype(np.int32))
                     counts.append(k.astype(np.float32))
                 yield batch_of(_BAGS, label=batch["label"].slice(c.lo, len(c)), bucket=ids, n=counts)
@@ -86,15 +93,16 @@ class QualityModel:
     bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        """Probability of label 1; a text without words has the prior's."""
+        """Probability of label 1; a text without words has the prior's.  A long text's parts share no n-gram."""
         out = [np.zeros(0)]
         for c in tk.chunks(texts):
-            f = features(c, len(self.weights))
-            sums = np.concatenate([[0.0], np.cumsum(self.weights[f.bucket])])
-            per_word = sums[f.first[1:]] - sums[f.first[:-1]]
-            size = np.diff(f.first)
-            total = tk.sum_by(f.words.doc, per_word[f.word], len(c)) + f.repeats * self.weights[REPEAT]
-            n = tk.sum_by(f.words.doc, size[f.word], len(c)) + f.repeats
+            total, n = np.zeros(len(c)), np.zeros(len(c))
+            for part in tk.pieces(c, "nonspace"):
+                f = features(part, len(self.weights))
+                sums = np.concatenate([[0.0], np.cumsum(self.weights[f.bucket])])
+                per_word = sums[f.first[1:]] - sums[f.first[:-1]]
+                total += tk.sum_by(f.words.doc, per_word[f.word], len(c)) + tk.sum_by(f.ngram_doc, self.weights[f.ngram], len(c))
+                n += tk.sum_by(f.words.doc, np.diff(f.first)[f.word], len(c)) + np.bincount(f.ngram_doc, minlength=len(c))
             out.append(1 / (1 + np.exp(-(self.bias + total / np.maximum(n, 1)))))
         return np.concatenate(out)
 
@@ -125,15 +133,19 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = BUCKETS,
             back = g @ out.T
             out += lr / len(rows) * (mean.T @ g)
             bias += lr / len(rows) * np.float32(0.1) * g.sum(axis=0)
-            np.add.at(e, flat, (lr * np.repeat(back, np.diff(cut), axis=0)) * share[:, None])
+            for (_, b, n), step in zip(rows, lr * back, strict=True):  # a document has each bucket once
+                e[b] += n[:, None] * step
     return QualityModel((e @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS, buckets: int = BUCKETS) -> QualityModel:
-    """docs (doc_id, text) and labels (doc_id, label) -> model.  Null texts, ids and labels teach nothing."""
-    checkpoint_root(docs.sparkSession)
-    rows = bounded_sample(labelled(docs, labels, label), max_docs)
-    got = rows.select("label", "text").mapInArrow(_bags(buckets), "label int, bucket array<int>, n array<float>").toArrow()
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, buckets: int = BUCKETS) -> QualityModel:
+    """docs (doc_id, text) and labels (doc_id, label) -> model.
+
+    Null texts, ids and labels, and ids with two labels, teach nothing; repeated rows teach twice.
+    """
+    with Workspace(docs.sparkSession, "quality"):
+        rows = bounded_sample(labelled(docs, labels, label), max_docs, max_bytes)
+        got = rows.select("label", "text").mapInArrow(_bags(buckets), "label int, bucket array<int>, n array<float>").toArrow()
     bags = []
     for chunk in got.to_batches():
         bags += [(y, np.asarray(b.values), np.asarray(n.values)) for y, b, n in zip(chunk["label"].to_pylist(), chunk["bucket"], chunk["n"], strict=True)]
@@ -143,26 +155,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, text, label) of documents with one known label of 0 or 1."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).alias("_m")).where("label = _m").drop("_m")
-    return docs.where("text is not null").select("doc_id", "text").join(known, "doc_id")
+    known = pick(labels, "doc_id", label).toDF("doc_id", "label").where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
+    return pick(docs, "doc_id", "text").where("text is not null").join(known, "doc_id")
 
 
-def add_scores(docs: DataFrame, model: object) -> DataFrame:
-    """`docs` (text, ...) with `score` added (one that is there already is replaced); `model` has score(texts)."""
-    docs = docs.drop("score")
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def add_scores(docs: DataFrame, model: object, drop: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` (text, ...) less the columns `drop`, with `score`; `model` has score(texts).  Written to the shared folder.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in names), pa.array(held.value.score(batch["text"]), pa.float64())], names=[*names, "score"])
-
-    return docs.mapInArrow(run, schema)
+    A column `score` (in any case) that is there already is replaced; all others stay.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    with Workspace(docs.sparkSession, "scores"):
+        scored = map_texts(docs, lambda texts: [pa.array(held.value.score(texts), pa.float64())], [T.StructField("score", T.DoubleType())], drop)
+        return scored.checkpoint()
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Quality of every document, learnt from labels outside the held-out fold.
+
+    Null and empty texts have no features and get the prior's score; very long ones are scored
+    whole; equal texts have equal scores, and each of repeated rows its row; no labels give 0.5;
+    an empty table gives none.  A null id is in no fold: neither held out nor learnt from.
+    """
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     model = train(docs.where(fold("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
-    scored = add_scores(docs.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+    scored = add_scores(docs.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text"), model, drop=("text",))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

@@ -1,4 +1,4 @@
-"""Exact repeated-substring removal: anchored buckets of suffixes, refined by bucket pointers.
+"""Repeated-substring removal: anchored buckets of suffixes, refined by bucket pointers.
 
 A 200-byte string that starts at two places has the same content, so a rule that looks only at
 its content picks the same anchor in it: here the rightmost smallest of its 169 32-byte q-gram
@@ -6,16 +6,21 @@ hashes.  The suffixes (window starts) of a document therefore fall into runs tha
 anchor, and two suffixes can only be equal to depth 200 if their anchors' q-grams are equal.
 
 1. One Arrow pass gives a row for each run (about one for 75 bytes): place, number of starts,
-   anchor q-gram (the initial bucket) and a hash of the run's bytes.
+   anchor q-gram (the initial bucket) and a 128-bit BLAKE2b digest of the run's bytes.
 2. Buckets with one row are final: those suffixes are unique.  Buckets whose rows all have the
-   same bytes are final too: all those suffixes repeat.
+   same bytes (by digest) are final too: all those suffixes repeat.
 3. The other buckets keep one row for each distinct run.  Their suffixes are refined in place:
    the bucket identifiers at depth d are sorted by the identifier found d bytes later, which
    gives depth 2d; the new identifiers are what the next round reads.  Buckets that became
    single drop out.  At depth 200 a bucket of two suffixes or more repeats.
-   A bucket with more than `hot_rows` distinct runs is not gathered: its suffixes are spread by
-   hashes of their 200 bytes and counted with map-side sums.
-4. The spans of a document are merged and cut from its bytes.
+4. A bucket with more than `hot_rows` distinct runs is dealt over tasks.  Each refines its part in
+   the same way and sends on its buckets at depth 200, one row each, known by the digest of
+   their 200 bytes; equal ones of different parts are joined with map-side sums.
+5. The spans of a document are merged and cut from its bytes.
+
+Texts are read in parts of a bounded size that overlap by a window less a byte: a window's anchor
+depends on the window alone, so the parts' runs are those of the whole, cut at more places.
+Digests stand for bytes: two different strings of the corpus have equal ones with probability 2^-128.
 """
 
 from __future__ import annotations
@@ -25,18 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import Workspace, batch_of, checkpoint_root, row_key, table
-from .minhash import BROADCAST_ROWS, whole_groups
+from .common import BROADCAST_ROWS, Columns, Workspace, batch_of, near, pick, row_key, same_row, table
+from .minhash import whole_groups
 
 LENGTH, QGRAM = 200, 32
 #: Text that a task works on at a time; its arrays take some hundred bytes for each byte.
 STEP_BYTES = 1 << 20
 _BYTE = tk.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_RUNS = pa.schema([("rk", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("seg", pa.int64())])
+_RUNS = pa.schema([("id", pa.int64()), ("rk", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("seg", pa.binary())])
+RUNS = "id long, rk long, start int, n int, anchor long, seg binary"
 
 
 def qgram_hashes(data: np.ndarray, q: int) -> np.ndarray:
@@ -59,11 +65,11 @@ def window_minimum(key: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(chunk: tk.Chunk, length: int, q: int) -> tuple[np.ndarray, ...]:
-    """Per run of window starts with one anchor: document, start in it, starts, anchor hash, content hash."""
+    """Per run of window starts with one anchor: document, start in it, starts, anchor hash, digest of its bytes."""
     size = chunk.end - chunk.start
     none = np.zeros(0, dtype=np.int64)
     if not (size >= length).any():
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), np.zeros((0, 16), np.uint8)
     data = chunk.data
     h = tk.mix(qgram_hashes(data, q))
     bits = np.uint64(max(1, int(len(h)).bit_length()))
@@ -78,21 +84,39 @@ def runs(chunk: tk.Chunk, length: int, q: int) -> tuple[np.ndarray, ...]:
     cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     n = np.diff(np.append(cut, len(a)))
     s = p[cut]
-    return doc[cut], s - chunk.start[doc[cut]], n, h[a[cut]], tk.span_hashes(data, s, s + n + length - 1)
+    return doc[cut], s - chunk.start[doc[cut]], n, h[a[cut]], tk.digests(data, s, s + n + length - 1)
+
+
+def _parts(chunk: tk.Chunk, length: int) -> Iterator[tuple[tk.Chunk, int]]:
+    """A chunk, or the overlapping parts of a single long document, with the place where each begins."""
+    if len(chunk) > 1 or len(chunk.data) <= 2 * STEP_BYTES:
+        yield chunk, 0
+        return
+    size = int(chunk.end[0])
+    for at in range(0, max(size - length + 1, 1), STEP_BYTES):
+        to = min(at + STEP_BYTES + length - 1, size)
+        yield tk.Chunk(chunk.lo, chunk.hi, chunk.data[at:to], np.array([0]), np.array([to - at])), at
+
+
+def fixed_binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as an array of binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def _find_runs(length: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch["rk"].to_numpy(zero_copy_only=False)
             for c in tk.chunks(batch["text"], STEP_BYTES):
-                doc, start, n, anchor, seg = runs(c, length, q)
-                yield batch_of(_RUNS, rk=keys[c.lo + doc], start=start.astype(np.int32), n=n.astype(np.int32), anchor=anchor.view(np.int64), seg=seg.view(np.int64))
+                for part, at in _parts(c, length):
+                    doc, start, n, anchor, seg = runs(part, length, q)
+                    row = pa.array(c.lo + doc)
+                    yield pa.RecordBatch.from_arrays([batch["id"].take(row), batch["rk"].take(row), pa.array((start + at).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), fixed_binary(seg)], schema=_RUNS)
 
     return run
 
 
-_CUT = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("n", pa.int32()), ("c", pa.int64()), ("body", pa.binary())])
+_CUT = pa.schema([("anchor", pa.int64()), ("seg", pa.binary()), ("n", pa.int32()), ("c", pa.int64()), ("body", pa.binary())])
+CUT = "anchor long, seg binary, n int, c long, body binary"
 
 
 def _cut_bytes(length: int):
@@ -101,7 +125,9 @@ def _cut_bytes(length: int):
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
                 body = text.as_py().encode()
                 rows = wanted.as_py()
-                yield batch_of(_CUT, anchor=[r["anchor"] for r in rows], seg=[r["seg"] for r in rows], n=[r["n"] for r in rows], c=[r["c"] for r in rows], body=[body[r["start"] : r["start"] + r["n"] + length - 1] for r in rows])
+                for lo in range(0, len(rows), 4096):
+                    some = rows[lo : lo + 4096]
+                    yield batch_of(_CUT, anchor=[r["anchor"] for r in some], seg=[r["seg"] for r in some], n=[r["n"] for r in some], c=[r["c"] for r in some], body=[body[r["start"] : r["start"] + r["n"] + length - 1] for r in some])
 
     return run
 
@@ -136,56 +162,74 @@ def refine(data: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
     return ids
 
 
-_DUP = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("from", pa.list_(pa.int32())), ("len", pa.list_(pa.int32()))])
+_DUP = pa.schema([("anchor", pa.int64()), ("seg", pa.binary()), ("from", pa.list_(pa.int32())), ("len", pa.list_(pa.int32()))])
+DUP = "anchor long, seg binary, `from` array<int>, len array<int>"
+
+
+def _refined(t: pa.Table, length: int) -> tuple[np.ndarray, ...]:
+    """Suffixes of the runs of a table: their run, place in it, bucket at depth `length`, and the runs' bytes and places."""
+    n = t["n"].to_numpy()
+    first = np.concatenate([[0], np.cumsum(n + length - 1)])
+    data = np.frombuffer(b"".join(t["body"].to_pylist()), dtype=np.uint8)
+    ids = refine(data, first, length)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, at, ids[first[row] + at], data, first
+
+
+def _spans(row: np.ndarray, at: np.ndarray, dup: np.ndarray, n: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Stretches of marked suffixes of each of n runs, as lists; and how many each has."""
+    edge = np.flatnonzero(dup & np.concatenate([[True], ~dup[:-1] | (row[1:] != row[:-1])]))
+    last = np.flatnonzero(dup & np.concatenate([~dup[1:] | (row[1:] != row[:-1]), [True]]))
+    per = np.searchsorted(row[edge], np.arange(n + 1)).astype(np.int32)
+    lo = pa.ListArray.from_arrays(pa.array(per), pa.array(at[edge].astype(np.int32)))
+    return lo, pa.ListArray.from_arrays(pa.array(per), pa.array((last - edge + 1).astype(np.int32))), np.diff(per)
 
 
 def _refine_groups(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "anchor", STEP_BYTES):
             t = t.combine_chunks()
-            n, c = t["n"].to_numpy(), t["c"].to_numpy()
-            size = n + length - 1
-            first = np.concatenate([[0], np.cumsum(size)])
-            data = np.frombuffer(b"".join(t["body"].to_pylist()), dtype=np.uint8)
-            ids = refine(data, first, length)
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            got = ids[first[row] + at]
+            c = t["c"].to_numpy()
+            row, at, got, _, _ = _refined(t, length)
             some = got >= 0
             weight = np.bincount(got[some], weights=c[row[some]]) if some.any() else np.zeros(1)
-            dup = (c[row] > 1) | (some & (weight[np.maximum(got, 0)] > 1))
-            edge = np.flatnonzero(dup & np.concatenate([[True], ~dup[:-1] | (row[1:] != row[:-1])]))
-            last = np.flatnonzero(dup & np.concatenate([~dup[1:] | (row[1:] != row[:-1]), [True]]))
-            per = np.searchsorted(row[edge], np.arange(len(n) + 1)).astype(np.int32)
-            lo = pa.ListArray.from_arrays(pa.array(per), pa.array(at[edge].astype(np.int32)))
-            ln = pa.ListArray.from_arrays(pa.array(per), pa.array((last - edge + 1).astype(np.int32)))
+            lo, ln, count = _spans(row, at, (c[row] > 1) | (some & (weight[np.maximum(got, 0)] > 1)), len(c))
             out = pa.RecordBatch.from_arrays([t["anchor"].combine_chunks(), t["seg"].combine_chunks(), lo, ln], schema=_DUP)
-            yield out.filter(pa.array(np.diff(per) > 0))
+            yield out.filter(pa.array(count > 0))
 
     return run
 
 
-_HOT = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("at", pa.int32()), ("c", pa.int64()), ("hash", pa.int64())])
+_HOT = pa.schema([("anchor", pa.int64()), ("seg", pa.binary()), ("at", pa.int32()), ("c", pa.int64()), ("key", pa.binary())])
 
 
-def _spread(length: int):
+def _refine_part(length: int):
+    """Parts of hot buckets -> their suffixes, with how many the part has that are equal and the digest of the 200 bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                t = batch.slice(lo, 4096)
-                n = t["n"].to_numpy(zero_copy_only=False).astype(np.int64)
-                first = np.cumsum(n + length - 1) - (n + length - 1)
-                data = np.frombuffer(b"".join(t["body"].to_pylist()), dtype=np.uint8)
-                row = np.repeat(np.arange(len(n)), n)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                h = tk.span_hashes(data, first[row] + at, first[row] + at + length)
-                take = lambda k: t[k].to_numpy(zero_copy_only=False)[row]  # noqa: B023, E731
-                yield batch_of(_HOT, anchor=take("anchor"), seg=take("seg"), at=at.astype(np.int32), c=take("c"), hash=h.view(np.int64))
+        for t in whole_groups(batches, "part", STEP_BYTES):
+            t = t.combine_chunks()
+            c = t["c"].to_numpy()
+            row, at, got, data, first = _refined(t, length)
+            # Suffixes whose bucket became single on the way are buckets of one.
+            single = got < 0
+            bucket = np.where(single, got.max(initial=-1) + 1 + np.cumsum(single), got)
+            _, one, back = np.unique(bucket, return_index=True, return_inverse=True)
+            start = first[row[one]] + at[one]
+            order = np.argsort(start)
+            keys = np.empty((len(one), 16), np.uint8)
+            keys[order] = tk.digests(data, start[order], start[order] + length)
+            own = np.bincount(back, weights=c[row], minlength=len(one)).astype(np.int64)
+            lead = np.zeros(len(row), dtype=bool)
+            lead[one] = True
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([t["anchor"].combine_chunks().take(take), t["seg"].combine_chunks().take(take), pa.array(at.astype(np.int32)), pa.array(np.where(lead, own[back], 0)), fixed_binary(keys[back])], schema=_HOT)
 
     return run
 
 
-_MERGED = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int32())))])
+_MERGED = pa.schema([("id", pa.int64()), ("rk", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int32())))])
 
 
 def merge(spans: list[dict]) -> list[list[int]]:
@@ -198,116 +242,131 @@ def merge(spans: list[dict]) -> list[list[int]]:
     return out
 
 
+def _kept(body: bytes, cut: list[list[int]]) -> bytes:
+    edges = [0, *(x for s in cut for x in s), len(body)]
+    return b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def _remove(with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, rk, text, spans in zip(*(batch[k] for k in ("doc_id", "rk", "text", "spans")), strict=True):
+            for doc, rk, text, spans in zip(*(batch[k] for k in ("id", "rk", "text", "spans")), strict=True):
                 body, cut = text.as_py().encode(), merge(spans.as_py())
-                edges = [0, *(x for s in cut for x in s), len(body)]
-                kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                kept = _kept(body, cut)
                 rows.append((doc.as_py(), rk.as_py(), len(body) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None, cut if with_bytes else None))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, _MERGED, strict=True)], schema=_MERGED)
 
     return run
 
 
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose rk is in keys (distinct): a bounded table is sent to the scan, a larger one shuffled."""
-    n = keys.limit(BROADCAST_ROWS + 1).count()
-    return docs.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "rk", "left_semi")
+def _slim(docs: DataFrame) -> DataFrame:
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), "text", row_key("text").alias("rk"))
+
+
+def _texts(slim: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows (id, rk, text) of the distinct keys (id, rk), each once."""
+    keys = near(keys)
+    return slim.join(keys, same_row(slim, keys), "left_semi").dropDuplicates(["id", "rk"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_rows: int = 4_000) -> DataFrame:
-    """(doc_id, text) -> rk, spans: byte spans [lo, hi) whose every byte lies in a repeated string of `length` bytes.
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that are the same, with the other columns of `right`."""
+    other = [c for c in right.columns if c not in ("id", "rk")]
+    return left.join(right, same_row(left, right)).select(left["*"], *other)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_rows: int = 1_000) -> DataFrame:
+    """(doc_id, text) -> id, rk, spans: byte spans [lo, hi) whose every byte lies in a repeated string of `length` bytes.
 
     One row for each distinct (doc_id, text) with a repeat; spans may touch or overlap (merge()
-    joins them).  Null or short texts have no spans; a row that occurs twice repeats itself.
+    joins them).  Null, empty and short texts have no spans; very long ones are read in parts; a
+    row that occurs twice repeats itself; an empty table has none.  Extra columns are ignored.
     """
     spark = docs.sparkSession
-    checkpoint_root(spark)
     with Workspace(spark, "suffixes") as ws:
-        slim = docs.select(row_key("doc_id", "text").alias("rk"), "text").where("text is not null")
-        all_runs = ws.save(slim.mapInArrow(_find_runs(length, q), "rk long, start int, n int, anchor long, seg long"), "runs")
+        slim = _slim(docs).where("text is not null")
+        all_runs = ws.save(slim.select("id", "rk", "text").mapInArrow(_find_runs(length, q), RUNS), "runs")
         shared = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("k > 1")
         # Written first: a join of two plain shuffles, which AQE splits where an anchor is hot.
         shared = ws.save(shared.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
-        kept = all_runs.join(shared, "anchor")
-        kept = ws.save(kept, "shared")
+        kept = ws.save(all_runs.join(shared, "anchor"), "shared")
         ws.drop("runs", "anchors")
-        first = F.min(F.struct("rk", "start")).alias("at")
+        first = F.min(F.struct("id", "rk", "start")).alias("at")
         distinct = kept.where("mixed").groupBy("anchor", "seg", "n").agg(F.count(F.lit(1)).alias("c"), first)
-        distinct = ws.save(distinct.select("anchor", "seg", "n", "c", "at.rk", "at.start"), "distinct")
-        wanted = distinct.groupBy("rk").agg(F.collect_list(F.struct("anchor", "seg", "start", "n", "c")).alias("wanted"))
-        texts = _only(slim, distinct.select("rk").distinct()).dropDuplicates(["rk"])
-        cut = ws.save(texts.join(wanted, "rk").select("text", "wanted").mapInArrow(_cut_bytes(length), "anchor long, seg long, n int, c long, body binary"), "cut")
-        hot = ws.save(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot_rows).select("anchor"), "hot")
-        cold = _near_anti(cut, hot).repartition("anchor").sortWithinPartitions("anchor")
-        dup_schema = "anchor long, seg long, `from` array<int>, len array<int>"
-        found = cold.mapInArrow(_refine_groups(length), dup_schema)
+        distinct = ws.save(distinct.select("anchor", "seg", "n", "c", "at.id", "at.rk", "at.start"), "distinct")
+        wanted = distinct.groupBy("id", "rk").agg(F.collect_list(F.struct("anchor", "seg", "start", "n", "c")).alias("wanted"))
+        texts = _texts(slim, distinct.select("id", "rk").distinct())
+        cut = ws.save(_beside(texts, wanted).select("text", "wanted").mapInArrow(_cut_bytes(length), CUT), "cut")
+        hot = ws.save(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot_rows), "hot")
+        few = near(hot)
+        cold = cut.join(few.select("anchor"), "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+        found = cold.mapInArrow(_refine_groups(length), DUP)
         if not hot.isEmpty():
-            spread = ws.save(cut.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "anchor", "left_semi").mapInArrow(_spread(length), "anchor long, seg long, at int, c long, hash long"), "spread")
-            twice = spread.groupBy("anchor", "hash").agg(F.sum("c").alias("k")).where("k > 1").select("anchor", "hash")
-            at = spread.join(twice, ["anchor", "hash"]).groupBy("anchor", "seg").agg(F.collect_list("at").alias("from"))
+            part = F.xxhash64("anchor", F.pmod(F.xxhash64("seg"), F.ceil(F.col("k") / F.lit(max(hot_rows, 1)))))
+            dealt = cut.join(few, "anchor").withColumn("part", part).drop("k").repartition("part").sortWithinPartitions("part")
+            spread = ws.save(dealt.mapInArrow(_refine_part(length), "anchor long, seg binary, at int, c long, key binary"), "spread")
+            twice = ws.save(spread.where("c > 0").groupBy("anchor", "key").agg(F.sum("c").alias("k")).where("k > 1").select("anchor", "key"), "twice")
+            at = spread.join(twice, ["anchor", "key"]).groupBy("anchor", "seg").agg(F.collect_list("at").alias("from"))
             found = found.unionByName(at.withColumn("len", F.expr("transform(`from`, x -> 1)")))
         found = ws.save(found, "found")
         ws.drop("cut")
-        whole = kept.where("not mixed").select("rk", F.col("start").alias("lo"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi"))
-        parts = kept.where("mixed").join(found, ["anchor", "seg"]).select("rk", "start", F.explode(F.arrays_zip("from", "len")).alias("r"))
-        parts = parts.select("rk", (F.col("start") + F.col("r.from")).alias("lo"), (F.col("start") + F.col("r.from") + F.col("r.len") + F.lit(length - 1)).alias("hi"))
-        return whole.unionByName(parts).distinct().groupBy("rk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).checkpoint()
+        whole = kept.where("not mixed").select("id", "rk", F.col("start").alias("lo"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi"))
+        parts = kept.where("mixed").join(found, ["anchor", "seg"]).select("id", "rk", "start", F.explode(F.arrays_zip("from", "len")).alias("r"))
+        parts = parts.select("id", "rk", (F.col("start") + F.col("r.from")).alias("lo"), (F.col("start") + F.col("r.from") + F.col("r.len") + F.lit(length - 1)).alias("hi"))
+        return whole.unionByName(parts).distinct().groupBy("id", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).checkpoint()
 
 
-def _near_anti(df: DataFrame, keys: DataFrame) -> DataFrame:
-    n = keys.limit(BROADCAST_ROWS + 1).count()
-    return df.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "anchor", "left_anti")
+def _bounded(spans: DataFrame) -> DataFrame:
+    """Rows with their spans, sent to every task only where rows and spans together are few."""
+    n = spans.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0))).first()[0]
+    return F.broadcast(spans) if n <= BROADCAST_ROWS else spans
 
 
 def removals(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True, **options: int) -> DataFrame:
-    """For documents with repeats only: doc_id, rk, n_removed, n_spans, kept_sha256, kept (bytes), spans (merged)."""
+    """For documents with repeats only: id, rk, n_removed, n_spans, kept_sha256, kept (bytes), spans (merged)."""
     spans = repeated_spans(docs, length, **options)
-    slim = docs.select("doc_id", "text", row_key("doc_id", "text").alias("rk"))
-    texts = _only(slim, spans.select("rk")).join(spans, "rk").dropDuplicates(["rk"])
-    return texts.select("doc_id", "rk", "text", "spans").mapInArrow(
-        _remove(with_bytes), "doc_id long, rk long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<int>>"
+    texts = _beside(_texts(_slim(docs), spans.select("id", "rk")), spans)
+    return texts.select("id", "rk", "text", "spans").mapInArrow(
+        _remove(with_bytes), "id long, rk long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<int>>"
     )
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **options: int) -> DataFrame:
-    """`docs` with every repeated string of `length` bytes cut out of `text`; rows, order of columns and other values stay.
+    """`docs` with every repeated string of `length` bytes cut out of `text`; rows, columns, their names and other values stay.
 
     A cut may fall inside a multi-byte character; what is left of it is dropped, so `text` stays
-    valid.  `n_chars`, where there is one, is counted anew.  Null texts stay null.
+    valid.  `n_chars`, where there is one, is counted anew.  Null texts stay null; of rows that
+    repeat both id and text each is cut alike.  An empty table stays empty.
     """
-    spans = repeated_spans(docs, length, **options)
-    keyed = docs.withColumn("_cut_key", row_key("doc_id", "text"))
-    spans = spans.select(F.col("rk").alias("_cut_at"), F.col("spans").alias("_cut_spans"))
-    few = spans.limit(BROADCAST_ROWS // 20 + 1).count() <= BROADCAST_ROWS // 20
-    cut = keyed.join(F.broadcast(spans) if few else spans, F.col("_cut_key") == F.col("_cut_at"), "left").drop("_cut_key", "_cut_at")
-    names = docs.columns
+    held = Columns(docs)
+    spans = _bounded(repeated_spans(docs, length, **options))
+    text = held.at("text")
+    rows = held.df.withColumns({"id": F.col(held.at("doc_id")), "rk": row_key(text)})
+    cut = rows.join(spans, same_row(rows, spans), "left").select(*held.df.columns, "spans")
+    names = held.df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, found in zip(batch["text"], batch["_cut_spans"], strict=True):
-                text = text.as_py()
-                if found.as_py():
-                    body = text.encode()
-                    edges = [0, *(x for s in merge(found.as_py()) for x in s), len(body)]
-                    text = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore")
-                texts.append(text)
-            cols = [pa.array(texts, pa.string()) if k == "text" else batch[k] for k in names]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            texts = [t.as_py() if not s.is_valid else _kept(t.as_py().encode(), merge(s.as_py())).decode("utf-8", "ignore") for t, s in zip(batch[text], batch["spans"], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == text else batch[k] for k in names], names=names)
 
-    out = cut.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = cut.mapInArrow(run, held.df.schema)
+    if held.has("n_chars"):
+        n: Column = F.length(text).cast(docs.schema.fields[held.index("n_chars")].dataType)
+        out = out.withColumn(held.at("n_chars"), n)
+    return held.back(out)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = removals(docs, with_bytes=False).select("rk", "n_removed", "n_spans", "kept_sha256")
+    """What stays of every document of `documents` without repeated 200-byte strings.
+
+    A null text is empty: no bytes, nothing removed, the digest of nothing.  See `repeated_spans`.
+    """
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = removals(docs, with_bytes=False).select("id", "rk", "n_removed", "n_spans", "kept_sha256")
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    plain = docs.select("doc_id", row_key("doc_id", "text").alias("rk"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha"))
-    return plain.join(found, "rk", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
+    plain = docs.select(F.col("doc_id").alias("id"), row_key("text").alias("rk"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha"))
+    return plain.join(found, same_row(plain, found), "left").select(
+        plain["id"].alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
     )

@@ -1,23 +1,30 @@
-"""Vectorised text primitives on UTF-8 bytes: chunks of documents, words, and 64-bit hashes.
+"""Vectorised text primitives on UTF-8 bytes: chunks of documents, words, keys and hashes.
 
 Everything works on whole documents.  A batch is cut into chunks of a bounded number of bytes
 between documents, so memory does not depend on the batch; a document longer than the bound
 forms a chunk of its own.
+
+A word is known by a 16-byte key: its bytes and length where it has at most 15, else 15 bytes of
+a BLAKE2b digest.  Short words are thus told apart by their bytes and long ones by a strong
+digest; the 64-bit hash of a word is a mix of its key and serves for search only, wherever a
+match decides about a document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_pows: dict[int, np.ndarray] = {}
+#: Bytes of one long text that are cut into words at a time.
+PIECE_BYTES = 4 << 20
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
 def _table(word: str) -> np.ndarray:
@@ -39,17 +46,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _pows.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        out[0] = 1
-        have = _pows[base] = np.multiply.accumulate(out)
-        if len(have) > 4 * CHUNK_BYTES:
-            del _pows[base]
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3: a bijection that spreads every input bit."""
     h = h.astype(np.uint64, copy=True)
@@ -61,20 +57,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of `data`, which goes on for eight bytes beyond the last place."""
+    rows = np.lib.stride_tricks.sliding_window_view(data, 8)
+    return rows[at].view("<u8").ravel()
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 16) -> np.ndarray:
+    """BLAKE2b digests of byte spans, a row of `size` bytes each."""
+    body = memoryview(np.ascontiguousarray(data))
+    out = b"".join(blake2b(body[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.frombuffer(out, dtype=np.uint8).reshape(-1, size)
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each span: equal if, and only if, bytes (from 16 on: digests) are equal."""
+    n = ends - starts
+    if not len(n):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    data = np.concatenate([data, np.zeros(16, np.uint8)])
+    first = _eight(data, starts) & _LOW[np.minimum(n, 8)]
+    more = np.flatnonzero(n > 8)
+    second = np.zeros(len(n), dtype=np.uint64)
+    second[more] = _eight(data, starts[more] + 8) & _LOW[np.minimum(n[more] - 8, 7)]
+    second |= np.minimum(n, 16).astype(np.uint64) << np.uint64(56)
+    long_ = np.flatnonzero(n > 15)
+    if len(long_):
+        d = digests(data, starts[long_], ends[long_])
+        d = d.copy()
+        d[:, 15] = 16
+        d = d.view("<u8")
+        first[long_], second[long_] = d[:, 0], d[:, 1]
+    return first, second
+
+
+def key_hash(k1: np.ndarray, k2: np.ndarray, seed: int = 0) -> np.ndarray:
+    return mix(mix(k1 + _ODD[seed]) ^ (k2 * _ODD[(seed + 1) % 3]))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), starts ascending; equal bytes, equal hash."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        lo = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(starts, lo + CHUNK_BYTES)))
-        hi = int(ends[at:to].max())
-        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _powers(_P, hi - lo), out=sums[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = (sums[e] - sums[s]) * _powers(_PINV, hi - lo + 1)[s]
-        at = to
-    return mix(out)
+    """64-bit hashes of byte spans; equal bytes, equal hash."""
+    return key_hash(*span_keys(data, starts, ends))
 
 
 @dataclass
@@ -127,10 +150,12 @@ def _chunks(texts: pa.Array, max_bytes: int, separate: bool) -> Iterator[Chunk]:
 
 @dataclass
 class Words:
-    """Words of a chunk in text order: byte spans, hash and the (chunk-relative) document of each."""
+    """Words of a chunk in text order: byte spans, key and hash, and the (chunk-relative) document of each."""
 
     start: np.ndarray
     end: np.ndarray
+    k1: np.ndarray
+    k2: np.ndarray
     hash: np.ndarray
     doc: np.ndarray
     first: np.ndarray  # index of the first word of each document, one entry more than documents
@@ -148,7 +173,35 @@ def words(chunk: Chunk, kind: str, lower: bool = True) -> tuple[np.ndarray, Word
     start, end = step[::2], step[1::2]
     first = np.searchsorted(start, np.append(chunk.start, len(data)))
     doc = np.repeat(np.arange(len(chunk)), np.diff(first))
-    return data, Words(start, end, span_hashes(data, start, end), doc, first)
+    k1, k2 = span_keys(data, start, end)
+    return data, Words(start, end, k1, k2, key_hash(k1, k2), doc, first)
+
+
+def pieces(chunk: Chunk, kind: str) -> Iterator[Chunk]:
+    """A chunk of documents as it is; a single long document in parts that end between words."""
+    if len(chunk) > 1 or len(chunk.data) <= PIECE_BYTES:
+        yield chunk
+        return
+    size, at = len(chunk.data), 0
+    table = WORD[kind][LOWER]
+    while at < size:
+        to = min(at + PIECE_BYTES, size)
+        while to < size and table[chunk.data[to - 1]]:  # on to the end of the word, however long
+            stop = np.flatnonzero(~table[chunk.data[to : to + PIECE_BYTES]])
+            to = min(to + (int(stop[0]) + 1 if len(stop) else PIECE_BYTES), size)
+        yield Chunk(chunk.lo, chunk.hi, chunk.data[at:to], np.array([0]), np.array([to - at]))
+        at = to
+
+
+def numbers(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each key from 0 on, equal only for equal keys; and how many there are."""
+    order = np.lexsort((k2, k1))
+    a, b = k1[order], k2[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    out = np.empty(len(a), dtype=np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out, int(new.sum())
 
 
 def lookup(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -164,7 +217,13 @@ def sum_by(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n)[:n]
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, ... (count[0] of them), then those of first[1], and so on."""
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 def text_hashes(texts: list[str]) -> np.ndarray:
     """Hashes of whole strings, as `span_hashes` gives them."""
-    out = [next(iter(span_hashes(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), np.array([0]), np.array([len(t.encode("utf-8", "surrogatepass"))])))) for t in texts]
-    return np.array(out, dtype=np.uint64)
+    body = [t.encode("utf-8", "surrogatepass") for t in texts]
+    end = np.cumsum([len(b) for b in body])
+    return span_hashes(np.frombuffer(b"".join(body), np.uint8), end - np.array([len(b) for b in body]), end)

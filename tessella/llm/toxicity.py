@@ -11,9 +11,9 @@ n exp(-lambda S) of a segment is then the number of segments as good that chance
 document of n tokens.  Significant segments are those for which it is small; a document's
 score is a logistic function of its best and of its summed significance.
 
-The log-odds and the calibration are a classifier of bounded size (`max_features`), fitted on a
-bounded sample of labelled documents (`max_docs`): one half of it gives the log-odds by which
-the other half is calibrated.
+The log-odds and the calibration are fitted on a bounded sample of labelled documents (`max_docs`
+of them and 64 MB of text): one half of it gives the log-odds by which the other half is
+calibrated.  All features of the sample with significant log-odds are kept.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import Workspace, batch_of, checkpoint_root, fold, table
+from .common import Workspace, batch_of, fold, pick, table
 from .langid import bounded_sample, folded
 from .quality import add_scores, labelled
 
-MAX_DOCS, MAX_FEATURES, PREFIXES = 20_000, 50_000, (4, 5, 6, 7)
+MAX_DOCS, PREFIXES = 20_000, (4, 5, 6, 7)
 FLAT, PRIOR, Z, DRIFT, EXPECT = 0.5, 100.0, 3.3, 0.15, 0.05
 
 
@@ -96,30 +96,35 @@ def maximal_segments(pos: list[int], gain: list[float], drift: float) -> Segment
     """All maximal scoring segments where word pos[i] gains gain[i] and every other word costs drift.
 
     One pass with a stack: a new gain joins the nearest earlier segment that starts lower and
-    ends lower than it does, with all between; every segment is pushed and removed once.
+    ends lower than it does, with all between.  Each segment knows the nearest one before it that
+    starts lower, so the search goes from link to link and the whole scan is linear.
     """
     lo: list[int] = []
     hi: list[int] = []
     left: list[float] = []  # cumulative score before the segment
     right: list[float] = []  # and at its end
+    lower: list[int] = []  # nearest earlier segment that starts lower, or -1
     total, last = 0.0, -1
     for p, g in zip(pos, gain, strict=True):
         total -= drift * (p - last - 1)
         a, l = p, total
         total += g
         r, last = total, p
+        j = len(lo) - 1
         while True:
-            j = len(lo) - 1
             while j >= 0 and left[j] >= l:
-                j -= 1
+                j = lower[j]
             if j < 0 or right[j] >= r:
                 break
             a, l = lo[j], left[j]
             del lo[j:], hi[j:], left[j:], right[j:]
+            j = lower[j]
+            del lower[len(lo) :]
         lo.append(a)
         hi.append(p + 1)
         left.append(l)
         right.append(r)
+        lower.append(j)
     return Segments(lo, hi, [r - l for l, r in zip(left, right, strict=True)])
 
 
@@ -196,24 +201,36 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES) -> ToxicityModel:
-    """docs (doc_id, text) and labels (doc_id, label) -> model.  No labels give a model without features."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = MAX_DOCS) -> ToxicityModel:
+    """docs (doc_id, text) and labels (doc_id, label) -> model.  No labels give a model without features.
+
+    Null texts, ids and labels and ids with two labels teach nothing; repeated rows teach twice.
+    """
     spark = docs.sparkSession
-    checkpoint_root(spark)
     with Workspace(spark, "toxicity") as ws:
         rows = bounded_sample(labelled(docs, labels, label), max_docs)
         rows = ws.save(rows.select("text", "label", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")), "sample")
         per = {(r["half"], r["label"]): r["n"] for r in rows.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
         counts = rows.mapInArrow(_count, "hash long, t0 long, c0 long, t1 long, c1 long").groupBy("hash").agg(*[F.sum(k).alias(k) for k in ("t0", "c0", "t1", "c1")])
-        top = counts.where(F.col("t0") + F.col("t1") > 2).orderBy(((F.col("t0") + F.col("t1")) / (F.col("c0") + F.col("c1") + 1)).desc(), (F.col("t0") + F.col("t1")).desc(), "hash").limit(max_features).toArrow()
+        n = lambda half, y: float(per.get((half, y), 0))
+        first, both = (n(0, 1), n(0, 0)), (n(0, 1) + n(1, 1), n(0, 0) + n(1, 0))
+
+        def significant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                t0, c0, t1, c1 = (batch[k].to_numpy().astype(float) for k in ("t0", "c0", "t1", "c1"))
+                keep = np.zeros(batch.num_rows, dtype=bool)
+                for t, c, of in ((t0, c0, first), (t0 + t1, c0 + c1, both)):
+                    d, z = _odds(t, c, *of)
+                    keep |= (z >= Z) & (d > 0)
+                yield batch.filter(pa.array(keep))
+
+        top = counts.mapInArrow(significant, counts.schema).toArrow()
         h = top["hash"].to_numpy().view(np.uint64)
         t0, c0, t1, c1 = (top[k].to_numpy().astype(float) for k in ("t0", "c0", "t1", "c1"))
-        n = lambda half, y: float(per.get((half, y), 0))
-        model = lambda t, c, nt, nc: _select(h, t, c, nt, nc)
-        trial = model(t0, c0, n(0, 1), n(0, 0))
+        trial = _select(h, t0, c0, *first)
         trial.lam = _background(rows.where("half = 1"), trial)
         xy = _measure(rows.where("half = 1"), trial)
-        final = model(t0 + t1, c0 + c1, n(0, 1) + n(1, 1), n(0, 0) + n(1, 0))
+        final = _select(h, t0 + t1, c0 + c1, *both)
         final.lam, final.weights = trial.lam, _fit_logistic(xy[:, :3], xy[:, 3])
         return final
 
@@ -252,7 +269,10 @@ def _measure(rows: DataFrame, model: ToxicityModel) -> np.ndarray:
 
 
 def passages(docs: DataFrame, model: ToxicityModel, expect: float = EXPECT) -> DataFrame:
-    """doc_id and every significant toxic passage of it: word numbers [lo, hi), score, chance count."""
+    """doc_id and every significant toxic passage of it: word numbers [lo, hi), score, chance count.
+
+    Null and empty texts have none; each of repeated rows has its own.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +286,18 @@ def passages(docs: DataFrame, model: ToxicityModel, expect: float = EXPECT) -> D
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "lo", "hi", "score", "chance"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lo int, hi int, score double, chance double")
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lo int, hi int, score double, chance double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Toxicity of every document, learnt from labels outside the held-out fold.
+
+    Null and empty texts have the score of a text without a toxic passage; very long ones are
+    scored whole; equal texts have equal scores, and each of repeated rows its row; no labels
+    give the prior alone; an empty table gives none.  A null id is in no fold: neither held out nor
+    learnt from.
+    """
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     model = train(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
-    scored = add_scores(docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+    scored = add_scores(docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text"), model, drop=("text",))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
