@@ -78,7 +78,7 @@ def fit_index(x: np.ndarray, mean: np.ndarray, points: np.ndarray, threshold: fl
     """
     every = len(points)
     if len(x) and x.shape[1] > 1:
-        x = units(x)
+        x = np.repeat(units(x), -(-SAMPLE // len(x)), axis=0)  # few vectors have several partners each
         z = np.random.Generator(np.random.PCG64(seed)).normal(size=x.shape)
         z -= (z * x).sum(axis=1, keepdims=True) * x
         y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * units(z)
