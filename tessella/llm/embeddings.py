@@ -226,7 +226,8 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims, dtype=np.int32)), pa.array(total), pa.array(np.full(dims, n))], names=["i", "s", "n"])
 
         parts = classes.select("embedding").mapInArrow(sums, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("i").collect()  # a row a dimension
-        mean = np.array([r["s"] / max(r["n"], 1) for r in parts]) if parts else np.zeros(dims)
+        # Drawn towards zero by as much as 64 vectors weigh: a few vectors do not lie all round their mean.
+        mean = np.array([r["s"] / (r["n"] + 64) for r in parts]) if parts else np.zeros(dims)
         sample = classes.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(SAMPLE).select("embedding").toArrow()
         x, size = _matrix(sample["embedding"].combine_chunks(), dims) if sample.num_rows else (np.zeros((0, dims)), np.zeros(0))
         prefix, shared, displacement = fit_index(x[size == dims], mean, pivots(n_pivots, dims), threshold, prefix, shared, recall)
