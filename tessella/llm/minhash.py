@@ -306,7 +306,7 @@ def near_duplicates(
             open_ = ws.save(open_.select("bucket", "top"), f"open-{step}")
             if open_.isEmpty():
                 break
-            left = placed.join(open_, "bucket")
+            left = placed.join(near(open_), "bucket")
             if step == "high":
                 more = _star(left.where("comp <> top.comp").select("rep", F.col("top.rep").alias("centre")), texts, ws, step, shingle, threshold, bands * rows)
             else:

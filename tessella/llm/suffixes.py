@@ -229,6 +229,17 @@ def _refine_part(length: int):
     return run
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted places of suffixes in a run -> stretches of consecutive ones."""
+    for batch in batches:
+        at = batch["at"].flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch["at"].offsets)))
+        edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)])
+        per = pa.array(np.searchsorted(row[edge], np.arange(batch.num_rows + 1)).astype(np.int32))
+        n = np.diff(np.append(edge, len(at))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch["anchor"], batch["seg"], pa.ListArray.from_arrays(per, pa.array(at[edge].astype(np.int32))), pa.ListArray.from_arrays(per, pa.array(n))], schema=_DUP)
+
+
 _MERGED = pa.schema([("id", pa.int64()), ("rk", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int32())))])
 
 
@@ -307,8 +318,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_ro
             dealt = cut.join(few, "anchor").withColumn("part", part).drop("k").repartition("part").sortWithinPartitions("part")
             spread = ws.save(dealt.mapInArrow(_refine_part(length), "anchor long, seg binary, at int, c long, key binary"), "spread")
             twice = ws.save(spread.where("c > 0").groupBy("anchor", "key").agg(F.sum("c").alias("k")).where("k > 1").select("anchor", "key"), "twice")
-            at = spread.join(twice, ["anchor", "key"]).groupBy("anchor", "seg").agg(F.collect_list("at").alias("from"))
-            found = found.unionByName(at.withColumn("len", F.expr("transform(`from`, x -> 1)")))
+            at = spread.join(twice, ["anchor", "key"]).groupBy("anchor", "seg").agg(F.array_sort(F.collect_list("at")).alias("at"))
+            found = found.unionByName(at.mapInArrow(_stretches, DUP))
         found = ws.save(found, "found")
         ws.drop("cut")
         whole = kept.where("not mixed").select("id", "rk", F.col("start").alias("lo"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi"))
