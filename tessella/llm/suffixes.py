@@ -15,7 +15,8 @@ anchor, and two suffixes can only be equal to depth 200 if their anchors' q-gram
    single drop out.  At depth 200 a bucket of two suffixes or more repeats.
 4. A bucket with more than `hot_rows` distinct runs is dealt over tasks.  Each refines its part in
    the same way and sends on its buckets at depth 200, one row each, known by the digest of
-   their 200 bytes; equal ones of different parts are joined with map-side sums.
+   their 200 bytes; equal ones of different parts are joined with map-side sums, and a part is
+   told which of its single suffixes others repeat.
 5. The spans of a document are merged and cut from its bytes.
 
 Texts are read in parts of a bounded size that overlap by a window less a byte: a window's anchor
@@ -201,43 +202,51 @@ def _refine_groups(length: int):
     return run
 
 
-_HOT = pa.schema([("anchor", pa.int64()), ("seg", pa.binary()), ("at", pa.int32()), ("c", pa.int64()), ("key", pa.binary())])
+_PART = pa.schema([("part", pa.int64()), ("anchor", pa.int64()), ("key", pa.binary()), ("c", pa.int64())])
+
+
+def _buckets(t: pa.Table, length: int) -> tuple[np.ndarray, ...]:
+    """Suffixes of a part's runs: run, place, bucket; of each bucket its weight, first suffix and where that begins; the bytes."""
+    row, at, got, data, first = _refined(t, length)
+    # Suffixes whose bucket became single on the way are buckets of one.
+    got = np.where(got < 0, got.max(initial=-1) + np.cumsum(got < 0), got)
+    _, one, bucket = np.unique(got, return_index=True, return_inverse=True)
+    weight = np.bincount(bucket, weights=t["c"].to_numpy()[row], minlength=len(one)).astype(np.int64)
+    return row, at, bucket, weight, one, first[row[one]] + at[one], data
 
 
 def _refine_part(length: int):
-    """Parts of hot buckets -> their suffixes, with how many the part has that are equal and the digest of the 200 bytes."""
+    """Parts of hot buckets -> each bucket of a part at depth `length`: the digest of its bytes, and how many suffixes it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "part", STEP_BYTES):
-            t = t.combine_chunks()
-            c = t["c"].to_numpy()
-            row, at, got, data, first = _refined(t, length)
-            # Suffixes whose bucket became single on the way are buckets of one.
-            single = got < 0
-            bucket = np.where(single, got.max(initial=-1) + 1 + np.cumsum(single), got)
-            _, one, back = np.unique(bucket, return_index=True, return_inverse=True)
-            start = first[row[one]] + at[one]
-            order = np.argsort(start)
-            keys = np.empty((len(one), 16), np.uint8)
-            keys[order] = tk.digests(data, start[order], start[order] + length)
-            own = np.bincount(back, weights=c[row], minlength=len(one)).astype(np.int64)
-            lead = np.zeros(len(row), dtype=bool)
-            lead[one] = True
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([t["anchor"].combine_chunks().take(take), t["seg"].combine_chunks().take(take), pa.array(at.astype(np.int32)), pa.array(np.where(lead, own[back], 0)), fixed_binary(keys[back])], schema=_HOT)
+            row, _, _, weight, one, start, data = _buckets(t := t.combine_chunks(), length)
+            take = pa.array(row[one])
+            yield pa.RecordBatch.from_arrays([t["part"].combine_chunks().take(take), t["anchor"].combine_chunks().take(take), fixed_binary(tk.digests(data, start, start + length)), pa.array(weight)], schema=_PART)
 
     return run
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted places of suffixes in a run -> stretches of consecutive ones."""
-    for batch in batches:
-        at = batch["at"].flatten().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch["at"].offsets)))
-        edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)])
-        per = pa.array(np.searchsorted(row[edge], np.arange(batch.num_rows + 1)).astype(np.int32))
-        n = np.diff(np.append(edge, len(at))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch["anchor"], batch["seg"], pa.ListArray.from_arrays(per, pa.array(at[edge].astype(np.int32))), pa.ListArray.from_arrays(per, pa.array(n))], schema=_DUP)
+def _refine_known(length: int):
+    """The parts again, with the digests of suffixes that only other parts repeat (rows without a body) -> repeated stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, "part", STEP_BYTES):
+            known = whole.filter(pa.compute.is_valid(whole["key"]))["key"].to_pylist()
+            t = whole.filter(pa.compute.is_valid(whole["body"])).combine_chunks()
+            if not t.num_rows:
+                continue
+            row, at, bucket, weight, _, start, data = _buckets(t, length)
+            twice = weight > 1
+            if known:
+                single = np.flatnonzero(~twice)
+                keys = tk.digests(data, start[single], start[single] + length).view("V16").ravel()
+                twice[single] = np.isin(keys, np.frombuffer(b"".join(known), dtype="V16"))
+            lo, ln, count = _spans(row, at, twice[bucket], t.num_rows)
+            out = pa.RecordBatch.from_arrays([t["anchor"].combine_chunks(), t["seg"].combine_chunks(), lo, ln], schema=_DUP)
+            yield out.filter(pa.array(count > 0))
+
+    return run
 
 
 _MERGED = pa.schema([("id", pa.int64()), ("rk", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int32())))])
@@ -315,11 +324,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_ro
         found = cold.mapInArrow(_refine_groups(length), DUP)
         if not hot.isEmpty():
             part = F.xxhash64("anchor", F.pmod(F.xxhash64("seg"), F.ceil(F.col("k") / F.lit(max(hot_rows, 1)))))
-            dealt = cut.join(few, "anchor").withColumn("part", part).drop("k").repartition("part").sortWithinPartitions("part")
-            spread = ws.save(dealt.mapInArrow(_refine_part(length), "anchor long, seg binary, at int, c long, key binary"), "spread")
-            twice = ws.save(spread.where("c > 0").groupBy("anchor", "key").agg(F.sum("c").alias("k")).where("k > 1").select("anchor", "key"), "twice")
-            at = spread.join(twice, ["anchor", "key"]).groupBy("anchor", "seg").agg(F.array_sort(F.collect_list("at")).alias("at"))
-            found = found.unionByName(at.mapInArrow(_stretches, DUP))
+            dealt = ws.save(cut.join(few, "anchor").withColumn("part", part).drop("k"), "dealt")
+            local = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_refine_part(length), "part long, anchor long, key binary, c long")
+            local = ws.save(local, "local")
+            twice = ws.save(local.groupBy("anchor", "key").agg(F.sum("c").alias("k")).where("k > 1").select("anchor", "key"), "twice")
+            # A suffix that is single in its part and repeated in another: its part is told.
+            lone = local.where("c = 1").join(twice, ["anchor", "key"]).select("part", "key")
+            again = dealt.unionByName(lone, allowMissingColumns=True).repartition("part").sortWithinPartitions("part")
+            found = found.unionByName(again.mapInArrow(_refine_known(length), DUP))
         found = ws.save(found, "found")
         ws.drop("cut")
         whole = kept.where("not mixed").select("id", "rk", F.col("start").alias("lo"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi"))
