@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions import text as X
+from ..plugins import with_retry
 from .store import VersionedTable
 
 REFUSAL = "I have nothing about that in the knowledge base."
@@ -31,8 +33,40 @@ def render_history(turns: DataFrame, questions: DataFrame, conf: EngineConf = DE
     return questions.join(told, ["chat_id", "turn"], "left")
 
 
+def checked_questions(questions: DataFrame) -> DataFrame:
+    """Questions with `error`: a null or blank one is refused, and no model or search sees it."""
+    blank = F.coalesce(X.trimmed(F.col("question")) == "", F.lit(True))
+    return questions.withColumn("error", F.when(blank, "a question is required"))
+
+
+def debug_record(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """qid, record: what led to an answer, as JSON with its fields in order: question, condensed, top score, gate, hits."""
+    kept = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "score"))), lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score")))
+    per = hits.groupBy("qid").agg(kept.alias("hits"))
+    return queries.join(per, "qid", "left").select("qid", F.to_json(F.struct("question", "condensed", "top_score", "gated", "hits"), {"ignoreNullFields": "false"}).alias("record"))
+
+
 def condense_prompt(history: Column, question: Column) -> Column:
-    return F.concat(F.lit("Rewrite the latest message as one standalone search query.\n\nConversation:\n"), history, F.lit("\n\nLatest message: "), question, F.lit("\n\nStandalone query:"))
+    return F.concat(F.lit("Below is a dialogue. State what its final message asks for, in one line that can be searched on its own.\n\n"), history, F.lit("\n\nFinal message: "), question, F.lit("\n\nSearch line:"))
+
+
+def asked(chat: Callable[[str], str], conf: EngineConf, fallible: bool = False):
+    """Column function of prompts to replies: a batch at a time, again after rate limits; with `fallible` a failed call is null."""
+    call = with_retry(chat, conf.embed_max_retries)
+
+    def reply(prompt: str) -> str | None:
+        try:
+            return call(prompt)
+        except Exception:
+            if not fallible:  # condensation is an optimisation, an answer is not
+                raise
+            return None
+
+    @F.pandas_udf("string")
+    def ask(prompts: pd.Series) -> pd.Series:
+        return prompts.map(lambda p: None if p is None else reply(p))
+
+    return ask
 
 
 def condensed(reply: Column, question: Column) -> Column:
@@ -46,13 +80,7 @@ def condense(turns: DataFrame, questions: DataFrame, chat: Callable[[str], str],
     """questions with `condensed`; first turns skip the model, and a failing model leaves the question."""
     rows = render_history(turns, questions, conf)
 
-    @F.udf("string")
-    def ask(prompt: str) -> str | None:
-        try:
-            return chat(prompt)
-        except Exception:  # condensation is an optimisation
-            return None
-
+    ask = asked(chat, conf, fallible=True)
     first = rows.where("history is null").withColumn("condensed", F.col("question"))
     later = rows.where("history is not null").withColumn("condensed", condensed(ask(condense_prompt(F.col("history"), F.col("question"))), F.col("question")))
     return first.unionByName(later)
@@ -93,13 +121,10 @@ def user_prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit("Context passages:\n\n"), context, F.lit("\n\n---\n\nQuestion: "), question)
 
 
-def answer(contexts: DataFrame, chat: Callable[[str], str]) -> DataFrame:
+def answer(contexts: DataFrame, chat: Callable[[str], str], conf: EngineConf = DEFAULT) -> DataFrame:
     """(qid, question, gated, context) -> qid, answer; gated questions get the refusal and no model call."""
 
-    @F.udf("string")
-    def ask(prompt: str) -> str:
-        return chat(prompt)
-
+    ask = asked(chat, conf)
     refused = contexts.where("gated").select("qid", F.lit(REFUSAL).alias("answer"))
     told = contexts.where("not gated").select("qid", ask(F.concat(F.lit(SYSTEM_PROMPT + "\n\n"), user_prompt(F.col("question"), F.col("context")))).alias("answer"))
     return told.unionByName(refused)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,14 @@ MANIFEST_SCHEMA = (
 
 
 def first_of_hash(docs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Rows with content_hash and is_first: of equal contents the first in input order is taken."""
+    """Rows with content_hash and is_first: of equal contents the first in input order is taken.
+
+    The first is an aggregate of hashes and order values; the contents themselves are not gathered.
+    """
     hashed = docs.withColumn("content_hash", X.content_hash(F.col("markdown")))
-    return hashed.withColumn("is_first", F.row_number().over(Window.partitionBy("content_hash").orderBy(order)) == 1)
+    first = hashed.groupBy("content_hash").agg(F.min(order).alias("_first"))
+    joined = hashed.join(first.withColumnRenamed("content_hash", "_h"), F.col("content_hash").eqNullSafe(F.col("_h")))
+    return joined.withColumn("is_first", F.col(order).eqNullSafe(F.col("_first"))).drop("_h", "_first")
 
 
 def skip_known(docs: DataFrame, manifest: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -45,13 +52,57 @@ def prior_versions(docs: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def patch(manifest: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
-    """`changes` (id and some columns) laid over the manifest, with updated_at; unknown ids change nothing."""
+    """`changes` (id and some columns) laid over the manifest, with updated_at; unknown ids change nothing.
+
+    A null in a change leaves the value, except for `error`, which a null clears.
+    """
     new = [c for c in changes.columns if c != "id"]
     laid = manifest.join(changes.select("id", *[F.col(c).alias(f"_{c}") for c in new], F.lit(True).alias("_hit")), "id", "left")
-    out = {c: F.coalesce(f"_{c}", c) for c in new} | {"updated_at": F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))}
+    value = lambda c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) if c == "error" else F.coalesce(f"_{c}", c)
+    out = {c: value(c) for c in new} | {"updated_at": F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))}
     return laid.withColumns(out).select(*manifest.columns)
 
 
+def find(manifest: DataFrame, content_hash: str | None = None, source_url: str | None = None, filename: str | None = None) -> DataFrame:
+    """Manifest rows by content hash (ready ones only), source URL or file name; the oldest first."""
+    rows = manifest
+    if content_hash is not None:
+        rows = rows.where((F.col("content_hash") == content_hash) & (F.col("status") == "ready"))
+    if source_url is not None:
+        rows = rows.where(F.col("source_url") == source_url)
+    if filename is not None:
+        rows = rows.where(F.col("filename") == filename)
+    return rows.orderBy("created_at", "id")
+
+
+def documents_with_chunks(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Manifest rows with `chunks`: those of each document in order, without their vectors; none is an empty list."""
+    kept = [c for c in chunks.columns if c not in ("embedding", "document_id")]
+    item = F.struct("ordinal", *[c for c in kept if c != "ordinal"])
+    per = chunks.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("chunks"))
+    kind = per.schema["chunks"].dataType.simpleString()
+    return manifest.join(per, "id", "left").withColumn("chunks", F.coalesce("chunks", F.expr(f"cast(array() as {kind})")))
+
+
+def stage_events(results: DataFrame, total: int) -> DataFrame:
+    """(id, chunks, skipped, error) -> doc_id, seq, type, stage, done, total, chunks, error: what ingestion tells of each document.
+
+    A skipped one has its result alone; the others pass through their stages up to the result or the error.
+    """
+    stages = F.array(*[F.lit(x) for x in STAGES])
+    told = F.when(F.col("skipped"), F.array(F.lit("skipped"))).when(F.col("error").isNotNull(), F.array(F.lit("parse"), F.lit("failed"))).otherwise(F.concat(stages, F.array(F.lit("ready"))))
+    rows = results.select(F.col("id").alias("doc_id"), "chunks", "error", F.posexplode(told).alias("seq", "stage"))
+    last = F.col("stage").isin("skipped", "failed", "ready")
+    return rows.select(
+        "doc_id", F.col("seq").cast("long").alias("seq"), F.when(last, F.lit("result")).otherwise(F.lit("stage")).alias("type"), "stage", F.when(last, 1).otherwise(0).alias("done"),
+        F.lit(total).alias("total"), F.when(last, F.col("chunks")).alias("chunks"), F.when(last, F.col("error")).alias("error"),
+    )
+
+
+#: What a document passes through before its result.
+STAGES = ("parse", "chunk", "embed", "store")
+
+
 def outcome(error: Column, skipped: Column) -> Column:
     refused = error.rlike(r"(?i)error page|HTTP 4\d\d")
     return F.when(F.coalesce(skipped, F.lit(False)), "skipped").when(refused, "refused").when(error.isNotNull(), "failed").otherwise("ok")
@@ -69,7 +120,7 @@ class Ingestor:
     """
 
     def __init__(self, spark: SparkSession, path: str, conf: EngineConf = DEFAULT, embedder: Embedder | None = None):
-        self.spark, self.conf = spark, conf
+        self.spark, self.path, self.conf = spark, path.rstrip("/"), conf
         self.embedder = embedder or hash_embedder(conf.embedding_dimensions)
         self.store = ParquetVectorStore(spark, f"{path}/chunks", conf)
         self.manifest = VersionedTable(spark, f"{path}/manifest", "id", buckets=4)
@@ -78,18 +129,27 @@ class Ingestor:
         return self.manifest.read(MANIFEST_SCHEMA)
 
     def ingest(self, parsed: DataFrame, force: bool = False, now: str = "2024-01-01 00:00:00") -> DataFrame:
-        """parsed: doc_id, markdown, title, filename, source_url, error (null when parsed) -> one result row each."""
+        """parsed: doc_id, markdown, title, filename, source_url, error (null when parsed) -> one result row each.
+
+        Every text is embedded once: chunks are written with their vectors before anything else
+        reads them.  All documents that are replaced go in one pass.  Results are a written table.
+        """
         at = F.lit(now).cast("timestamp")
+        run = f"{self.path}/runs/{uuid.uuid4().hex}"
+        write = lambda df, name: (df.write.parquet(f"{run}/{name}"), self.spark.read.schema(df.schema).parquet(f"{run}/{name}"))[1]
+        known = self.documents()
         good = parsed.where("error is null").withColumn("markdown", X.normalize_markdown(F.col("markdown")))
-        fresh, skipped = skip_known(good, self.documents(), force)
-        fresh = fresh.withColumn("new_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.substring("content_hash", 1, 12)))
-        old = prior_versions(fresh, self.documents())
-        gone = [r["prior_id"] for r in old.join(fresh.select("doc_id", "new_id"), "doc_id").where("prior_id <> new_id").select("prior_id").distinct().toLocalIterator()]
+        good = write(good, "parsed")
+        fresh, skipped = skip_known(good, known, force)
+        fresh = write(fresh.withColumn("new_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.substring("content_hash", 1, 12))), "fresh")
+        old = prior_versions(fresh, known).join(fresh.select("doc_id", "new_id"), "doc_id").where("prior_id <> new_id")
+        gone = write(old.select(F.col("prior_id").alias("id"), F.col("prior_id").alias("document_id")).distinct(), "gone")
         source = fresh.select(F.col("new_id").alias("doc_id"), "markdown", "title", "source_url")
         chunks = chunking.chunk_documents(source, self.conf)
         ready = embed_column(chunks.withColumn("_t", X.embedding_text(F.col("heading_path"), F.col("text"))), "_t", self.embedder, self.conf).drop("_t")
+        ready = write(ready, "chunks")
         self.store.upsert(ready)
-        counts = self.store.rows().groupBy(F.col("document_id").alias("new_id")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+        counts = ready.groupBy(F.col("document_id").alias("new_id")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         rows = fresh.join(counts, "new_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
         empty = F.col("chunk_count") == 0
         rows = rows.select(
@@ -99,11 +159,13 @@ class Ingestor:
         results = rows.select("id", F.col("chunk_count").alias("chunks"), F.lit(False).alias("skipped"), "error")
         results = results.unionByName(skipped.select(F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("chunks"), F.lit(True).alias("skipped"), F.lit(None).cast("string").alias("error")))
         results = results.unionByName(parsed.where("error is not null").select(F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("chunks"), F.lit(False).alias("skipped"), "error"))
-        out = results.toArrow()  # before the manifest says that these contents are known
-        self.manifest.upsert(rows)
-        for doc in gone:
-            self.remove(doc)
-        return self.spark.createDataFrame(out)
+        results = write(results, "results")  # before the manifest says that these contents are known
+        self.manifest.upsert(rows, drop=gone.select("id"))
+        self.store.delete_by_documents(gone)
+        for name in ("parsed", "fresh", "gone", "chunks"):
+            fs, p = self.manifest._fs(f"{run}/{name}")
+            fs.delete(p, True)
+        return results
 
     def mark_failed(self, document_id: str, error: str, now: str = "2024-01-01 00:00:00") -> None:
         """Roll a document back: its chunks go first, then the manifest says why."""

@@ -14,6 +14,8 @@ from ..functions import text as X
 
 #: Queries whose vectors are sent to every task at a time; more run as further passes.
 QUERY_BLOCK = 4096
+#: Hits that are sent to a scan of chunks at most; more are shuffled.
+HIT_ROWS = 200_000
 
 
 def _dense(column: pa.Array, dims: int) -> np.ndarray:
@@ -41,54 +43,80 @@ def assert_dimensions(vectors: DataFrame, dims: int, column: str = "embedding")
 def search(queries: DataFrame, corpus: DataFrame, k: int | None = None, where: Column | None = None, conf: EngineConf = DEFAULT) -> DataFrame:
     """(qid, qvec) x (id, embedding) -> qid, id, score, rank: the k best by cosine, ties by id.
 
-    Exact.  The stated queries go out in blocks; a task scores a batch of vectors against a block
-    by one matrix product and keeps k candidates for each query, so what is shuffled is k rows a
-    batch and query, whatever the corpus.  `where` filters the corpus before the scan.  Null or
-    empty vectors never match; a zero vector scores 0.
+    Exact.  The stated queries go out in blocks; a task scores its vectors batch by batch against
+    a block by matrix products and keeps a running k best for each query, ties by id, so what is
+    shuffled is k rows a task and query, whatever the corpus.  `where` filters the corpus before the
+    scan.  Ids of queries and of rows are of any one type.  Null and empty vectors, and those with
+    a null or not finite component, never match; a zero vector scores 0.
     """
     k = conf.top_k if k is None else k
     corpus = corpus if where is None else corpus.where(where)
-    corpus = corpus.select("id", "embedding").where("size(embedding) > 0")
-    id_type = corpus.schema["id"].dataType.simpleString()
-    parts = []
+    corpus = corpus.select("id", "embedding").where(_usable("embedding"))
+    asked = queries.select("qid", "qvec").where(_usable("qvec"))
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
+    out = corpus.sparkSession.createDataFrame([], kinds)
     rows: list = []
-    asked = queries.where("size(qvec) > 0").select("qid", "qvec")
-    for r in asked.toLocalIterator():
+    for r in asked.toLocalIterator():  # the stated query set, a block at a time
         rows.append(r)
         if len(rows) == QUERY_BLOCK:
-            parts.append(_block(rows, corpus, k, id_type))
+            out = out.unionByName(_block(rows, corpus, k, kinds))
             rows = []
-    parts.append(_block(rows, corpus, k, id_type))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if rows:
+        out = out.unionByName(_block(rows, corpus, k, kinds))
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _block(rows: list, corpus: DataFrame, k: int, id_type: str) -> DataFrame:
-    qids = [r["qid"] for r in rows]
-    schema = f"qid long, id {id_type}, score double"
-    if not rows:
-        return corpus.sparkSession.createDataFrame([], schema)
+def _usable(column: str) -> Column:
+    finite = F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return (F.size(column) > 0) & F.coalesce(finite, F.lit(False))
+
+
+def _block(rows: list, corpus: DataFrame, k: int, kinds: str) -> DataFrame:
+    names = [r["qid"] for r in rows]
     q = _unit(np.array([r["qvec"] for r in rows], dtype=np.float64))
-    names = np.array(qids, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, ids = np.zeros((0, len(q))), None  # running candidates of each query, a column each
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 vectors = pa.concat_arrays([part["embedding"]])
                 if pa.compute.any(pa.compute.not_equal(pa.compute.list_value_length(vectors), q.shape[1])).as_py():
                     raise ValueError(f"corpus vectors must have {q.shape[1]} dimensions")
-                ids = part["id"]
-                score = np.round(_unit(_dense(vectors, q.shape[1])) @ q.T, 12)
-                keep = min(k, len(score))
-                edge = -np.partition(-score, keep - 1, axis=0)[keep - 1]
-                at, which = np.nonzero(score >= edge)  # ties at the edge stay for the final order
-                yield pa.RecordBatch.from_arrays([pa.array(names[which]), ids.take(pa.array(at)), pa.array(score[at, which])], names=["qid", "id", "score"])
+                new = np.round(_unit(_dense(vectors, q.shape[1])) @ q.T, 12)
+                own = np.array(part["id"].to_pylist(), dtype=object)
+                own = np.repeat(own[:, None], len(q), axis=1)
+                score, ids = _best(np.concatenate([score, new]), own if ids is None else np.concatenate([ids, own]), k)
+        if ids is not None:
+            for j in range(len(q)):
+                yield pa.RecordBatch.from_pydict({"qid": [names[j]] * len(score), "id": list(ids[:, j]), "score": score[:, j]}, schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+    return corpus.mapInArrow(run, kinds)
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each column: by falling score, then by id."""
+    if len(score) <= k:
+        return score, ids
+    edge = -np.partition(-score, k - 1, axis=0)[k - 1]
+    out_score, out_ids = np.empty((k, score.shape[1])), np.empty((k, score.shape[1]), dtype=object)
+    for j in range(score.shape[1]):
+        some = np.flatnonzero(score[:, j] >= edge[j])
+        if len(some) > k:  # ties at the edge: the smallest ids stay
+            some = np.array(sorted(some.tolist(), key=lambda i: (-score[i, j], ids[i, j]))[:k])
+        out_score[:, j], out_ids[:, j] = score[some, j], ids[some, j]
+    return out_score, out_ids
+
 
-    return corpus.mapInArrow(run, schema)
+def with_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (qid, id, ...) with the columns of their chunks: k rows a query, sent to the scan where they are few."""
+    few = hits.limit(HIT_ROWS + 1).count() <= HIT_ROWS
+    return chunks.join(F.broadcast(hits) if few else hits, "id")
 
 
 def gate(hits: DataFrame, queries: DataFrame, conf: EngineConf = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -115,9 +143,9 @@ def expand_siblings(hits: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAU
 
 def retrieve(queries: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Search, gate and expansion: (headers, chunk rows with score) for a batch of queries."""
-    found = search(queries, chunks, conf=conf)
+    found = search(assert_dimensions(queries, conf.embedding_dimensions, "qvec"), chunks, conf=conf)
     head, hits = gate(found, queries, conf)
-    placed = hits.join(chunks.select("id", "document_id", "ordinal", "part_index", "part_count"), "id")
+    placed = with_hits(hits, chunks.select("id", "document_id", "ordinal", "part_index", "part_count"))
     return head, expand_siblings(placed, chunks, conf)
 
 

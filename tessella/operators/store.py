@@ -1,10 +1,12 @@
 """Versioned keyed tables in Parquet, and the chunk store on top.
 
-A table is a folder of version folders and a pointer written last.  A reader follows the
-pointer; a writer writes the next version in full and then moves the pointer, so a failed or
-lost job leaves the old version as it was.  One writer at a time (a stream's foreachBatch calls
-are sequential).  Rows are bucketed by key hash in `buckets` folders: a mutation reads and
-rewrites only buckets that its keys fall into, the rest are carried over by reference.
+A table is a folder of data folders and of numbered pointers.  A writer writes new data in full
+and then its pointer, under the next number, by a rename that fails where the number is taken
+already; a reader follows the pointer of the highest number.  A failed or lost job, at whatever
+point, leaves the old version as it was, and of two writers that began from one version the
+second raises.  Rows are bucketed by key hash: a mutation reads and rewrites only the buckets
+its keys fall into, the rest are carried over by reference.  The number of buckets is part of
+the pointer, chosen by the bytes of the first write and doubled when a table outgrows it.
 """
 
 from __future__ import annotations
@@ -13,37 +15,77 @@ import json
 import uuid
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..conf import DEFAULT, EngineConf
 from . import retrieval
 
+#: Bytes of Parquet that a bucket should hold, and buckets at most (a pointer names each).
+BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 1 << 16
+#: Pointers that stay readable behind the current one; data that only older ones name is removed.
+KEPT_VERSIONS = 2
+
+
+class ConflictError(RuntimeError):
+    """Another writer moved the table on since this one read it."""
+
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 16):
+        """`buckets` is the least number of a new table; an existing one keeps its own."""
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
 
-    # The pointer: bucket number -> folder, and the schema.  Small and bounded by `buckets`.
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self) -> dict | None:
-        fs, p = self._fs(f"{self.path}/CURRENT")
+    def _versions(self) -> list[int]:
+        fs, p = self._fs(f"{self.path}/versions")
         if not fs.exists(p):
-            return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _text(self, path: str) -> str:
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
 
-    def _publish(self, pointer: dict) -> None:
-        fs, p = self._fs(f"{self.path}/CURRENT")
-        _, fresh = self._fs(f"{self.path}/CURRENT.{uuid.uuid4().hex}")
+    def _pointer(self) -> dict | None:
+        """Version, schema, number of buckets, and the folder and bytes of each bucket that has rows."""
+        found = self._versions()
+        return json.loads(self._text(f"{self.path}/versions/{found[-1]}")) if found else None
+
+    def _publish(self, pointer: dict, after: dict | None) -> None:
+        number = (after["version"] if after else 0) + 1
+        fs, fresh = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
+        _, to = self._fs(f"{self.path}/versions/{number}")
         out = fs.create(fresh)
-        out.write(bytearray(json.dumps(pointer).encode()))
+        out.write(bytearray(json.dumps(pointer | {"version": number}).encode()))
         out.close()
-        fs.delete(p, False)
-        fs.rename(fresh, p)
+        if fs.exists(to) or not fs.rename(fresh, to):
+            fs.delete(fresh, False)
+            raise ConflictError(f"version {number} of {self.path} is there already")
+        self._expire(number)
+
+    def _expire(self, number: int) -> None:
+        """Remove old pointers, and data folders that no kept one names."""
+        fs, _ = self._fs(self.path)
+        old = [v for v in self._versions() if v <= number - KEPT_VERSIONS - 1]
+        if not old:
+            return
+        kept = [json.loads(self._text(f"{self.path}/versions/{v}")) for v in self._versions() if v not in old]
+        used = {b["path"] for k in kept for b in k["buckets"].values()}
+        for v in old:
+            for b in json.loads(self._text(f"{self.path}/versions/{v}"))["buckets"].values():
+                if b["path"] not in used:
+                    fs.delete(self._fs(b["path"])[1], True)
+            fs.delete(self._fs(f"{self.path}/versions/{v}")[1], False)
 
     def exists(self) -> bool:
         return self._pointer() is not None
@@ -55,53 +97,93 @@ class VersionedTable:
             if schema is None:
                 raise FileNotFoundError(self.path)
             return self.spark.createDataFrame([], schema)
-        kind = StructType.fromJson(at["schema"])
-        paths = sorted(set(at["buckets"].values()))
-        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+        return self._in(at, None)
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+    def _bucket(self, n: int) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(n)).cast("int")
 
-    def _rewrite(self, rows: DataFrame, touched: set[int], at: dict | None) -> None:
-        folder = f"{self.path}/v-{uuid.uuid4().hex}"
-        keyed = rows.withColumn("_bucket", self._bucket())
-        keyed.repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
-        kept = {k: v for k, v in (at["buckets"] if at else {}).items() if int(k) not in touched}
-        fs, _ = self._fs(folder)
-        for b in touched:
-            sub = f"{folder}/_bucket={b}"
-            if fs.exists(self._fs(sub)[1]):
-                kept[str(b)] = sub
-        self._publish({"schema": rows.schema.jsonValue(), "buckets": kept})
-
-    def _in(self, at: dict, touched: set[int]) -> DataFrame:
+    def _in(self, at: dict, touched: set[int] | None) -> DataFrame:
         kind = StructType.fromJson(at["schema"])
-        paths = [v for k, v in at["buckets"].items() if int(k) in touched]
+        paths = sorted({b["path"] for k, b in at["buckets"].items() if touched is None or int(k) in touched})
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
-    def upsert(self, rows: DataFrame, order: str | None = None) -> None:
-        """Insert or replace by key; of rows with one key the last by `order` (else any) stays."""
+    def _bytes(self, path: str) -> int:
+        fs, p = self._fs(path)
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+    def _rewrite(self, rows: DataFrame, touched: set[int] | None, at: dict | None, n: int) -> None:
+        """Write `rows` as the buckets `touched` (None: all) of n, and move the pointer."""
+        folder = f"{self.path}/v-{uuid.uuid4().hex}"
+        keyed = rows.withColumn("_bucket", self._bucket(n))
+        keyed.repartition(min(n, len(touched) if touched is not None else n) or 1, "_bucket").write.partitionBy("_bucket").parquet(folder)
+        kept = {} if touched is None or at is None else {k: v for k, v in at["buckets"].items() if int(k) not in touched}
+        fs, root = self._fs(folder)
+        for f in fs.listStatus(root) if fs.exists(root) else []:
+            name = f.getPath().getName()
+            if name.startswith("_bucket="):
+                kept[name.removeprefix("_bucket=")] = {"path": f"{folder}/{name}", "bytes": self._bytes(f"{folder}/{name}")}
+        self._publish({"schema": rows.schema.jsonValue(), "n": n, "buckets": kept}, at)
+
+    def _staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """The rows written once: whatever made them (an embedder, say) runs once, and every later step reads the same."""
+        path = f"{self.path}/s-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), path
+
+    def upsert(self, rows: DataFrame, order: str | None = None, drop: DataFrame | None = None) -> None:
+        """Insert or replace by key; of rows with one key the last by `order` (else any) stays.
+
+        Keys of `drop` that are not among the new ones go in the same version.
+        """
+        staged, path = self._staged(rows)
+        try:
+            self._apply(staged, order, drop, self._bytes(path))
+        finally:
+            self._fs(path)[0].delete(self._fs(path)[1], True)
+
+    def _apply(self, rows: DataFrame, order: str | None, drop: DataFrame | None, size: int) -> None:
         if order:
             one = F.row_number().over(Window.partitionBy(self.key).orderBy(F.col(order).desc()))
             rows = rows.withColumn("_n", one).where("_n = 1").drop("_n")
         else:
             rows = rows.dropDuplicates([self.key])
-        touched = {r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect()}
-        if not touched:
-            return
         at = self._pointer()
+        have = sum(b["bytes"] for b in at["buckets"].values()) if at else 0
+        n = at["n"] if at else self.buckets
+        while n * BUCKET_BYTES < have + size and n < MOST_BUCKETS:
+            n *= 2
+        keys = rows.select(self.key)
+        if drop is not None:
+            keys = keys.unionByName(drop.select(self.key)).distinct()
+        touched = None
+        if at is not None and at["n"] == n:
+            touched = {r[0] for r in keys.select(self._bucket(n).alias("b")).distinct().collect()}  # buckets at most
+            if not touched:
+                return
+        elif at is None and rows.isEmpty():
+            return
         if at is not None:
-            rows = self._in(at, touched).join(rows.select(self.key), self.key, "left_anti").unionByName(rows)
-        self._rewrite(rows, touched, at)
+            rows = self._in(at, touched).join(keys, self.key, "left_anti").unionByName(rows)
+        self._rewrite(rows, touched, at, n)
 
-    def delete(self, condition) -> None:
-        """Remove rows for which `condition` (a Column) is true."""
+    def delete(self, condition: Column) -> None:
+        """Remove rows for which `condition` is true."""
         at = self._pointer()
         if at is None:
             return
-        touched = {r[0] for r in self.read().where(condition).select(self._bucket().alias("b")).distinct().collect()}
+        touched = {r[0] for r in self.read().where(condition).select(self._bucket(at["n"]).alias("b")).distinct().collect()}
         if touched:
-            self._rewrite(self._in(at, touched).where(~F.coalesce(condition, F.lit(False))), touched, at)
+            self._rewrite(self._in(at, touched).where(~F.coalesce(condition, F.lit(False))), touched, at, at["n"])
+
+    def delete_matching(self, values: DataFrame, column: str) -> None:
+        """Remove rows whose `column` is among those of `values`: one pass, however many there are."""
+        at = self._pointer()
+        if at is None:
+            return
+        gone = values.select(column).distinct()
+        touched = {r[0] for r in self.read().join(gone, column, "left_semi").select(self._bucket(at["n"]).alias("b")).distinct().collect()}
+        if touched:
+            self._rewrite(self._in(at, touched).join(gone, column, "left_anti").select(*[f["name"] for f in at["schema"]["fields"]]), touched, at, at["n"])
 
 
 CHUNK_SCHEMA = (
@@ -118,6 +200,7 @@ class VectorStore(Protocol):
     def get_by_ids(self, ids: DataFrame) -> DataFrame: ...
     def get_by_ordinal_range(self, document_id: str, lo: int, hi: int) -> DataFrame: ...
     def delete_by_document(self, document_id: str) -> None: ...
+    def delete_by_documents(self, documents: DataFrame) -> None: ...
     def count(self) -> int: ...
     def dimensions(self) -> int | None: ...
 
@@ -130,13 +213,16 @@ class ParquetVectorStore:
         return self.table.read(CHUNK_SCHEMA)
 
     def upsert(self, chunks: DataFrame) -> None:
+        """Insert or replace chunks by id.  Vectors of another length than the settings ask raise, and nothing is written."""
         kinds = dict(x.split(" ", 1) for x in CHUNK_SCHEMA.split(", "))
-        self.table.upsert(chunks.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds]))
+        typed = chunks.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds])
+        self.table.upsert(retrieval.assert_dimensions(typed, self.conf.embedding_dimensions))
 
     def search(self, queries: DataFrame, k: int | None = None, document_id: str | None = None) -> DataFrame:
         where = None if document_id is None else F.col("document_id") == document_id
-        found = retrieval.search(queries, self.rows(), k, where, self.conf)
-        return found.join(self.rows().drop("embedding"), "id")
+        rows = self.rows()
+        found = retrieval.search(queries, rows, k, where, self.conf)
+        return retrieval.with_hits(found, rows.drop("embedding"))
 
     def get_by_ids(self, ids: DataFrame) -> DataFrame:
         return self.rows().join(ids.select("id"), "id", "left_semi")
@@ -147,15 +233,17 @@ class ParquetVectorStore:
     def delete_by_document(self, document_id: str) -> None:
         self.table.delete(F.col("document_id") == document_id)
 
+    def delete_by_documents(self, documents: DataFrame) -> None:
+        """Chunks of all documents named in `document_id`, in one pass."""
+        self.table.delete_matching(documents, "document_id")
+
     def count(self) -> int:
         return self.rows().count()
 
     def dimensions(self) -> int | None:
-        """Length of the stored vectors; null when there are none, an error when they differ."""
-        r = retrieval.dimensions(self.rows()).first()
-        if r["n"] and r["min_dims"] != r["max_dims"]:
-            raise ValueError(f"stored vectors have {r['min_dims']} to {r['max_dims']} dimensions")
-        return r["max_dims"] if r["n"] else None
+        """Length of the stored vectors, by the first found; null when there are none.  Writing refuses other lengths."""
+        r = self.rows().where("embedding is not null").select(F.size("embedding").alias("n")).first()
+        return r["n"] if r else None
 
 
 #: Adapters by name of the setting vector_store.

@@ -3,17 +3,15 @@
 The generated tables have no headings, questions, tables or document structure, so queries
 declare an input: `markdown_input` writes structure into the lines of documents by line number,
 `chunk_input` reads embeddings as split sections of ten-part documents.  The same input is
-written in SQL; it is scaffolding of the comparison, not engine behaviour.  The search queries
-that have SQL search for rows 0 to 19 only; the queries named `..._all` are the same for every row
-whose id is divisible by 20, against all rows.  The structure with SQL replaces and cuts lines;
-the structure and chunk queries named `..._whole` get it as additional lines, with every line of the text whole.
+written in SQL; it is scaffolding of the comparison, not engine behaviour.  Structure is added as
+lines of its own, every line of a text stays whole.  Searches ask for every row whose id is
+divisible by 20, against all rows.  `..._all` and `..._whole` are other names of the same queries.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from contextvars import ContextVar
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,26 +48,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-#: Whether queries are being built for all searches, and over whole texts.
-_ALL: ContextVar[bool] = ContextVar("all", default=False)
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def _variant(name: str, flag: ContextVar[bool], *of: Query) -> None:
-    """Register queries again as `<query>_<name>`, built with the flag set; they have no SQL."""
-
-    def made(fn: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            token = flag.set(True)
-            try:
-                return fn(spark, sf_dir)
-            finally:
-                flag.reset(token)
-
-        return run
-
+def _also(name: str, *of: Query) -> None:
+    """Register queries under their earlier names `<query>_<name>` too."""
     for fn in of:
-        QUERIES[f"{fn.__name__}_{name}"] = made(fn)
+        QUERIES[f"{fn.__name__}_{name}"] = fn
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,21 +62,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def markdown_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, markdown, title, source_url: a title, a contents list, then the lines as sections, questions, tables.
+    """doc_id, markdown, title, source_url: a title, a contents list, then the lines, each whole.
 
-    For `..._whole` queries the headings, questions and tables stand before the lines, which stay as they are.
+    Headings, questions and table rows stand before the lines as lines of their own.
     """
 
-    def line(x: Column, i: Column) -> Column:
-        n = i.cast("string")
-        return (
-            F.when(i % 12 == 0, F.concat(F.lit("## Section "), n))
-            .when((i % 24).isin(3, 5), F.concat(F.substring(F.regexp_replace(x, r"[.:;!?]+\z", ""), 1, 100), F.lit("?")))
-            .when(i % 12 == 8, F.concat(F.lit("| "), F.substring(x, 1, 60), F.lit(" |\n| "), n, F.lit(" |")))
-            .when(i % 24 == 10, F.concat(n, F.lit("\\. "), F.substring(F.replace(x, F.lit(","), F.lit("")), 1, 40)))
-            .otherwise(x)
-        )
-
     def before(x: Column, i: Column) -> Column:
         n = i.cast("string")
         return F.concat(
@@ -109,7 +81,7 @@ def markdown_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select("doc_id", "text")
     title, url = F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.concat(F.lit("https://example.org/d/"), F.col("doc_id").cast("string"))
     toc = F.concat(F.lit("- [Section 0]("), url, F.lit("#s0)\n- [Section 12]("), url, F.lit("#s12)\n\n"))
-    body = F.array_join(F.transform(F.split("text", "\n"), before if _WHOLE.get() else line), "\n\n")
+    body = F.array_join(F.transform(F.split("text", "\n"), before), "\n\n")
     return d.select("doc_id", F.concat(F.lit("# "), title, F.lit("\n\n"), toc, body).alias("markdown"), title.alias("title"), url.alias("source_url"))
 
 
@@ -123,21 +95,21 @@ def chunk_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CH = """ch AS (SELECT vec_id AS id, vec_id // 10 AS document_id, CAST(vec_id % 10 AS INTEGER) AS ordinal, CASE WHEN vec_id % 10 < 9 THEN CAST((vec_id % 10) % 3 AS INTEGER) END AS part_index,
   CASE WHEN vec_id % 10 < 9 THEN 3 END AS part_count, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"""
-_KNN = """sc AS (SELECT q.id AS qid, c.id, round(list_cosine_similarity(q.e, c.e), 12) AS score FROM ch q JOIN ch c ON q.id < 20 AND (q.id < 10 OR c.id <> q.id)),
+_KNN = """sc AS (SELECT q.id AS qid, c.id, round(list_cosine_similarity(q.e, c.e), 12) AS score FROM ch q JOIN ch c ON q.id % 20 = 0 AND (q.id % 40 = 0 OR c.id <> q.id)),
 hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 8)"""
 
 
 def _asked(chunks: DataFrame) -> DataFrame:
-    """Rows that are searched for."""
-    return chunks.where("id % 20 = 0" if _ALL.get() else "id < 20")
+    """Rows that are searched for: all whose id is divisible by 20."""
+    return chunks.where("id % 20 = 0")
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 8 of each search; vectors 0 to 9 find themselves, the others must not."""
+    """Top 8 of each search; vectors whose id is divisible by 40 find themselves, the others must not."""
     c = chunk_input(spark, sf_dir)
     q = _asked(c).select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
-    own = retrieval.search(q.where("qid < 10"), c, 8)
-    other = retrieval.search(q.where("qid >= 10"), c, 9).where("id <> qid")
+    own = retrieval.search(q.where("qid % 40 = 0"), c, 8)
+    other = retrieval.search(q.where("qid % 40 <> 0"), c, 9).where("id <> qid")
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
     other = other.withColumn("rank", F.row_number().over(order)).where("rank <= 8")
     return own.unionByName(other)
@@ -152,7 +124,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_CH}, s AS (SELECT q.id AS qid, c.id, round(list_cosine_similarity(q.e, c.e), 12) AS score FROM ch q JOIN ch c ON q.id < 20 AND c.label = 3)
+@query(f"""WITH {_CH}, s AS (SELECT q.id AS qid, c.id, round(list_cosine_similarity(q.e, c.e), 12) AS score FROM ch q JOIN ch c ON q.id % 20 = 0 AND c.label = 3)
 SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 8""")
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-8 among rows that a predicate admits; the predicate reaches the scan."""
@@ -161,7 +133,7 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(q, c, 8, F.col("label") == 3).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_CH}, {_KNN} SELECT c.id AS qid, round(coalesce(max(score), 0), 6) AS top_score, coalesce(max(score), 0) < 0.55 AS gated FROM ch c LEFT JOIN hits ON c.id = hits.qid WHERE c.id < 20 GROUP BY c.id")
+@query(f"WITH {_CH}, {_KNN} SELECT c.id AS qid, round(coalesce(max(score), 0), 6) AS top_score, coalesce(max(score), 0) < 0.55 AS gated FROM ch c LEFT JOIN hits ON c.id = hits.qid WHERE c.id % 20 = 0 GROUP BY c.id")
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _asked(chunk_input(spark, sf_dir)).select(F.col("id").alias("qid"))
     head, _ = retrieval.gate(_hits(spark, sf_dir), c)
@@ -240,7 +212,7 @@ def retrieval_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.retrieval_meta(hits).select("qid", F.array_join(item, "|").alias("retrieved"))
 
 
-_variant("all", _ALL, knn_topk, knn_filtered, relevance_gate, sibling_expand, context_budget, context_blocks, cited_documents, retrieval_meta)
+_also("all", knn_topk, knn_filtered, relevance_gate, sibling_expand, context_budget, context_blocks, cited_documents, retrieval_meta)
 
 
 @query(f"""WITH {_CH} SELECT id, 'clause' || CASE WHEN part_index IS NOT NULL THEN ' · part ' || (part_index + 1) || '/' || part_count ELSE '' END || CASE WHEN ordinal % 4 = 0 THEN ' · #s' || ordinal ELSE '' END AS label,
@@ -287,12 +259,65 @@ def ordinal_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "document_id", "ordinal", "part_index").orderBy("ordinal")
 
 
-def _scratch(spark: SparkSession, key: str) -> store.VersionedTable:
+def _root(spark: SparkSession) -> str:
+    """The shared folder; a temporary one only where Spark runs on this machine alone."""
     import tempfile
 
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-")
-    return store.VersionedTable(spark, f"{root}/table-{uuid.uuid4().hex}", key)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return root or tempfile.mkdtemp(prefix="tessella-")
+
+
+def _scratch(spark: SparkSession, key: str) -> store.VersionedTable:
+    return store.VersionedTable(spark, f"{_root(spark)}/table-{uuid.uuid4().hex}", key)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'ok' ELSE 'skipped' END AS outcome, CAST(1 AS BIGINT) AS n_manifest, CAST(1 AS BIGINT) AS n_versions FROM documents""")
+def ingest_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents ingested, then again with every fourth one changed: what became of each, and what is left of it.
+
+    Each text is a document of its own by a line with its id.  One manifest row and the chunks of
+    one version are left of each, changed or not.
+    """
+    d = _t(spark, sf_dir, "documents").where("doc_id is not null")
+    name, url = F.col("doc_id").cast("string"), F.concat(F.lit("https://example.org/d/"), F.col("doc_id").cast("string"))
+
+    def version(mark: Column) -> DataFrame:
+        text = F.concat(F.lit("# Document "), name, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\nThis is the closing line of document "), name, F.lit(", long enough for a chunk to be kept"), mark)
+        return d.select(name.alias("doc_id"), text.alias("markdown"), F.concat(F.lit("Document "), name).alias("title"), F.lit(None).cast("string").alias("filename"), url.alias("source_url"), F.lit(None).cast("string").alias("error"))
+
+    eng = ingest.Ingestor(spark, f"{_root(spark)}/kb-{uuid.uuid4().hex}", replace(DEFAULT, embedding_dimensions=8, embed_concurrency=8))
+    eng.ingest(version(F.lit(".")))
+    second = eng.ingest(version(F.when(F.col("doc_id") % 4 == 0, F.lit(", and changed.")).otherwise(F.lit("."))))
+    own = F.split("id", "-")[0]
+    kept = eng.documents().groupBy(own.alias("doc_id")).agg(F.count(F.lit(1)).alias("n_manifest"))
+    left = eng.store.rows().select(F.split("document_id", "-")[0].alias("doc_id"), "document_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_versions"))
+    told = second.select(own.alias("doc_id"), ingest.outcome(F.col("error"), F.col("skipped")).alias("outcome"))
+    return told.join(kept, "doc_id", "left").join(left, "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query(f"""WITH {_CH} SELECT document_id AS id, count(*) AS n, string_agg(ordinal || ':' || id, ',' ORDER BY ordinal, id) AS chunks FROM ch GROUP BY document_id
+UNION ALL SELECT -1, 0, ''""")
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their chunks in order; one without any has an empty list."""
+    c = chunk_input(spark, sf_dir).select("id", "document_id", "ordinal", "embedding")
+    m = c.select(F.col("document_id").alias("id")).distinct().unionByName(spark.createDataFrame([(-1,)], "id long"))
+    item = F.transform("chunks", lambda x: F.concat(x["ordinal"].cast("string"), F.lit(":"), x["id"].cast("string")))
+    return ingest.documents_with_chunks(m, c).select("id", F.size("chunks").cast("long").alias("n"), F.array_join(item, ",").alias("chunks"))
+
+
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no markdown' END AS error, doc_id % 5 = 0 AS skipped, n_chars // 100 AS chunks FROM documents),
+s AS (SELECT *, CASE WHEN skipped THEN ['skipped'] WHEN error IS NOT NULL THEN ['parse', 'failed'] ELSE ['parse', 'chunk', 'embed', 'store', 'ready'] END AS st FROM r),
+e AS (SELECT *, unnest(st) AS stage, unnest(range(len(st))) AS seq FROM s)
+SELECT doc_id, seq, CASE WHEN seq = len(st) - 1 THEN 'result' ELSE 'stage' END AS type, stage, CAST(seq = len(st) - 1 AS INTEGER) AS done, CASE WHEN seq = len(st) - 1 THEN chunks END AS chunks, CASE WHEN seq = len(st) - 1 THEN error END AS error FROM e""")
+def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage events of an ingestion, document by document."""
+    d = _t(spark, sf_dir, "documents")
+    error = F.when(F.col("doc_id") % 7 == 0, "no markdown")
+    results = d.select(F.col("doc_id").alias("id"), F.floor(F.col("n_chars") / 100).alias("chunks"), (F.col("doc_id") % 5 == 0).alias("skipped"), error.alias("error"))
+    return ingest.stage_events(results, 0).drop("total")
 
 
 @query(f"WITH {_CH} SELECT id, document_id, ordinal FROM ch WHERE document_id <> 3")
@@ -481,8 +506,8 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", X.embedding_text(F.col("heading_path"), F.col("text")).alias("embedding_text"))
 
 
-_variant(
-    "whole", _WHOLE, toc_split, heading_candidates, promote_headings, section_paths, paragraphs, qa_chunks, table_chunks, packed_chunks,
+_also(
+    "whole", toc_split, heading_candidates, promote_headings, section_paths, paragraphs, qa_chunks, table_chunks, packed_chunks,
     chunk_documents, chunk_kind_hist, chunk_stats, family_integrity, embedding_text,
 )
 
@@ -527,17 +552,15 @@ def citation_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", X.citation_url(F.col("url"), anchor).alias("link"))
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(html), '404 - page not found') THEN 'soft 404 body' WHEN length(substr(html, 1, CAST(page_id % 400 AS BIGINT))) < 200 THEN 'only ' || length(substr(html, 1, CAST(page_id % 400 AS BIGINT))) || ' chars of body' END AS skipped FROM pages")
+@query()
 def refuse_short_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched pages that are no documents; the body length is declared as page_id mod 400, in `..._whole` it is that of the page's Markdown."""
+    """Fetched pages that are no documents, judged by the Markdown of the whole page (no SQL equivalent)."""
     from ..sources.files import refuse_pages
 
-    p = _t(spark, sf_dir, "pages")
-    p = H.with_markdown(p) if _WHOLE.get() else p.withColumn("markdown", F.substr("html", F.lit(1), (F.col("page_id") % 400).cast("int")))
-    return refuse_pages(p).select("page_id", "skipped")
+    return refuse_pages(H.with_markdown(_t(spark, sf_dir, "pages"))).select("page_id", "skipped")
 
 
-_variant("whole", _WHOLE, refuse_short_pages)
+_also("whole", refuse_short_pages)
 
 
 @query()
@@ -620,15 +643,14 @@ def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE["progress_latest"])
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream over the event files, run to its end into a memory table."""
-    path = f"{sf_dir}/events.parquet"
+    """The same from a stream over the event files, run to its end: each batch's changed rows go into a keyed table."""
+    path, root = f"{sf_dir}/events.parquet", f"{_root(spark)}/progress-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), "value")
-    name = f"progress_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    writer = E.progress_stream_agg(e).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    (writer.option("checkpointLocation", f"{root}/{name}") if root else writer).start().awaitTermination()
-    return spark.table(name)
+    table = store.VersionedTable(spark, f"{root}/table", "key")
+    writer = E.progress_stream_agg(e).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
+    writer.foreachBatch(lambda rows, _: table.upsert(rows)).start().awaitTermination()
+    return table.read("key long, seq long, stage string, value double")
 
 
 @query("SELECT CAST(a AS INTEGER) AS attempt, CAST(least(30000, 500 * pow(2, a)) AS INTEGER) AS ms FROM range(12) t(a)")
@@ -650,6 +672,26 @@ def answer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.accumulate_answers(c).join(tokens, "qid", "left")
 
 
+@query("""WITH q AS (SELECT conv_id * 1000 + turn AS qid, text, turn % 3 = 0 AS gated FROM conversations WHERE role = 'assistant'),
+w AS (SELECT qid, text, gated, CASE WHEN text = '' THEN [] ELSE regexp_extract_all(text, '\\S+\\s*|\\s+') END AS t FROM q),
+e AS (SELECT qid, 0 AS seq, 'meta' AS event, CASE WHEN gated THEN 'gated' ELSE 'open' END AS text FROM w
+  UNION ALL SELECT qid, k, 'token', x FROM (SELECT qid, unnest(range(1, len(t) + 1)) AS k, unnest(t) AS x FROM w)
+  UNION ALL SELECT qid, len(t) + 1, 'answer', text FROM w UNION ALL SELECT qid, len(t) + 2, 'citations', '1,2' FROM w UNION ALL SELECT qid, len(t) + 3, 'done', '' FROM w)
+SELECT qid, CAST(seq AS BIGINT) AS seq, event, text FROM e""".replace("\\\\", "\\"))
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer as it is streamed: meta, tokens, the whole answer, citations, done."""
+    c = _t(spark, sf_dir, "conversations").where("role = 'assistant'")
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.when(F.col("turn") % 3 == 0, "gated").otherwise("open").alias("meta"), F.col("text").alias("answer"), F.lit("1,2").alias("citations"))
+    return E.answer_events(rows)
+
+
+@query("SELECT conv_id, turn, regexp_matches(text, '\\S') AS asked, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'a question is required' END AS error FROM conversations".replace("\\\\", "\\"))
+def blank_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions without a word are refused before anything is searched."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
+    return chats.checked_questions(c).select("conv_id", "turn", F.col("error").isNull().alias("asked"), "error")
+
+
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows over events: an extension, not one of the retrieval operators."""

@@ -45,15 +45,15 @@ def looks(t: str) -> str:
     return f"({shape} AND ({rx(t, NUMBERED)} OR ({style})) AND ({rx(t, NUMBERED)} OR {caps} OR {plain}))"
 
 
-#: The declared input: line i of a document as a heading, question, table, numbered title, or itself.
+#: The declared input: before line i of a document a heading, question, table or numbered title; the line itself whole.
 MARKDOWN = r"""
 d AS (SELECT doc_id, '# Document ' || doc_id || chr(10) || chr(10)
   || '- [Section 0](https://example.org/d/' || doc_id || '#s0)' || chr(10) || '- [Section 12](https://example.org/d/' || doc_id || '#s12)' || chr(10) || chr(10)
   || array_to_string(list_transform(string_split(text, chr(10)), lambda x, j: CASE
-    WHEN (j - 1) % 12 = 0 THEN '## Section ' || (j - 1)
-    WHEN (j - 1) % 24 IN (3, 5) THEN substr(regexp_replace(x, '[.:;!?]+$', ''), 1, 100) || '?'
-    WHEN (j - 1) % 12 = 8 THEN '| ' || substr(x, 1, 60) || ' |' || chr(10) || '| ' || (j - 1) || ' |'
-    WHEN (j - 1) % 24 = 10 THEN (j - 1) || '\. ' || substr(replace(x, ',', ''), 1, 40) ELSE x END), chr(10) || chr(10)) AS md FROM documents)"""
+    WHEN (j - 1) % 12 = 0 THEN '## Section ' || (j - 1) || chr(10) || chr(10)
+    WHEN (j - 1) % 24 IN (3, 5) THEN 'What does line ' || (j - 1) || ' say?' || chr(10) || chr(10)
+    WHEN (j - 1) % 12 = 8 THEN '| Line |' || chr(10) || '| ' || (j - 1) || ' |' || chr(10) || chr(10)
+    WHEN (j - 1) % 24 = 10 THEN (j - 1) || '\. Part ' || (j - 1) || chr(10) || chr(10) ELSE '' END || x), chr(10) || chr(10)) AS md FROM documents)"""
 
 LINES = rf"""
 l0 AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, unnest(range(len(string_split(md, chr(10))))) AS i FROM d),

@@ -57,8 +57,20 @@ def with_retry(fn: Callable, retries: int, sleep: Callable[[float], None] = time
 
 
 def embed_column(df: DataFrame, text: str, embedder: Embedder, conf: EngineConf = DEFAULT, out: str = "embedding") -> DataFrame:
-    """`df` with an embedding of `text`: batches of embed_batch_size texts, vectors checked and conformed."""
-    size, dims, call = conf.embed_batch_size, conf.embedding_dimensions, with_retry(embedder, conf.embed_max_retries)
+    """`df` with an embedding of `text`: batches of embed_batch_size texts, vectors checked and conformed.
+
+    At most embed_concurrency tasks call the model at a time; each has its share of the rows.  Empty
+    vectors are counted over a batch and raise as a rate limit, so that the call is tried again.
+    """
+
+    def full(texts: list[str]) -> list[list[float]]:
+        got = embedder(texts)
+        if none := sum(not len(v) for v in got):
+            raise ValueError(f"rate limit: {none} empty embeddings of {len(got)}")
+        return got
+
+    size, dims, call = conf.embed_batch_size, conf.embedding_dimensions, with_retry(full, conf.embed_max_retries)
+    df = df.repartition(conf.embed_concurrency)
     names = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` array<float>"
 
@@ -72,7 +84,7 @@ def embed_column(df: DataFrame, text: str, embedder: Embedder, conf: EngineConf
                     raise ValueError(f"{len(got)} vectors for {len(texts[lo : lo + size])} texts")
                 for v in got:
                     if len(v) < dims:
-                        raise ValueError("rate limit: empty embedding" if not len(v) else f"vector of {len(v)} is shorter than {dims}")
+                        raise ValueError(f"vector of {len(v)} is shorter than {dims}")
                     x = np.asarray(v[:dims], dtype=np.float64)
                     n = np.linalg.norm(x)
                     vectors.append((x / n if n else x).tolist())

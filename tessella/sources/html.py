@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCK = frozenset("p div section article main ul ol table blockquote pre dl figure address aside details summary".split())
-PLAIN_DROP = frozenset(("script", "style", "noscript"))
-PAGE_DROP = frozenset("head title meta link base script style noscript svg iframe form header footer nav button select img picture video source".split())
+# Elements without content.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+# Elements that stand as blocks of their own.
+BLOCK = ("p", "div", "section", "article", "main", "ul", "ol", "table", "blockquote", "pre", "dl", "figure", "address", "aside", "details", "summary")
+# Elements whose content is no text.
+PLAIN_DROP = ("script", "style", "noscript")
+# Elements that a page's Markdown leaves out.
+PAGE_DROP = (
+    "head", "title", "meta", "link", "base", "script", "style", "noscript", "svg", "iframe", "form", "header", "footer", "nav",
+    "button", "select", "img", "picture", "video", "source",
+)
 #: Open elements that a start tag ends.
 CLOSED_BY = {"li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
+# Fixed value: class names of page furniture.
 FURNITURE = re.compile(r"breadcrumb|subscribe|newsletter|modal", re.I)
 
 
@@ -58,7 +66,14 @@ class _Tree(HTMLParser):
 
 
 def _text(node: Node | str) -> str:
-    return node if isinstance(node, str) else "".join(_text(c) for c in node.children)
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+        else:
+            todo.extend(reversed(n.children))
+    return "".join(out)
 
 
 def _squeeze(s: str) -> str:
@@ -66,11 +81,17 @@ def _squeeze(s: str) -> str:
 
 
 def _all(node: Node, tag: str) -> Iterator[Node]:
-    for c in node.children:
-        if isinstance(c, Node):
-            if c.tag == tag:
-                yield c
-            yield from _all(c, tag)
+    todo = list(reversed(node.children))
+    while todo:
+        n = todo.pop()
+        if isinstance(n, Node):
+            if n.tag == tag:
+                yield n
+            todo.extend(reversed(n.children))
+
+
+#: A step of writing: asks for the Markdown of one child after another, ends with its own.
+Written = Generator["Node", str, str]
 
 
 class _Writer:
@@ -79,17 +100,33 @@ class _Writer:
         self.drop = PAGE_DROP if page else PLAIN_DROP
         self.marks: list[str] = []  # emphasis that is open: an unclosed tag must not mark its text twice
 
-    def inside(self, node: Node) -> str:
-        return "".join(self.write(c) for c in node.children)
+    def render(self, root: Node) -> str:
+        """Markdown of all that is in `root`.  Open elements lie on a list of their own, so depth has no limit."""
+        open_, value = [self.inside(root)], None
+        while open_:
+            try:
+                child = open_[-1].send(value)
+            except StopIteration as end:
+                open_.pop()
+                value = end.value
+            else:
+                open_.append(self.write(child))
+                value = None
+        return value
+
+    def inside(self, node: Node) -> Written:
+        out = []
+        for c in node.children:
+            out.append(re.sub(r"[ \t\r\n]+", " ", c) if isinstance(c, str) else (yield c))
+        return "".join(out)
 
-    def write(self, node: Node | str) -> str:
-        if isinstance(node, str):
-            return re.sub(r"[ \t\r\n]+", " ", node)
+    def write(self, node: Node) -> Written:
         t, a = node.tag, node.attrs
         if t in self.drop or self.page and (FURNITURE.search(a.get("class") or "") or a.get("aria-hidden") == "true" or "hidden" in a):
             return ""
         if re.fullmatch("h[1-6]", t):
-            title = _squeeze(self.inside(node)) if self.page else self.inside(node).strip()
+            title = yield from self.inside(node)
+            title = _squeeze(title) if self.page else title.strip()
             return f"\n\n{'#' * int(t[1])} {title}\n\n" if title else ""
         if t == "br":
             return "  \n"
@@ -102,42 +139,49 @@ class _Writer:
         if t in ("b", "strong", "i", "em"):
             mark = "**" if t in ("b", "strong") else "_"
             if mark in self.marks or any(isinstance(c, Node) and c.tag in BLOCK for c in node.children):
-                return self.inside(node)
+                return (yield from self.inside(node))
             self.marks.append(mark)
-            body = self.inside(node)
+            body = yield from self.inside(node)
             self.marks.pop()
             return f"{body[: len(body) - len(body.lstrip())]}{mark}{body.strip()}{mark}{body[len(body.rstrip()) :]}" if body.strip() else body
         if t == "a":
-            body = self.inside(node)
+            body = yield from self.inside(node)
             return f"[{body.strip()}]({a['href']})" if a.get("href") else body
         if t == "img":
             return f"![{a.get('alt') or ''}]({a['src']})" if a.get("src") else ""
         if t in ("ul", "ol"):
-            return "\n\n" + "\n".join(self.items(node)) + "\n\n"
+            return "\n\n" + "\n".join((yield from self.items(node))) + "\n\n"
         if t == "dl" and self.page:
             terms, defs = ([x for x in (_squeeze(_text(n)) for n in _all(node, k)) if x] for k in ("dt", "dd"))
             if terms and len(terms) == len(defs):
                 return "\n\n" + "\n".join(f"- {k}: {v}" for k, v in zip(terms, defs, strict=True)) + "\n\n"
         if t == "table":
-            return self.table(node)
+            return (yield from self.table(node))
         if t == "blockquote":
-            return "\n\n" + "\n".join(f"> {x}" for x in tidy_blank(self.inside(node)).split("\n")) + "\n\n"
-        body = self.inside(node)
+            return "\n\n" + "\n".join(f"> {x}" for x in tidy_blank((yield from self.inside(node))).split("\n")) + "\n\n"
+        body = yield from self.inside(node)
         return f"\n\n{body.strip(' ')}\n\n" if t in BLOCK or t in ("dt", "dd", "tr") else body
 
-    def items(self, node: Node) -> Iterator[str]:
-        n = 0
+    def items(self, node: Node) -> Written:
+        n, out = 0, []
         for c in node.children:
             if isinstance(c, Node) and c.tag == "li":
                 n += 1
                 mark = f"{n}." if node.tag == "ol" else "-"
-                body = tidy_blank(self.inside(c)).replace("\n", "\n    ")
+                body = tidy_blank((yield from self.inside(c))).replace("\n", "\n    ")
                 if body:
-                    yield f"{mark} {body}"
-
-    def table(self, node: Node) -> str:
-        rows = [[_squeeze(self.inside(c)).replace("|", "\\|") for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in _all(node, "tr")]
-        rows = [r for r in rows if r]
+                    out.append(f"{mark} {body}")
+        return out
+
+    def table(self, node: Node) -> Written:
+        rows = []
+        for r in _all(node, "tr"):
+            cells = []
+            for c in r.children:
+                if isinstance(c, Node) and c.tag in ("td", "th"):
+                    cells.append(_squeeze((yield from self.inside(c))).replace("|", "\\|"))
+            if cells:
+                rows.append(cells)
         if not rows:
             return ""
         lines = [f"| {' | '.join(r)} |" for r in rows]
@@ -155,7 +199,10 @@ def html_to_markdown(html: str | None, page: bool = False) -> str:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    lines = [x[1:] if x.startswith(" ") and not x.startswith("    ") else x for x in tidy_blank(_Writer(page).inside(tree.root)).split("\n")]
+    lines, code = [], False
+    for x in tidy_blank(_Writer(page).render(tree.root)).split("\n"):
+        code ^= x.startswith("```")
+        lines.append(x[1:] if x.startswith(" ") and not x.startswith("    ") and not code else x)
     return "\n".join(lines)
 
 

@@ -36,6 +36,31 @@ def accumulate_answers(frames: DataFrame) -> DataFrame:
     return frames.groupBy("qid").agg(F.array_join(tokens, "").alias("_t"), final.alias("_a"), has.alias("_h")).select("qid", F.when(F.col("_h") == 1, F.col("_a")).otherwise(F.col("_t")).alias("answer"))
 
 
+def answer_events(answers: DataFrame) -> DataFrame:
+    """(qid, meta, answer, citations) -> qid, seq, event, text: meta, a token for each word with the blanks after it, answer, citations, done."""
+    event = lambda name, text: F.struct(F.lit(name).alias("event"), text.cast("string").alias("text"))
+    words = F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"(\S+\s*|\s+)"))
+    tokens = F.transform(words, lambda w: event("token", w))
+    rows = F.concat(F.array(event("meta", F.col("meta"))), tokens, F.array(event("answer", F.col("answer")), event("citations", F.col("citations")), event("done", F.lit(""))))
+    return answers.select("qid", F.posexplode(rows).alias("seq", "e")).select("qid", F.col("seq").cast("long").alias("seq"), "e.event", "e.text")
+
+
+class BatchSink:
+    """A folder with one part for each batch number: a batch that is written again replaces itself, whatever broke off before."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def read(self, schema: str) -> DataFrame:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(f"{self.path}/batch=*")
+
+
 def latest_progress(events: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
     """The last event of each key, all columns."""
     other = [c for c in events.columns if c != key]

@@ -319,3 +319,82 @@ def test_labels_and_blocks(spark):
     assert one(spark, X.relative_day(F.lit("2024-01-01 08:30:00").cast("timestamp"), F.lit("2024-01-02 01:00:00").cast("timestamp"))) == "Yesterday"
     assert one(spark, X.safe_upload_name(F.lit("a/b/we ird$$name.md"))) == "we ird_name.md"
     assert one(spark, X.slug_title(F.lit("https://e.org/a/opening-hours_now/?q=1"))) == "Opening Hours Now"
+
+
+def test_table_survives_crashes_and_keeps_its_buckets(spark, tmp_path, monkeypatch):
+    rows = lambda lo, hi, v: spark.range(lo, hi).select("id", F.lit(v).alias("v"))
+    t = store.VersionedTable(spark, str(tmp_path / "t"), "id", buckets=16)
+    t.upsert(rows(0, 50, "a"))
+    store.VersionedTable(spark, str(tmp_path / "t"), "id", buckets=4).upsert(rows(0, 50, "b"))  # the table's own number holds
+    assert t.read().count() == 50 and t.read().where("v = 'b'").count() == 50
+    real = store.VersionedTable._publish
+    monkeypatch.setattr(store.VersionedTable, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        t.upsert(rows(0, 60, "c"))
+    monkeypatch.setattr(store.VersionedTable, "_publish", real)
+    assert t.read().where("v = 'b'").count() == 50
+    stale = t._pointer()
+    t.upsert(rows(50, 60, "d"))
+    monkeypatch.setattr(t, "_pointer", lambda: stale)
+    with pytest.raises(store.ConflictError):
+        t.upsert(rows(60, 70, "e"))
+    monkeypatch.undo()
+    assert t.read().count() == 60
+    monkeypatch.setattr(store, "BUCKET_BYTES", 100)  # outgrown: more buckets, nothing lost
+    t.upsert(rows(60, 61, "f"), drop=spark.range(0, 10).toDF("id"))
+    assert t._pointer()["n"] > 16 and t.read().count() == 51
+    t.delete_matching(spark.range(10, 30).toDF("id"), "id")
+    t.delete(F.col("v") == "f")
+    assert {r.id for r in t.read().collect()} == set(range(30, 60))
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def embed(texts):
+        (log / __import__("uuid").uuid4().hex).write_text(str(len(texts)))
+        return [[1.0, float(len(t)), 0.0, 0.0] for t in texts]
+
+    asked = lambda: sum(int(f.read_text()) for f in log.iterdir())
+    eng = ingest.Ingestor(spark, str(tmp_path / "kb"), EngineConf(embedding_dimensions=4), embed)
+    doc = lambda i, more="": (str(i), f"# T{i}\n\nSome text {i} that is long enough to make a chunk, surely it is{more}.", "T", f"{i}.md", None, None)
+    schema = "doc_id string, markdown string, title string, filename string, source_url string, error string"
+    eng.ingest(spark.createDataFrame([doc(i) for i in range(20)], schema))
+    assert asked() == 20 == eng.store.count()
+    eng.ingest(spark.createDataFrame([doc(i, " so" * (i % 2)) for i in range(20)], schema))
+    assert asked() == 30 and eng.store.count() == 20 == eng.documents().count()
+    assert eng.store.dimensions() == 4
+    with pytest.raises(Exception, match="expected 4 dimensions"):
+        eng.store.upsert(eng.store.rows().withColumn("embedding", F.array(F.lit(1.0))))
+    one = ingest.find(eng.documents(), filename="3.md").collect()
+    assert len(one) == 1 and ingest.find(eng.documents(), content_hash=one[0].content_hash).count() == 1
+
+
+def test_search_ids_ties_and_values_that_never_match(spark):
+    c = spark.createDataFrame([(f"k{i:03d}", [1.0, 0.0]) for i in range(300)] + [("nan", [float("nan"), 1.0]), ("null", None), ("part", [None, 1.0]), ("zero", [0.0, 0.0])], "id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None)], "qid string, qvec array<double>")
+    got = {(r.qid, r["rank"]): (r.id, r.score) for r in retrieval.search(q, c, 3).collect()}
+    assert [got["a", k] for k in (1, 2, 3)] == [(f"k{i:03d}", 1.0) for i in range(3)]
+    assert not any(i in ("nan", "null", "part") for i, _ in got.values()) and {x for x, _ in got} == {"a", "b"}
+
+
+def test_html_of_any_depth():
+    from tessella.sources import html as H
+
+    assert H.html_to_markdown("<div>" * 5000 + "<b>deep</b> text" + "</div>" * 5000) == "**deep** text"
+    page = "<html><head><title>x</title></head><body><nav>n</nav><h2>A<br>b</h2><p>One <em>two</em> <a href='/u'>three</a>.</p><ol><li>first<ul><li>inner</li></ul></li><li>second</li></ol><table><tr><th>k</th><th>v</th></tr><tr><td>1|2</td><td><b>3</b></td></tr></table><dl><dt>t</dt><dd>d</dd></dl><pre>a\n b</pre></body></html>"
+    assert H.html_to_markdown(page, page=True) == (
+        "## A b\n\nOne _two_ [three](/u).\n\n1. first\n\n    - inner\n2. second\n\n| k | v |\n| --- | --- |\n| 1\\|2 | **3** |\n\n- t: d\n\n```\na\n b\n```"
+    )
+
+
+def test_batch_sink_and_debug_record(spark, tmp_path):
+    sink = E.BatchSink(spark, str(tmp_path / "s"))
+    assert sink.read("a long").count() == 0
+    for batch, n in ((0, 3), (1, 2), (0, 4)):  # batch 0 again after a lost commit
+        sink(spark.range(n).toDF("a"), batch)
+    assert sink.read("a long").count() == 6
+    q = spark.createDataFrame([(1, "Q?", "q", 0.5, False)], "qid long, question string, condensed string, top_score double, gated boolean")
+    hits = spark.createDataFrame([(1, "b", 0.4), (1, "a", 0.5)], "qid long, id string, score double")
+    assert chats.debug_record(q, hits).first().record == '{"question":"Q?","condensed":"q","top_score":0.5,"gated":false,"hits":[{"id":"a","score":0.5},{"id":"b","score":0.4}]}'
