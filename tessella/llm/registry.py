@@ -12,7 +12,7 @@ from .embeddings import OP7_SQL, op7_embedding_dedup
 from .langid import op3_language_id
 from .minhash import OP8_SQL, op8_minhash
 from .mixing import OP10_SQL, op10_mixing
-from .phrases import OP2_SQL, op2_decontamination
+from .phrases import OP2_SQL, benchmark_proximity, op2_decontamination
 from .quality import op1_quality
 from .suffixes import op6_suffix_dedup
 from .toxicity import op9_toxicity
@@ -34,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
         "pipeline": corpus_pipeline.run,
+        "benchmark_proximity": benchmark_proximity,
     }
 
 

@@ -200,7 +200,11 @@ def content_store(archive: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFra
     """
     cols = ["record_name", "record_id", "record_type", "refers_to", "uri", "header", "payload_digest", "key"]
     archive = ws.save(archive, "read")
-    payloads = ws.save(archive.where("payload is not null").groupBy("key").agg(F.first("payload").alias("payload")), "payloads")
+    full = archive.where("payload is not null").select("key", "payload")
+    # Keys of several responses (repeated rows, other writers' archives) are found without their payloads, which stay where they are.
+    many = near(ws.save(full.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "many"))
+    once = full.join(many, "key", "left_semi").groupBy("key").agg(F.first("payload").alias("payload"))
+    payloads = ws.save(full.join(many, "key", "left_anti").unionByName(once), "payloads")
     own = archive.select(*cols)
     asked = own.where("record_type = 'revisit'").select(F.col("refers_to").alias("name")).distinct()
     to = own.where("record_type <> 'revisit'").join(asked, F.col("record_name") == F.col("name"), "left_semi")
@@ -209,7 +213,9 @@ def content_store(archive: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFra
     met = own.join(to, (own["record_type"] == "revisit") & (own["refers_to"] == to["name"]) & (own["payload_digest"] == to["d"]), "left")
     bad = F.raise_error(F.lit("a revisit refers to no record with its digest")).cast("string")
     key = F.when(F.col("record_type") != "revisit", F.col("key")).when(F.col("k").isNotNull() & F.coalesce(F.col("key") == F.col("k"), F.lit(True)), F.col("k")).otherwise(bad)
-    return ws.save(met.select(*cols[:-1], key.alias("key")), "records"), payloads
+    records = ws.save(met.select(*cols[:-1], key.alias("key")), "records")
+    ws.drop("read")
+    return records, payloads
 
 
 def reconstruct(records: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -226,7 +232,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pick(table(spark, sf_dir, "pages"), "page_id", "url", "html").select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"))
     with Workspace(spark, "warc") as ws:
         write_archive(pages, ws.path("archive"))
-        rows = reconstruct(*content_store(read_archive(spark, ws.path("archive")), ws))
+        records, payloads = content_store(read_archive(spark, ws.path("archive")), ws)
+        ws.drop("archive")
+        rows = reconstruct(records.select("record_id", "record_type", "refers_to", "payload_digest", "key"), payloads)
         sha1 = base32_of_hex(F.sha1("payload"))
         digest = F.when(sha1 == F.col("payload_digest"), sha1).otherwise(F.raise_error(F.lit("a reconstructed payload does not match its record")).cast("string"))
         to = F.regexp_extract("refers_to", r"^<urn:record:(-?\d+)>$", 1).cast("long")
