@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -178,7 +179,7 @@ def exchange_clustering(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -
 
 _CONTEXTS = pa.schema([("h", pa.int64()), ("own", pa.int32()), ("ctx", pa.list_(pa.int64()))])
 _WORDS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("cls", pa.int32())])
-CTX_BITS, CTX_TOKENS, CTX_ENTRIES = 40, 1 << 20, 1 << 14
+CTX_BITS, CTX_TOKENS, CTX_ENTRIES = 40, 1 << 20, 1 << 12
 
 
 def _contexts(held: Broadcast, only: Broadcast | None):
@@ -187,39 +188,51 @@ def _contexts(held: Broadcast, only: Broadcast | None):
     Of all words, or of those whose hashes are in `only`.  A row without a word has the class bigrams of the task.
     """
 
-    def sums(k: int, hs: list, own: list, codes: list) -> pa.RecordBatch:
-        h, one, back = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
-        key, n = np.unique(back * (2 * k + 1) + np.concatenate(codes), return_counts=True)
-        lists = np.searchsorted(key // (2 * k + 1), np.arange(len(h) + 1)).astype(np.int32)
-        ctx = pa.ListArray.from_arrays(pa.array(lists), pa.array(key % (2 * k + 1) << CTX_BITS | n))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate(own)[one].astype(np.int32)), ctx], schema=_CONTEXTS)
+    def sums(k: int, wanted: np.ndarray | None, parts: list) -> pa.RecordBatch:
+        ids, own, after, before = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h = wanted
+        if wanted is None:
+            h, ids = np.unique(ids, return_inverse=True)
+        cls = np.zeros(len(h), dtype=np.int32)
+        cls[ids] = own
+        ids *= 2 * k + 1
+        key, n = np.unique(np.concatenate([ids + after, (ids + before)[before >= 0]]), return_counts=True)
+        word, code = np.divmod(key, 2 * k + 1)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        ctx = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)).astype(np.int32)), pa.array(code << CTX_BITS | n))
+        some = word[first]
+        return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(cls[some]), ctx], schema=_CONTEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         k, wanted = m.k, None if only is None else only.value
-        hs, own, codes, size = [], [], [], 0
+        places = m.places if wanted is None or np.array_equal(wanted, m.head) else tk.Places(wanted)
+        parts, size = [], 0
         grid = np.zeros(k * k, dtype=np.int64)
         for batch in batches:
             for c in tk.chunks(batch["text"]):
                 data, w = tk.words(c, "nonspace")
                 at = w.first[1 : len(c) + 1]
-                cls = np.concatenate([[0], np.insert(m.of(data, w), at, 0)])
+                in_head = m.places.of(w.hash)
+                cls = np.concatenate([[0], np.insert(m.of(data, w, in_head), at, 0)])
                 h = np.concatenate([[np.uint64(0)], np.insert(w.hash, at, np.uint64(0))])
                 word = np.concatenate([[False], np.insert(np.ones(len(w), dtype=bool), at, False)])
                 grid += np.bincount(cls[:-1] * k + cls[1:], minlength=len(grid))
-                at = np.flatnonzero(word if wanted is None else word & (tk.lookup(wanted, h) >= 0))
+                at, ids = np.flatnonzero(word), w.hash
+                if wanted is not None:
+                    ids = in_head if places is m.places else places.of(ids)
+                    some = ids >= 0
+                    at, ids = at[some], ids[some]
                 if not len(at):
                     continue
                 again, before = word[at + 1] & (h[at + 1] == h[at]), word[at - 1] & (h[at - 1] == h[at])
-                hs += [h[at], h[at[~before]]]
-                own += [cls[at], cls[at[~before]]]
-                codes += [np.where(again, 2 * k, cls[at + 1]), k + cls[at[~before] - 1]]
+                parts.append((ids, cls[at], np.where(again, 2 * k, cls[at + 1]), np.where(before, -1, k + cls[at - 1])))
                 size += len(at)
                 if size >= CTX_TOKENS:
-                    yield sums(k, hs, own, codes)
-                    hs, own, codes, size = [], [], [], 0
+                    yield sums(k, wanted, parts)
+                    parts, size = [], 0
         if size:
-            yield sums(k, hs, own, codes)
+            yield sums(k, wanted, parts)
         cells = np.flatnonzero(grid)
         yield batch_of(_CONTEXTS, h=[None], own=[None], ctx=[(cells << CTX_BITS | grid[cells]).astype(np.int64)])
 
@@ -240,61 +253,94 @@ def likelihood(grid: np.ndarray) -> float:
     return f(grid) - f(grid.sum(axis=0)) - f(grid.sum(axis=1))
 
 
-def best_classes(grid: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, itself: np.ndarray) -> np.ndarray:
-    """Where each word alone makes the class-bigram likelihood largest, all others being where `grid` has them; ties as in `exchange_clustering`.
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+class OneWord:
+    """Where each word alone makes the class-bigram likelihood largest, all others being where `grid` has them.
 
-    grid: class bigrams; own: class of each word; right and left: counts of each word with the class after and
-    before it, itself: of the word after itself (not in right and left).  Every word has a class after and before it.
+    What a few occurrences add to a cell of the grid, or to a sum of it, is computed once: most words are rare.
     """
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
-    every = np.arange(len(own))
 
-    def side(cells: np.ndarray, mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+    FEW = 8
+
+    def __init__(self, grid: np.ndarray):
+        self.grid = grid
+        self.after, self.before = np.ascontiguousarray(grid.T), np.ascontiguousarray(grid)
+        self.sums = grid.sum(axis=1), grid.sum(axis=0)
+        n = np.arange(self.FEW + 1.0)
+        self.cell_gains = [_f(cells + n[:, None, None]) - _f(cells) for cells in (self.after, self.before)]
+        self.sum_gains = [_f(sums + n[:, None]) - _f(sums) for sums in self.sums]
+
+    def _side(self, which: int, mine: np.ndarray, other: np.ndarray, own: np.ndarray, itself: np.ndarray) -> np.ndarray:
+        """Gain in the cells of the classes after (0) or before (1) each word, by the class the word may go to."""
+        cells = (self.after, self.before)[which]
         i, j = np.nonzero(mine)
-        n = mine[i, j]
-        g = cells[j]  # of each neighbour class, by the class the word may go to
-        g[np.arange(len(i)), own[i]] -= n
-        at = np.flatnonzero(j == own[i])
-        g[at] -= other[i[at]]
-        g[at, j[at]] -= itself[i[at]]
-        return np.add.reduceat(f(g + n[:, None]) - f(g), np.searchsorted(i, every), axis=0)
-
-    def margin(sums: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        n, mine_ = mine[i, j], own[i]
+        gain = self.cell_gains[which][np.minimum(n, self.FEW).astype(np.int64), j]
+        g = cells[j, mine_] - n  # the word is taken out of its own class
+        gain[np.arange(len(i)), mine_] = _f(g + n) - _f(g)
+        at = np.flatnonzero((n > self.FEW) | (j == mine_))
+        g = cells[j[at]]
+        g[np.arange(len(at)), mine_[at]] -= n[at]
+        inside = np.flatnonzero(j[at] == mine_[at])
+        g[inside] -= other[i[at[inside]]]
+        g[inside, mine_[at[inside]]] -= itself[i[at[inside]]]
+        gain[at] = _f(g + n[at, None]) - _f(g)
+        return np.add.reduceat(gain, np.searchsorted(i, np.arange(len(own))), axis=0)
+
+    def _margin(self, which: int, mine: np.ndarray, own: np.ndarray, itself: np.ndarray) -> np.ndarray:
         n = mine.sum(axis=1) + itself  # what others have with the word stays in their sums
-        x = np.repeat(sums[None], len(own), axis=0)
-        x[every, own] -= n
-        return f(x + n[:, None]) - f(x)
+        gain = self.sum_gains[which][np.minimum(n, self.FEW).astype(np.int64)]
+        at = np.flatnonzero(n > self.FEW)
+        gain[at] = _f(self.sums[which] + n[at, None]) - _f(self.sums[which])
+        x = self.sums[which][own] - n
+        gain[np.arange(len(own)), own] = _f(x + n) - _f(x)
+        return gain
+
+    def best(self, own: np.ndarray, right: np.ndarray, left: np.ndarray, itself: np.ndarray) -> np.ndarray:
+        """own: class of each word; right and left: counts of each word with the class after and before it,
+        itself: of the word after itself (not in right and left).  Every word has a class after and before it.
+        Ties as in `exchange_clustering`.
+        """
+        gain = self._side(0, right, left, own, itself) + self._side(1, left, right, own, itself)
+        # The word's cell with its own class is counted from both sides; it differs where both have something in it.
+        i, j = np.nonzero((right != 0) & (left != 0) | (itself != 0)[:, None])
+        r, l, s, d = right[i, j], left[i, j], itself[i], np.diagonal(self.grid)[j]
+        d = np.where(j == own[i], d - (r + l + s), d)
+        gain[i, j] += _f(d + r + l + s) - _f(d + r) - _f(d + l) + _f(d)
+        gain -= self._margin(0, right, own, itself) + self._margin(1, left, own, itself)
+        gain[:, 0] = -np.inf
+        return np.where(gain.max(axis=1) <= gain[np.arange(len(own)), own] + 1e-9, own, gain.argmax(axis=1))
+
 
-    gain = side(grid.T, right, left) + side(grid, left, right)
-    d = np.repeat(np.diagonal(grid)[None], len(own), axis=0)
-    d[every, own] -= right[every, own] + left[every, own] + itself
-    gain += f(d + right + left + itself[:, None]) - f(d + right) - f(d + left) + f(d)
-    gain -= margin(grid.sum(axis=1), right) + margin(grid.sum(axis=0), left)
-    gain[:, 0] = -np.inf
-    return np.where(gain.max(axis=1) <= gain[every, own] + 1e-9, own, gain.argmax(axis=1))
+def best_classes(grid: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    return OneWord(grid).best(own, right, left, itself)
 
 
 def _assign(grid: np.ndarray):
     k = len(grid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exchange, wide = OneWord(grid), 2 * k + 1
         for t in whole_groups(batches, "h", 1 << 20):
             t = t.combine_chunks()
-            h, one, back = np.unique(t["h"].to_numpy(), return_index=True, return_inverse=True)
-            own, ctx = t["own"].to_numpy()[one].astype(np.int64), pa.concat_arrays(t["ctx"].chunks)
-            word = np.repeat(back, np.diff(ctx.offsets.to_numpy()))
+            h, ctx = t["h"].to_numpy(), pa.concat_arrays(t["ctx"].chunks)
+            new = np.concatenate([[True], h[1:] != h[:-1]])  # rows are sorted by word
+            one, offsets = np.flatnonzero(new), ctx.offsets.to_numpy()
+            h, own = h[one], t["own"].to_numpy()[one].astype(np.int64)
             value = ctx.flatten().to_numpy()
-            key, at = np.unique(word * (2 * k + 1) + (value >> CTX_BITS), return_inverse=True)
-            n = np.bincount(at, weights=value & (1 << CTX_BITS) - 1)
-            word, code = np.divmod(key, 2 * k + 1)
-            first = np.searchsorted(word, np.arange(len(h) + 1))
+            at = np.repeat(np.cumsum(new) - 1, np.diff(offsets)) * wide + (value >> CTX_BITS)
+            n = value & (1 << CTX_BITS) - 1
+            first = np.append(offsets[one], offsets[-1]) - offsets[0]
             lo = 0
             while lo < len(h):
                 hi = min(max(lo + 1, int(np.searchsorted(first, first[lo] + CTX_ENTRIES, side="right")) - 1), len(h))
                 e = slice(first[lo], first[hi])
-                cells = np.bincount((word[e] - lo) * (2 * k + 1) + code[e], weights=n[e], minlength=(hi - lo) * (2 * k + 1)).reshape(hi - lo, -1)
+                cells = np.bincount(at[e] - lo * wide, weights=n[e], minlength=(hi - lo) * wide).reshape(hi - lo, -1)
                 right, left, itself = cells[:, :k], cells[:, k:-1], cells[:, -1]
-                cls = best_classes(grid, own[lo:hi], right, left, itself)
+                cls = exchange.best(own[lo:hi], right, left, itself)
                 yield batch_of(_WORDS, h=h[lo:hi], c=(right.sum(axis=1) + itself).astype(np.int64), cls=cls.astype(np.int32))
                 lo = hi
 
@@ -311,16 +357,19 @@ class Classes:
     head_label: np.ndarray  # class of them
     k: int
 
-    def of(self, data: np.ndarray, w: tk.Words) -> np.ndarray:
-        """Class of each word: its own in the head, else that of its unit."""
-        at = tk.lookup(self.head, w.hash)
-        out = self.label[self.units.of(data, w)]
+    @cached_property
+    def places(self) -> tk.Places:
+        return tk.Places(self.head)
+
+    def of(self, data: np.ndarray, w: tk.Words, at: np.ndarray) -> np.ndarray:
+        """Class of each word: its own in the head (where it has the place `at`), else that of its unit."""
         some = at >= 0
-        out[some] = self.head_label[at[some]]
-        return out
+        if some.all():
+            return self.head_label[at].astype(np.int64)
+        return np.where(some, self.head_label[at], self.label[self.units.of(data, w)]) if len(self.head) else self.label[self.units.of(data, w)]
 
     def coded(self, data: np.ndarray, w: tk.Words, docs: int) -> Coded:
-        at = tk.lookup(self.head, w.hash)
+        at = self.places.of(w.hash)
         code = self.head_label[at].astype(np.int64) if len(self.head) else np.zeros(len(w), np.int64)
         rest = np.flatnonzero(at < 0)
         rest = rest[np.lexsort((w.hash[rest], w.doc[rest]))]

@@ -213,6 +213,31 @@ def lookup(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == values, at, -1)
 
 
+class Places:
+    """`lookup` of many values in one array of sorted hashes, by a table of where their leading bits begin."""
+
+    def __init__(self, sorted_keys: np.ndarray):
+        self.keys = sorted_keys
+        bits = len(sorted_keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(sorted_keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.full(len(values), -1, dtype=np.int64)
+        if not len(self.keys):
+            return out
+        bucket = (values >> self.shift).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end, values = at[left], end[left], values[left]
+        while len(left):
+            hit = self.keys[at] == values
+            out[left[hit]] = at[hit]
+            on = np.flatnonzero(~hit & (at + 1 < end))
+            left, at, end, values = left[on], at[on] + 1, end[on], values[on]
+        return out
+
+
 def sum_by(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n)[:n]
 
