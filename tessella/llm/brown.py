@@ -43,12 +43,13 @@ HEAD_WORDS, WORD_UNITS, SUFFIX_UNITS, CLASSES, ROUNDS, PASSES = 1 << 18, 1000, 5
 HALF = 0.5
 
 
-def suffix_units(data: np.ndarray, w: tk.Words) -> np.ndarray:
-    """Unit of each word by its last three bytes (fewer for shorter words)."""
-    h = np.zeros(len(w), dtype=np.uint64)
+def suffix_units(data: np.ndarray, w: tk.Words, of: np.ndarray) -> np.ndarray:
+    """Unit of the words at the places `of` by their last three bytes (fewer for shorter words)."""
+    start, end = w.start[of], w.end[of]
+    h = np.zeros(len(of), dtype=np.uint64)
     for j in range(3):
-        at = w.end - 1 - j
-        h |= np.where(at >= w.start, data[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0)) << np.uint64(16 * j)
+        at = end - 1 - j
+        h |= np.where(at >= start, data[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0)) << np.uint64(16 * j)
     return (tk.mix(h) % np.uint64(SUFFIX_UNITS)).astype(np.int64)
 
 
@@ -79,9 +80,15 @@ class Units:
     def n(self) -> int:
         return 1 + len(self.words) + SUFFIX_UNITS
 
+    @cached_property
+    def places(self) -> tk.Places:
+        return tk.Places(self.words)
+
     def of(self, data: np.ndarray, w: tk.Words) -> np.ndarray:
-        at = tk.lookup(self.words, w.hash)
-        return np.where(at >= 0, at + 1, suffix_units(data, w) + 1 + len(self.words))
+        unit = self.places.of(w.hash) + 1
+        other = np.flatnonzero(unit == 0)
+        unit[other] = suffix_units(data, w, other) + 1 + len(self.words)
+        return unit
 
     def stream(self, data: np.ndarray, w: tk.Words, docs: int) -> np.ndarray:
         """Units of the words of all documents, an end before the first and after each."""
@@ -99,12 +106,18 @@ def _sparse(total: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def _bigrams(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(units.n * units.n, dtype=np.int64)
+        total, cells, size = np.zeros(units.n * units.n, dtype=np.int64), [], 0
         for batch in batches:
             for c in tk.chunks(batch["text"]):
                 data, w = tk.words(c, "nonspace")
                 s = units.stream(data, w, len(c))
-                total += np.bincount(s[:-1] * units.n + s[1:], minlength=len(total))
+                cells.append(s[:-1] * units.n + s[1:])
+                size += len(s)
+                if size >= CTX_TOKENS:
+                    total += np.bincount(np.concatenate(cells), minlength=len(total))
+                    cells, size = [], 0
+        if cells:
+            total += np.bincount(np.concatenate(cells), minlength=len(total))
         yield from _sparse(total.reshape(units.n, units.n))
 
     return run
@@ -363,10 +376,10 @@ class Classes:
 
     def of(self, data: np.ndarray, w: tk.Words, at: np.ndarray) -> np.ndarray:
         """Class of each word: its own in the head (where it has the place `at`), else that of its unit."""
-        some = at >= 0
-        if some.all():
-            return self.head_label[at].astype(np.int64)
-        return np.where(some, self.head_label[at], self.label[self.units.of(data, w)]) if len(self.head) else self.label[self.units.of(data, w)]
+        out, other = np.zeros(len(w), dtype=np.int64), np.flatnonzero(at < 0)
+        out[at >= 0] = self.head_label[at[at >= 0]]
+        out[other] = self.label[suffix_units(data, w, other) + 1 + len(self.units.words)]  # the head has all word units
+        return out
 
     def coded(self, data: np.ndarray, w: tk.Words, docs: int) -> Coded:
         at = self.places.of(w.hash)
@@ -378,7 +391,7 @@ class Classes:
         cut = np.flatnonzero(new)
         lists = np.searchsorted(d[cut], np.arange(docs + 1))
         code[rest] = self.k + np.cumsum(new) - 1 - lists[d]
-        fallback = self.label[suffix_units(data, w)[rest[cut]] + 1 + len(self.units.words)]
+        fallback = self.label[suffix_units(data, w, rest[cut]) + 1 + len(self.units.words)]
         stream = np.concatenate([[0], np.insert(code, w.first[1 : docs + 1], 0)])
         doc = np.insert(w.doc, w.first[1 : docs + 1], np.arange(docs))
         apart = (stream[:-1] >= self.k) | (stream[1:] >= self.k)
