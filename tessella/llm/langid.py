@@ -143,12 +143,12 @@ class LanguageModel:
 
 
 def bounded_sample(docs: DataFrame, max_docs: int, max_bytes: int = 64 << 20, salt: int = 17) -> DataFrame:
-    """About max_docs rows (doc_id, text, ...) of about max_bytes together, chosen by a hash of doc_id: the same whatever the partitions.
+    """About max_docs rows (doc_id, text, size, ...) of about max_bytes together, chosen by a hash of doc_id: the same whatever the partitions.
 
     Texts of over a sixteenth of max_bytes teach nothing, so that no single one can exceed the bound.
     """
-    docs = docs.where(F.octet_length("text") <= max_bytes // 16)
-    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    docs = docs.where(F.col("size") <= max_bytes // 16)
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     part = min(max_docs / max(n, 1), max_bytes / max(size, 1))
     if part >= 1:
         return docs
@@ -157,7 +157,7 @@ def bounded_sample(docs: DataFrame, max_docs: int, max_bytes: int = 64 << 20, sa
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, order: int = ORDER) -> LanguageModel:
     """(doc_id, text, lang) -> model.  Rows with null text or language teach nothing; repeated rows teach twice."""
-    labelled = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
+    labelled = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null").withColumn("size", F.octet_length("text"))
     with Workspace(docs.sparkSession, "langid") as ws:
         rows = ws.save(bounded_sample(labelled, max_docs, max_bytes), "sample")
         langs = sorted(r[0] for r in rows.select("lang").distinct().collect())

@@ -154,10 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of documents with one known label of 0 or 1."""
+    """(doc_id, text, size, label) of documents with one known label of 0 or 1."""
     known = pick(labels, "doc_id", label).toDF("doc_id", "label").where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
-    return pick(docs, "doc_id", "text").where("text is not null").join(known, "doc_id")
+    # Sizes are taken below the join, so summing them does not send the texts through its shuffle.
+    return pick(docs, "doc_id", "text").where("text is not null").withColumn("size", F.octet_length("text")).join(known, "doc_id")
 
 
 def add_scores(docs: DataFrame, model: object, drop: tuple[str, ...] = ()) -> DataFrame:
