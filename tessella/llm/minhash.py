@@ -285,7 +285,7 @@ def near_duplicates(
     with Workspace(spark, "minhash") as ws:
         slim = pick(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), "text", row_key("text").alias("rk"))
         schema = "id long, rk long, n_shingles long, set_lo long, set_hi long, bands array<long>"
-        signed = ws.save(slim.mapInArrow(_sign(bands, rows, shingle), schema), "signed")
+        signed = ws.save(slim.mapInArrow(tk.releasing(_sign(bands, rows, shingle)), schema), "signed")
         live = signed.where("n_shingles > 0 and id is not null")
         # The text of a class is that of a row (id, rk): rows that repeat an id may hold several texts.
         classes = live.groupBy("n_shingles", "set_lo", "set_hi").agg(F.min(F.struct("id", "rk")).alias("at"), F.first("bands").alias("bands"))
@@ -343,7 +343,7 @@ def _star(pairs: DataFrame, texts: DataFrame, ws: Workspace, name: str, size: in
     centres = share.select(F.col("centre").alias("rep"), "centre", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("part"))
     placed = ws.save(members.unionByName(centres).withColumn("task", F.xxhash64("centre", "part")), f"tasks-{name}")
     rows = texts.join(near(placed), "rep").select("task", "rep", "centre", "text").repartition("task").sortWithinPartitions("task", "centre")
-    return ws.save(rows.mapInArrow(_with_centre(size, threshold, k), "u long, v long"), f"links-{name}")
+    return ws.save(rows.mapInArrow(tk.releasing(_with_centre(size, threshold, k)), "u long, v long"), f"links-{name}")
 
 
 def _families(placed: DataFrame, texts: DataFrame, ws: Workspace, block_rows: int, size: int, threshold: float, k: int) -> DataFrame:
@@ -360,7 +360,7 @@ def _families(placed: DataFrame, texts: DataFrame, ws: Workspace, block_rows: in
     )
     tasks = ws.save(tasks, "blocks")
     rows = texts.join(near(tasks), "rep").select("task", "rep", "comp", "text").repartition("task").sortWithinPartitions("task", "rep")
-    return ws.save(rows.mapInArrow(_all_in(size, threshold, k), "u long, v long"), "links-rest")
+    return ws.save(rows.mapInArrow(tk.releasing(_all_in(size, threshold, k)), "u long, v long"), "links-rest")
 
 
 def deduplicate(docs: DataFrame, **options: object) -> DataFrame:

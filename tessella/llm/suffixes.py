@@ -306,7 +306,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_ro
     spark = docs.sparkSession
     with Workspace(spark, "suffixes") as ws:
         slim = _slim(docs).where("text is not null")
-        all_runs = ws.save(slim.select("id", "rk", "text").mapInArrow(_find_runs(length, q), RUNS), "runs")
+        all_runs = ws.save(slim.select("id", "rk", "text").mapInArrow(tk.releasing(_find_runs(length, q)), RUNS), "runs")
         shared = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("k > 1")
         # Written first: a join of two plain shuffles, which AQE splits where an anchor is hot.
         shared = ws.save(shared.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
@@ -317,21 +317,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_ro
         distinct = ws.save(distinct.select("anchor", "seg", "n", "c", "at.id", "at.rk", "at.start"), "distinct")
         wanted = distinct.groupBy("id", "rk").agg(F.collect_list(F.struct("anchor", "seg", "start", "n", "c")).alias("wanted"))
         texts = _texts(slim, distinct.select("id", "rk").distinct())
-        cut = ws.save(_beside(texts, wanted).select("text", "wanted").mapInArrow(_cut_bytes(length), CUT), "cut")
+        cut = ws.save(_beside(texts, wanted).select("text", "wanted").mapInArrow(tk.releasing(_cut_bytes(length)), CUT), "cut")
         hot = ws.save(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot_rows), "hot")
         few = near(hot)
         cold = cut.join(few.select("anchor"), "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-        found = cold.mapInArrow(_refine_groups(length), DUP)
+        found = cold.mapInArrow(tk.releasing(_refine_groups(length)), DUP)
         if not hot.isEmpty():
             part = F.xxhash64("anchor", F.pmod(F.xxhash64("seg"), F.ceil(F.col("k") / F.lit(max(hot_rows, 1)))))
             dealt = ws.save(cut.join(few, "anchor").withColumn("part", part).drop("k"), "dealt")
-            local = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_refine_part(length), "part long, anchor long, key binary, c long")
+            local = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tk.releasing(_refine_part(length)), "part long, anchor long, key binary, c long")
             local = ws.save(local, "local")
             twice = ws.save(local.groupBy("anchor", "key").agg(F.sum("c").alias("k")).where("k > 1").select("anchor", "key"), "twice")
             # A suffix that is single in its part and repeated in another: its part is told.
             lone = local.where("c = 1").join(twice, ["anchor", "key"]).select("part", "key")
             again = dealt.unionByName(lone, allowMissingColumns=True).repartition("part").sortWithinPartitions("part")
-            found = found.unionByName(again.mapInArrow(_refine_known(length), DUP))
+            found = found.unionByName(again.mapInArrow(tk.releasing(_refine_known(length)), DUP))
         found = ws.save(found, "found")
         ws.drop("cut")
         whole = kept.where("not mixed").select("id", "rk", F.col("start").alias("lo"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi"))

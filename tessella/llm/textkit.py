@@ -114,6 +114,19 @@ class Chunk:
         return self.hi - self.lo
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run`, after which a worker that waits for its next task gives freed memory back to the machine."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return wrapped
+
+
 def chunks(texts: pa.Array, max_bytes: int | None = None, separate: bool = True, prepare: Callable[[pa.Array], pa.Array] | None = None, rows: int = 512) -> Iterator[Chunk]:
     """Cut a string array into chunks; null counts as empty.  With `separate` a newline follows each text.
 
