@@ -12,7 +12,10 @@ from .embeddings import OP7_SQL, op7_embedding_dedup
 from .langid import op3_language_id
 from .minhash import OP8_SQL, op8_minhash
 from .mixing import OP10_SQL, op10_mixing
+from .packing import op12_pattern_packing
+from .periodic import op13_periodic_runs
 from .phrases import OP2_SQL, benchmark_proximity, op2_decontamination
+from .prefixtrie import OP11_SQL, op11_prefix_trie
 from .quality import op1_quality
 from .suffixes import op6_suffix_dedup
 from .toxicity import op9_toxicity
@@ -33,6 +36,9 @@ def queries() -> dict[str, Query]:
         "op8_minhash": op8_minhash,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_pattern_packing": op12_pattern_packing,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
         "benchmark_proximity": benchmark_proximity,
     }
@@ -45,5 +51,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_embedding_dedup": OP7_SQL,
         "op8_minhash": OP8_SQL,
         "op10_mixing": OP10_SQL,
+        "op11_prefix_trie": OP11_SQL,
     }
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
