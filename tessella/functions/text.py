@@ -144,8 +144,11 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)\z", 1))
 
 
+CHAT_ID = r"[A-Za-z0-9_-]{1,64}"
+
+
 def is_chat_id(c: Column) -> Column:
-    return c.rlike(r"^[A-Za-z0-9_-]{1,64}\z")
+    return c.rlike(rf"^{CHAT_ID}\z")
 
 
 def is_rate_limit(message: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,13 +24,19 @@ def render_history(turns: DataFrame, questions: DataFrame, conf: EngineConf = DE
     The last non-blank turns before the question, cut to a length, each with a speaker; every
     role but `user` speaks as the assistant.
     """
-    q = questions.select("chat_id", F.col("turn").alias("at"))
-    before = turns.where(X.trimmed(F.col("content")) != "").join(q, "chat_id").where("turn < at")
-    last = Window.partitionBy("chat_id", "at").orderBy(F.col("turn").desc())
     said = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.substring("content", 1, conf.history_turn_chars))
-    kept = before.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= conf.condense_history_turns).withColumn("line", said)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda s: s["line"])
-    told = kept.groupBy("chat_id", F.col("at").alias("turn")).agg(F.array_join(ordered, "\n").alias("history"))
+    line = F.when(F.coalesce(X.trimmed(F.col("content")) != "", F.lit(False)), F.struct("turn", F.coalesce(said, F.lit("")).alias("line")))
+    # Turns and questions in one order; a question stands before its own turn and sees the last lines only.
+    rows = turns.where("turn is not null").select("chat_id", F.col("turn").alias("at"), F.lit(1).alias("kind"), line.alias("line"), F.lit(None).cast(questions.schema["question"].dataType).alias("question"))
+    rows = rows.unionByName(questions.select("chat_id", F.col("turn").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["line"].dataType).alias("line"), "question"))
+    run = Window.partitionBy("chat_id").orderBy("at", "kind")
+    rows = rows.withColumn("_n", F.count("line").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    # Lines are numbered by what stands before them: those above n - k are the last k.
+    lines = rows.where("line is not null").select("chat_id", F.col("_n").alias("i"), "line")
+    asked_ = rows.where("kind = 0").select("chat_id", F.col("at").alias("turn"), "question", "_n")
+    wanted = asked_.where("_n > 0").select("chat_id", "turn", F.explode(F.sequence(F.greatest(F.col("_n") - F.lit(conf.condense_history_turns - 1), F.lit(1)), F.col("_n"))).alias("i")).distinct()
+    told = wanted.join(lines, ["chat_id", "i"]).groupBy("chat_id", "turn")
+    told = told.agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda s: s["line"]), "\n").alias("history"))
     return questions.join(told, ["chat_id", "turn"], "left")
 
 
@@ -154,28 +161,37 @@ TITLE_SCHEMA = "chat_id string, title string, at timestamp"
 
 
 class ChatStore:
-    """Conversations as two keyed tables: turns, and titles that were given by hand."""
+    """Conversations as two keyed tables: turns, dealt by chat, and titles that were given by hand."""
 
     def __init__(self, spark: SparkSession, path: str, conf: EngineConf = DEFAULT):
         self.spark, self.conf = spark, conf
-        self.turns = VersionedTable(spark, f"{path}/turns", "key", buckets=8)
+        self.turns = VersionedTable(spark, f"{path}/turns", "key", buckets=8, dealt_by="chat_id")
         self.titles = VersionedTable(spark, f"{path}/titles", "chat_id", buckets=4)
 
     def _checked(self, chat_id: str) -> str:
-        if not self.spark.range(1).where(X.is_chat_id(F.lit(chat_id))).count():
+        if not re.fullmatch(X.CHAT_ID, chat_id):
             raise ValueError(f"malformed chat id {chat_id!r}")
         return chat_id
 
     def append(self, chat_id: str, role: str, content: str, at: str) -> int:
-        """Adds a turn; returns its number."""
-        rows = self.turns.read(TURN_SCHEMA).where(F.col("chat_id") == self._checked(chat_id))
-        turn = (rows.agg(F.max("turn")).first()[0] if rows.count() else -1) + 1
-        row = self.spark.createDataFrame([(f"{chat_id}:{turn}", chat_id, turn, role, content)], "key string, chat_id string, turn int, role string, content string")
-        self.turns.upsert(row.withColumn("at", F.lit(at).cast("timestamp")))
-        return turn
+        """Adds a turn after the last one of its chat; returns its number.
+
+        The number holds for the version it was read from: where another writer came first, it is read again.
+        """
+        chat_id, said = self._checked(chat_id), {}
+
+        def next_turn(rows: DataFrame) -> DataFrame:
+            last = rows.agg(F.max("turn")).first()[0]
+            said["turn"] = -1 if last is None else last
+            said["turn"] += 1
+            row = [(f"{chat_id}:{said['turn']}", chat_id, said["turn"], role, content, at)]
+            return self.spark.createDataFrame(row, "key string, chat_id string, turn int, role string, content string, at string").withColumn("at", F.col("at").cast("timestamp"))
+
+        self.turns.update(next_turn, TURN_SCHEMA, chat_id=chat_id)
+        return said["turn"]
 
     def get(self, chat_id: str) -> DataFrame:
-        return self.turns.read(TURN_SCHEMA).where(F.col("chat_id") == self._checked(chat_id)).orderBy("turn")
+        return self.turns.snapshot(TURN_SCHEMA, chat_id=self._checked(chat_id))[0].orderBy("turn")
 
     def rename(self, chat_id: str, title: str, at: str) -> None:
         title = title.strip()[: self.conf.chat_title_chars]

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions import text as X
 from ..plugins import Embedder, embed_column, hash_embedder
 from . import chunking
-from .store import ParquetVectorStore, VersionedTable
+from .store import ORPHAN_SECONDS, ParquetVectorStore, VersionedTable
 
 MANIFEST_SCHEMA = (
     "id string, filename string, title string, source_url string, content_hash string, status string, "
@@ -84,25 +86,6 @@ def documents_with_chunks(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     return manifest.join(per, "id", "left").withColumn("chunks", F.coalesce("chunks", F.expr(f"cast(array() as {kind})")))
 
 
-def stage_events(results: DataFrame, total: int) -> DataFrame:
-    """(id, chunks, skipped, error) -> doc_id, seq, type, stage, done, total, chunks, error: what ingestion tells of each document.
-
-    A skipped one has its result alone; the others pass through their stages up to the result or the error.
-    """
-    stages = F.array(*[F.lit(x) for x in STAGES])
-    told = F.when(F.col("skipped"), F.array(F.lit("skipped"))).when(F.col("error").isNotNull(), F.array(F.lit("parse"), F.lit("failed"))).otherwise(F.concat(stages, F.array(F.lit("ready"))))
-    rows = results.select(F.col("id").alias("doc_id"), "chunks", "error", F.posexplode(told).alias("seq", "stage"))
-    last = F.col("stage").isin("skipped", "failed", "ready")
-    return rows.select(
-        "doc_id", F.col("seq").cast("long").alias("seq"), F.when(last, F.lit("result")).otherwise(F.lit("stage")).alias("type"), "stage", F.when(last, 1).otherwise(0).alias("done"),
-        F.lit(total).alias("total"), F.when(last, F.col("chunks")).alias("chunks"), F.when(last, F.col("error")).alias("error"),
-    )
-
-
-#: What a document passes through before its result.
-STAGES = ("parse", "chunk", "embed", "store")
-
-
 def outcome(error: Column, skipped: Column) -> Column:
     refused = error.rlike(r"(?i)error page|HTTP 4\d\d")
     return F.when(F.coalesce(skipped, F.lit(False)), "skipped").when(refused, "refused").when(error.isNotNull(), "failed").otherwise("ok")
@@ -112,11 +95,37 @@ def seed_totals(results: DataFrame) -> DataFrame:
     return results.groupBy(outcome(F.col("error"), F.col("skipped")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("chunks"))
 
 
+#: What ingestion tells while it runs; a document's `seq` rises with its stages.
+INGEST_EVENT = "doc_id string, seq long, type string, stage string, done long, total long, chunks long, reason string, message string"
+Tell = Callable[[str, DataFrame], None]
+
+
+def told(rows: DataFrame, seq: int, type_: str, stage: str | None = None, **more: str | Column) -> DataFrame:
+    """(doc_id, ...) as events of one kind; `more` are expressions of the event's other columns."""
+    kinds = dict(x.split(" ") for x in INGEST_EVENT.split(", "))
+    own = {"seq": F.lit(seq), "type": F.lit(type_), "stage": F.lit(stage)} | {k: F.expr(v) if isinstance(v, str) else v for k, v in more.items()}
+    return rows.select(*[(F.col(c) if c == "doc_id" else own.get(c, F.lit(None))).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def last_of_batch(docs: DataFrame, order: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(kept, superseded): of the documents of one URL, or of one file name without a URL, the last in order is kept.
+
+    Documents with neither are versions of nothing.  `superseded` has `by`, the order value of the one that is kept.
+    """
+    key = F.when(F.col("source_url").isNotNull(), F.concat(F.lit("u "), F.col("source_url"))).otherwise(F.concat(F.lit("f "), F.col("filename")))
+    keyed = docs.withColumn("_k", key)
+    last = keyed.where("_k is not null").groupBy(F.col("_k").alias("_key")).agg(F.max(order).alias("by"))
+    marked = keyed.join(last, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
+    late = F.coalesce(F.col(order) == F.col("by"), F.lit(True))
+    return marked.where(late).drop("by"), marked.where(~late)
+
+
 class Ingestor:
     """Runs a batch of parsed documents into a chunk store and a manifest under one folder.
 
     The new chunks of a changed document are written before the old version's go, and the
-    manifest says `ready` last: a failed run leaves the old version readable.
+    manifest says `ready` last: a failed run leaves the old version readable.  A document whose
+    texts the model refuses fails alone; the others of its batch are stored.
     """
 
     def __init__(self, spark: SparkSession, path: str, conf: EngineConf = DEFAULT, embedder: Embedder | None = None):
@@ -128,51 +137,101 @@ class Ingestor:
     def documents(self) -> DataFrame:
         return self.manifest.read(MANIFEST_SCHEMA)
 
-    def ingest(self, parsed: DataFrame, force: bool = False, now: str = "2024-01-01 00:00:00") -> DataFrame:
+    def ingest(self, parsed: DataFrame, force: bool = False, now: str = "2024-01-01 00:00:00", tell: Tell | None = None) -> DataFrame:
         """parsed: doc_id, markdown, title, filename, source_url, error (null when parsed) -> one result row each.
 
+        Results: id, chunks, skipped, error.  A skipped document has the id and chunk count of the
+        identical one; one that a later version of the same batch replaces is skipped for that.
         Every text is embedded once: chunks are written with their vectors before anything else
         reads them.  All documents that are replaced go in one pass.  Results are a written table.
+
+        `tell` gets each stage's name and events (INGEST_EVENT) as soon as the stage is written, so
+        what a later failure leaves behind are the events up to it.
         """
         at = F.lit(now).cast("timestamp")
         run = f"{self.path}/runs/{uuid.uuid4().hex}"
-        write = lambda df, name: (df.write.parquet(f"{run}/{name}"), self.spark.read.schema(df.schema).parquet(f"{run}/{name}"))[1]
+        tell = tell or (lambda stage, events: None)
+
+        def write(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{run}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{run}/{name}"), int(seen.get["n"])
+
         known = self.documents()
-        good = parsed.where("error is null").withColumn("markdown", X.normalize_markdown(F.col("markdown")))
-        good = write(good, "parsed")
+        text = F.when(F.col("error").isNull(), X.normalize_markdown(F.col("markdown")))
+        parsed, _ = write(parsed.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("markdown", text), "parsed")
+        bad = parsed.where("error is not null")
+        good, superseded = last_of_batch(parsed.where("error is null"))
+        tell("parse", told(parsed.where("error is null"), 0, "status", "parsing").unionByName(told(bad, 0, "error", message="error")))
         fresh, skipped = skip_known(good, known, force)
-        fresh = write(fresh.withColumn("new_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.substring("content_hash", 1, 12))), "fresh")
-        old = prior_versions(fresh, known).join(fresh.select("doc_id", "new_id"), "doc_id").where("prior_id <> new_id")
-        gone = write(old.select(F.col("prior_id").alias("id"), F.col("prior_id").alias("document_id")).distinct(), "gone")
+        fresh, _ = write(fresh.withColumn("new_id", F.concat_ws("-", "doc_id", F.substring("content_hash", 1, 12))), "fresh")
+        skipped, _ = write(self._identical(skipped, known, fresh).unionByName(superseded.select("doc_id", F.col("by").alias("same_id"), F.lit(0).alias("same_chunks"), F.lit("replaced within the batch").alias("reason"))), "skipped")
+        tell("skip", told(skipped, 1, "skipped", reason="reason"))
+
         source = fresh.select(F.col("new_id").alias("doc_id"), "markdown", "title", "source_url")
-        chunks = chunking.chunk_documents(source, self.conf)
-        ready = embed_column(chunks.withColumn("_t", X.embedding_text(F.col("heading_path"), F.col("text"))), "_t", self.embedder, self.conf).drop("_t")
-        ready = write(ready, "chunks")
-        self.store.upsert(ready)
-        counts = ready.groupBy(F.col("document_id").alias("new_id")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
-        rows = fresh.join(counts, "new_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-        empty = F.col("chunk_count") == 0
-        rows = rows.select(
-            F.col("new_id").alias("id"), "filename", "title", "source_url", "content_hash", F.when(empty, "failed").otherwise("ready").alias("status"), "chunk_count",
-            F.when(empty, F.lit("document produced no chunks")).alias("error"), at.alias("created_at"), at.alias("updated_at"),
+        chunks, n = write(chunking.chunk_documents(source, self.conf).withColumn("_t", X.embedding_text(F.col("heading_path"), F.col("text"))), "chunks")
+        counts = chunks.groupBy(F.col("document_id").alias("new_id")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+        counts, _ = write(fresh.select("doc_id", "new_id").join(counts, "new_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))), "counts")
+        tell("chunk", told(counts.where("chunk_count > 0"), 2, "status", "chunking", chunks="chunk_count"))
+
+        ready, _ = write(embed_column(chunks, "_t", self.embedder, self.conf, errors="_error", rows=n).drop("_t"), "embedded")
+        why = ready.where("_error is not null").groupBy(F.col("document_id").alias("new_id")).agg(F.min_by("_error", "ordinal").alias("why"))
+        state = counts.join(why, "new_id", "left").withColumn("why", F.coalesce("why", F.when(F.col("chunk_count") == 0, "document produced no chunks")))
+        state, _ = write(state, "state")
+        tell("embed", told(state.where("why is null"), 3, "status", "embedding", done="chunk_count", total="chunk_count"))
+        failed = state.where("why is not null")
+        self.store.upsert(ready.drop("_error").join(failed.select(F.col("new_id").alias("document_id")), "document_id", "left_anti"))
+
+        ok = F.col("why").isNull()
+        rows = fresh.join(state.drop("doc_id"), "new_id").select(
+            F.col("new_id").alias("id"), "filename", "title", "source_url", "content_hash", F.when(ok, "ready").otherwise("failed").alias("status"), F.when(ok, F.col("chunk_count")).otherwise(0).alias("chunk_count"),
+            F.col("why").alias("error"), at.alias("created_at"), at.alias("updated_at"),
         )
+        none = F.lit(None).cast("string")
         results = rows.select("id", F.col("chunk_count").alias("chunks"), F.lit(False).alias("skipped"), "error")
-        results = results.unionByName(skipped.select(F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("chunks"), F.lit(True).alias("skipped"), F.lit(None).cast("string").alias("error")))
-        results = results.unionByName(parsed.where("error is not null").select(F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("chunks"), F.lit(False).alias("skipped"), "error"))
-        results = write(results, "results")  # before the manifest says that these contents are known
-        self.manifest.upsert(rows, drop=gone.select("id"))
-        self.store.delete_by_documents(gone)
-        for name in ("parsed", "fresh", "gone", "chunks"):
+        results = results.unionByName(skipped.select(F.col("same_id").alias("id"), F.col("same_chunks").alias("chunks"), F.lit(True).alias("skipped"), none.alias("error")))
+        results = results.unionByName(bad.select(F.col("doc_id").alias("id"), F.lit(0).alias("chunks"), F.lit(False).alias("skipped"), "error"))
+        results, _ = write(results, "results")  # before the manifest says that these contents are known
+        gone: list[DataFrame] = []
+
+        def publish(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+            # What is replaced is told by the version that this write follows; a failed document replaces nothing.
+            stored = fresh.join(state.where("why is null").select("new_id"), "new_id", "left_semi")
+            old = prior_versions(stored, manifest).join(stored.select("doc_id", "new_id"), "doc_id").where("prior_id <> new_id")
+            old, _ = write(old.select(F.col("prior_id").alias("id"), F.col("prior_id").alias("document_id")).distinct(), f"gone-{len(gone)}")
+            gone.append(old)
+            return rows, old.select("id")
+
+        self.manifest.update(publish, MANIFEST_SCHEMA)
+        self.store.delete_by_documents(gone[-1])
+        tell("done", told(state.where("why is null"), 4, "done", "ready", chunks="chunk_count").unionByName(told(failed, 4, "error", message="why")))
+        for name in ("parsed", "fresh", "skipped", "chunks", "counts", "embedded", "state", *(f"gone-{k}" for k in range(len(gone)))):
             fs, p = self.manifest._fs(f"{run}/{name}")
             fs.delete(p, True)
+        self._forget_runs()
         return results
 
+    def _identical(self, skipped: DataFrame, known: DataFrame, fresh: DataFrame) -> DataFrame:
+        """Skipped documents with the id and chunk count of the ready document, or the one of this batch, that is identical."""
+        ready = known.where("status = 'ready'").groupBy(F.col("content_hash").alias("_h")).agg(F.min_by(F.struct("id", "chunk_count"), F.struct("created_at", "id")).alias("r"))
+        now = fresh.select(F.col("content_hash").alias("_g"), "new_id").dropDuplicates(["_g"])
+        both = skipped.join(ready, F.col("content_hash") == F.col("_h"), "left").join(now, F.col("content_hash") == F.col("_g"), "left")
+        same = F.coalesce("r.id", "new_id", "doc_id")
+        return both.select("doc_id", same.alias("same_id"), F.coalesce("r.chunk_count", F.lit(0)).alias("same_chunks"), F.lit("already indexed (identical content)").alias("reason"))
+
+    def _forget_runs(self) -> None:
+        """Remove what runs left that broke off, or whose results are old."""
+        fs, root = self.manifest._fs(f"{self.path}/runs")
+        old = (time.time() - ORPHAN_SECONDS) * 1000
+        for f in fs.listStatus(root) if fs.exists(root) else []:
+            if f.getModificationTime() < old:
+                fs.delete(f.getPath(), True)
+
     def mark_failed(self, document_id: str, error: str, now: str = "2024-01-01 00:00:00") -> None:
         """Roll a document back: its chunks go first, then the manifest says why."""
         self.store.delete_by_document(document_id)
         change = self.spark.createDataFrame([(document_id, "failed", error, 0)], "id string, status string, error string, chunk_count int")
-        row = patch(self.documents().where(F.col("id") == document_id), change, F.lit(now).cast("timestamp"))
-        self.manifest.upsert(row)
+        self.manifest.update(lambda rows: patch(rows, change, F.lit(now).cast("timestamp")), MANIFEST_SCHEMA, id=document_id)
 
     def remove(self, document_id: str) -> None:
         """Chunks first, then the manifest row."""

@@ -12,7 +12,10 @@ the pointer, chosen by the bytes of the first write and doubled when a table out
 from __future__ import annotations
 
 import json
+import random
+import time
 import uuid
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +29,8 @@ from . import retrieval
 BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 1 << 16
 #: Pointers that stay readable behind the current one; data that only older ones name is removed.
 KEPT_VERSIONS = 2
+#: A data folder that no pointer names is a running write's for so long, then an orphan; tries of a read-modify-write.
+ORPHAN_SECONDS, TRIES = 24 * 3600, 20
 
 
 class ConflictError(RuntimeError):
@@ -33,9 +38,12 @@ class ConflictError(RuntimeError):
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 16):
-        """`buckets` is the least number of a new table; an existing one keeps its own."""
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 16, dealt_by: str | None = None):
+        """`buckets` is the least number of a new table; an existing one keeps its own.
+
+        Rows are dealt to buckets by `dealt_by`, a column that the key determines (else by the key).
+        """
+        self.spark, self.path, self.key, self.buckets, self.dealt_by = spark, path.rstrip("/"), key, buckets, dealt_by or key
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -86,6 +94,16 @@ class VersionedTable:
                 if b["path"] not in used:
                     fs.delete(self._fs(b["path"])[1], True)
             fs.delete(self._fs(f"{self.path}/versions/{v}")[1], False)
+        self._collect_orphans({p.rsplit("/", 1)[0] for p in used})
+
+    def _collect_orphans(self, used: set[str]) -> None:
+        """Remove folders of writes that broke off or lost a race: named by no kept pointer, and older than any running write."""
+        fs, root = self._fs(self.path)
+        young = time.time() * 1000 - ORPHAN_SECONDS * 1000
+        for f in fs.listStatus(root):
+            name = f.getPath().getName()
+            if name[:2] in ("v-", "s-") and f"{self.path}/{name}" not in used and f.getModificationTime() < young:
+                fs.delete(f.getPath(), True)
 
     def exists(self) -> bool:
         return self._pointer() is not None
@@ -99,8 +117,36 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self._in(at, None)
 
+    def snapshot(self, schema: str | None = None, **only: object) -> tuple[DataFrame, dict | None]:
+        """Current rows and the version they are of, to be handed to the write that they lead to.
+
+        `only` is the value of the column that rows are dealt by: then one bucket is read.
+        """
+        at = self._pointer()
+        if at is None or not only:
+            return (self.read(schema) if at is None else self._in(at, None)), at
+        ((name, value),) = only.items()
+        if name != self.dealt_by:
+            raise ValueError(f"rows are dealt by {self.dealt_by}, not by {name}")
+        kind = next(f.dataType for f in StructType.fromJson(at["schema"]) if f.name == name)
+        number = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(value).cast(kind)), F.lit(at["n"]))).first()[0]
+        return self._in(at, {int(number)}).where(F.col(name) == F.lit(value)), at
+
+    def update(self, change: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]], schema: str | None = None, **only: object) -> None:
+        """Read, change, write: `change` makes rows to upsert (and keys to drop) of the current ones, again after another writer came first."""
+        for attempt in range(TRIES):
+            rows, at = self.snapshot(schema, **only)
+            made = change(rows)
+            rows, drop = made if isinstance(made, tuple) else (made, None)
+            try:
+                return self.upsert(rows, drop=drop, after=at or {})
+            except ConflictError:
+                if attempt == TRIES - 1:
+                    raise
+                time.sleep(random.uniform(0, 0.05 * 2 ** min(attempt, 6)))
+
     def _bucket(self, n: int) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(n)).cast("int")
+        return F.pmod(F.xxhash64(self.dealt_by), F.lit(n)).cast("int")
 
     def _in(self, at: dict, touched: set[int] | None) -> DataFrame:
         kind = StructType.fromJson(at["schema"])
@@ -130,31 +176,36 @@ class VersionedTable:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path), path
 
-    def upsert(self, rows: DataFrame, order: str | None = None, drop: DataFrame | None = None) -> None:
+    def upsert(self, rows: DataFrame, order: str | None = None, drop: DataFrame | None = None, after: dict | None = None) -> None:
         """Insert or replace by key; of rows with one key the last by `order` (else any) stays.
 
-        Keys of `drop` that are not among the new ones go in the same version.
+        Keys of `drop` (rows with the key, and the column rows are dealt by) that are not among the
+        new ones go in the same version.  With `after`, what `snapshot` told (an empty one: no table
+        yet), it raises ConflictError unless that is still the current version.
         """
         staged, path = self._staged(rows)
         try:
-            self._apply(staged, order, drop, self._bytes(path))
+            self._apply(staged, order, drop, self._bytes(path), after)
         finally:
             self._fs(path)[0].delete(self._fs(path)[1], True)
 
-    def _apply(self, rows: DataFrame, order: str | None, drop: DataFrame | None, size: int) -> None:
+    def _apply(self, rows: DataFrame, order: str | None, drop: DataFrame | None, size: int, after: dict | None) -> None:
         if order:
             one = F.row_number().over(Window.partitionBy(self.key).orderBy(F.col(order).desc()))
             rows = rows.withColumn("_n", one).where("_n = 1").drop("_n")
         else:
             rows = rows.dropDuplicates([self.key])
         at = self._pointer()
+        if after is not None and (at or {}).get("version") != after.get("version"):
+            raise ConflictError(f"{self.path} is no longer at the version that was read")
         have = sum(b["bytes"] for b in at["buckets"].values()) if at else 0
         n = at["n"] if at else self.buckets
         while n * BUCKET_BYTES < have + size and n < MOST_BUCKETS:
             n *= 2
-        keys = rows.select(self.key)
+        named = list(dict.fromkeys([self.key, self.dealt_by]))
+        keys = rows.select(*named)
         if drop is not None:
-            keys = keys.unionByName(drop.select(self.key)).distinct()
+            keys = keys.unionByName(drop.select(*named)).distinct()
         touched = None
         if at is not None and at["n"] == n:
             touched = {r[0] for r in keys.select(self._bucket(n).alias("b")).distinct().collect()}  # buckets at most
@@ -163,7 +214,7 @@ class VersionedTable:
         elif at is None and rows.isEmpty():
             return
         if at is not None:
-            rows = self._in(at, touched).join(keys, self.key, "left_anti").unionByName(rows)
+            rows = self._in(at, touched).join(keys.select(self.key), self.key, "left_anti").unionByName(rows)
         self._rewrite(rows, touched, at, n)
 
     def delete(self, condition: Column) -> None:
