@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +139,59 @@ def answer(contexts: DataFrame, chat: Callable[[str], str], conf: EngineConf = D
     return told.unionByName(refused)
 
 
+#: A generator port: a prompt to the pieces of its answer, as they come.
+Generate = Callable[[str], Iterator[str]]
+#: Rows of tokens that leave a task at a time.
+TOKEN_ROWS = 256
+
+
+def stream_answers(contexts: DataFrame, generate: Generate) -> DataFrame:
+    """(qid, question, gated, context, valid) -> qid, seq, event, text: the events of each answer, in order.
+
+    `meta` (gated or open), a `token` for each piece as the generator gives it, then the `answer`
+    with markers outside `valid` (the context's citation numbers) removed, the `citations` that it
+    uses, and `done`.  A gated question gets the refusal and a blank one an `error`; neither calls
+    the generator.  A generator that fails ends its answer with an `error` after the tokens so far;
+    other answers are not affected.  Tokens leave the task in small batches while it runs.
+    """
+    names = ["qid", "seq", "event", "text", "valid"]
+    rows = checked_questions(contexts).select("qid", "error", "gated", F.coalesce("valid", F.expr("cast(array() as array<int>)")).alias("valid"), F.concat(F.lit(SYSTEM_PROMPT + "\n\n"), user_prompt(F.col("question"), F.coalesce("context", F.lit("")))).alias("prompt"))
+    kind = rows.schema["qid"].dataType.simpleString()
+
+    def of(r: dict) -> Iterator[tuple]:
+        if r["error"] is not None:
+            yield (r["qid"], 0, "error", r["error"], None)
+            return
+        yield (r["qid"], 0, "meta", "gated" if r["gated"] else "open", None)
+        if r["gated"]:
+            yield (r["qid"], 1, "whole", REFUSAL, [])
+            return
+        said, n = [], 0
+        try:
+            for n, piece in enumerate(generate(r["prompt"]), 1):
+                said.append(piece)
+                yield (r["qid"], n, "token", piece, None)
+        except Exception as error:
+            yield (r["qid"], n + 1, "error", str(error), None)
+            return
+        yield (r["qid"], n + 1, "whole", "".join(said), r["valid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            events = (e for r in batch.to_pylist() for e in of(r))
+            while held := list(islice(events, TOKEN_ROWS)):
+                cols = zip(*held, strict=True)
+                types = [batch.schema.field("qid").type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    out = rows.mapInArrow(run, f"qid {kind}, seq long, event string, text string, valid array<int>")
+    event = lambda name, text: F.struct(F.lit(name).alias("event"), text.alias("text"))
+    used = F.array_join(F.array_sort(F.array_intersect("valid", X.cited_numbers(F.col("text")))).cast("array<string>"), ",")
+    ending = F.array(event("answer", X.clean_citations(F.col("text"), F.col("valid"))), event("citations", used), event("done", F.lit("")))
+    told = out.select("qid", "seq", F.posexplode(F.when(F.col("event") == "whole", ending).otherwise(F.array(F.struct("event", "text")))).alias("k", "e"))
+    return told.select("qid", (F.col("seq") + F.col("k")).alias("seq"), "e.event", "e.text")
+
+
 def validate(answers: DataFrame, citations: DataFrame) -> DataFrame:
     """(qid, answer) and (qid, n, ...) -> qid, answer (cleaned), used (numbers in citation order)."""
     valid = citations.groupBy("qid").agg(F.array_sort(F.collect_set(F.col("n").cast("int"))).alias("valid"))

@@ -5,7 +5,7 @@ declare an input: `markdown_input` writes structure into the lines of documents
 `chunk_input` reads embeddings as split sections of ten-part documents.  The same input is
 written in SQL; it is scaffolding of the comparison, not engine behaviour.  Structure is added as
 lines of its own, every line of a text stays whole.  Searches ask for every row whose id is
-divisible by 20, against all rows.  `..._all` and `..._whole` are other names of the same queries.
+divisible by 20, against all rows.
 """
 
 from __future__ import annotations
@@ -48,12 +48,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-def _also(name: str, *of: Query) -> None:
-    """Register queries under their earlier names `<query>_<name>` too."""
-    for fn in of:
-        QUERIES[f"{fn.__name__}_{name}"] = fn
-
-
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -212,8 +206,6 @@ def retrieval_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.retrieval_meta(hits).select("qid", F.array_join(item, "|").alias("retrieved"))
 
 
-_also("all", knn_topk, knn_filtered, relevance_gate, sibling_expand, context_budget, context_blocks, cited_documents, retrieval_meta)
-
 
 @query(f"""WITH {_CH} SELECT id, 'clause' || CASE WHEN part_index IS NOT NULL THEN ' · part ' || (part_index + 1) || '/' || part_count ELSE '' END || CASE WHEN ordinal % 4 = 0 THEN ' · #s' || ordinal ELSE '' END AS label,
   CASE WHEN ordinal = 0 THEN 'T' ELSE 'S' || ordinal || ' › P' END AS chip FROM ch""")
@@ -308,18 +300,6 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.documents_with_chunks(m, c).select("id", F.size("chunks").cast("long").alias("n"), F.array_join(item, ",").alias("chunks"))
 
 
-@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no markdown' END AS error, doc_id % 5 = 0 AS skipped, n_chars // 100 AS chunks FROM documents),
-s AS (SELECT *, CASE WHEN skipped THEN ['skipped'] WHEN error IS NOT NULL THEN ['parse', 'failed'] ELSE ['parse', 'chunk', 'embed', 'store', 'ready'] END AS st FROM r),
-e AS (SELECT *, unnest(st) AS stage, unnest(range(len(st))) AS seq FROM s)
-SELECT doc_id, seq, CASE WHEN seq = len(st) - 1 THEN 'result' ELSE 'stage' END AS type, stage, CAST(seq = len(st) - 1 AS INTEGER) AS done, CASE WHEN seq = len(st) - 1 THEN chunks END AS chunks, CASE WHEN seq = len(st) - 1 THEN error END AS error FROM e""")
-def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage events of an ingestion, document by document."""
-    d = _t(spark, sf_dir, "documents")
-    error = F.when(F.col("doc_id") % 7 == 0, "no markdown")
-    results = d.select(F.col("doc_id").alias("id"), F.floor(F.col("n_chars") / 100).alias("chunks"), (F.col("doc_id") % 5 == 0).alias("skipped"), error.alias("error"))
-    return ingest.stage_events(results, 0).drop("total")
-
-
 @query(f"WITH {_CH} SELECT id, document_id, ordinal FROM ch WHERE document_id <> 3")
 def delete_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A written table after the chunks of one document were deleted."""
@@ -506,10 +486,6 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", X.embedding_text(F.col("heading_path"), F.col("text")).alias("embedding_text"))
 
 
-_also(
-    "whole", toc_split, heading_candidates, promote_headings, section_paths, paragraphs, qa_chunks, table_chunks, packed_chunks,
-    chunk_documents, chunk_kind_hist, chunk_stats, family_integrity, embedding_text,
-)
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
@@ -560,8 +536,6 @@ def refuse_short_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refuse_pages(H.with_markdown(_t(spark, sf_dir, "pages"))).select("page_id", "skipped")
 
 
-_also("whole", refuse_short_pages)
-
 
 @query()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -703,3 +677,6 @@ def turn_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "conversations")
     ident = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     return c.select("conv_id", "turn", X.snippet(F.col("text"), 100).alias("snippet"), X.is_chat_id(ident).alias("good_id"))
+
+
+from . import live  # noqa: E402, F401  (registers its queries)

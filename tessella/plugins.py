@@ -40,6 +40,11 @@ def extractive_chat(prompt: str) -> str:
     return f"{m[2].strip()} [{m[1]}]" if m else "I do not know."
 
 
+def extractive_stream(prompt: str) -> Iterator[str]:
+    """`extractive_chat` piece by piece: each word with the blanks after it."""
+    yield from re.findall(r"\S+\s*|\s+", extractive_chat(prompt))
+
+
 def is_rate_limit(message: str) -> bool:
     return re.search(r"(?i)429|rate.?limit|quota|resource.?exhausted|empty embedding", message) is not None
 

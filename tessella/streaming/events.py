@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import text as X
@@ -54,11 +52,15 @@ class BatchSink:
     def __call__(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
+    def tell(self, batch: int) -> Callable[[str, DataFrame], None]:
+        """A stage's events of this batch, appended when the stage is done; a batch that runs again replaces them stage by stage."""
+        return lambda stage, events: events.write.mode("overwrite").parquet(f"{self.path}/batch={batch}/part={stage}")
+
     def read(self, schema: str) -> DataFrame:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self.path).parquet(f"{self.path}/batch=*")
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
 def latest_progress(events: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
@@ -68,34 +70,8 @@ def latest_progress(events: DataFrame, key: str = "doc_id", seq: str = "seq") ->
     return events.groupBy(key).agg(last.alias("e")).select(key, "e.*")
 
 
-class ProgressState(StatefulProcessor):
-    """Keeps the event of the highest sequence number of each key; repeats and late events change nothing."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "seq long, stage string, value double")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        best = self.state.get() if self.state.exists() else None
-        for frame in rows:
-            r = frame.loc[frame["seq"].idxmax()]
-            if best is None or int(r["seq"]) > best[0]:
-                best = (int(r["seq"]), str(r["stage"]), float(r["value"]))
-        if best is not None:
-            self.state.update(best)
-            yield pd.DataFrame({"key": [key[0]], "seq": [best[0]], "stage": [best[1]], "value": [best[2]]})
-
-    def close(self) -> None:
-        pass
-
-
-def progress_stream(events: DataFrame) -> DataFrame:
-    """Streaming (key, seq, stage, value) -> updated latest row of each key (needs a RocksDB state store)."""
-    out = "key long, seq long, stage string, value double"
-    return events.groupBy("key").transformWithStateInPandas(ProgressState(), outputStructType=out, outputMode="Update", timeMode="None")
-
-
 def progress_stream_agg(events: DataFrame) -> DataFrame:
-    """The same by Spark's own streaming aggregation (update or complete mode)."""
+    """Streaming (key, seq, stage, value) -> the latest row of each key by Spark's own aggregation (update or complete mode)."""
     return events.groupBy("key").agg(F.max_by(F.struct("seq", "stage", "value"), "seq").alias("e")).select("key", "e.*")
 
 

@@ -6,11 +6,8 @@ from tessella.plans import catalogue
 
 from .oracle import compare
 
-# The chain up to chunk_documents covers the steps before it; the whole catalogue runs at the larger size in the driver.
-NAMES = [n for n in catalogue.oracle_sql() if n not in ("chunk_stats", "chunk_kind_hist", "embedding_text", "promote_headings", "paragraphs")]
 
-
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_its_sql(spark, sf, name):
     compare(catalogue.queries()[name](spark, sf), catalogue.oracle_sql()[name], sf)
 
@@ -34,7 +31,7 @@ def test_searches_for_every_twentieth_row(spark, sf):
     ids, labels = np.array([r.vec_id for r in rows]), np.array([r.label for r in rows])
     e = np.array([r.embedding for r in rows], dtype=np.float64)
     e /= np.linalg.norm(e, axis=1, keepdims=True)
-    got = {n: catalogue.queries()[f"{n}_all"](spark, sf).collect() for n in ("knn_topk", "knn_filtered", "relevance_gate", "sibling_expand", "context_budget", "context_blocks", "cited_documents", "retrieval_meta")}
+    got = {n: catalogue.queries()[n](spark, sf).collect() for n in ("knn_topk", "knn_filtered", "relevance_gate", "sibling_expand", "context_budget", "context_blocks", "cited_documents", "retrieval_meta")}
     top, filtered = ({(r.qid, r["rank"]): (r.id, r.score) for r in got[n]} for n in ("knn_topk", "knn_filtered"))
     asked = [int(i) for i in ids if i % 20 == 0]
     assert len(asked) > 20 and {q for q, _ in top} == {q for q, _ in filtered} == {r.qid for r in got["relevance_gate"]} == set(asked)
@@ -54,35 +51,31 @@ def test_searches_for_every_twentieth_row(spark, sf):
     assert {r.qid for r in got["retrieval_meta"]} == {q for (q, _), (i, _) in top.items() if i in docs}
 
 
-WHOLE = ("toc_split", "heading_candidates", "promote_headings", "section_paths", "paragraphs", "qa_chunks", "table_chunks", "packed_chunks", "chunk_documents", "chunk_kind_hist", "chunk_stats", "family_integrity", "embedding_text")
-
-
 def test_structure_over_whole_texts(spark, sf):
     from collections import defaultdict
 
     queries = catalogue.queries()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text is not None}
     lines = defaultdict(list)
-    for r in queries["promote_headings_whole"](spark, sf).orderBy("doc_id", "pos").collect():
+    for r in queries["promote_headings"](spark, sf).orderBy("doc_id", "pos").collect():
         lines[r.doc_id].append(r.line.lstrip("# ").strip())
     for i, text in texts.items():
         rest = iter(lines[i])
         assert all(any(x.lstrip("# ").strip() == y for y in rest) for x in text.split("\n")), i  # every line, whole and in order
     flat = lambda x: "".join(x.split())
     chunks = defaultdict(str)
-    for r in queries["chunk_documents_whole"](spark, sf).orderBy("document_id", "ordinal").collect():
+    for r in queries["chunk_documents"](spark, sf).orderBy("document_id", "ordinal").collect():
         chunks[int(r.document_id)] += flat(f"{r.heading_path} {r.question or ''} {r.text}")
     for i, text in texts.items():
         # as in the reference, a chunk under min_chunk_tokens (12) is not kept: a short line alone in its section
         assert all(flat(x.strip("# ")) in chunks[i] for x in text.split("\n") if len(x) >= 48), i
-    kinds = {r.kind for r in queries["chunk_kind_hist_whole"](spark, sf).collect()}
+    kinds = {r.kind for r in queries["chunk_kind_hist"](spark, sf).collect()}
     assert {"qa", "table", "clause"} <= kinds
-    assert all(queries[f"{n}_whole"](spark, sf).columns == queries[n](spark, sf).columns for n in WHOLE)
 
 
 def test_pages_are_judged_by_their_whole_body(spark, tmp_path):
     words = "<p>" + "plain words of a page " * 40 + "</p>"
     bodies = {1: words, 2: "<p>short</p>", 401: words, 399: "<p>404 - Page not found</p>" + words}
     spark.createDataFrame([(i, f"http://a/{i}", f"<html><body>{b}</body></html>") for i, b in bodies.items()], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = {r.page_id: r.skipped for r in catalogue.queries()["refuse_short_pages_whole"](spark, str(tmp_path)).collect()}
+    got = {r.page_id: r.skipped for r in catalogue.queries()["refuse_short_pages"](spark, str(tmp_path)).collect()}
     assert got[1] is None and got[401] is None and got[2].startswith("only ") and got[399] == "soft 404 body"
