@@ -5,8 +5,10 @@ its content picks the same anchor in it: here the rightmost smallest of its 169
 hashes.  The suffixes (window starts) of a document therefore fall into runs that share an
 anchor, and two suffixes can only be equal to depth 200 if their anchors' q-grams are equal.
 
-1. One Arrow pass gives a row for each run (about one for 75 bytes): place, number of starts,
-   anchor q-gram (the initial bucket) and a 128-bit BLAKE2b digest of the run's bytes.
+1. One Arrow pass gives a row for each run: place, number of starts, anchor q-gram (the initial
+   bucket) and a 128-bit BLAKE2b digest of the run's bytes.  In periodic text the anchor moves on
+   once a period and the runs there have equal bytes: neighbours with equal digests are one row
+   that says how many `times` the run follows itself.  So there is about one row for 75 bytes.
 2. Buckets with one row are final: those suffixes are unique.  Buckets whose rows all have the
    same bytes (by digest) are final too: all those suffixes repeat.
 3. The other buckets keep one row for each distinct run.  Their suffixes are refined in place:
@@ -40,10 +42,12 @@ from .minhash import whole_groups
 
 LENGTH, QGRAM = 200, 32
 #: Text that a task works on at a time; its arrays take some hundred bytes for each byte.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+#: Runs whose digests are made at a time.
+DIGESTS = 1 << 16
 _BYTE = tk.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_RUNS = pa.schema([("id", pa.int64()), ("rk", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("seg", pa.binary())])
-RUNS = "id long, rk long, start int, n int, anchor long, seg binary"
+_RUNS = pa.schema([("id", pa.int64()), ("rk", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("times", pa.int32()), ("anchor", pa.int64()), ("seg", pa.binary())])
+RUNS = "id long, rk long, start int, n int, times int, anchor long, seg binary"
 
 
 def qgram_hashes(data: np.ndarray, q: int) -> np.ndarray:
@@ -66,11 +70,11 @@ def window_minimum(key: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(chunk: tk.Chunk, length: int, q: int) -> tuple[np.ndarray, ...]:
-    """Per run of window starts with one anchor: document, start in it, starts, anchor hash, digest of its bytes."""
+    """Per run of window starts with one anchor: document, start in it, starts, times it follows itself, anchor hash, digest of its bytes."""
     size = chunk.end - chunk.start
     none = np.zeros(0, dtype=np.int64)
     if not (size >= length).any():
-        return none, none, none, none.astype(np.uint64), np.zeros((0, 16), np.uint8)
+        return none, none, none, none, none.astype(np.uint64), np.zeros((0, 16), np.uint8)
     data = chunk.data
     h = tk.mix(qgram_hashes(data, q))
     bits = np.uint64(max(1, int(len(h)).bit_length()))
@@ -84,8 +88,17 @@ def runs(chunk: tk.Chunk, length: int, q: int) -> tuple[np.ndarray, ...]:
     a = anchor[p]
     cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     n = np.diff(np.append(cut, len(a)))
-    s = p[cut]
-    return doc[cut], s - chunk.start[doc[cut]], n, h[a[cut]], tk.digests(data, s, s + n + length - 1)
+    s, d, h = p[cut], doc[cut], h[a[cut]]
+    # Runs of a document follow each other without a gap: where bytes repeat, so do anchor, length and digest.
+    alike = np.zeros(len(s), dtype=bool)
+    alike[1:] = (d[1:] == d[:-1]) & (h[1:] == h[:-1]) & (n[1:] == n[:-1])
+    seg = np.empty((len(s), 16), dtype=np.uint8)
+    for lo in range(0, len(s), DIGESTS):
+        seg[lo : lo + DIGESTS] = tk.digests(data, s[lo : lo + DIGESTS], s[lo : lo + DIGESTS] + n[lo : lo + DIGESTS] + length - 1)
+    alike[1:] &= (seg[1:] == seg[:-1]).all(axis=1)
+    first = np.flatnonzero(~alike)
+    times = np.diff(np.append(first, len(s)))
+    return d[first], s[first] - chunk.start[d[first]], n[first], times, h[first], seg[first]
 
 
 def _parts(chunk: tk.Chunk, length: int) -> Iterator[tuple[tk.Chunk, int]]:
@@ -109,9 +122,9 @@ def _find_runs(length: int, q: int):
         for batch in batches:
             for c in tk.chunks(batch["text"], STEP_BYTES):
                 for part, at in _parts(c, length):
-                    doc, start, n, anchor, seg = runs(part, length, q)
+                    doc, start, n, times, anchor, seg = runs(part, length, q)
                     row = pa.array(c.lo + doc)
-                    yield pa.RecordBatch.from_arrays([batch["id"].take(row), batch["rk"].take(row), pa.array((start + at).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), fixed_binary(seg)], schema=_RUNS)
+                    yield pa.RecordBatch.from_arrays([batch["id"].take(row), batch["rk"].take(row), pa.array((start + at).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(anchor.view(np.int64)), fixed_binary(seg)], schema=_RUNS)
 
     return run
 
@@ -307,13 +320,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_ro
     with Workspace(spark, "suffixes") as ws:
         slim = _slim(docs).where("text is not null")
         all_runs = ws.save(slim.select("id", "rk", "text").mapInArrow(tk.releasing(_find_runs(length, q)), RUNS), "runs")
-        shared = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("k > 1")
+        shared = all_runs.groupBy("anchor").agg(F.sum("times").alias("k"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("k > 1")
         # Written first: a join of two plain shuffles, which AQE splits where an anchor is hot.
         shared = ws.save(shared.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
         kept = ws.save(all_runs.join(shared, "anchor"), "shared")
         ws.drop("runs", "anchors")
         first = F.min(F.struct("id", "rk", "start")).alias("at")
-        distinct = kept.where("mixed").groupBy("anchor", "seg", "n").agg(F.count(F.lit(1)).alias("c"), first)
+        distinct = kept.where("mixed").groupBy("anchor", "seg", "n").agg(F.sum("times").alias("c"), first)
         distinct = ws.save(distinct.select("anchor", "seg", "n", "c", "at.id", "at.rk", "at.start"), "distinct")
         wanted = distinct.groupBy("id", "rk").agg(F.collect_list(F.struct("anchor", "seg", "start", "n", "c")).alias("wanted"))
         texts = _texts(slim, distinct.select("id", "rk").distinct())
@@ -334,9 +347,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_ro
             found = found.unionByName(again.mapInArrow(tk.releasing(_refine_known(length)), DUP))
         found = ws.save(found, "found")
         ws.drop("cut")
-        whole = kept.where("not mixed").select("id", "rk", F.col("start").alias("lo"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi"))
-        parts = kept.where("mixed").join(found, ["anchor", "seg"]).select("id", "rk", "start", F.explode(F.arrays_zip("from", "len")).alias("r"))
-        parts = parts.select("id", "rk", (F.col("start") + F.col("r.from")).alias("lo"), (F.col("start") + F.col("r.from") + F.col("r.len") + F.lit(length - 1)).alias("hi"))
+        whole = kept.where("not mixed").select("id", "rk", F.col("start").alias("lo"), (F.col("start") + F.col("n") * F.col("times") + F.lit(length - 1)).alias("hi"))
+        # A run that follows itself repeats as a whole: its one stretch goes on to its last time.
+        more = ((F.col("times") - 1) * F.col("n")).alias("more")
+        parts = kept.where("mixed").join(found, ["anchor", "seg"]).select("id", "rk", "start", more, F.explode(F.arrays_zip("from", "len")).alias("r"))
+        parts = parts.select("id", "rk", (F.col("start") + F.col("r.from")).alias("lo"), (F.col("start") + F.col("r.from") + F.col("r.len") + F.col("more") + F.lit(length - 1)).alias("hi"))
         return whole.unionByName(parts).distinct().groupBy("id", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).checkpoint()
 
 

@@ -12,6 +12,7 @@ match decides about a document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -114,6 +115,12 @@ class Chunk:
         return self.hi - self.lo
 
 
+def trim() -> None:
+    """Give the C library's free memory back, where it can."""
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """`run`, after which a worker that waits for its next task gives freed memory back to the machine."""
 
@@ -123,6 +130,7 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         finally:
             for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
                 pool.release_unused()
+            trim()
 
     return wrapped
 

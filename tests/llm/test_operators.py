@@ -93,7 +93,7 @@ def test_suffixes_are_exact(docs_of, hot_rows, length):
             a = rng.randint(0, 20)
             parts += [s[a : rng.randint(a, len(s))], " ".join(rng.choice(v) for _ in range(rng.randint(0, 10)))]
         texts.append("é".join(parts) if i % 3 else "".join(parts))
-    texts += ["ab" * 60, "x" * 100]
+    texts += ["ab" * 60, "x" * 100, "q" + "wertzu" * 30 + "end" + "wertzu" * 9, "abcabcab" * 20 + "x" + "abcabcab" * 7, "wertzu" * 12 + shared[0]]
     docs = docs_of(texts)
     found = {r.id: r for r in suffixes.removals(docs, length, q=8, hot_rows=hot_rows).collect()}
     want = brute.repeats([(t or "").encode() for t in texts], length)
@@ -115,6 +115,30 @@ def test_suffixes_repeated_row_and_empty_table(docs_of):
     assert suffixes.removals(docs_of([]), 40).count() == 0
 
 
+def test_periodic_texts_are_few_runs(docs_of):
+    """20 MB of periodic text: a row for each part and not for each byte, and all of it goes."""
+    import pyarrow as pa
+
+    for unit in ("a", "ab", "0123456789", "x" * 150 + "y"):
+        (c,) = tk.chunks(pa.array([unit * (2_000_000 // len(unit))]))
+        found = [suffixes.runs(p, 200, 32) for p, _ in suffixes._parts(c, 200)]
+        assert sum(len(r[1]) for r in found) <= (6 + len(unit) // 40) * len(found)
+    docs = docs_of(["a" * 8_000_000, "ab" * 4_000_000, "tail " + "0123456789" * 400_000 + " unlike", "a" * 199, "b" * 200])
+    got = {r.id: (r.n_removed, r.n_spans) for r in suffixes.removals(docs, with_bytes=False).collect()}
+    assert got == {0: (8_000_000, 1), 1: (8_000_000, 1), 2: (4_000_000, 1)}
+
+
+def test_suffixes_at_the_contract_length(docs_of):
+    rng = random.Random(12)
+    v = vocab(rng, 3000)
+    words = lambda n: " ".join(rng.choice(v) for _ in range(n))
+    shared = [words(80) for _ in range(3)]
+    texts = [*EDGE, *(words(rng.randint(0, 60)) + rng.choice(shared)[rng.randint(0, 150) :] + words(rng.randint(0, 60)) for _ in range(25)), "q" * 700, "é" * 150, shared[0], shared[0]]
+    found = {r.id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removals(docs_of(texts)).collect()}
+    want = brute.repeats([(t or "").encode() for t in texts], 200)
+    assert found == {i: (removed, spans, sha) for i, (_, removed, spans, sha) in enumerate(want) if removed}
+
+
 def test_refine_agrees_with_plain_equality():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 600).astype(np.uint8)
@@ -581,8 +605,8 @@ def test_long_texts_in_parts_equal_whole_ones(monkeypatch):
     for x, y in zip(whole[:3], parts[:3], strict=True):
         assert all((a == b).all() for a, b in zip(x, y, strict=True))
     assert np.allclose(whole[3][1], parts[3][1])
-    starts = [np.concatenate([s + at for s, n in [suffixes.runs(p, 200, 32)[1:3]]]) for p, at in suffixes._parts(c, 200)]
-    assert len(np.concatenate(starts)) >= sizes[1] and sum(suffixes.runs(p, 200, 32)[2].sum() for p, _ in suffixes._parts(c, 200)) == len(text) - 199
+    found = [suffixes.runs(p, 200, 32) for p, _ in suffixes._parts(c, 200)]
+    assert sum(len(r[1]) for r in found) >= sizes[1] and sum((r[2] * r[3]).sum() for r in found) == len(text) - 199
 
 
 def test_a_text_of_fifty_megabytes(spark, docs_of):
@@ -592,7 +616,8 @@ def test_a_text_of_fifty_megabytes(spark, docs_of):
     (c,) = tk.chunks(pa.array([text]))
     h, _, first = minhash.shingle_sets(c)
     assert 900_000 < first[1] == len(h) < 1_100_000
-    assert sum(int(suffixes.runs(p, 200, 32)[2].sum()) for p, _ in suffixes._parts(c, 200)) == len(text) - 199
+    found = [suffixes.runs(p, 200, 32) for p, _ in suffixes._parts(c, 200)]
+    assert sum(int((r[2] * r[3]).sum()) for r in found) == len(text) - 199
     assert phrases._terms(c, phrases._test_block([("a", text[:300])], 13))[3][0] == len(text.split())
     q = quality.QualityModel(np.zeros(1 << 10), 0.0)
     assert q.score(pa.array([text])) == 0.5
