@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from ..conf import BOILERPLATE, DEFAULT, SMALL_WORDS, EngineConf
 
+# What counts as a numbered title, a heading, a list item, and a line of a contents list.
 NUMBERED = r"^(\d+)\\?\.\s+(.+)\z"
 HEADING = r"^(#{1,6})\s+(.+)\z"
 LIST_ITEM = r"^\s*([-*+]|\d+[.)])\s"
 TOC_LINE = r"^\s*[-*]\s+\[([^\]]+)\]\(([^)]+)\)\s*\z"
 
 
+#: White space of any kind: also the no-break space and the byte order mark.
+BLANKS = " \t\n\x0b\f\r\u00a0\ufeff"
+
+
 def trimmed(c: Column) -> Column:
-    """Cut white space of any kind (also no-break space and BOM) from both ends."""
-    return F.regexp_replace(c, r"^[\s ﻿]+|[\s ﻿]+\z", "")
+    """Cut white space of any kind from both ends; blanks inside cost nothing."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def token_count(c: Column) -> Column:
@@ -100,12 +105,16 @@ def normalize_markdown(md: Column) -> Column:
     """Line ends, furniture lines, a repeated leading title, blank runs, first heading at level 1."""
     md = F.regexp_replace(md, r"\r\n?", "\n")
     md = F.array_join(F.filter(F.split(md, "\n"), lambda x: ~is_boilerplate(x)), "\n")
-    pair = r"(?m)^\s*##\s+(.+)\n+#\s+(.+)$"
+    # A leading title said twice.  It is looked for where a line with text, or nothing, stands before its blank lines.
+    pair = r"(?m)(?:\A|\S[^\S\n]*\n)\s*##\s+(.+)\n+#\s+(.+)$"
     bare = lambda i: F.regexp_replace(F.lower(F.regexp_extract(md, pair, i)), "[^a-z0-9]", "")
     a, b = bare(1), bare(2)
     same = md.rlike(pair) & (a != "") & (b.contains(a) | a.contains(b))
-    md = F.when(same, F.regexp_replace(md, r"(?m)\A((?s:.*?))^\s*##\s+.+\n+(?=#\s)", "$1")).otherwise(md)
-    md = F.regexp_replace(md, r"(?m)[ \t]+$", "")
+    found = F.regexp_extract(md, r"(?m)(?:\A|\S[^\S\n]*\n)\s*##\s+.+\n+(?=#\s)", 0)
+    before = F.regexp_extract(found, r"\A\S[^\S\n]*\n", 0)
+    at = F.position(found, md)
+    md = F.when(same & (at > 0), F.concat(F.substr(md, F.lit(1), at - 1), before, F.substr(md, at + F.length(found)))).otherwise(md)
+    md = F.array_join(F.transform(F.split(md, "\n"), lambda x: F.rtrim(x, F.lit(" \t"))), "\n")
     md = trimmed(F.regexp_replace(md, r"\n{3,}", "\n\n"))
     return F.when(md.rlike(r"^#\s"), md).otherwise(F.regexp_replace(md, r"(?s)\A((?:|.*?\n))#{2,6}(\s+)(?=.*[^\n])", "$1#$2"))
 
@@ -188,6 +197,7 @@ def relative_day(then: Column, now: Column) -> Column:
     )
 
 
+# Fixed value: markers such as [1] or [2, 3].
 CITATION = r"\[(\d{1,2}(?:\s*,\s*\d{1,2})*)\]"
 
 

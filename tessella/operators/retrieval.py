@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions import text as X
 
-#: Queries whose vectors are sent to every task at a time; more run as further passes.
-QUERY_BLOCK = 4096
+#: Vectors and bytes of a block; queries that are sent to every task at most, beyond which blocks are paired by partitions.
+BLOCK, BLOCK_BYTES, SENT_QUERIES = 4096, 8 << 20, 16_384
 #: Hits that are sent to a scan of chunks at most; more are shuffled.
 HIT_ROWS = 200_000
 
@@ -43,26 +44,22 @@ def assert_dimensions(vectors: DataFrame, dims: int, column: str = "embedding")
 def search(queries: DataFrame, corpus: DataFrame, k: int | None = None, where: Column | None = None, conf: EngineConf = DEFAULT) -> DataFrame:
     """(qid, qvec) x (id, embedding) -> qid, id, score, rank: the k best by cosine, ties by id.
 
-    Exact.  The stated queries go out in blocks; a task scores its vectors batch by batch against
-    a block by matrix products and keeps a running k best for each query, ties by id, so what is
-    shuffled is k rows a task and query, whatever the corpus.  `where` filters the corpus before the
-    scan.  Ids of queries and of rows are of any one type.  Null and empty vectors, and those with
-    a null or not finite component, never match; a zero vector scores 0.
+    Exact: a block nested loop of query blocks and corpus blocks.  Both sides are packed into rows
+    of some thousand vectors where they lie; one scan of the corpus meets the query blocks, which
+    are sent to every task where they are few and are paired partition by partition beyond that.  A
+    task scores a pair of blocks by a matrix product and keeps a running k best of each of its
+    queries, so what is shuffled is k rows a task and query, whatever the corpus.  Nothing goes
+    through the driver.  `where` filters the corpus before the scan.  Ids of queries and of rows are
+    of any one type.  Null and empty vectors, and those with a null or not finite component, never
+    match; a zero vector scores 0.
     """
     k = conf.top_k if k is None else k
     corpus = corpus if where is None else corpus.where(where)
-    corpus = corpus.select("id", "embedding").where(_usable("embedding"))
-    asked = queries.select("qid", "qvec").where(_usable("qvec"))
+    rows = _blocks(corpus.select("id", "embedding"), "id", "embedding", "c")
+    asked = _blocks(queries.select("qid", "qvec"), "qid", "qvec", "q")
+    few = queries.select("qid").limit(SENT_QUERIES + 1).count() <= SENT_QUERIES
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
-    out = corpus.sparkSession.createDataFrame([], kinds)
-    rows: list = []
-    for r in asked.toLocalIterator():  # the stated query set, a block at a time
-        rows.append(r)
-        if len(rows) == QUERY_BLOCK:
-            out = out.unionByName(_block(rows, corpus, k, kinds))
-            rows = []
-    if rows:
-        out = out.unionByName(_block(rows, corpus, k, kinds))
+    out = rows.crossJoin(F.broadcast(asked) if few else asked).mapInArrow(_score_blocks(k, kinds), kinds)
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -72,50 +69,92 @@ def _usable(column: str) -> Column:
     return (F.size(column) > 0) & F.coalesce(finite, F.lit(False))
 
 
-def _block(rows: list, corpus: DataFrame, k: int, kinds: str) -> DataFrame:
-    names = [r["qid"] for r in rows]
-    q = _unit(np.array([r["qvec"] for r in rows], dtype=np.float64))
+def _blocks(rows: DataFrame, id_: str, vector: str, side: str) -> DataFrame:
+    """Usable vectors as blocks: <side>_block, <side>_dims, <side>_ids and <side>_unit (unit vectors one after the other)."""
+    names = [f"{side}_{x}" for x in ("block", "dims", "ids", "unit")]
+    kind = rows.schema[id_].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, ids = np.zeros((0, len(q))), None  # running candidates of each query, a column each
+        part, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                vectors = pa.concat_arrays([part["embedding"]])
-                if pa.compute.any(pa.compute.not_equal(pa.compute.list_value_length(vectors), q.shape[1])).as_py():
-                    raise ValueError(f"corpus vectors must have {q.shape[1]} dimensions")
-                new = np.round(_unit(_dense(vectors, q.shape[1])) @ q.T, 12)
-                own = np.array(part["id"].to_pylist(), dtype=object)
-                own = np.repeat(own[:, None], len(q), axis=1)
-                score, ids = _best(np.concatenate([score, new]), own if ids is None else np.concatenate([ids, own]), k)
-        if ids is not None:
-            for j in range(len(q)):
-                yield pa.RecordBatch.from_pydict({"qid": [names[j]] * len(score), "id": list(ids[:, j]), "score": score[:, j]}, schema=schema)
-
+            longest = pa.compute.max(pa.compute.list_value_length(batch[vector])).as_py() or 1
+            step = max(1, min(BLOCK, BLOCK_BYTES // (8 * longest)))
+            for lo in range(0, batch.num_rows, step):
+                some = batch.slice(lo, step)
+                vectors = pa.concat_arrays([some[vector]])
+                dims = pa.compute.unique(pa.compute.list_value_length(vectors)).to_pylist()
+                if len(dims) > 1:
+                    raise ValueError(f"vectors of {sorted(dims)} dimensions")
+                unit = _unit(_dense(vectors, dims[0]))
+                ids = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.concat_arrays([some[id_]]))
+                yield pa.RecordBatch.from_arrays([pa.array([part + n]), pa.array([dims[0]], pa.int64()), ids, pa.array([unit.tobytes()], pa.binary())], names=names)
+                n += 1
+
+    return rows.where(_usable(vector)).mapInArrow(run, f"{names[0]} long, {names[1]} long, {names[2]} array<{kind}>, {names[3]} binary")
+
+
+def _score_blocks(k: int, kinds: str):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(kinds))
-    return corpus.mapInArrow(run, kinds)
-
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each column: by falling score, then by id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}  # of each query block: its ids, and scores and row ids of the best so far, a column a query
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dims, block = batch["q_dims"][r].as_py(), batch["q_block"][r].as_py()
+                if batch["c_dims"][r].as_py() != dims:
+                    raise ValueError(f"corpus vectors must have {dims} dimensions")
+                q, c = (np.frombuffer(batch[f"{x}_unit"][r].as_buffer(), dtype=np.float64).reshape(-1, dims) for x in "qc")
+                score = np.round(c @ q.T, 12)
+                own = np.array(batch["c_ids"][r].as_py(), dtype=object)
+                at = _best(score, lambda i, j, own=own: own[i], k)
+                score, ids = np.take_along_axis(score, at, 0), own[at]
+                if block in best:
+                    asked, s, i = best[block]
+                    score, ids = np.concatenate([s, score]), np.concatenate([i, ids])
+                    at = _best(score, lambda i, j, ids=ids: ids[i, j], k)
+                    score, ids = np.take_along_axis(score, at, 0), np.take_along_axis(ids, at, 0)
+                else:
+                    asked = pa.array(batch["q_ids"][r].as_py(), schema.field("qid").type)
+                best[block] = (asked, score, ids)
+        for asked, score, ids in best.values():
+            take = pa.array(np.repeat(np.arange(len(asked)), len(score)))
+            yield pa.RecordBatch.from_arrays([asked.take(take), pa.array(ids.T.ravel().tolist(), schema.field("id").type), pa.array(score.T.ravel())], schema=schema)
+
+    return run
+
+
+def _best(score: np.ndarray, id_of: Callable[[np.ndarray, int], np.ndarray], k: int) -> np.ndarray:
+    """Rows of the k best of each column; where scores tie at the edge, the smallest ids stay."""
     if len(score) <= k:
-        return score, ids
-    edge = -np.partition(-score, k - 1, axis=0)[k - 1]
-    out_score, out_ids = np.empty((k, score.shape[1])), np.empty((k, score.shape[1]), dtype=object)
-    for j in range(score.shape[1]):
-        some = np.flatnonzero(score[:, j] >= edge[j])
-        if len(some) > k:  # ties at the edge: the smallest ids stay
-            some = np.array(sorted(some.tolist(), key=lambda i: (-score[i, j], ids[i, j]))[:k])
-        out_score[:, j], out_ids[:, j] = score[some, j], ids[some, j]
-    return out_score, out_ids
-
-
-def with_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits (qid, id, ...) with the columns of their chunks: k rows a query, sent to the scan where they are few."""
-    few = hits.limit(HIT_ROWS + 1).count() <= HIT_ROWS
+        return np.repeat(np.arange(len(score))[:, None], score.shape[1], axis=1)
+    at = np.argpartition(-score, k - 1, axis=0)[:k]
+    edge = np.take_along_axis(score, at, 0).min(axis=0)
+    for j in np.flatnonzero((score >= edge).sum(axis=0) > k).tolist():
+        above = np.flatnonzero(score[:, j] > edge[j])
+        tied = np.flatnonzero(score[:, j] == edge[j])
+        ids = id_of(tied, j).tolist()
+        order = sorted(range(len(tied)), key=ids.__getitem__)[: k - len(above)]
+        at[:, j] = np.concatenate([above, tied[order]])
+    return at
+
+
+def kept_hits(hits: DataFrame) -> DataFrame:
+    """Hits written once, for several steps to read: a checkpoint in the shared folder that the session names.
+
+    Where none is named, as on a single machine without one, they are left as they are.
+    """
+    return hits if hits.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else hits.checkpoint()
+
+
+def with_hits(hits: DataFrame, chunks: DataFrame, asked: int | None = None) -> DataFrame:
+    """Hits (qid, id, ...) with the columns of their chunks: sent to the scan where they are few.
+
+    How many there are at most is k times the queries `asked`; where that is not told, they are counted.
+    """
+    few = (hits.limit(HIT_ROWS + 1).count() if asked is None else asked) <= HIT_ROWS
     return chunks.join(F.broadcast(hits) if few else hits, "id")
 
 
@@ -143,9 +182,10 @@ def expand_siblings(hits: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAU
 
 def retrieve(queries: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Search, gate and expansion: (headers, chunk rows with score) for a batch of queries."""
-    found = search(assert_dimensions(queries, conf.embedding_dimensions, "qvec"), chunks, conf=conf)
+    found = kept_hits(search(assert_dimensions(queries, conf.embedding_dimensions, "qvec"), chunks, conf=conf))
     head, hits = gate(found, queries, conf)
-    placed = with_hits(hits, chunks.select("id", "document_id", "ordinal", "part_index", "part_count"))
+    asked = queries.select("qid").limit(HIT_ROWS + 1).count() * conf.top_k
+    placed = with_hits(hits, chunks.select("id", "document_id", "ordinal", "part_index", "part_count"), asked)
     return head, expand_siblings(placed, chunks, conf)
 
 

@@ -273,7 +273,8 @@ class ParquetVectorStore:
         where = None if document_id is None else F.col("document_id") == document_id
         rows = self.rows()
         found = retrieval.search(queries, rows, k, where, self.conf)
-        return retrieval.with_hits(found, rows.drop("embedding"))
+        asked = queries.select("qid").limit(retrieval.HIT_ROWS + 1).count() * (self.conf.top_k if k is None else k)
+        return retrieval.with_hits(found, rows.drop("embedding"), asked)
 
     def get_by_ids(self, ids: DataFrame) -> DataFrame:
         return self.rows().join(ids.select("id"), "id", "left_semi")

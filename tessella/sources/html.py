@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
@@ -41,24 +42,30 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("root", {})
         self.open = [self.root]
+        self.named: Counter[str] = Counter()  # open elements by name: an end tag that ends none is known at once
+
+    def _close(self) -> str:
+        tag = self.open.pop().tag
+        self.named[tag] -= 1
+        return tag
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         while self.open[-1].tag in CLOSED_BY.get(tag, ()):
-            self.open.pop()
+            self._close()
         if self.open[-1].tag == "p" and (tag in BLOCK or re.fullmatch("h[1-6]", tag)):
-            self.open.pop()
+            self._close()
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.named[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.open[-1].children.append(Node(tag, dict(attrs)))
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
+        while self.named[tag]:
+            if self._close() == tag:
                 return
 
     def handle_data(self, data: str) -> None:
@@ -80,14 +87,16 @@ def _squeeze(s: str) -> str:
     return re.sub(r"\s+", " ", s).strip()
 
 
-def _all(node: Node, tag: str) -> Iterator[Node]:
+def _own(node: Node, tags: tuple[str, ...]) -> Iterator[Node]:
+    """Elements of these names that belong to `node`: not those of an inner element like itself, nor what they contain."""
     todo = list(reversed(node.children))
     while todo:
         n = todo.pop()
         if isinstance(n, Node):
-            if n.tag == tag:
+            if n.tag in tags:
                 yield n
-            todo.extend(reversed(n.children))
+            elif n.tag != node.tag:
+                todo.extend(reversed(n.children))
 
 
 #: A step of writing: asks for the Markdown of one child after another, ends with its own.
@@ -98,6 +107,7 @@ class _Writer:
     def __init__(self, page: bool):
         self.page = page
         self.drop = PAGE_DROP if page else PLAIN_DROP
+        self.tables = 0
         self.marks: list[str] = []  # emphasis that is open: an unclosed tag must not mark its text twice
 
     def render(self, root: Node) -> str:
@@ -152,7 +162,7 @@ class _Writer:
         if t in ("ul", "ol"):
             return "\n\n" + "\n".join((yield from self.items(node))) + "\n\n"
         if t == "dl" and self.page:
-            terms, defs = ([x for x in (_squeeze(_text(n)) for n in _all(node, k)) if x] for k in ("dt", "dd"))
+            terms, defs = ([x for x in (_squeeze(_text(n)) for n in _own(node, ("dt", "dd")) if n.tag == k) if x] for k in ("dt", "dd"))
             if terms and len(terms) == len(defs):
                 return "\n\n" + "\n".join(f"- {k}: {v}" for k, v in zip(terms, defs, strict=True)) + "\n\n"
         if t == "table":
@@ -174,17 +184,20 @@ class _Writer:
         return out
 
     def table(self, node: Node) -> Written:
-        rows = []
-        for r in _all(node, "tr"):
+        """A table of its own rows; one inside a cell is the text of its cells, as a cell is one line."""
+        rows, inner = [], self.tables > 0
+        self.tables += 1
+        for r in _own(node, ("tr",)):
             cells = []
             for c in r.children:
                 if isinstance(c, Node) and c.tag in ("td", "th"):
-                    cells.append(_squeeze((yield from self.inside(c))).replace("|", "\\|"))
+                    cells.append(_squeeze((yield from self.inside(c))))
             if cells:
                 rows.append(cells)
-        if not rows:
-            return ""
-        lines = [f"| {' | '.join(r)} |" for r in rows]
+        self.tables -= 1
+        if not rows or inner:
+            return " ".join(x for r in rows for x in ("", *r, ""))
+        lines = [f"| {' | '.join(x.replace('|', chr(92) + '|') for x in r)} |" for r in rows]
         lines.insert(1, f"| {' | '.join('---' for _ in rows[0])} |")
         return "\n\n" + "\n".join(lines) + "\n\n"
 
@@ -206,6 +219,12 @@ def html_to_markdown(html: str | None, page: bool = False) -> str:
     return "\n".join(lines)
 
 
+# Lines of a scraped page that say nothing.
+NOISE = ("* * *", "-", "Loading...")
+#: A line of so many characters, or a heading, is kept once.
+REPEATED_CHARS = 25
+
+
 def tidy(md: str) -> str:
     """Layout noise of a scraped page: empty links, icon rules, placeholders, and repeats of headings or long lines."""
     md = re.sub(r"\[\s*\]\([^)]*\)", "", md)
@@ -213,9 +232,9 @@ def tidy(md: str) -> str:
     kept = []
     for line in (x.rstrip(" \t ").replace(" ", " ") for x in md.split("\n")):
         key = line.strip()
-        if key in ("* * *", "-", "Loading..."):
+        if key in NOISE:
             continue
-        if re.match(r"#{1,6}\s", key) or len(key) >= 25:
+        if re.match(r"#{1,6}\s", key) or len(key) >= REPEATED_CHARS:
             if key in seen:
                 continue
             seen.add(key)

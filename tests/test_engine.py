@@ -398,3 +398,49 @@ def test_batch_sink_and_debug_record(spark, tmp_path):
     q = spark.createDataFrame([(1, "Q?", "q", 0.5, False)], "qid long, question string, condensed string, top_score double, gated boolean")
     hits = spark.createDataFrame([(1, "b", 0.4), (1, "a", 0.5)], "qid long, id string, score double")
     assert chats.debug_record(q, hits).first().record == '{"question":"Q?","condensed":"q","top_score":0.5,"gated":false,"hits":[{"id":"a","score":0.5},{"id":"b","score":0.4}]}'
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_search_in_blocks_is_the_plain_search(spark, monkeypatch, sent):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(retrieval, "SENT_QUERIES", sent)
+    rng = np.random.default_rng(1)
+    e = rng.integers(-2, 3, (90, 4)).astype(float)  # many ties
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "id long, embedding array<double>").repartition(4)
+    q = spark.createDataFrame([(i, e[i].tolist()) for i in range(0, 90, 4)], "qid long, qvec array<double>").repartition(3)
+    got = {}
+    for r in retrieval.search(q, c, 5).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.id, r.score))
+    n = np.linalg.norm(e, axis=1, keepdims=True)
+    u = np.divide(e, n, out=np.zeros_like(e), where=n > 0)
+    for i in range(0, 90, 4):
+        s = np.round(u @ u[i], 12)
+        assert [x for x, _ in got[i]] == sorted(range(90), key=lambda j: (-s[j], j))[:5]
+    with pytest.raises(Exception, match="dimensions"):
+        retrieval.search(q, spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>"), 5).collect()
+
+
+def test_nested_tables_and_stray_end_tags_in_linear_time():
+    import time
+
+    from tessella.sources import html as H
+
+    began = time.perf_counter()
+    page = "<table><tr><td>a|b" + "".join(f"<table><tr><td>c{k}</td><td>" for k in range(1000)) + "end" + "</td></tr></table>" * 1000 + "</td><td>y</td></tr></table>"
+    out = H.html_to_markdown(page)
+    assert out.startswith("| a\\|b c0 c1 ") and out.count("c999") == 1 and len(out) < 7000
+    assert H.html_to_markdown("<div>" * 8000 + "</span>" * 8000 + "x") == "x"
+    assert H.html_to_markdown("<table><tr><td>1<table><tr><td>in</td><td>ner|</td></tr></table></td><td>z</td></tr><tr><td>2</td></tr></table>") == "| 1 in ner\\| | z |\n| --- | --- |\n| 2 |"
+    assert time.perf_counter() - began < 5
+
+
+def test_normalize_is_linear_in_blanks(spark):
+    import time
+
+    began = time.perf_counter()
+    cases = [("a" + " " * 1_000_000 + "b", None), ("a" + "\n" * 200_000 + "b", "a\n\nb"), ("a" + " \n" * 100_000 + "## X y\n# X\nb", "a\n# X\nb"), ("\n \n## Same\n\n# The same\nz", "# The same\nz")]
+    rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "k int, m string").select("k", X.normalize_markdown(F.col("m")).alias("x")).collect()
+    assert {r.k: r.x for r in rows} == {k: want or text for k, (text, want) in enumerate(cases)}
+    assert time.perf_counter() - began < 30
