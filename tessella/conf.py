@@ -62,6 +62,7 @@ class EngineConf:
     data_dir: str = "./data"
     site_suffix: str = r"\s*\|\s*[^|]+\s*\z"
     site_default_title: str = ""
+    title_collation: str = "UNICODE"
 
     def __post_init__(self) -> None:
         for f in fields(self):

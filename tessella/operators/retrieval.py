@@ -209,9 +209,12 @@ def select_budget(scored: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     return unique.join(kept.select("qid", F.explode("kept").alias("id")), ["qid", "id"])
 
 
-def number_citations(kept: DataFrame) -> DataFrame:
-    """Rows in reading order (title, document, ordinal) with n from 1 for each query."""
-    order = Window.partitionBy("qid").orderBy("source_title", "document_id", "ordinal")
+def number_citations(kept: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
+    """Rows in reading order (title, document, ordinal) with n from 1 for each query.
+
+    Titles are ordered as the collation of the settings has them: by letters first, then by accents and case.
+    """
+    order = Window.partitionBy("qid").orderBy(F.collate("source_title", conf.title_collation), "document_id", "ordinal")
     return kept.withColumn("n", F.row_number().over(order))
 
 
@@ -223,7 +226,7 @@ def context_block(conf: EngineConf = DEFAULT) -> Column:
 
 def build_context(scored: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     """qid, context, citations: verbatim chunks within the token budget, in reading order, numbered."""
-    rows = number_citations(select_budget(scored, conf)).withColumn("block", context_block(conf))
+    rows = number_citations(select_budget(scored, conf), conf).withColumn("block", context_block(conf))
     cite = F.struct("n", F.col("id").alias("chunk_id"), F.col("source_title").alias("document_title"), "heading_path", "source_url", "anchor", F.substring("text", 1, conf.citation_snippet_chars).alias("snippet"))
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda s: s["block"])
     return rows.groupBy("qid").agg(F.array_join(blocks, "\n\n---\n\n").alias("context"), F.array_sort(F.collect_list(cite)).alias("citations"))

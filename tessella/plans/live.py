@@ -1,4 +1,4 @@
-"""Registered queries of what happens while it runs: uploads, ingestion, conversations, answers.
+"""Registered queries of what happens while it runs: uploads, archives, ingestion, conversations, answers.
 
 Each is a stream over a given table, run to its end, or the operator that a stream calls for each
 of its batches.  Inputs are declared as in `catalogue`.
@@ -6,18 +6,27 @@ of its batches.  Inputs are declared as in `catalogue`.
 
 from __future__ import annotations
 
+import io
+import json
 import re
 import uuid
+import zipfile
+from collections.abc import Iterator
 from dataclasses import replace
+from itertools import islice
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT
 from ..operators import chats, ingest, retrieval
 from ..plugins import extractive_stream, hash_embedder
+from ..sources import files, pdf, uploads
 from ..streaming import events as E
 from ..streaming import progress as P
+from . import sql as S
 from .catalogue import _BUDGET, _CH, _EXP, _KNN, _TEXTS, _root, _scored_texts, _t, query
 
 
@@ -75,6 +84,79 @@ def upload_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.shown_rows(sink.read(P.PROGRESS))
 
 
+# ---------------------------------------------------------------- archives
+
+
+def write_archives(docs: DataFrame, folder: str, each: int = 200) -> int:
+    """(doc_id, text) as archives of Markdown files and, every third, of JSON envelopes; the number of archives.
+
+    A task's archives carry its number: one that runs again replaces them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = uploads._open(folder)
+        fs.create_dir(root, recursive=True)
+        part, n = TaskContext.get().partitionId(), 0
+        rows = (r for b in batches for r in b.to_pylist())
+        while some := list(islice(rows, each)):
+            packed = io.BytesIO()
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+                for r in some:
+                    md = f"# Document {r['doc_id']}\n\n{r['text'] or ''}"
+                    if r["doc_id"] % 3:
+                        z.writestr(f"in/{r['doc_id']}.md", md)
+                    else:
+                        z.writestr(f"{r['doc_id']}.json", json.dumps({"markdown": md, "metadata": {"sourceURL": f"https://example.org/{r['doc_id']}", "statusCode": 404 if r["doc_id"] % 21 == 0 else 200}}))
+                    z.writestr(f"__MACOSX/{r['doc_id']}.md", "x")
+                    z.writestr(f"{r['doc_id']}.bin", "x")
+            with fs.open_output_stream(f"{root}/docs-{part:06d}-{n:06d}.zip") as out:
+                out.write(packed.getvalue())
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 21 <> 0 THEN 'Document ' || doc_id END AS title, CASE WHEN doc_id % 3 = 0 AND doc_id % 21 <> 0 THEN 'https://example.org/' || doc_id END AS source_url,
+  CASE WHEN doc_id % 21 <> 0 THEN sha256('# Document ' || doc_id || chr(10) || chr(10) || coalesce(text, '')) END AS digest, CASE WHEN doc_id % 21 = 0 THEN doc_id || '.json: HTTP 404, an error page' END AS error
+FROM documents WHERE doc_id IS NOT NULL""")
+def archive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents packed into archives and read back member by member through the data source of uploads."""
+    folder = f"{_root(spark)}/archives-{uuid.uuid4().hex}"
+    write_archives(_t(spark, sf_dir, "documents"), folder)
+    rows = uploads.read_uploads(spark, folder)
+    ident = F.regexp_extract("filename", r"^(-?\d+)\.", 1).cast("long")
+    return rows.select(ident.alias("doc_id"), "title", "source_url", F.sha2("markdown", 256).alias("digest"), "error")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {S.trim("regexp_replace(coalesce(text, ''), '\\n{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, CASE WHEN length(text) >= 40 THEN 'Document ' || doc_id END AS title, CASE WHEN length(text) >= 40 THEN sha256('# Document ' || doc_id || chr(10) || chr(10) || text) END AS digest,
+  CASE WHEN length(text) < 40 THEN doc_id || '.pdf: no extractable text' END AS error FROM t""")
+def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents written as PDF files, with packed streams and a font of their own characters, and read back as text."""
+    d = _t(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                some = batch.slice(lo, 64)
+                body = [pdf.write([t or ""], f"Document {i}") for i, t in zip(some["doc_id"].to_pylist(), some["text"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"in/{i}.pdf" for i in some["doc_id"].to_pylist()]), pa.array([len(b) for b in body], pa.int64()), pa.array(body, pa.binary())], names=["path", "length", "content"])
+
+    rows = files.parse_files(d.mapInArrow(run, "path string, length long, content binary"))
+    return rows.select(F.regexp_extract("filename", r"^(-?\d+)\.", 1).cast("long").alias("doc_id"), "title", F.sha2("markdown", 256).alias("digest"), "error")
+
+
+@query("""WITH t AS (SELECT doc_id, source, regexp_extract(coalesce(text, ''), '^[^ \\n]*( [^ \\n]*)?') AS title FROM documents WHERE doc_id IS NOT NULL)
+SELECT coalesce(source, '') AS qid, doc_id AS id, CAST(row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY CASE WHEN doc_id % 3 = 0 THEN upper(title) ELSE title END COLLATE en_us, doc_id // 10, doc_id % 10) AS INTEGER) AS n FROM t""".replace("\\\\", "\\"))
+def collated_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages in the reading order of their titles, which differ in case and accents: the first words of texts."""
+    d = _t(spark, sf_dir, "documents").where("doc_id is not null")
+    title = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^ \n]*( [^ \n]*)?", 0)
+    rows = d.select(F.coalesce("source", F.lit("")).alias("qid"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.upper(title)).otherwise(title).alias("source_title"), F.floor(F.col("doc_id") / 10).alias("document_id"), (F.col("doc_id") % 10).alias("ordinal"))
+    return retrieval.number_citations(rows).select("qid", "id", "n")
+
+
 # ---------------------------------------------------------------- ingestion
 
 

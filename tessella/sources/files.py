@@ -1,4 +1,4 @@
-"""Raw files to parsed documents: JSON envelopes, HTML, Markdown, text, DOCX, ZIP, and a port for PDF."""
+"""Raw files to parsed documents: JSON envelopes, HTML, Markdown, text, DOCX, PDF, ZIP."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EXTENSIONS, EngineConf
 from ..functions import text as X
+from . import pdf
 from .html import html_to_markdown
 
 #: markdown, title, source_url, content_type
@@ -89,15 +90,14 @@ def load_docx(data: bytes, name: str) -> Parsed:
     return md if md.startswith("#") else f"# {title}\n\n{md}", title, None, "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 
 
-def no_pdf(data: bytes, name: str) -> Parsed:
-    raise ValueError(f"{name}: no PDF text extractor is configured")
-
-
 def pdf_loader(extract: Callable[[bytes], tuple[str, str | None]]) -> Loader:
     """A loader around a text extractor (bytes -> text, title): page separators and blank runs go, too little text raises."""
 
     def load(data: bytes, name: str) -> Parsed:
-        text, title = extract(data)
+        try:
+            text, title = extract(data)
+        except ValueError as error:
+            raise ValueError(f"{name}: {error}") from error
         text = re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)^\s*-+ ?\d+ of \d+ ?-+\s*$", "", text)).strip()
         if len(text) < 40:
             raise ValueError(f"{name}: no extractable text")
@@ -107,7 +107,7 @@ def pdf_loader(extract: Callable[[bytes], tuple[str, str | None]]) -> Loader:
     return load
 
 
-LOADERS: dict[str, Loader] = {".json": load_json, ".html": load_html, ".htm": load_html, ".md": load_text, ".txt": load_text, ".docx": load_docx, ".pdf": no_pdf}
+LOADERS: dict[str, Loader] = {".json": load_json, ".html": load_html, ".htm": load_html, ".md": load_text, ".txt": load_text, ".docx": load_docx, ".pdf": pdf_loader(pdf.extract)}
 
 
 def _ext(name: str) -> str:
@@ -115,13 +115,18 @@ def _ext(name: str) -> str:
     return m[0].lower() if m else ""
 
 
+def shown_member(info: zipfile.ZipInfo) -> bool:
+    """A regular member that is neither hidden nor a resource fork."""
+    *folders, base = info.filename.split("/")
+    return not info.is_dir() and bool(base) and not base.startswith((".", "__MACOSX")) and "__MACOSX" not in folders
+
+
 def expand_zip(data: bytes) -> Iterator[tuple[str, bytes]]:
     """Regular members by base name; hidden files and resource forks are left out."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for info in z.infolist():
-            base = info.filename.rsplit("/", 1)[-1]
-            if not info.is_dir() and base and not base.startswith((".", "__MACOSX")) and "__MACOSX" not in info.filename.split("/")[:-1]:
-                yield base, z.read(info)
+            if shown_member(info):
+                yield info.filename.rsplit("/", 1)[-1], z.read(info)
 
 
 def parse_file(data: bytes, name: str, loaders: dict[str, Loader]) -> list[tuple]:
