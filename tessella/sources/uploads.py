@@ -11,6 +11,7 @@ reached by pyarrow's file systems (local, or by the scheme of the path).
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -35,6 +36,37 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+class _Archive(io.RawIOBase):
+    """A file of a file system as zipfile wants it: a seek before the start is an OSError."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        self.file = fs.open_input_file(path)
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        body = self.file.read(len(into))
+        into[: len(body)] = body
+        return len(body)
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        try:
+            return self.file.seek(at, whence)
+        except ValueError as error:
+            raise OSError(str(error)) from error
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
 @dataclass
 class Part(InputPartition):
     """Files, or members of one archive: (position, path, member or None, error or None)."""
@@ -57,7 +89,7 @@ def listed(path: str, limit: int, loaders: dict[str, Loader]) -> Iterator[tuple[
             yield f.path, None, f.size, None
         else:
             try:
-                with fs.open_input_file(f.path) as data, zipfile.ZipFile(data) as z:
+                with _Archive(fs, f.path) as data, zipfile.ZipFile(data) as z:
                     members = sorted((m for m in z.infolist() if shown_member(m) and _ext(m.filename) in loaders), key=lambda m: m.filename)
             except (zipfile.BadZipFile, OSError, ValueError) as error:  # a torn archive may point anywhere
                 yield f.path, None, 0, f"{name}: {error}"
@@ -102,7 +134,7 @@ class UploadReader(DataSourceReader):
                                 body = f.read()
                         else:
                             if archive is None:
-                                held = fs.open_input_file(path)
+                                held = _Archive(fs, path)
                                 archive = zipfile.ZipFile(held)
                             body = archive.read(member)
                         row = (*LOADERS[_ext(name)](body, name), None)
