@@ -7,7 +7,7 @@ begins on the driver with bounded units: the commonest words, and the others by
 bytes.  From then on words move alone, each by its own contexts in all training texts: first the
 words of the head, in `passes` rounds over the texts, then in a last round every training word,
 however rare.  Within a round all words move at once, against the classes of the round before; a
-round whose likelihood is lower than the last one's is taken back.  Only words that training
+round whose likelihood is lower than the last one's is taken back, the last one too.  Only words that training
 lacks have no contexts and take the class of their last three bytes.
 
 Passes over the texts, each over all documents of its kind:
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import Workspace, batch_of, fold, pick, table
+from .common import Workspace, batch_of, fold, near, pick, table
 from .minhash import whole_groups
 
 HEAD_WORDS, WORD_UNITS, SUFFIX_UNITS, CLASSES, ROUNDS, PASSES = 1 << 18, 1000, 512, 64, 6, 2
@@ -124,18 +124,28 @@ def _bigrams(units: Units):
 
 
 def _add_rows(n: int):
+    """Rows sorted by unit -> one row for each, summed as they are read: one unit's sums are held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "u", 4 << 20):
-            us, back = np.unique(t["u"].to_numpy(), return_inverse=True)
-            total = np.zeros((len(us), n), dtype=np.int64)
-            for r, to, k in zip(back, t["to"], t["n"], strict=True):
-                total[r, np.asarray(to.values)] += np.asarray(k.values)
-            at = [np.flatnonzero(x) for x in total]
-            yield batch_of(_BIGRAMS, u=us.astype(np.int32), to=[a.astype(np.int32) for a in at], n=[x[a] for x, a in zip(total, at, strict=True)])
+        unit, total = -1, np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            for u, to, k in zip(batch["u"].to_pylist(), batch["to"], batch["n"], strict=True):
+                if u != unit:
+                    if unit >= 0:
+                        yield _unit_row(unit, total)
+                    unit, total[:] = u, 0
+                total[np.asarray(to.values)] += np.asarray(k.values)
+        if unit >= 0:
+            yield _unit_row(unit, total)
 
     return run
 
 
+def _unit_row(unit: int, total: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return batch_of(_BIGRAMS, u=[unit], to=[at.astype(np.int32)], n=[total[at]])
+
+
 def exchange_clustering(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each unit; unit 0 keeps class 0 to itself.  Units start dealt round by frequency.
 
@@ -190,6 +200,8 @@ def exchange_clustering(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -
     return label
 
 
+#: Rows of one word (a row for each million tokens that hold it) that a task takes; more are summed in shares first.
+WORD_ROWS = 256
 _CONTEXTS = pa.schema([("h", pa.int64()), ("own", pa.int32()), ("ctx", pa.list_(pa.int64()))])
 _WORDS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("cls", pa.int32())])
 CTX_BITS, CTX_TOKENS, CTX_ENTRIES = 40, 1 << 20, 1 << 12
@@ -252,6 +264,46 @@ def _contexts(held: Broadcast, only: Broadcast | None):
     return run
 
 
+def _merge_contexts(k: int):
+    """Rows sorted by word and share -> one row for each word and share, summed as they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, total = None, 0, np.zeros(2 * k + 1, dtype=np.int64)
+        for batch in batches:
+            for h, share, cls, ctx in zip(batch["h"].to_pylist(), batch["share"].to_pylist(), batch["own"].to_pylist(), batch["ctx"], strict=True):
+                if (h, share) != at:
+                    if at is not None:
+                        yield _context_row(at[0], own, total)
+                    at, own, total[:] = (h, share), cls, 0
+                x = np.asarray(ctx.values)
+                total[x >> CTX_BITS] += x & (1 << CTX_BITS) - 1  # a row has each code once
+        if at is not None:
+            yield _context_row(at[0], own, total)
+
+    return run
+
+
+def _context_row(h: int, own: int, total: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return batch_of(_CONTEXTS, h=[h], own=[own], ctx=[at << CTX_BITS | total[at]])
+
+
+def merged_contexts(ws: Workspace, contexts: DataFrame, name: str, k: int, most: int | None = None) -> DataFrame:
+    """Contexts of words with at most `most` rows of each: those of commoner words are dealt into shares and summed, again until they fit."""
+    most = most or WORD_ROWS
+    rows, step = contexts.where("h is not null"), 0
+    while True:
+        hot = ws.save(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most), f"{name}-hot-{step}")
+        if hot.isEmpty():
+            return rows
+        hot = near(hot)
+        dealt = rows.join(hot, "h").withColumn("share", F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("k") / most)))
+        dealt = dealt.select("h", "share", "own", "ctx").repartition("h", "share").sortWithinPartitions("h", "share")
+        summed = dealt.mapInArrow(_merge_contexts(k), "h long, own int, ctx array<long>")
+        rows = ws.save(rows.join(hot, "h", "left_anti").unionByName(summed), f"{name}-merged-{step}")
+        step += 1
+
+
 def class_grid(contexts: DataFrame, k: int) -> np.ndarray:
     """Class bigrams of all tasks: classes squared at most reach the driver."""
     cell = contexts.where("h is null").select(F.explode("ctx").alias("x")).groupBy(F.shiftright("x", CTX_BITS).alias("at"))
@@ -332,7 +384,8 @@ def best_classes(grid: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.
     return OneWord(grid).best(own, right, left, itself)
 
 
-def _assign(grid: np.ndarray):
+def _assign(grid: np.ndarray, stay: bool = False):
+    """Words (h, c, cls) of contexts; with `stay` each keeps the class it has."""
     k = len(grid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +406,7 @@ def _assign(grid: np.ndarray):
                 e = slice(first[lo], first[hi])
                 cells = np.bincount(at[e] - lo * wide, weights=n[e], minlength=(hi - lo) * wide).reshape(hi - lo, -1)
                 right, left, itself = cells[:, :k], cells[:, k:-1], cells[:, -1]
-                cls = exchange.best(own[lo:hi], right, left, itself)
+                cls = own[lo:hi] if stay else exchange.best(own[lo:hi], right, left, itself)
                 yield batch_of(_WORDS, h=h[lo:hi], c=(right.sum(axis=1) + itself).astype(np.int64), cls=cls.astype(np.int32))
                 lo = hi
 
@@ -560,6 +613,19 @@ def head_condition(counts: DataFrame, most: int) -> Column:
     return chosen
 
 
+def final_bigrams(docs: DataFrame, made: Classes, rare: DataFrame, ws: Workspace) -> np.ndarray:
+    """Class bigrams of all texts, with the classes of the words outside the head from `rare`."""
+    held = docs.sparkSession.sparkContext.broadcast(made)
+    opened = docs.select("text", F.monotonically_increasing_id().alias("rk")).mapInArrow(_class_bigrams(held), f"rk long, {OPENED}, n array<long>")
+    cells = join_rare(ws.save(opened, "opened"), rare).select("own", "left", "right", "n", "found").mapInArrow(_cells(made.k), "a int, b int, n long")
+    grid = np.zeros((made.k, made.k))
+    for r in cells.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes squared at most
+        grid[r["a"], r["b"]] = r["n"]
+    held.unpersist()
+    ws.drop("opened")
+    return grid
+
+
 def train(docs: DataFrame, counts: DataFrame, ws: Workspace, head_words: int = HEAD_WORDS, word_units: int = WORD_UNITS, classes: int = CLASSES, passes: int = PASSES) -> tuple[BrownModel, DataFrame]:
     """Training documents (text) and their token counts -> model, and the words outside its head (h, c, cls)."""
     spark = docs.sparkSession
@@ -596,22 +662,25 @@ def train(docs: DataFrame, counts: DataFrame, ws: Workspace, head_words: int = H
             ws.drop(f"contexts-{step}")
             continue
         best, before = max(best, now), made
-        moved = contexts.where("h is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_assign(grid), "h long, c long, cls int")
-        words = ws.save(moved, f"words-{step}")
-        ws.drop(f"contexts-{step}")
-        own = (words.where(in_head) if last else words).select("h", "cls").toArrow()
-        head_label = np.zeros(len(h), dtype=np.int16)
-        head_label[np.searchsorted(h, own["h"].to_numpy().view(np.uint64))] = own["cls"].to_numpy()
-        made = Classes(units, label, h, head_label, k)
+        dealt = merged_contexts(ws, contexts, f"contexts-{step}", k).repartition("h").sortWithinPartitions("h")
+
+        def settle(name: str, dealt: DataFrame = dealt, grid: np.ndarray = grid, last: bool = last, stay: bool = False) -> tuple[DataFrame, Classes]:
+            words = ws.save(dealt.mapInArrow(_assign(grid, stay), "h long, c long, cls int"), name)
+            own = (words.where(in_head) if last else words).select("h", "cls").toArrow()
+            head_label = np.zeros(len(h), dtype=np.int16)
+            head_label[np.searchsorted(h, own["h"].to_numpy().view(np.uint64))] = own["cls"].to_numpy()
+            return words, Classes(units, label, h, head_label, k)
+
+        words, made = settle(f"words-{step}")
+        if not last:
+            ws.drop(f"contexts-{step}")
     rare = words.where(~in_head)
-    held = spark.sparkContext.broadcast(made)
-    opened = docs.select("text", F.monotonically_increasing_id().alias("rk")).mapInArrow(_class_bigrams(held), f"rk long, {OPENED}, n array<long>")
-    cells = join_rare(ws.save(opened, "opened"), rare).select("own", "left", "right", "n", "found").mapInArrow(_cells(k), "a int, b int, n long")
-    grid = np.zeros((k, k))
-    for r in cells.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes squared at most
-        grid[r["a"], r["b"]] = r["n"]
-    held.unpersist()
-    ws.drop("opened")
+    before, grid = grid, final_bigrams(docs, made, rare, ws)
+    if likelihood(grid) < likelihood(before):
+        # The last round moved all words at once to where each alone would gain: taken back like the others.
+        words, made = settle("words-kept", stay=True)
+        rare, grid = words.where(~in_head), before
+    ws.drop(f"contexts-{passes}")
     transition = np.log10((grid + HALF) / (grid.sum(axis=1, keepdims=True) + HALF * k))
     kinds = np.zeros(k)
     kinds[0] = n_docs > 0

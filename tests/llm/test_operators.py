@@ -337,6 +337,36 @@ def test_one_word_exchange_equals_the_likelihood():
         assert abs(tries[got[w - 1] - 1] - max(tries)) < 1e-6
 
 
+def test_brown_hot_words_are_summed_in_shares(spark, docs_of, monkeypatch):
+    """Contexts of common words dealt into shares, several times over, give the scores of whole groups."""
+    rng = random.Random(6)
+    v = vocab(rng, 40)
+    docs = docs_of([" ".join(rng.choice(v[: rng.choice([3, 40])]) for _ in range(30)) for _ in range(60)]).repartition(30).withColumn("held_out", F.lit(False)).cache()
+    options = dict(head_words=20, word_units=5, classes=6)
+    whole = {r.doc_id: r.score for r in brown.score(docs, docs, **options).collect()}
+    monkeypatch.setattr(brown, "WORD_ROWS", 3)
+    assert {r.doc_id: round(r.score, 9) for r in brown.score(docs, docs, **options).collect()} == {i: round(s, 9) for i, s in whole.items()}
+    docs.unpersist()
+
+
+def test_brown_last_round_is_taken_back_where_it_lowers_the_likelihood(spark, docs_of, monkeypatch):
+    rng = random.Random(9)
+    v = vocab(rng, 60)
+    docs = docs_of([" ".join(rng.choice(v) for _ in range(25)) for _ in range(50)]).withColumn("held_out", F.lit(False))
+    options = dict(head_words=10, word_units=4, classes=5, passes=0)
+    kept = []
+    assign = brown._assign  # a bad last round: words move by bigrams of chance
+    monkeypatch.setattr(brown, "_assign", lambda grid, stay=False: assign(grid if stay else np.random.default_rng(0).integers(1, 50, grid.shape).astype(float), stay))
+    real = brown.final_bigrams
+    monkeypatch.setattr(brown, "final_bigrams", lambda *a: kept.append(real(*a)) or kept[-1])
+    with Workspace(spark, "t") as ws:
+        training = docs.select("text")
+        counts = ws.save(training.mapInArrow(brown._count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
+        model, _ = brown.train(training, counts, ws, **options)
+        grid = real(training, model.classes, ws.load("words-kept", spark.createDataFrame([], "h long, c long, cls int")).where(~brown.head_condition(counts, 10)), ws)
+    assert brown.likelihood(grid) > brown.likelihood(kept[0])
+
+
 @pytest.mark.parametrize("head_words", [7, 1000])  # the words compared are joined, or in the head
 def test_brown_words_of_one_suffix_have_classes_of_their_own(spark, docs_of, head_words):
     rng = random.Random(6)
