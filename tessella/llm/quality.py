@@ -1,8 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words, its word bigrams, the character 2- to 4-grams of its words,
-and the patterns of its word n-grams (which of two or three words in a row are the same: `aa`,
-`aba`, ...), hashed into buckets.  Each bucket has a learned vector, a document is the average of its
+A document's features are its words, its word bigrams and the character 2- to 4-grams of its words,
+hashed into buckets.  Each bucket has a learned vector, a document is the average of its
 features' vectors, and a softmax over two classes reads it.  Both are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled documents.
 
@@ -53,15 +52,12 @@ def features(chunk: tk.Chunk, buckets: int) -> Features:
     order = np.argsort(owner, kind="stable")
     to = lambda h: (h % np.uint64(buckets)).astype(np.int64)
     next_ = np.flatnonzero(w.doc[1:] == w.doc[:-1])
-    pair = tk.mix(w.hash[next_] * np.uint64(0x9E3779B97F4A7C15) + w.hash[next_ + 1])
-    same = w.hash[next_] == w.hash[next_ + 1]
-    three = np.flatnonzero(w.doc[2:] == w.doc[:-2])
-    a, b, c = (w.hash[three + j] for j in range(3))
-    pattern = tk.mix(np.concatenate([same + 1, 3 + (a == b) + 2 * (b == c) + 4 * (a == c)]).astype(np.uint64))
-    doc = np.concatenate([w.doc[next_], w.doc[next_], w.doc[three]])
-    by_doc = np.argsort(doc, kind="stable")
-    ngram = to(np.concatenate([pair, pattern]))[by_doc]
-    return Features(to(np.concatenate(parts)[order]), np.searchsorted(owner[order], np.arange(len(one) + 1)), inverse, w, ngram, doc[by_doc])
+    ngram = to(bigram_hashes(w.hash[next_], w.hash[next_ + 1]))
+    return Features(to(np.concatenate(parts)[order]), np.searchsorted(owner[order], np.arange(len(one) + 1)), inverse, w, ngram, w.doc[next_])
+
+
+def bigram_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return tk.mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
 _BAGS = pa.schema([("label", pa.int32()), ("bucket", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])
@@ -93,12 +89,16 @@ class QualityModel:
     bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        """Probability of label 1; a text without words has the prior's.  A long text's parts share no n-gram."""
+        """Probability of label 1; a text without words has the prior's.  A long text in parts scores as it would whole."""
         out = [np.zeros(0)]
         for c in tk.chunks(texts):
-            total, n = np.zeros(len(c)), np.zeros(len(c))
+            total, n, last = np.zeros(len(c)), np.zeros(len(c)), None
             for part in tk.pieces(c, "nonspace"):
                 f = features(part, len(self.weights))
+                if last is not None and len(f.words):  # the bigram that a part's end cuts
+                    total += self.weights[int(bigram_hashes(last, f.words.hash[:1])[0] % np.uint64(len(self.weights)))]
+                    n += 1
+                last = f.words.hash[-1:] if len(f.words) else last
                 sums = np.concatenate([[0.0], np.cumsum(self.weights[f.bucket])])
                 per_word = sums[f.first[1:]] - sums[f.first[:-1]]
                 total += tk.sum_by(f.words.doc, per_word[f.word], len(c)) + tk.sum_by(f.ngram_doc, self.weights[f.ngram], len(c))

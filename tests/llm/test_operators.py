@@ -701,12 +701,21 @@ def test_quality_scores_equal_a_plain_average(spark, sf):
         h = [int(x) for x in tk.text_hashes(words)] if words else []
         f = list(h) + [gram_hash(g, k) for w in words for k in quality.ORDERS for g in grams(w, k)]
         f += [mixed((a * 0x9E3779B97F4A7C15 + b) % (1 << 64)) for a, b in zip(h, h[1:], strict=False)]
-        f += [mixed((a == b) + 1) for a, b in zip(h, h[1:], strict=False)]
-        f += [mixed(3 + (a == b) + 2 * (b == c) + 4 * (a == c)) for a, b, c in zip(h, h[1:], h[2:], strict=False)]
         mean = np.mean([m.weights[x % size] for x in f]) if f else 0.0
         assert abs(1 / (1 + np.exp(-(m.bias + mean))) - s) < 1e-6
 
 
+def test_quality_of_a_text_in_parts_is_that_of_the_whole(monkeypatch):
+    import pyarrow as pa
+
+    m = quality.QualityModel(np.random.default_rng(1).normal(size=1 << 12), 0.1)
+    texts = [long_text(30_000), " ".join("ab cd".split() * 800), "x" * 5000 + " y", "   "]
+    whole = m.score(pa.array(texts))
+    monkeypatch.setattr(tk, "PIECE_BYTES", 700)
+    monkeypatch.setattr(tk, "CHUNK_BYTES", 100)
+    assert np.allclose(m.score(pa.array(texts)), whole)
+
+
 def test_toxicity_scores_equal_plain_segments(spark, sf):
     import pyarrow as pa
 
