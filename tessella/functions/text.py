@@ -236,8 +236,41 @@ def content_text(content: Column) -> Column:
     return F.array_join(F.transform(content, lambda p: F.coalesce(p["text"], F.lit(""))), "")
 
 
+# Fixed value: how a line of a list begins.
+BULLET = r"^\s*[*\-•]\s+"
+
+
 def answer_blocks(answer: Column) -> Column:
-    """array<struct<kind, text>>: an answer's blocks, each a list where all its lines are bullets, else prose."""
-    blocks = F.filter(F.transform(F.split(answer, r"\n{2,}"), trimmed), lambda b: b != "")
-    is_list = lambda b: F.forall(F.split(b, "\n"), lambda x: trimmed(x).rlike(r"^[-*]\s"))
-    return F.transform(blocks, lambda b: F.named_struct(F.lit("kind"), F.when(is_list(b), "list").otherwise("prose"), F.lit("text"), b))
+    """array<struct<kind, items>>: an answer's blocks in order.
+
+    A block whose lines are all bullets is a `list` of them; one that begins with other lines is
+    `prose` of these, joined, and a `list` of the rest; any other is `prose` as it stands.
+    """
+
+    def of(block: Column) -> Column:
+        lines = F.filter(F.transform(F.split(block, "\n"), trimmed), lambda x: x != "")
+        bullets = F.transform(lines, lambda x: x.rlike(BULLET))
+        first = F.array_position(bullets, True)
+        items = lambda some: F.transform(some, lambda x: F.regexp_replace(x, BULLET, ""))
+        made = lambda kind, some: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("items"), some)
+        split = F.array(made("prose", F.array(F.array_join(F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0))), " "))), made("list", items(F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines)))))
+        none = F.filter(split, lambda b: F.lit(False))
+        return F.when(F.size(lines) == 0, none).when(F.forall(bullets, lambda x: x), F.array(made("list", items(lines)))).when(first > 1, split).otherwise(F.array(made("prose", F.array(block))))
+
+    return F.flatten(F.transform(F.split(answer, r"\n{2,}"), of))
+
+
+def inline_tokens(text: Column) -> Column:
+    """array<struct<bold, marker, text>>: pieces of a line in order; a marker [n] is its number, `**` marks are off."""
+
+    def cut(whole: Column, pattern: str, inner: str) -> Column:
+        """Pieces between the matches of a pattern, and the matches, by turns: struct<hit, text>."""
+        piece = lambda hit, x: F.named_struct(F.lit("hit"), F.lit(hit), F.lit("text"), x)
+        pairs = F.zip_with(F.split(whole, pattern), F.regexp_extract_all(whole, F.lit(inner), F.lit(1)), lambda a, b: F.array(piece(False, F.coalesce(a, F.lit(""))), piece(True, F.coalesce(b, F.lit("")))))
+        return F.filter(F.flatten(pairs), lambda x: x["text"] != "")
+
+    def marked(segment: Column) -> Column:
+        named = lambda m: F.named_struct(F.lit("bold"), segment["hit"], F.lit("marker"), F.when(m["hit"], m["text"].cast("int")), F.lit("text"), F.when(~m["hit"], m["text"]))
+        return F.transform(cut(segment["text"], r"\[\d{1,2}\]", r"\[(\d{1,2})\]"), named)
+
+    return F.flatten(F.transform(cut(text, r"\*\*[^*]+\*\*", r"\*\*([^*]+)\*\*"), marked))

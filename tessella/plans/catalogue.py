@@ -504,8 +504,9 @@ SELECT doc_id, CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS INTEGER
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the stand-in embedding: words hashed into 64."""
     w = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"))).alias("w"))
+    # Words of a document are counted first, and hashed once each.
     cell = F.pmod(F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long"), F.lit(64)).cast("int")
-    return w.groupBy("doc_id", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return w.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", cell.alias("cell")).agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- pages
@@ -617,19 +618,20 @@ def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE["progress_latest"])
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream over the event files, run to its end: each batch's changed rows go into a keyed table."""
+    """The same from a stream over the event files, run to its end: each batch appends its changed rows, of which the last hold."""
     path, root = f"{sf_dir}/events.parquet", f"{_root(spark)}/progress-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), "value")
-    table = store.VersionedTable(spark, f"{root}/table", "key")
+    sink = E.BatchSink(spark, f"{root}/changes")
     writer = E.progress_stream_agg(e).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
-    writer.foreachBatch(lambda rows, _: table.upsert(rows)).start().awaitTermination()
-    return table.read("key long, seq long, stage string, value double")
+    writer.foreachBatch(sink).start().awaitTermination()
+    return E.latest_progress(sink.read("key long, seq long, stage string, value double"), "key", "seq")
 
 
-@query("SELECT CAST(a AS INTEGER) AS attempt, CAST(least(30000, 500 * pow(2, a)) AS INTEGER) AS ms FROM range(12) t(a)")
+@query("SELECT event_id, CAST(least(30000, 500 * pow(2, event_id % 12)) AS INTEGER) AS ms FROM events")
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(12).select(F.col("id").cast("int").alias("attempt"), X.backoff_ms(F.col("id")).alias("ms"))
+    """How long to wait before each attempt; events stand for attempts."""
+    return _t(spark, sf_dir, "events").select("event_id", X.backoff_ms(F.col("event_id") % 12).alias("ms"))
 
 
 @query("SELECT event_id, CAST(CASE WHEN user_id % 7 = 0 THEN 0 ELSE round(100.0 * (event_id % 50) / (user_id % 7 * 50)) END AS INTEGER) AS pct FROM events")

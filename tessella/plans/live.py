@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT
+from ..functions import text as X
 from ..operators import chats, ingest, retrieval
 from ..plugins import extractive_stream, hash_embedder
 from ..sources import files, pdf, uploads
@@ -264,3 +265,26 @@ def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = retrieval.build_context(_scored_texts(spark, sf_dir), _BUDGET).select("qid", "context", F.col("citations.n").alias("valid"))
     asked = head.join(built, "qid", "left").withColumn("question", F.concat(F.lit("What is like "), F.col("qid").cast("string"), F.lit("?")))
     return chats.stream_answers(asked, extractive_stream)
+
+
+_BLOCKS = r"'See **this** [1] for ' || turn || chr(10) || '- ' || replace(text, chr(10), chr(10) || '* ') || chr(10) || chr(10) || text || chr(10) || chr(10) || '- only [2]' || chr(10) || '• **list [3]** [12] **open'"
+
+
+@query(rf"""WITH a AS (SELECT conv_id * 1000 + turn AS qid, string_split_regex({_BLOCKS}, '\n{{2,}}') AS bs FROM conversations WHERE role = 'assistant'),
+b AS (SELECT qid, unnest(range(len(bs))) AS bl, unnest(bs) AS body FROM a),
+l AS (SELECT *, list_filter(list_transform(string_split(body, chr(10)), lambda x: {S.trim("x")}), lambda x: x <> '') AS ls FROM b),
+f AS (SELECT *, coalesce(list_position(list_transform(ls, lambda x: regexp_matches(x, '^\s*[*\-•]\s+')), true), 0) AS fb, len(list_filter(ls, lambda x: NOT regexp_matches(x, '^\s*[*\-•]\s+'))) AS np FROM l WHERE len(ls) > 0),
+p AS (SELECT qid, bl, CASE WHEN np = 0 THEN [('list', ls)] WHEN fb > 1 THEN [('prose', [array_to_string(ls[1:fb - 1], ' ')]), ('list', ls[fb:])] ELSE [('prose', [body])] END AS ps FROM f),
+u AS (SELECT qid, bl, unnest(range(len(ps))) AS part, unnest(ps) AS x FROM p),
+r AS (SELECT qid, bl, part, x[1] AS kind, CASE WHEN x[1] = 'list' THEN list_transform(x[2], lambda y: regexp_replace(y, '^\s*[*\-•]\s+', '')) ELSE x[2] END AS items FROM u)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY bl, part) - 1 AS INTEGER) AS block, kind, array_to_string(items, '|') AS items, len(regexp_extract_all(array_to_string(items, '|'), '\*\*[^*]+\*\*')) AS n_bold,
+  array_to_string(list_transform(regexp_extract_all(array_to_string(items, '|'), '\[(\d{{1,2}})\]', 1), lambda m: CAST(m AS INTEGER)), ',') AS markers FROM r""")
+def answer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as they are shown: prose and lists, with bold pieces and citation markers as tokens."""
+    c = _t(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.expr(_BLOCKS.replace("chr(10)", "char(10)")).alias("answer"))
+    b = c.select("qid", F.posexplode(X.answer_blocks(F.col("answer"))).alias("block", "b")).select("qid", "block", "b.kind", F.array_join("b.items", "|").alias("items"))
+    t = b.withColumn("t", X.inline_tokens(F.col("items")))
+    # A bold piece with a marker inside is several tokens; pieces are counted where bold begins.
+    bold = F.size(F.filter("t", lambda x, i: x["bold"] & ((i == 0) | ~F.coalesce(F.get("t", i - 1)["bold"], F.lit(False)))))
+    marks = F.array_join(F.transform(F.filter("t", lambda x: x["marker"].isNotNull()), lambda x: x["marker"].cast("string")), ",")
+    return t.select("qid", "block", "kind", "items", bold.cast("long").alias("n_bold"), marks.alias("markers"))

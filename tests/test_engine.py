@@ -314,7 +314,9 @@ def test_roll_back(spark, tmp_path):
 
 
 def test_labels_and_blocks(spark):
-    assert one(spark, X.answer_blocks(F.lit("Intro.\n\n- a\n- b\n\n\nEnd"))) == [("prose", "Intro."), ("list", "- a\n- b"), ("prose", "End")]
+    assert one(spark, X.answer_blocks(F.lit("Intro.\n\n- a\n- b\n\n\nEnd"))) == [("prose", ["Intro."]), ("list", ["a", "b"]), ("prose", ["End"])]
+    assert one(spark, X.answer_blocks(F.lit("Two\nlines\n• a\n* b\n\n- x\ntail"))) == [("prose", ["Two lines"]), ("list", ["a", "b"]), ("prose", ["- x\ntail"])]
+    assert one(spark, X.inline_tokens(F.lit("a **b [2]** [10]x **open"))) == [(False, None, "a "), (True, None, "b "), (True, 2, None), (False, None, " "), (False, 10, None), (False, None, "x **open")]
     assert one(spark, X.content_text(F.array(F.struct(F.lit("a").alias("text")), F.struct(F.lit(None).cast("string").alias("text")), F.struct(F.lit("b").alias("text"))))) == "ab"
     assert one(spark, X.relative_day(F.lit("2024-01-01 08:30:00").cast("timestamp"), F.lit("2024-01-02 01:00:00").cast("timestamp"))) == "Yesterday"
     assert one(spark, X.safe_upload_name(F.lit("a/b/we ird$$name.md"))) == "we ird_name.md"
