@@ -77,6 +77,11 @@ def find(manifest: DataFrame, content_hash: str | None = None, source_url: str |
     return rows.orderBy("created_at", "id")
 
 
+def manifest_json(manifest: DataFrame) -> DataFrame:
+    """Manifest rows as JSON texts (value), a document each, fields in order; absent ones are null."""
+    return manifest.select(F.to_json(F.struct(*manifest.columns), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "timeZone": "UTC"}).alias("value"))
+
+
 def documents_with_chunks(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     """Manifest rows with `chunks`: those of each document in order, without their vectors; none is an empty list."""
     kept = [c for c in chunks.columns if c not in ("embedding", "document_id")]
@@ -233,6 +238,10 @@ class Ingestor:
         change = self.spark.createDataFrame([(document_id, "failed", error, 0)], "id string, status string, error string, chunk_count int")
         self.manifest.update(lambda rows: patch(rows, change, F.lit(now).cast("timestamp")), MANIFEST_SCHEMA, id=document_id)
 
+    def export(self, path: str) -> None:
+        """The manifest as lines of JSON."""
+        manifest_json(self.documents().orderBy("created_at", "id")).write.mode("overwrite").text(path)
+
     def remove(self, document_id: str) -> None:
         """Chunks first, then the manifest row."""
         self.store.delete_by_document(document_id)

@@ -130,6 +130,30 @@ def archive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(ident.alias("doc_id"), "title", "source_url", F.sha2("markdown", 256).alias("digest"), "error")
 
 
+@query(r"""SELECT page_id, coalesce(nullif(regexp_replace(page_id || ' page!.html', '[^\w.\- ]+', '_', 'g'), ''), 'upload') AS name, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS length FROM pages""")
+def raw_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages kept as raw uploads; the second upload of the same bytes under the same name adds nothing."""
+    folder = f"{_root(spark)}/raw-{uuid.uuid4().hex}"
+    body = F.coalesce("html", F.lit("")).cast("binary")
+    uploads_ = _t(spark, sf_dir, "pages").select(F.concat(F.lit("in/"), F.col("page_id").cast("string"), F.lit(" page!.html")).alias("path"), F.octet_length(body).cast("long").alias("length"), body.alias("content"))
+    files.archive_raw(uploads_, folder)
+    kept = files.archive_raw(uploads_, folder)
+    return kept.select(F.regexp_extract("name", r"^(-?\d+) ", 1).cast("long").alias("page_id"), "name", "digest", "length")
+
+
+@query("""SELECT doc_id, '{"id":"' || doc_id || '","title":"Document ' || doc_id || '","status":"' || CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'ready' END || '","chunk_count":' || n_chars || ',"error":' ||
+  CASE WHEN doc_id % 7 = 0 THEN '"refused"' ELSE 'null' END || ',"created_at":"2024-01-0' || (doc_id % 9 + 1) || 'T00:00:00.000Z"}' AS value FROM documents""")
+def manifest_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest rows of all documents as JSON."""
+    name = F.col("doc_id").cast("string")
+    bad = F.col("doc_id") % 7 == 0
+    rows = _t(spark, sf_dir, "documents").select(
+        name.alias("id"), F.concat(F.lit("Document "), name).alias("title"), F.when(bad, "failed").otherwise("ready").alias("status"), F.col("n_chars").alias("chunk_count"), F.when(bad, "refused").alias("error"),
+        F.to_timestamp(F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"))).alias("created_at"),
+    )
+    return ingest.manifest_json(rows).select(F.get_json_object("value", "$.id").cast("long").alias("doc_id"), "value")
+
+
 @query(f"""WITH t AS (SELECT doc_id, {S.trim("regexp_replace(coalesce(text, ''), '\\n{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM documents WHERE doc_id IS NOT NULL)
 SELECT doc_id, CASE WHEN length(text) >= 40 THEN 'Document ' || doc_id END AS title, CASE WHEN length(text) >= 40 THEN sha256('# Document ' || doc_id || chr(10) || chr(10) || text) END AS digest,
   CASE WHEN length(text) < 40 THEN doc_id || '.pdf: no extractable text' END AS error FROM t""")

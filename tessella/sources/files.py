@@ -181,6 +181,28 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return rows.where(X.extension(F.col("path")).isin(*EXTENSIONS))
 
 
+RAW = "digest string, name string, path string, length long, content binary"
+
+
+def archive_raw(files: DataFrame, folder: str) -> DataFrame:
+    """Raw uploads (path, length, content) kept as they came, under a safe name and by the digest of their bytes.
+
+    A file that is uploaded again with the same name and bytes is kept once.  Returns the archive.
+    """
+    spark = files.sparkSession
+    rows = files.select(F.sha2("content", 256).alias("digest"), X.safe_upload_name(F.element_at(F.split("path", "/"), -1)).alias("name"), "path", F.col("length").cast("long").alias("length"), "content")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        rows = rows.join(read_raw(spark, folder).select("digest", "name"), ["digest", "name"], "left_anti")
+    rows.dropDuplicates(["digest", "name"]).write.mode("append").parquet(folder)
+    return read_raw(spark, folder)
+
+
+def read_raw(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(RAW).parquet(folder)
+
+
 def read_envelopes(spark: SparkSession, path: str, conf: EngineConf = DEFAULT) -> DataFrame:
     """JSON envelopes by Spark's own reader: parsed columns and an error for refused ones."""
     schema = "markdown string, content string, metadata struct<title string, sourceURL string, url string, statusCode int>"
