@@ -168,17 +168,51 @@ class Postings:
         which = np.repeat(np.arange(len(terms)), n)
         return self.by_term[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)], which
 
+    def slices(self, terms: np.ndarray, most: int) -> Iterator[slice]:
+        """Stretches of `terms` whose postings together are no more than `most` (a single term's: those of the batch at most)."""
+        total = np.cumsum(np.searchsorted(self.sorted_terms, terms, side="right") - np.searchsorted(self.sorted_terms, terms))
+        lo = 0
+        while lo < len(terms):
+            before = total[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(total, before + most, side="right")))
+            if total[hi - 1] > before:
+                yield slice(lo, hi)
+            lo = hi
+
     def has(self, doc: np.ndarray, pos: np.ndarray, term: np.ndarray) -> np.ndarray:
         at = tk.lookup(self.places, doc << np.int64(32) | pos)
         return (at >= 0) & (pos >= 0) & (self.term_at[at] == term if len(self.term_at) else False)
 
 
+#: Postings of rarest terms that are held at a time, with their phrases.
+CANDIDATES = 1 << 19
+
+
+def _by_rarity(phrases: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    rarity = np.where(phrases >= 0, frequency[np.maximum(phrases, 0)], np.iinfo(np.int64).max)
+    return np.argsort(rarity, axis=1, kind="stable")
+
+
+def _in_slices(p: Postings, phrases: np.ndarray, size: np.ndarray, frequency: np.ndarray, match) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of all phrases, from slices of bounded candidates: common terms cost time and not memory."""
+    order = _by_rarity(phrases, frequency)
+    rarest = phrases[np.arange(len(phrases)), order[:, 0]]
+    by_term = np.argsort(rarest, kind="stable")
+    found = [(np.zeros(0, np.int64),) * 3]
+    for s in p.slices(rarest[by_term], CANDIDATES):
+        at = by_term[s]
+        doc, pos, which = match(p, phrases[at], size[at], order[at])
+        found.append((doc, pos, at[which]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def match_phrases(p: Postings, phrases: np.ndarray, size: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All occurrences: (document, start, phrase).  Lists are intersected from the rarest term on."""
-    rarity = np.where(phrases >= 0, frequency[np.maximum(phrases, 0)], np.iinfo(np.int64).max)
-    order = np.argsort(rarity, axis=1, kind="stable")
-    rows = np.arange(len(phrases))
-    hit, which = p.of(phrases[rows, order[:, 0]])
+    return _in_slices(p, phrases, size, frequency, _match_exact)
+
+
+def _match_exact(p: Postings, phrases: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hit, which = p.of(phrases[np.arange(len(phrases)), order[:, 0]])
     doc, start = p.doc[hit], p.pos[hit] - order[which, 0]
     keep = start >= 0
     doc, start, which = doc[keep], start[keep], which[keep]
@@ -191,13 +225,15 @@ def match_phrases(p: Postings, phrases: np.ndarray, size: np.ndarray, frequency:
 
 def match_near(p: Postings, phrases: np.ndarray, size: np.ndarray, frequency: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, position, phrase) of each occurrence of a phrase's rarest word with all its other words within `span` words of it."""
-    rarity = np.where(phrases >= 0, frequency[np.maximum(phrases, 0)], np.iinfo(np.int64).max)
-    order = np.argsort(rarity, axis=1, kind="stable")
-    hit, which = p.of(phrases[np.arange(len(phrases)), order[:, 0]])
-    doc, pos = p.doc[hit], p.pos[hit]
     docs = max(p.docs, 1)
     code = lambda term, doc, pos: (term * docs + doc << np.int64(32)) + pos
     posted = np.sort(code(p.term, p.doc, p.pos))
+    return _in_slices(p, phrases, size, frequency, lambda *of: _match_near(*of, posted, code, span))
+
+
+def _match_near(p: Postings, phrases: np.ndarray, size: np.ndarray, order: np.ndarray, posted: np.ndarray, code, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hit, which = p.of(phrases[np.arange(len(phrases)), order[:, 0]])
+    doc, pos = p.doc[hit], p.pos[hit]
     for k in range(1, phrases.shape[1]):
         if not len(doc):
             break

@@ -639,6 +639,33 @@ def test_long_texts_in_parts_equal_whole_ones(monkeypatch):
     assert sum(len(r[1]) for r in found) >= sizes[1] and sum((r[2] * r[3]).sum() for r in found) == len(text) - 199
 
 
+def test_phrases_of_common_words_are_matched_in_bounded_slices(monkeypatch):
+    """Thousands of phrases over a few common words: candidates are held a slice at a time, and matches are the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    v = [f"w{k}" for k in range(12)]
+    texts = [" ".join(rng.choices(v, k=400)) for _ in range(40)]
+    items = [(str(k), " ".join(rng.choices(v, k=60))) for k in range(30)] + [("in", " ".join(texts[3].split()[7:40]))]
+    block = phrases._test_block(items, 4)
+    (c,) = tk.chunks(pa.array(texts))
+    doc, term, pos, _ = phrases._terms(c, block)
+    order = np.lexsort((pos, term, doc))
+    p = phrases.Postings(len(texts), doc[order], term[order], pos[order])
+    frequency = np.bincount(term, minlength=len(block.vocab))
+    got, peak = [], []
+    for most in (1 << 40, 2_000):
+        monkeypatch.setattr(phrases, "CANDIDATES", most)
+        for match in (lambda: phrases.match_phrases(p, block.phrases, block.size, frequency), lambda: phrases.match_near(p, block.phrases, block.size, frequency, 6)):
+            tracemalloc.start()
+            got.append(sorted(zip(*(x.tolist() for x in match()), strict=True)))
+            peak.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    assert got[0] == got[2] and got[1] == got[3] and got[0] and peak[2] < peak[0] / 4
+
+
 def test_a_text_of_fifty_megabytes(spark, docs_of):
     import pyarrow as pa
 
