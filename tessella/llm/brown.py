@@ -205,35 +205,58 @@ WORD_ROWS = 256
 _CONTEXTS = pa.schema([("h", pa.int64()), ("own", pa.int32()), ("ctx", pa.list_(pa.int64()))])
 _WORDS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("cls", pa.int32())])
 CTX_BITS, CTX_TOKENS, CTX_ENTRIES = 40, 1 << 20, 1 << 12
+#: Cells of the head's words that a task holds, and words of a batch of rows.
+CTX_CELLS, CTX_ROWS = 6 << 20, 1 << 15
 
 
-def _contexts(held: Broadcast, only: Broadcast | None):
+def _contexts(held: Broadcast, head: Broadcast, every: bool):
     """Contexts of words: its class, and how often which class follows (0..), precedes (k..), or the word follows itself (2k).
 
-    Of all words, or of those whose hashes are in `only`.  A row without a word has the class bigrams of the task.
+    Of the words whose hashes are in `head`, or of `every` word.  Words of the head are summed over
+    the task, a million tokens at a time; the others come out once for each million.  A row without
+    a word has the class bigrams of the task.
     """
 
-    def sums(k: int, wanted: np.ndarray | None, parts: list) -> pa.RecordBatch:
-        ids, own, after, before = (np.concatenate(x) for x in zip(*parts, strict=True))
-        h = wanted
-        if wanted is None:
-            h, ids = np.unique(ids, return_inverse=True)
-        cls = np.zeros(len(h), dtype=np.int32)
-        cls[ids] = own
-        ids *= 2 * k + 1
-        key, n = np.unique(np.concatenate([ids + after, (ids + before)[before >= 0]]), return_counts=True)
+    def cells(k: int, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct cells word * (2k + 1) + code, sorted, and how often each."""
+        ids, _, after, before = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids = ids * (2 * k + 1)
+        return np.unique(np.concatenate([ids + after, (ids + before)[before >= 0]]), return_counts=True)
+
+    def rows(k: int, h: np.ndarray, cls: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         word, code = np.divmod(key, 2 * k + 1)
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        ctx = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)).astype(np.int32)), pa.array(code << CTX_BITS | n))
-        some = word[first]
-        return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(cls[some]), ctx], schema=_CONTEXTS)
+        first = np.append(np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])[: len(word)]), len(word))
+        value = code << CTX_BITS | n
+        for lo in range(0, len(first) - 1, CTX_ROWS):
+            at = first[lo : lo + CTX_ROWS + 1]
+            some = word[at[:-1]]
+            ctx = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(value[at[0] : at[-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(cls[some]), ctx], schema=_CONTEXTS)
+
+    def merged(sums: list) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*sums, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        return key[cut], np.add.reduceat(n, cut) if len(cut) else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        k, wanted = m.k, None if only is None else only.value
-        places = m.places if wanted is None or np.array_equal(wanted, m.head) else tk.Places(wanted)
-        parts, size = [], 0
+        m, h_head = held.value, head.value
+        k = m.k
+        places = m.places if np.array_equal(h_head, m.head) else tk.Places(h_head)
+        common, rare, sums, own = [], [], [], np.zeros(len(h_head), dtype=np.int32)
         grid = np.zeros(k * k, dtype=np.int64)
+
+        def size(parts: list) -> int:
+            return sum(len(p[0]) for p in parts)
+
+        def others() -> Iterator[pa.RecordBatch]:
+            h, ids = np.unique(np.concatenate([p[0] for p in rare]), return_inverse=True)
+            cls = np.zeros(len(h), dtype=np.int32)
+            cls[ids] = np.concatenate([p[1] for p in rare])
+            first = np.cumsum([0, *(len(p[0]) for p in rare)])
+            yield from rows(k, h, cls, *cells(k, [(ids[a:b], *p[1:]) for a, b, p in zip(first, first[1:], rare, strict=False)]))
+
         for batch in batches:
             for c in tk.chunks(batch["text"]):
                 data, w = tk.words(c, "nonspace")
@@ -243,23 +266,34 @@ def _contexts(held: Broadcast, only: Broadcast | None):
                 h = np.concatenate([[np.uint64(0)], np.insert(w.hash, at, np.uint64(0))])
                 word = np.concatenate([[False], np.insert(np.ones(len(w), dtype=bool), at, False)])
                 grid += np.bincount(cls[:-1] * k + cls[1:], minlength=len(grid))
-                at, ids = np.flatnonzero(word), w.hash
-                if wanted is not None:
-                    ids = in_head if places is m.places else places.of(ids)
-                    some = ids >= 0
-                    at, ids = at[some], ids[some]
+                at, ids = np.flatnonzero(word), in_head if places is m.places else places.of(w.hash)
                 if not len(at):
                     continue
                 again, before = word[at + 1] & (h[at + 1] == h[at]), word[at - 1] & (h[at - 1] == h[at])
-                parts.append((ids, cls[at], np.where(again, 2 * k, cls[at + 1]), np.where(before, -1, k + cls[at - 1])))
-                size += len(at)
-                if size >= CTX_TOKENS:
-                    yield sums(k, wanted, parts)
-                    parts, size = [], 0
-        if size:
-            yield sums(k, wanted, parts)
-        cells = np.flatnonzero(grid)
-        yield batch_of(_CONTEXTS, h=[None], own=[None], ctx=[(cells << CTX_BITS | grid[cells]).astype(np.int64)])
+                after, before = np.where(again, 2 * k, cls[at + 1]), np.where(before, -1, k + cls[at - 1])
+                some = ids >= 0
+                own[ids[some]] = cls[at[some]]
+                common.append((ids[some], None, after[some].astype(np.int16), before[some].astype(np.int16)))
+                if every:
+                    some = ~some
+                    rare.append((w.hash[some], cls[at[some]], after[some].astype(np.int16), before[some].astype(np.int16)))
+                    if size(rare) >= CTX_TOKENS:
+                        yield from others()
+                        rare = []
+                if size(common) >= CTX_TOKENS:
+                    sums.append(cells(k, [(p[0], p[0], *p[2:]) for p in common]))
+                    common = []
+                    if size(sums) >= CTX_CELLS:
+                        yield from rows(k, h_head, own, *merged(sums))
+                        sums = []
+        if common:
+            sums.append(cells(k, [(p[0], p[0], *p[2:]) for p in common]))
+        if sums:
+            yield from rows(k, h_head, own, *merged(sums))
+        if rare:
+            yield from others()
+        at = np.flatnonzero(grid)
+        yield batch_of(_CONTEXTS, h=[None], own=[None], ctx=[(at << CTX_BITS | grid[at]).astype(np.int64)])
 
     return run
 
@@ -654,7 +688,7 @@ def train(docs: DataFrame, counts: DataFrame, ws: Workspace, head_words: int = H
     for step in range(passes + 1):
         last = step == passes
         held = spark.sparkContext.broadcast(made)
-        contexts = ws.save(docs.mapInArrow(_contexts(held, None if last else wanted), "h long, own int, ctx array<long>"), f"contexts-{step}")
+        contexts = ws.save(docs.mapInArrow(_contexts(held, wanted, last), "h long, own int, ctx array<long>"), f"contexts-{step}")
         held.unpersist()
         grid = class_grid(contexts, k)
         if (now := likelihood(grid)) < best and not last:
