@@ -23,6 +23,17 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+#: Letters whose capital is one letter by the simple mapping and several by the full one.
+_SMALL = "ß" + "".join(chr(x) for a in (0x1F80, 0x1F90, 0x1FA0) for x in range(a, a + 8)) + "ᾳῃῳ"
+_LARGE = "ẞ" + "".join(chr(x) for a in (0x1F88, 0x1F98, 0x1FA8) for x in range(a, a + 8)) + "ᾼῌῼ"
+
+
+def simple_upper(c: Column) -> Column:
+    """Upper case by Unicode's simple mapping, one letter for one; `upper` makes SS of a sharp s."""
+    one = lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(F.translate(x, _SMALL, _LARGE))
+    return F.array_join(F.transform(F.split(c, ""), one), "")
+
+
 def token_count(c: Column) -> Column:
     """Estimated tokens: a quarter of the characters, rounded up."""
     return F.ceil(F.length(c) / 4).cast("int")

@@ -178,7 +178,7 @@ def collated_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages in the reading order of their titles, which differ in case and accents: the first words of texts."""
     d = _t(spark, sf_dir, "documents").where("doc_id is not null")
     title = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^ \n]*( [^ \n]*)?", 0)
-    rows = d.select(F.coalesce("source", F.lit("")).alias("qid"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.upper(title)).otherwise(title).alias("source_title"), F.floor(F.col("doc_id") / 10).alias("document_id"), (F.col("doc_id") % 10).alias("ordinal"))
+    rows = d.select(F.coalesce("source", F.lit("")).alias("qid"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, X.simple_upper(title)).otherwise(title).alias("source_title"), F.floor(F.col("doc_id") / 10).alias("document_id"), (F.col("doc_id") % 10).alias("ordinal"))
     return retrieval.number_citations(rows).select("qid", "id", "n")
 
 

@@ -172,3 +172,14 @@ def test_sessions_and_frames_of_a_stream(spark):
     assert [tuple(r) for r in P.sessions_of(turns).collect()] == [("a", 2, "assistant")]
     frames = E.write_frames(spark.createDataFrame([("done", 1)], "type string, seq long")).first().frame
     assert E.parse_frames(spark.createDataFrame([("s", frames)], "stream_id string, body string"), "seq long").first().data.seq == 1
+
+
+def test_citations_of_titles_whose_capitals_are_one_letter_or_several(spark, tmp_path):
+    from tessella.plans import catalogue, live  # noqa: F401
+
+    from .oracle import compare
+
+    titles = ["Enä, lichüß", "Beß die", "ᾳβ ŉa", "straße ﬁn", "Straße", "STRASSE a", "ǰa ΐ"]
+    rows = [(3 * i + j, t, "s") for i, t in enumerate(titles) for j in range(2)] + [(3 * i + 90, t, "s") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    compare(catalogue.queries()["collated_citations"](spark, str(tmp_path)), catalogue.oracle_sql()["collated_citations"], str(tmp_path))
