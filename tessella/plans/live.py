@@ -168,6 +168,7 @@ def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 body = [pdf.write([t or ""], f"Document {i}") for i, t in zip(some["doc_id"].to_pylist(), some["text"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([f"in/{i}.pdf" for i in some["doc_id"].to_pylist()]), pa.array([len(b) for b in body], pa.int64()), pa.array(body, pa.binary())], names=["path", "length", "content"])
 
+    d = d.repartition(4 * spark.sparkContext.defaultParallelism)  # a table of one row group is one task otherwise
     rows = files.parse_files(d.mapInArrow(run, "path string, length long, content binary"))
     return rows.select(F.regexp_extract("filename", r"^(-?\d+)\.", 1).cast("long").alias("doc_id"), "title", F.sha2("markdown", 256).alias("digest"), "error")
 

@@ -152,6 +152,12 @@ def parse_file(data: bytes, name: str, loaders: dict[str, Loader]) -> list[tuple
 
 
 _PARSED = ("filename", "markdown", "title", "source_url", "content_type", "error")
+#: Parsed documents, and characters of them, that are handed on together.
+PARSED_ROWS, PARSED_CHARS = 128, 1 << 21
+
+
+def _parsed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(7)], names=["doc_id", *_PARSED])
 
 
 def parse_files(files: DataFrame, loaders: dict[str, Loader] | None = None, conf: EngineConf = DEFAULT) -> DataFrame:
@@ -164,12 +170,18 @@ def parse_files(files: DataFrame, loaders: dict[str, Loader] | None = None, conf
     limit = conf.max_upload_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size_held = [], 0
         for batch in batches:
             for path, size, content in zip(batch["path"].to_pylist(), batch["length"].to_pylist(), batch["content"], strict=True):
                 name = path.rsplit("/", 1)[-1]
                 rows = [(name, None, None, None, None, f"{name}: larger than {limit / 1e6:g} MB")] if size > limit else parse_file(content.as_py() or b"", name, table)
-                ids = [path if len(rows) == 1 and r[0] == name else f"{path}!{r[0]}" for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array([r[i] for r in rows], pa.string()) for i in range(6))], names=["doc_id", *_PARSED])
+                held += [(path if len(rows) == 1 and r[0] == name else f"{path}!{r[0]}", *r) for r in rows]
+                size_held += sum(len(r[1] or "") for r in rows)
+                if len(held) >= PARSED_ROWS or size_held >= PARSED_CHARS:
+                    yield _parsed_batch(held)
+                    held, size_held = [], 0
+        if held:
+            yield _parsed_batch(held)
 
     return files.select("path", "length", "content").mapInArrow(run, "doc_id string, " + ", ".join(f"{c} string" for c in _PARSED))
 
