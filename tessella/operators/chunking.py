@@ -92,12 +92,13 @@ def chunk_documents(docs: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     named = docs.select("doc_id", "markdown", F.col("title").alias("doc_title"), "source_url")
     lines = structure.section_lines(structure.promote(structure.heading_candidates(structure.doc_lines(named, conf), conf)))
     key = F.when(F.col("title").isNotNull(), X.normalize_title(F.col("title")))
-    lines = lines.withColumn("heading_keys", F.collect_set(key).over(Window.partitionBy("doc_id")))
-    carry = ("toc", "heading_keys", "source_url", "doc_title")
+    # The last title of a path is that of a heading; only a document's own title may be none.
+    lines = lines.withColumn("titled", F.max(key == X.normalize_title(F.col("doc_title"))).over(Window.partitionBy("doc_id")))
+    carry = ("toc", "titled", "source_url", "doc_title")
     parts = structure.paragraphs(structure.sections(lines, carry), conf)
     out = number_chunks(drafts(marked(parts), conf, carry), conf)
     leaf = X.normalize_title(F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.col("doc_title")))
-    anchor = F.when(F.array_contains("heading_keys", leaf), F.try_element_at("toc", leaf))
+    anchor = F.when((F.size("heading_path") > 0) | F.col("titled"), F.try_element_at("toc", leaf))
     return out.select(
         "id", F.col("doc_id").alias("document_id"), "ordinal", "text", "kind", X.breadcrumb(F.col("doc_title"), F.col("heading_path")).alias("heading_path"),
         anchor.alias("anchor"), "question", "part_index", "part_count", "source_url", F.col("doc_title").alias("source_title"),
@@ -118,6 +119,6 @@ def family_integrity(chunks: DataFrame) -> DataFrame:
     parts = chunks.where("part_index is not null").withColumn("first_ordinal", F.col("ordinal") - F.col("part_index"))
     g = parts.groupBy("document_id", "first_ordinal").agg(
         F.count(F.lit(1)).alias("n"), F.min("part_index").alias("lo"), F.max("part_index").alias("hi"),
-        F.max("part_count").alias("part_count"), F.countDistinct("heading_path").alias("paths"))
-    ok = (F.col("n") == F.col("part_count")) & (F.col("lo") == 0) & (F.col("hi") == F.col("part_count") - 1) & (F.col("paths") == 1)
+        F.max("part_count").alias("part_count"), F.coalesce(F.min("heading_path") == F.max("heading_path"), F.lit(False)).alias("one_path"))
+    ok = (F.col("n") == F.col("part_count")) & (F.col("lo") == 0) & (F.col("hi") == F.col("part_count") - 1) & F.col("one_path")
     return g.select("document_id", "first_ordinal", "n", "part_count", ok.alias("whole"))

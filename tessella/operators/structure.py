@@ -15,22 +15,31 @@ from ..conf import DEFAULT, EngineConf
 from ..functions import text as X
 
 LEVELS = range(1, 7)
+#: Characters of documents whose lines are dealt to one task; windows hold a partition's lines several times over.
+PART_CHARS = 8 << 20
 
 
-def mark_toc(docs: DataFrame, conf: EngineConf = DEFAULT, marks_only: bool = False) -> DataFrame:
+def parts_of(docs: DataFrame) -> int:
+    """Partitions that the lines of `docs` are dealt over, so that a task's share stays the same as the input grows."""
+    n = docs.agg(F.coalesce(F.sum(F.length("markdown").cast("long")), F.lit(0))).first()[0]
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // PART_CHARS))
+
+
+def mark_toc(docs: DataFrame, conf: EngineConf = DEFAULT, marks_only: bool = False, parts: int | None = None) -> DataFrame:
     """(doc_id, markdown, ...) -> one row per line: i, line, is_toc, and the other columns.
 
     Link-only bullets among the first lines are the contents list, up to the first heading that
     follows one of them.  With `marks_only` other lines than links and headings stay behind
-    before the exchange; they decide nothing.
+    before the exchange; they decide nothing.  Lines are dealt over `parts` partitions (see `parts_of`).
     """
+    parts = parts_of(docs) if parts is None else parts
     other = [c for c in docs.columns if c != "markdown"]
     lines = docs.select(*other, F.posexplode(F.split("markdown", "\n")).alias("i", "line"))
     whole = Window.partitionBy("doc_id")
     link = (F.col("i") <= conf.max_toc_scan_lines) & F.col("line").rlike(X.TOC_LINE)
     if marks_only:
         lines = lines.where(link | F.col("line").rlike(r"^#{1,6}\s"))
-    lines = lines.repartition("doc_id").withColumn("_link", link).withColumn("_first", F.min(F.when(F.col("_link"), F.col("i"))).over(whole))
+    lines = lines.repartition(parts, "doc_id").withColumn("_link", link).withColumn("_first", F.min(F.when(F.col("_link"), F.col("i"))).over(whole))
     end = F.min(F.when(F.col("line").rlike(r"^#{1,6}\s") & (F.col("i") > F.col("_first")), F.col("i"))).over(whole)
     lines = lines.withColumn("_end", end).withColumn("is_toc", F.col("_link") & F.coalesce(F.col("i") < F.col("_end"), F.lit(True)))
     return lines.drop("_link", "_first", "_end")
@@ -52,10 +61,11 @@ def toc_maps(lines: DataFrame) -> DataFrame:
 
 def doc_lines(docs: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     """One row per line after the contents list: doc_id, pos, line, toc (title key -> anchor), and the other columns."""
-    lines = mark_toc(docs, conf)
+    parts = parts_of(docs)
+    lines = mark_toc(docs, conf, parts=parts)
     rest = lines.where(~F.col("is_toc")).drop("is_toc")
     rest = rest.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1).cast("int")).drop("i")
-    return rest.join(toc_maps(mark_toc(docs.select("doc_id", "markdown"), conf, marks_only=True)), "doc_id", "left")
+    return rest.join(toc_maps(mark_toc(docs.select("doc_id", "markdown"), conf, marks_only=True, parts=parts)), "doc_id", "left")
 
 
 def heading_candidates(lines: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:

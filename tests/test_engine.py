@@ -446,3 +446,21 @@ def test_normalize_is_linear_in_blanks(spark):
     rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "k int, m string").select("k", X.normalize_markdown(F.col("m")).alias("x")).collect()
     assert {r.k: r.x for r in rows} == {k: want or text for k, (text, want) in enumerate(cases)}
     assert time.perf_counter() - began < 30
+
+
+def test_lines_are_dealt_over_more_partitions_as_documents_grow(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"# Title {i}\n\nsome line of text\n" * 20) for i in range(40)], "doc_id long, markdown string")
+    small = structure.doc_lines(docs)
+    monkeypatch.setattr(structure, "PART_CHARS", 1000)
+    large = structure.doc_lines(docs)
+    assert large.rdd.getNumPartitions() > 20 > small.rdd.getNumPartitions()
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+
+
+def test_lines_do_not_carry_the_headings_of_their_document(spark):
+    md = "# Doc\n\n- [Doc](http://a#top)\n- [One](http://a#one)\n\n" + "Opening words of the document that are long enough for a chunk.\n\n" + "## One\n\n" + "Words of the first section that are long enough for a chunk to be kept.\n\n" + "".join(f"## Part {k}\n\nx\n\n" for k in range(50))
+    rows = spark.createDataFrame([(1, md, "Doc", "http://a"), (2, md, "Other", "http://b")], "doc_id long, markdown string, title string, source_url string")
+    out = chunking.chunk_documents(rows)
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.document_id, r.heading_path[-1]): r.anchor for r in out.collect()}
+    assert got[1, "Doc"] == "top" and got[1, "One"] == got[2, "One"] == "one"
