@@ -16,8 +16,8 @@ anchor, and two suffixes can only be equal to depth 200 if their anchors' q-gram
    gives depth 2d; the new identifiers are what the next round reads.  Buckets that became
    single drop out.  At depth 200 a bucket of two suffixes or more repeats.
 4. A bucket with more than `hot_rows` distinct runs is dealt over tasks.  Each refines its part in
-   the same way and sends on its buckets at depth 200, one row each, known by the digest of
-   their 200 bytes; equal ones of different parts are joined with map-side sums, and a part is
+   the same way and sends on its buckets at depth 200, known by the digest of their 200 bytes
+   and packed into a row for each slot of digests; a slot's rows meet in one task, and a part is
    told which of its single suffixes others repeat.
 5. The spans of a document are merged and cut from its bytes.
 
@@ -43,6 +43,8 @@ from .minhash import whole_groups
 LENGTH, QGRAM = 200, 32
 #: Text that a task works on at a time; its arrays take some hundred bytes for each byte.
 STEP_BYTES = 1 << 19
+#: Parts of a hot bucket for each slot of their digests, and bytes of digests that a task compares at a time.
+SLOT_PARTS, SLOT_BYTES = 16, 8 << 20
 #: Runs whose digests are made at a time.
 DIGESTS = 1 << 16
 _BYTE = tk.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -215,7 +217,9 @@ def _refine_groups(length: int):
     return run
 
 
-_PART = pa.schema([("part", pa.int64()), ("anchor", pa.int64()), ("key", pa.binary()), ("c", pa.int64())])
+_PART = pa.schema([("part", pa.int64()), ("anchor", pa.int64()), ("slot", pa.int32()), ("keys", pa.binary()), ("cs", pa.binary())])
+PART = "part long, anchor long, slot int, keys binary, cs binary"
+_LONE = pa.schema([("part", pa.int64()), ("key", pa.binary())])
 
 
 def _buckets(t: pa.Table, length: int) -> tuple[np.ndarray, ...]:
@@ -229,17 +233,53 @@ def _buckets(t: pa.Table, length: int) -> tuple[np.ndarray, ...]:
 
 
 def _refine_part(length: int):
-    """Parts of hot buckets -> each bucket of a part at depth `length`: the digest of its bytes, and how many suffixes it has."""
+    """Parts of hot buckets -> digests of a part's buckets at depth `length`, packed: a row for each slot that digests fall into.
+
+    `cs` says of each digest whether its bucket has one suffix of the part, or more (2).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "part", STEP_BYTES):
-            row, _, _, weight, one, start, data = _buckets(t := t.combine_chunks(), length)
-            take = pa.array(row[one])
-            yield pa.RecordBatch.from_arrays([t["part"].combine_chunks().take(take), t["anchor"].combine_chunks().take(take), fixed_binary(tk.digests(data, start, start + length)), pa.array(weight)], schema=_PART)
+            row, at, bucket, _, _, _, data = _buckets(t := t.combine_chunks(), length)
+            n = t["n"].to_numpy()
+            first = np.cumsum(n + length - 1) - (n + length - 1)
+            parts, part = np.unique(t["part"].to_numpy(), return_inverse=True)
+            # A table may hold several parts: what they share is told by each of them.
+            _, one, pair = np.unique(bucket * len(parts) + part[row], return_index=True, return_inverse=True)
+            c = np.minimum(np.bincount(pair, weights=t["c"].to_numpy()[row], minlength=len(one)), 2).astype(np.uint8)
+            start, of = first[row[one]] + at[one], row[one]
+            keys = tk.digests(data, start, start + length)
+            slot = (keys.view("<u8")[:, 0] % t["slots"].to_numpy()[of].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((slot, part[of]))
+            keys, c, slot, of = keys[order], c[order], slot[order], of[order]
+            cut = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (part[of[1:]] != part[of[:-1]])]))
+            ends = np.append(cut[1:], len(slot))
+            take = pa.array(of[cut])
+            yield pa.RecordBatch.from_arrays([
+                t["part"].combine_chunks().take(take), t["anchor"].combine_chunks().take(take), pa.array(slot[cut].astype(np.int32)),
+                pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
+            ], schema=_PART)
 
     return run
 
 
+def _find_lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed digests of the parts, slot by slot -> for each part those of its single suffixes that another part repeats."""
+    for t in whole_groups(batches, "group", SLOT_BYTES):
+        blobs = t["cs"].to_pylist()
+        c, key = np.frombuffer(b"".join(blobs), np.uint8), np.frombuffer(b"".join(t["keys"].to_pylist()), "<u8").reshape(-1, 2)
+        row = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
+        order = np.lexsort((key[:, 1], key[:, 0]))
+        new = np.concatenate([[True], (key[order[1:]] != key[order[:-1]]).any(axis=1)])
+        same = np.empty(len(c), np.int64)
+        same[order] = np.cumsum(new) - 1
+        told = np.flatnonzero((c == 1) & (np.bincount(same, weights=c)[same] > 1))
+        at = np.searchsorted(row[told], np.arange(len(blobs) + 1))
+        some = np.flatnonzero(np.diff(at))
+        part = t["part"].to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array([key[told[at[i] : at[i + 1]]].tobytes() for i in some], pa.binary())], schema=_LONE)
+
+
 def _refine_known(length: int):
     """The parts again, with the digests of suffixes that only other parts repeat (rows without a body) -> repeated stretches."""
 
@@ -336,13 +376,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = QGRAM, hot_ro
         cold = cut.join(few.select("anchor"), "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
         found = cold.mapInArrow(tk.releasing(_refine_groups(length)), DUP)
         if not hot.isEmpty():
-            part = F.xxhash64("anchor", F.pmod(F.xxhash64("seg"), F.ceil(F.col("k") / F.lit(max(hot_rows, 1)))))
-            dealt = ws.save(cut.join(few, "anchor").withColumn("part", part).drop("k"), "dealt")
-            local = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tk.releasing(_refine_part(length)), "part long, anchor long, key binary, c long")
-            local = ws.save(local, "local")
-            twice = ws.save(local.groupBy("anchor", "key").agg(F.sum("c").alias("k")).where("k > 1").select("anchor", "key"), "twice")
+            size = F.lit(max(hot_rows, 1))
+            part = F.xxhash64("anchor", F.pmod(F.xxhash64("seg"), F.ceil(F.col("k") / size)))
+            slots = F.ceil(F.col("k") / (size * SLOT_PARTS)).cast("int")
+            dealt = ws.save(cut.join(few, "anchor").withColumns({"part": part, "slots": slots}).drop("k"), "dealt")
+            local = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tk.releasing(_refine_part(length)), PART)
             # A suffix that is single in its part and repeated in another: its part is told.
-            lone = local.where("c = 1").join(twice, ["anchor", "key"]).select("part", "key")
+            met = local.select(F.xxhash64("anchor", "slot").alias("group"), "part", "keys", "cs").repartition("group").sortWithinPartitions("group")
+            lone = met.mapInArrow(tk.releasing(_find_lone), "part long, key binary")
             again = dealt.unionByName(lone, allowMissingColumns=True).repartition("part").sortWithinPartitions("part")
             found = found.unionByName(again.mapInArrow(tk.releasing(_refine_known(length)), DUP))
         found = ws.save(found, "found")

@@ -810,3 +810,24 @@ def test_head_of_words_that_are_equally_common(spark, most, least):
     assert least <= got <= max(most, 0)
     more = counts.unionByName(spark.createDataFrame([(5, 10**12), (6, 3)], "h long, c long"))
     assert 5 in {r.h for r in more.where(brown.head_condition(more, max(most, 1))).collect()}
+
+
+def test_parts_of_a_hot_bucket_send_on_fewer_rows_than_they_have_runs():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.llm import suffixes
+
+    rng, m, n, length = np.random.default_rng(1), 60, 20, 40
+    same = rng.bytes(n + length - 1)
+    bodies = [rng.bytes(n + length - 1) for _ in range(m - 2)] + [same, same]
+    parts = [0] * (m // 2) + [1] * (m // 2 - 1) + [0]
+    rows = sorted(zip(parts, bodies, strict=True), key=lambda x: x[0])
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([p for p, _ in rows]), pa.array([7] * m), pa.array([b[:16] for _, b in rows]), pa.array([n] * m, pa.int32()), pa.array([1] * m), pa.array([b for _, b in rows]), pa.array([2] * m, pa.int32()),
+    ], names=["part", "anchor", "seg", "n", "c", "body", "slots"])
+    out = [r for b in suffixes._refine_part(length)(iter([batch])) for r in b.to_pylist()]
+    assert len(out) <= 4 and sum(len(r["keys"]) for r in out) == 16 * n * (m - 2 + 2)
+    met = sorted(({"group": r["slot"], "part": r["part"], "keys": r["keys"], "cs": r["cs"]} for r in out), key=lambda r: r["group"])
+    told = [r for b in suffixes._find_lone(iter([pa.RecordBatch.from_pylist(met)])) for r in b.to_pylist()]
+    assert {p: sum(len(r["key"]) for r in told if r["part"] == p) for p in (0, 1)} == {0: 16 * n, 1: 16 * n}
