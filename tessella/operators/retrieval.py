@@ -14,7 +14,7 @@ from ..conf import DEFAULT, EngineConf
 from ..functions import text as X
 
 #: Vectors and bytes of a block; queries that are sent to every task at most, beyond which blocks are paired by partitions.
-BLOCK, BLOCK_BYTES, SENT_QUERIES = 4096, 8 << 20, 16_384
+BLOCK, BLOCK_BYTES, SENT_QUERIES = 1024, 2 << 20, 16_384
 #: Hits that are sent to a scan of chunks at most; more are shuffled.
 HIT_ROWS = 200_000
 

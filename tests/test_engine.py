@@ -464,3 +464,22 @@ def test_lines_do_not_carry_the_headings_of_their_document(spark):
     assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.document_id, r.heading_path[-1]): r.anchor for r in out.collect()}
     assert got[1, "Doc"] == "top" and got[1, "One"] == got[2, "One"] == "one"
+
+
+def test_a_pair_of_full_search_blocks_takes_little_memory(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = retrieval.BLOCK
+    unit = pa.array([np.random.default_rng(0).normal(size=(n, 8)).tobytes()], pa.binary())
+    ids = pa.array([list(range(n))], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([x for _ in "qc" for x in (pa.array([0]), pa.array([8]), ids, unit)], names=[f"{s}_{x}" for s in "qc" for x in ("block", "dims", "ids", "unit")])
+    tracemalloc.start()
+    try:
+        out = list(retrieval._score_blocks(8, "qid long, id long, score double")(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out[0].num_rows == 8 * n and peak < 64 << 20
