@@ -1,18 +1,20 @@
 """Progress of uploads as keyed streaming state, and conversations numbered as they arrive.
 
-Both processors hold their state in map and value states of `transformWithStateInPandas`, under
-the sequence numbers or message ids that they have seen: a batch that is played again, or an event
+Uploads hold their state in a value state of `transformWithState`, chats theirs in map and value states of
+`transformWithStateInPandas`, under the sequence numbers or message ids that they have seen: a batch that is played again, or an event
 that is sent twice, changes nothing.  State lives in RocksDB on the executors and in the
 checkpoint folder, so a lost executor's keys are read back, not recomputed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -25,6 +27,8 @@ _SHOWN = "label string, stage string, done long, total long, chunks long, skippe
 SHOWN = ("label", "stage", "done", "total", "chunks", "skipped", "error", "ms")
 #: Events of uploads; `files` are the names the upload was sent with, on each of its events.
 UPLOAD_EVENT = "upload long, seq long, files array<string>, doc_id string, type string, stage string, done long, total long, chunks long, reason string, message string, ms long"
+_EVENT = tuple(c.split(" ")[0] for c in UPLOAD_EVENT.split(", "))
+_NONE = dict.fromkeys(_EVENT)
 PROGRESS = f"upload long, key string, seq long, gone boolean, {_SHOWN}"
 
 
@@ -70,40 +74,33 @@ def take_over(rows: dict[str, tuple], active: str, label: str, migrated: bool, f
 
 
 class UploadProgress(StatefulProcessor):
-    """Rows shown for each upload: map state of key to row, value state of where the upload stands."""
+    """Rows shown for each upload, and where it stands, as one value state: a batch of an upload reads it once and writes it once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getMapState("rows", "key string", _SHOWN)
-        self.at = handle.getValueState("at", "seq long, active string, label string, migrated boolean")
+        self.at = handle.getValueState("at", f"seq long, active string, label string, migrated boolean, rows array<struct<key:string,{_SHOWN.replace(' ', ':').replace(',:', ',')}>>")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        events = [{k: _value(v) if k != "files" else v for k, v in r.items()} for frame in rows for r in frame.to_dict("records")]
-        events.sort(key=lambda e: e["seq"])
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer: object) -> Iterator[Row]:  # noqa: N802
+        events = sorted((_NONE | json.loads(r[1]) for r in rows), key=itemgetter("seq"))
         names = [] if events[0]["files"] is None else [str(x) for x in events[0]["files"]]
-        if self.at.exists():
-            seen, active, label, migrated = self.at.get()
-            held = {k[0]: tuple(_value(x) for x in v) for k, v in self.rows.iterator()}
+        if (stood := self.at.get()) is not None:
+            seen, active, label, migrated, known = stood
+            held = {r[0]: tuple(r[1:]) for r in known}
             changed: set[str] = set()
         else:
             seen, active, migrated = -(1 << 63), names[0] if names else "document", False
             label = active
             held = {n: (n, "queued", None, None, None, None, None, None) for n in names}
             changed = set(held)
+        before, files = (seen, bool(changed)), set(names)
         for e in events:
             if e["seq"] > seen:
                 seen = e["seq"]
-                active, label, migrated, now = take_over(held, active, label, migrated, set(names), e)
+                active, label, migrated, now = take_over(held, active, label, migrated, files, e)
                 changed |= now
-        self.at.update((seen, active, label, migrated))
-        for k in changed:
-            if k in held:
-                self.rows.updateValue((k,), held[k])
-            elif self.rows.containsKey((k,)):
-                self.rows.removeKey((k,))
-        if changed:
-            out = [(key[0], k, seen, k not in held, *held.get(k, (None,) * 8)) for k in sorted(changed)]
-            names = ["upload", "key", "seq", "gone", *SHOWN]
-            yield pd.DataFrame(out, columns=names).astype({k: "Int64" for k in ("done", "total", "chunks", "ms")})
+        if before != (seen, False):
+            self.at.update((seen, active, label, migrated, [(k, *r) for k, r in held.items()]))
+        for k in sorted(changed):
+            yield Row(upload=key[0], key=k, seq=seen, gone=k not in held, **dict(zip(SHOWN, held.get(k, (None,) * 8), strict=True)))
 
     def close(self) -> None:
         pass
@@ -114,7 +111,9 @@ def upload_progress(events: DataFrame) -> DataFrame:
 
     Order is by `seq` within an upload; what comes late (a `seq` not above the last) is ignored.
     """
-    return events.groupBy("upload").transformWithStateInPandas(UploadProgress(), outputStructType=PROGRESS, outputMode="Update", timeMode="None")
+    # A row is handed to Python cell by cell, so an event is one text.
+    packed = events.select("upload", F.to_json(F.struct(*[c for c in _EVENT if c != "upload"])).alias("event"))
+    return packed.groupBy("upload").transformWithState(UploadProgress(), outputStructType=PROGRESS, outputMode="Update", timeMode="None")
 
 
 def shown_rows(changes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import uuid
 
@@ -183,3 +184,30 @@ def test_citations_of_titles_whose_capitals_are_one_letter_or_several(spark, tmp
     rows = [(3 * i + j, t, "s") for i, t in enumerate(titles) for j in range(2)] + [(3 * i + 90, t, "s") for i, t in enumerate(titles)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     compare(catalogue.queries()["collated_citations"](spark, str(tmp_path)), catalogue.oracle_sql()["collated_citations"], str(tmp_path))
+
+
+def test_an_upload_reads_and_writes_its_state_once_a_batch():
+    class Value:
+        held, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return value
+
+    value = Value()
+    p = P.UploadProgress()
+    p.init(Handle())
+    sent = [event(k, "status", files=["f"], doc_id=f"d{k}", stage="chunking", done=k) for k in range(40)]
+    send = lambda some: [(r.key, r.gone, r.label, r.done) for r in p.handleInputRows((1,), iter([(1, json.dumps(e)) for e in some]), None)]
+    got = send(sent[:20] + sent[:20])
+    assert len(got) == 21 and ("f", True, None, None) in got and ("d0", False, "f", 0) in got and value.calls == ["get", "update"]
+    assert send(sent[:20]) == [] and value.calls == ["get", "update", "get"]
+    assert len(send(sent[30:] + sent[20:30])) == 20 and len(value.held[-1]) == 40
