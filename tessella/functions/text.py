@@ -124,7 +124,8 @@ def normalize_markdown(md: Column) -> Column:
     found = F.regexp_extract(md, r"(?m)(?:\A|\S[^\S\n]*\n)\s*##\s+.+\n+(?=#\s)", 0)
     before = F.regexp_extract(found, r"\A\S[^\S\n]*\n", 0)
     at = F.position(found, md)
-    md = F.when(same & (at > 0), F.concat(F.substr(md, F.lit(1), at - 1), before, F.substr(md, at + F.length(found)))).otherwise(md)
+    once = F.when(same & (at > 0), F.concat(F.substr(md, F.lit(1), at - 1), before, F.substr(md, at + F.length(found)))).otherwise(md)
+    md = F.when(md.contains("##"), once).otherwise(md)  # in a branch, so that texts without one are not searched
     md = F.array_join(F.transform(F.split(md, "\n"), lambda x: F.rtrim(x, F.lit(" \t"))), "\n")
     md = trimmed(F.regexp_replace(md, r"\n{3,}", "\n\n"))
     return F.when(md.rlike(r"^#\s"), md).otherwise(F.regexp_replace(md, r"(?s)\A((?:|.*?\n))#{2,6}(\s+)(?=.*[^\n])", "$1#$2"))

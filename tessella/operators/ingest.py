@@ -25,8 +25,9 @@ def first_of_hash(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """Rows with content_hash and is_first: of equal contents the first in input order is taken.
 
     The first is an aggregate of hashes and order values; the contents themselves are not gathered.
+    Rows that have a content_hash already need no contents.
     """
-    hashed = docs.withColumn("content_hash", X.content_hash(F.col("markdown")))
+    hashed = docs if "content_hash" in docs.columns else docs.withColumn("content_hash", X.content_hash(F.col("markdown")))
     first = hashed.groupBy("content_hash").agg(F.min(order).alias("_first"))
     joined = hashed.join(first.withColumnRenamed("content_hash", "_h"), F.col("content_hash").eqNullSafe(F.col("_h")))
     return joined.withColumn("is_first", F.col(order).eqNullSafe(F.col("_first"))).drop("_h", "_first")
@@ -164,7 +165,10 @@ class Ingestor:
 
         known = self.documents()
         text = F.when(F.col("error").isNull(), X.normalize_markdown(F.col("markdown")))
-        parsed, _ = write(parsed.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("markdown", text), "parsed")
+        parsed = parsed.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("markdown", text).withColumn("content_hash", X.content_hash(F.col("markdown")))
+        parsed, _ = write(parsed.withColumn("_row", F.monotonically_increasing_id()), "parsed")
+        # What is to be done is found on rows without their texts; those of the rows to be ingested are met once, by row number.
+        texts, parsed = parsed.select("_row", "markdown"), parsed.drop("markdown")
         bad = parsed.where("error is not null")
         good, superseded = last_of_batch(parsed.where("error is null"))
         tell("parse", told(parsed.where("error is null"), 0, "status", "parsing").unionByName(told(bad, 0, "error", message="error")))
@@ -173,7 +177,7 @@ class Ingestor:
         skipped, _ = write(self._identical(skipped, known, fresh).unionByName(superseded.select("doc_id", F.col("by").alias("same_id"), F.lit(0).alias("same_chunks"), F.lit("replaced within the batch").alias("reason"))), "skipped")
         tell("skip", told(skipped, 1, "skipped", reason="reason"))
 
-        source = fresh.select(F.col("new_id").alias("doc_id"), "markdown", "title", "source_url")
+        source, _ = write(texts.join(fresh, "_row").select(F.col("new_id").alias("doc_id"), "markdown", "title", "source_url"), "source")
         chunks, n = write(chunking.chunk_documents(source, self.conf).withColumn("_t", X.embedding_text(F.col("heading_path"), F.col("text"))), "chunks")
         counts = chunks.groupBy(F.col("document_id").alias("new_id")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         counts, _ = write(fresh.select("doc_id", "new_id").join(counts, "new_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))), "counts")
@@ -210,7 +214,7 @@ class Ingestor:
         self.manifest.update(publish, MANIFEST_SCHEMA)
         self.store.delete_by_documents(gone[-1])
         tell("done", told(state.where("why is null"), 4, "done", "ready", chunks="chunk_count").unionByName(told(failed, 4, "error", message="why")))
-        for name in ("parsed", "fresh", "skipped", "chunks", "counts", "embedded", "state", *(f"gone-{k}" for k in range(len(gone)))):
+        for name in ("parsed", "fresh", "skipped", "source", "chunks", "counts", "embedded", "state", *(f"gone-{k}" for k in range(len(gone)))):
             fs, p = self.manifest._fs(f"{run}/{name}")
             fs.delete(p, True)
         self._forget_runs()

@@ -20,9 +20,10 @@ PART_CHARS = 8 << 20
 
 
 def parts_of(docs: DataFrame) -> int:
-    """Partitions that the lines of `docs` are dealt over, so that a task's share stays the same as the input grows."""
+    """Partitions that the lines of `docs` are dealt over, so that a task's share stays the same as the input grows; whole rounds of all cores."""
     n = docs.agg(F.coalesce(F.sum(F.length("markdown").cast("long")), F.lit(0))).first()[0]
-    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // PART_CHARS))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return cores * max(1, -(-n // (PART_CHARS * cores)))
 
 
 def mark_toc(docs: DataFrame, conf: EngineConf = DEFAULT, marks_only: bool = False, parts: int | None = None) -> DataFrame:
@@ -74,16 +75,19 @@ def heading_candidates(lines: DataFrame, conf: EngineConf = DEFAULT) -> DataFram
     back = Window.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blank = F.col("_t") == ""
     fence = F.sum(F.col("line").rlike(r"^\s*```").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1
-    following = F.last(F.when(~blank, F.col("_t")), ignorenulls=True).over(back)
+    # Only whether the next line with text is a heading goes through the window, not that line.
+    content = F.coalesce(~F.last(F.when(~blank, F.col("_t").rlike(r"^#{1,6}\s")), ignorenulls=True).over(back), F.lit(False))
     out = (
-        lines.withColumn("_t", X.trimmed(F.col("line"))).withColumn("following", following)
+        lines.withColumn("_t", X.trimmed(F.col("line"))).withColumn("followed", content)
         .withColumn("in_fence", fence).withColumn("alone", F.coalesce(F.lag(blank).over(by), F.lit(True)))
         .withColumn("key", X.normalize_title(F.col("line")))
     )
-    listed = (F.col("key") != "") & F.coalesce(F.map_contains_key("toc", F.col("key")), F.lit(False)) & ~F.col("line").rlike(r"^\s*#")
-    content = F.coalesce(~F.col("following").rlike(r"^#{1,6}\s"), F.lit(False))
-    good = ~F.col("in_fence") & F.col("alone") & ~blank & (listed | X.has_heading_shape(F.col("_t"), conf)) & content
-    return out.withColumn("followed", content).withColumn("candidate", good).drop("following", "_t")
+    # Tests in a branch are made for the lines that reach it; beside an AND, shared parts of them are made for every line.
+    listed = F.exists(F.array(X.normalize_title(F.col("line"))), lambda k: (k != "") & F.map_contains_key("toc", k)) & ~F.col("line").rlike(r"^\s*#")
+    listed = F.when(F.col("toc").isNotNull(), listed).otherwise(F.lit(False))
+    shaped = F.when(F.length("_t") <= conf.max_heading_chars, X.has_heading_shape(F.col("_t"), conf)).otherwise(F.lit(False))
+    good = F.when(~F.col("in_fence") & F.col("alone") & ~blank & F.col("followed"), listed | shaped).otherwise(F.lit(False))
+    return out.withColumn("candidate", good).drop("_t")
 
 
 def promote(candidates: DataFrame) -> DataFrame:

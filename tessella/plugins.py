@@ -8,6 +8,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,19 @@ Embedder = Callable[[list[str]], list[list[float]]]
 Chat = Callable[[str], str]
 
 
+@lru_cache(maxsize=1 << 17)
+def _word_hash(w: str) -> int:
+    return int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+
+
 def hash_embedder(dims: int) -> Embedder:
-    """Words hashed into `dims` cells, unit length: equal texts, equal vectors."""
+    """Words hashed into `dims` cells, unit length: equal texts, equal vectors.  A worker hashes a common word once."""
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dims))
         for i, t in enumerate(texts):
-            for w in re.findall(r"[a-z0-9]+", t.lower()):
-                out[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims] += 1
+            hashes = np.fromiter(map(_word_hash, re.findall(r"[a-z0-9]+", t.lower())), np.int64)
+            out[i] = np.bincount(hashes % dims, minlength=dims)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0).tolist()
 

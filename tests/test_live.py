@@ -10,7 +10,7 @@ import pytest
 
 from tessella import plugins
 from tessella.conf import EngineConf
-from tessella.operators import chats, ingest, store
+from tessella.operators import chats, ingest, store, structure
 from tessella.streaming import events as E
 from tessella.streaming import progress as P
 
@@ -211,3 +211,27 @@ def test_an_upload_reads_and_writes_its_state_once_a_batch():
     assert len(got) == 21 and ("f", True, None, None) in got and ("d0", False, "f", 0) in got and value.calls == ["get", "update"]
     assert send(sent[:20]) == [] and value.calls == ["get", "update", "get"]
     assert len(send(sent[30:] + sent[20:30])) == 20 and len(value.held[-1]) == 40
+
+
+def test_a_common_word_is_hashed_once_by_a_worker(monkeypatch):
+    plugins._word_hash.cache_clear()
+    md5, made = plugins.hashlib.md5, []
+    monkeypatch.setattr(plugins.hashlib, "md5", lambda b: made.append(b) or md5(b))
+    got = plugins.hash_embedder(8)(["Same same WORD", "word", "", "same"])
+    assert sorted(made) == [b"same", b"word"]
+    cell = {w: int(md5(w.encode()).hexdigest()[:8], 16) % 8 for w in ("same", "word")}
+    plain = [0.0] * 8
+    for w in ("same", "same", "word"):
+        plain[cell[w]] += 1
+    assert got[0] == pytest.approx([x / sum(y * y for y in plain) ** 0.5 for x in plain]) and got[2] == [0.0] * 8 and got[3][cell["same"]] == 1
+
+
+def test_what_to_ingest_is_found_without_the_texts_and_lines_are_dealt_in_whole_rounds(spark, monkeypatch):
+    rows = spark.createDataFrame([("b", "h"), ("a", "h"), ("c", "k"), ("d", "r")], "doc_id string, content_hash string")
+    known = spark.createDataFrame([("r", "ready")], "content_hash string, status string")
+    todo, skipped = ingest.skip_known(rows, known)
+    assert sorted(r.doc_id for r in todo.collect()) == ["a", "c"] and sorted(r.doc_id for r in skipped.collect()) == ["b", "d"]
+    monkeypatch.setattr(structure, "PART_CHARS", 10)
+    docs = spark.range(5).selectExpr("repeat('x', 9) as markdown")  # 45 characters are 5 parts
+    cores = spark.sparkContext.defaultParallelism
+    assert structure.parts_of(docs) == -(-5 // cores) * cores and structure.parts_of(docs.limit(0)) == cores
