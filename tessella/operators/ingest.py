@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions import text as X
-from ..plugins import Embedder, embed_column, hash_embedder
+from ..plugins import Embedder, dealt, embed_column, hash_embedder
 from . import chunking
-from .store import ORPHAN_SECONDS, ParquetVectorStore, VersionedTable
+from .store import CODEC, ORPHAN_SECONDS, ParquetVectorStore, VersionedTable, Written, shuffles_go
+
+#: Row numbers of a batch that are sent to every task; beyond, they and the texts they pick shuffle.
+SENT_ROWS = 500_000
 
 MANIFEST_SCHEMA = (
     "id string, filename string, title string, source_url string, content_hash string, status string, "
@@ -153,43 +156,62 @@ class Ingestor:
 
         `tell` gets each stage's name and events (INGEST_EVENT) as soon as the stage is written, so
         what a later failure leaves behind are the events up to it.
+
+        Disk: each step's table goes as soon as the next one is written, and its shuffle files when
+        it is over, so a run holds one copy of its texts, the exchange and the outcome of one step.
         """
+        with shuffles_go(self.spark, parsed.sparkSession):
+            return self._ingest(parsed, force, now, tell or (lambda stage, events: None))
+
+    def _ingest(self, parsed: DataFrame, force: bool, now: str, tell: Tell) -> DataFrame:
         at = F.lit(now).cast("timestamp")
         run = f"{self.path}/runs/{uuid.uuid4().hex}"
-        tell = tell or (lambda stage, events: None)
 
         def write(df: DataFrame, name: str) -> tuple[DataFrame, int]:
             seen = Observation()
-            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{run}/{name}")
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", CODEC).parquet(f"{run}/{name}")
             return self.spark.read.schema(df.schema).parquet(f"{run}/{name}"), int(seen.get["n"])
 
+        def drop(*names: str) -> None:
+            for name in names:
+                fs, p = self.manifest._fs(f"{run}/{name}")
+                fs.delete(p, True)
+
         known = self.documents()
         text = F.when(F.col("error").isNull(), X.normalize_markdown(F.col("markdown")))
         parsed = parsed.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("markdown", text).withColumn("content_hash", X.content_hash(F.col("markdown")))
-        parsed, _ = write(parsed.withColumn("_row", F.monotonically_increasing_id()), "parsed")
+        parsed, n_parsed = write(parsed.withColumn("_row", F.monotonically_increasing_id()), "parsed")
         # What is to be done is found on rows without their texts; those of the rows to be ingested are met once, by row number.
-        texts, parsed = parsed.select("_row", "markdown"), parsed.drop("markdown")
-        bad = parsed.where("error is not null")
+        texts, parsed = parsed, parsed.drop("markdown")
+        bad, _ = write(parsed.where("error is not null").select("doc_id", "error"), "bad")
         good, superseded = last_of_batch(parsed.where("error is null"))
         tell("parse", told(parsed.where("error is null"), 0, "status", "parsing").unionByName(told(bad, 0, "error", message="error")))
         fresh, skipped = skip_known(good, known, force)
-        fresh, _ = write(fresh.withColumn("new_id", F.concat_ws("-", "doc_id", F.substring("content_hash", 1, 12))), "fresh")
+        new_id = F.concat_ws("-", "doc_id", F.substring("content_hash", 1, 12))
+        fresh, n_fresh = write(fresh.withColumn("new_id", new_id), "fresh")
         skipped, _ = write(self._identical(skipped, known, fresh).unionByName(superseded.select("doc_id", F.col("by").alias("same_id"), F.lit(0).alias("same_chunks"), F.lit("replaced within the batch").alias("reason"))), "skipped")
         tell("skip", told(skipped, 1, "skipped", reason="reason"))
 
-        source, _ = write(texts.join(fresh, "_row").select(F.col("new_id").alias("doc_id"), "markdown", "title", "source_url"), "source")
-        chunks, n = write(chunking.chunk_documents(source, self.conf).withColumn("_t", X.embedding_text(F.col("heading_path"), F.col("text"))), "chunks")
+        picked = fresh.select("_row")
+        source = texts if n_fresh == n_parsed else texts.join(F.broadcast(picked) if n_fresh <= SENT_ROWS else picked, "_row", "left_semi")
+        source, _ = write(source.select(new_id.alias("doc_id"), "markdown", "title", "source_url"), "source")
+        drop("parsed")
+        chunks, n = write(chunking.chunk_documents(source, self.conf), "chunks")
+        drop("source")
         counts = chunks.groupBy(F.col("document_id").alias("new_id")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         counts, _ = write(fresh.select("doc_id", "new_id").join(counts, "new_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))), "counts")
         tell("chunk", told(counts.where("chunk_count > 0"), 2, "status", "chunking", chunks="chunk_count"))
 
-        ready, _ = write(embed_column(chunks, "_t", self.embedder, self.conf, errors="_error", rows=n).drop("_t"), "embedded")
+        asked = dealt(chunks, n, self.conf, "id").withColumn("_t", X.embedding_text(F.col("heading_path"), F.col("text")))
+        ready, _ = write(embed_column(asked, "_t", self.embedder, self.conf, errors="_error").drop("_t"), "embedded")
+        drop("chunks")
         why = ready.where("_error is not null").groupBy(F.col("document_id").alias("new_id")).agg(F.min_by("_error", "ordinal").alias("why"))
         state = counts.join(why, "new_id", "left").withColumn("why", F.coalesce("why", F.when(F.col("chunk_count") == 0, "document produced no chunks")))
         state, _ = write(state, "state")
         tell("embed", told(state.where("why is null"), 3, "status", "embedding", done="chunk_count", total="chunk_count"))
         failed = state.where("why is not null")
-        self.store.upsert(ready.drop("_error").join(failed.select(F.col("new_id").alias("document_id")), "document_id", "left_anti"))
+        self.store.upsert(Written(ready.drop("_error").join(failed.select(F.col("new_id").alias("document_id")), "document_id", "left_anti"), f"{run}/embedded"))
+        drop("embedded")
 
         ok = F.col("why").isNull()
         rows = fresh.join(state.drop("doc_id"), "new_id").select(
@@ -201,22 +223,21 @@ class Ingestor:
         results = results.unionByName(skipped.select(F.col("same_id").alias("id"), F.col("same_chunks").alias("chunks"), F.lit(True).alias("skipped"), none.alias("error")))
         results = results.unionByName(bad.select(F.col("doc_id").alias("id"), F.lit(0).alias("chunks"), F.lit(False).alias("skipped"), "error"))
         results, _ = write(results, "results")  # before the manifest says that these contents are known
-        gone: list[DataFrame] = []
+        gone: list[tuple[DataFrame, int]] = []
 
         def publish(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
             # What is replaced is told by the version that this write follows; a failed document replaces nothing.
             stored = fresh.join(state.where("why is null").select("new_id"), "new_id", "left_semi")
             old = prior_versions(stored, manifest).join(stored.select("doc_id", "new_id"), "doc_id").where("prior_id <> new_id")
-            old, _ = write(old.select(F.col("prior_id").alias("id"), F.col("prior_id").alias("document_id")).distinct(), f"gone-{len(gone)}")
-            gone.append(old)
+            old, n_old = write(old.select(F.col("prior_id").alias("id"), F.col("prior_id").alias("document_id")).distinct(), f"gone-{len(gone)}")
+            gone.append((old, n_old))
             return rows, old.select("id")
 
         self.manifest.update(publish, MANIFEST_SCHEMA)
-        self.store.delete_by_documents(gone[-1])
+        if gone[-1][1]:
+            self.store.delete_by_documents(gone[-1][0])
         tell("done", told(state.where("why is null"), 4, "done", "ready", chunks="chunk_count").unionByName(told(failed, 4, "error", message="why")))
-        for name in ("parsed", "fresh", "skipped", "source", "chunks", "counts", "embedded", "state", *(f"gone-{k}" for k in range(len(gone)))):
-            fs, p = self.manifest._fs(f"{run}/{name}")
-            fs.delete(p, True)
+        drop("bad", "fresh", "skipped", "counts", "state", *(f"gone-{k}" for k in range(len(gone))))
         self._forget_runs()
         return results
 

@@ -5,8 +5,13 @@ and then its pointer, under the next number, by a rename that fails where the nu
 already; a reader follows the pointer of the highest number.  A failed or lost job, at whatever
 point, leaves the old version as it was, and of two writers that began from one version the
 second raises.  Rows are bucketed by key hash: a mutation reads and rewrites only the buckets
-its keys fall into, the rest are carried over by reference.  The number of buckets is part of
+its keys fall into, the rest are carried over by reference.  A bucket that gets rows of new keys
+alone keeps its data and gets a further folder, up to MOST_PIECES.  The number of buckets is part of
 the pointer, chosen by the bytes of the first write and doubled when a table outgrows it.
+
+Beside the versions that are kept, a mutation needs the disk of one exchange of the rows it
+rewrites: old rows, new ones and keys to drop are dealt to their buckets together, and what is
+left of a key is decided there.
 """
 
 from __future__ import annotations
@@ -15,7 +20,9 @@ import json
 import random
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,16 +34,46 @@ from . import retrieval
 
 #: Bytes of Parquet that a bucket should hold, and buckets at most (a pointer names each).
 BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 1 << 16
+#: Folders of a bucket at most; buckets of an upsert that are rewritten without asking which of them have its keys.
+MOST_PIECES, SMALL_BYTES = 8, 16 << 20
 #: Pointers that stay readable behind the current one; data that only older ones name is removed.
 KEPT_VERSIONS = 2
 #: A data folder that no pointer names is a running write's for so long, then an orphan; tries of a read-modify-write.
 ORPHAN_SECONDS, TRIES = 24 * 3600, 20
+#: Parquet of tables and of scratch tables: texts take two thirds of what they do with Spark's default codec.
+CODEC = "zstd"
+#: Buckets are dealt over so many times their number of tasks, so that few tasks get two.
+SPREAD = 2
+#: What a row is to a mutation, the stronger the higher: stored, a key to drop, new.
+_OLD, _GONE, _NEW = range(3)
 
 
 class ConflictError(RuntimeError):
     """Another writer moved the table on since this one read it."""
 
 
+@dataclass(frozen=True)
+class Written:
+    """Rows that an upsert need not write first: they read a table (at `path`) that stays as it is meanwhile."""
+
+    rows: DataFrame
+    path: str
+
+
+@contextmanager
+def shuffles_go(*sessions: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job go when it is over, not when the driver next collects garbage; a session's own setting is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = [(s, s.conf.get(name)) for s in sessions]
+    for s in sessions:
+        s.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        for s, value in reversed(before):
+            s.conf.set(name, value)
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 16, dealt_by: str | None = None):
         """`buckets` is the least number of a new table; an existing one keeps its own.
@@ -65,10 +102,15 @@ class VersionedTable:
             stream.close()
 
     def _pointer(self) -> dict | None:
-        """Version, schema, number of buckets, and the folder and bytes of each bucket that has rows."""
+        """Version, schema, number of buckets, and the folders and bytes of each bucket that has rows."""
         found = self._versions()
         return json.loads(self._text(f"{self.path}/versions/{found[-1]}")) if found else None
 
+    @staticmethod
+    def _paths(pointer: dict, only: set[int] | None = None) -> list[str]:
+        """Data folders of the buckets of a version; older pointers name one for each bucket."""
+        return sorted({p for k, b in pointer["buckets"].items() if only is None or int(k) in only for p in b.get("paths") or [b["path"]]})
+
     def _publish(self, pointer: dict, after: dict | None) -> None:
         number = (after["version"] if after else 0) + 1
         fs, fresh = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
@@ -88,11 +130,11 @@ class VersionedTable:
         if not old:
             return
         kept = [json.loads(self._text(f"{self.path}/versions/{v}")) for v in self._versions() if v not in old]
-        used = {b["path"] for k in kept for b in k["buckets"].values()}
+        used = {p for k in kept for p in self._paths(k)}
         for v in old:
-            for b in json.loads(self._text(f"{self.path}/versions/{v}"))["buckets"].values():
-                if b["path"] not in used:
-                    fs.delete(self._fs(b["path"])[1], True)
+            for p in self._paths(json.loads(self._text(f"{self.path}/versions/{v}"))):
+                if p not in used:
+                    fs.delete(self._fs(p)[1], True)
             fs.delete(self._fs(f"{self.path}/versions/{v}")[1], False)
         self._collect_orphans({p.rsplit("/", 1)[0] for p in used})
 
@@ -150,39 +192,61 @@ class VersionedTable:
 
     def _in(self, at: dict, touched: set[int] | None) -> DataFrame:
         kind = StructType.fromJson(at["schema"])
-        paths = sorted({b["path"] for k, b in at["buckets"].items() if touched is None or int(k) in touched})
+        paths = self._paths(at, touched)
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
     def _bytes(self, path: str) -> int:
         fs, p = self._fs(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
-    def _rewrite(self, rows: DataFrame, touched: set[int] | None, at: dict | None, n: int) -> None:
-        """Write `rows` as the buckets `touched` (None: all) of n, and move the pointer."""
+    def _rewrite(self, rows: DataFrame, touched: set[int] | None, at: dict | None, n: int, into: int | None = None, left: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Write `rows` as the buckets `touched` (None: all) of n, and move the pointer; rows of other buckets come beside what these have.
+
+        `into` is the number of buckets that get rows, where it is more than `touched`; `left` takes
+        the rows once they lie with their buckets (_bucket).
+        """
         folder = f"{self.path}/v-{uuid.uuid4().hex}"
-        keyed = rows.withColumn("_bucket", self._bucket(n))
-        keyed.repartition(min(n, len(touched) if touched is not None else n) or 1, "_bucket").write.partitionBy("_bucket").parquet(folder)
+        into = into or (n if touched is None else len(touched))
+        dealt = rows.withColumn("_bucket", self._bucket(n)).repartition(SPREAD * into if into > 1 else 1, "_bucket")
+        dealt = left(dealt) if left else dealt
+        dealt.write.option("compression", CODEC).partitionBy("_bucket").parquet(folder)
         kept = {} if touched is None or at is None else {k: v for k, v in at["buckets"].items() if int(k) not in touched}
         fs, root = self._fs(folder)
         for f in fs.listStatus(root) if fs.exists(root) else []:
             name = f.getPath().getName()
             if name.startswith("_bucket="):
-                kept[name.removeprefix("_bucket=")] = {"path": f"{folder}/{name}", "bytes": self._bytes(f"{folder}/{name}")}
-        self._publish({"schema": rows.schema.jsonValue(), "n": n, "buckets": kept}, at)
+                k, path = name.removeprefix("_bucket="), f"{folder}/{name}"
+                beside = kept.get(k)
+                kept[k] = {"paths": [*(self._paths({"buckets": {k: beside}}) if beside else []), path], "bytes": (beside["bytes"] if beside else 0) + self._bytes(path)}
+        self._publish({"schema": dealt.drop("_bucket").schema.jsonValue(), "n": n, "buckets": kept}, at)
+
+    def _merge(self, old: DataFrame | None, new: DataFrame | None, gone: DataFrame | None, order: str | None, touched: set[int] | None, at: dict | None, n: int, into: int | None = None) -> None:
+        """Write what is left of each key: a new row (the last by `order`, else any), or else the old one unless the key is `gone`."""
+        named = list(dict.fromkeys([self.key, self.dealt_by]))
+        rows = [df.withColumn("_is", F.lit(k)) for df, k in ((old, _OLD), (new, _NEW)) if df is not None]
+        both = rows[0].unionByName(rows[1]) if len(rows) > 1 else rows[0]
+        if gone is not None:
+            kinds = {f.name: f.dataType for f in both.schema}
+            both = both.unionByName(gone.select(*[F.col(c).cast(kinds[c]).alias(c) for c in named], F.lit(_GONE).alias("_is")), allowMissingColumns=True)
+        last = [F.col(order).desc()] if order else []
+        first = F.row_number().over(Window.partitionBy("_bucket", self.key).orderBy(F.col("_is").desc(), *last))
+        self._rewrite(both, touched, at, n, into, lambda dealt: dealt.withColumn("_n", first).where(f"_n = 1 and _is <> {_GONE}").drop("_n", "_is"))
 
     def _staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
         """The rows written once: whatever made them (an embedder, say) runs once, and every later step reads the same."""
         path = f"{self.path}/s-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
+        rows.write.option("compression", CODEC).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path), path
 
-    def upsert(self, rows: DataFrame, order: str | None = None, drop: DataFrame | None = None, after: dict | None = None) -> None:
+    def upsert(self, rows: DataFrame | Written, order: str | None = None, drop: DataFrame | None = None, after: dict | None = None) -> None:
         """Insert or replace by key; of rows with one key the last by `order` (else any) stays.
 
         Keys of `drop` (rows with the key, and the column rows are dealt by) that are not among the
         new ones go in the same version.  With `after`, what `snapshot` told (an empty one: no table
         yet), it raises ConflictError unless that is still the current version.
         """
+        if isinstance(rows, Written):
+            return self._apply(rows.rows, order, drop, self._bytes(rows.path), after)
         staged, path = self._staged(rows)
         try:
             self._apply(staged, order, drop, self._bytes(path), after)
@@ -190,11 +254,6 @@ class VersionedTable:
             self._fs(path)[0].delete(self._fs(path)[1], True)
 
     def _apply(self, rows: DataFrame, order: str | None, drop: DataFrame | None, size: int, after: dict | None) -> None:
-        if order:
-            one = F.row_number().over(Window.partitionBy(self.key).orderBy(F.col(order).desc()))
-            rows = rows.withColumn("_n", one).where("_n = 1").drop("_n")
-        else:
-            rows = rows.dropDuplicates([self.key])
         at = self._pointer()
         if after is not None and (at or {}).get("version") != after.get("version"):
             raise ConflictError(f"{self.path} is no longer at the version that was read")
@@ -202,20 +261,30 @@ class VersionedTable:
         n = at["n"] if at else self.buckets
         while n * BUCKET_BYTES < have + size and n < MOST_BUCKETS:
             n *= 2
-        named = list(dict.fromkeys([self.key, self.dealt_by]))
-        keys = rows.select(*named)
-        if drop is not None:
-            keys = keys.unionByName(drop.select(*named)).distinct()
-        touched = None
+        touched = into = None
         if at is not None and at["n"] == n:
+            keys = rows.select(self.dealt_by)
+            if drop is not None:
+                keys = keys.unionByName(drop.select(F.col(self.dealt_by).cast(rows.schema[self.dealt_by].dataType).alias(self.dealt_by)))
             touched = {r[0] for r in keys.select(self._bucket(n).alias("b")).distinct().collect()}  # buckets at most
             if not touched:
                 return
+            into, touched = len(touched), self._met(at, touched, rows, drop)
         elif at is None and rows.isEmpty():
             return
-        if at is not None:
-            rows = self._in(at, touched).join(keys.select(self.key), self.key, "left_anti").unionByName(rows)
-        self._rewrite(rows, touched, at, n)
+        self._merge(None if at is None else self._in(at, touched), rows, drop, order, touched, at, n, into)
+
+    def _met(self, at: dict, touched: set[int], rows: DataFrame, drop: DataFrame | None) -> set[int]:
+        """Buckets of `touched` that must be rewritten: they have a key of `rows` or `drop`, or many folders.  Small ones are not asked."""
+        held = {int(k): b for k, b in at["buckets"].items() if int(k) in touched}
+        if sum(b["bytes"] for b in held.values()) <= SMALL_BYTES:
+            return touched
+        many = {k for k, b in held.items() if len(b.get("paths") or [0]) >= MOST_PIECES}
+        keys = rows.select(self.key)
+        if drop is not None:
+            keys = keys.unionByName(drop.select(F.col(self.key).cast(rows.schema[self.key].dataType).alias(self.key)))
+        old = self._in(at, set(held) - many).select(self._bucket(at["n"]).alias("_b"), F.col(self.key).alias("_k"))
+        return many | {r[0] for r in old.join(keys, F.col("_k").eqNullSafe(F.col(self.key)), "left_semi").select("_b").distinct().collect()}
 
     def delete(self, condition: Column) -> None:
         """Remove rows for which `condition` is true."""
@@ -232,9 +301,15 @@ class VersionedTable:
         if at is None:
             return
         gone = values.select(column).distinct()
-        touched = {r[0] for r in self.read().join(gone, column, "left_semi").select(self._bucket(at["n"]).alias("b")).distinct().collect()}
-        if touched:
-            self._rewrite(self._in(at, touched).join(gone, column, "left_anti").select(*[f["name"] for f in at["schema"]["fields"]]), touched, at, at["n"])
+        named = list(dict.fromkeys([self.key, self.dealt_by]))
+        # Only keys meet `values`; the rows themselves are dealt once, to their buckets.
+        keys, path = self._staged(self.read().select(*dict.fromkeys([*named, column])).join(gone, column, "left_semi").select(*named))
+        try:
+            touched = {r[0] for r in keys.select(self._bucket(at["n"]).alias("b")).distinct().collect()}
+            if touched:
+                self._merge(self._in(at, touched), None, keys, None, touched, at, at["n"])
+        finally:
+            self._fs(path)[0].delete(self._fs(path)[1], True)
 
 
 CHUNK_SCHEMA = (
@@ -246,7 +321,7 @@ CHUNK_SCHEMA = (
 class VectorStore(Protocol):
     """What retrieval and ingestion need of a store."""
 
-    def upsert(self, chunks: DataFrame) -> None: ...
+    def upsert(self, chunks: DataFrame | Written) -> None: ...
     def search(self, queries: DataFrame, k: int, document_id: str | None = None) -> DataFrame: ...
     def get_by_ids(self, ids: DataFrame) -> DataFrame: ...
     def get_by_ordinal_range(self, document_id: str, lo: int, hi: int) -> DataFrame: ...
@@ -263,11 +338,11 @@ class ParquetVectorStore:
     def rows(self) -> DataFrame:
         return self.table.read(CHUNK_SCHEMA)
 
-    def upsert(self, chunks: DataFrame) -> None:
-        """Insert or replace chunks by id.  Vectors of another length than the settings ask raise, and nothing is written."""
+    def upsert(self, chunks: DataFrame | Written) -> None:
+        """Insert or replace chunks by id.  Vectors of another length than the settings ask raise, and no version is written."""
         kinds = dict(x.split(" ", 1) for x in CHUNK_SCHEMA.split(", "))
-        typed = chunks.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds])
-        self.table.upsert(retrieval.assert_dimensions(typed, self.conf.embedding_dimensions))
+        typed = lambda df: retrieval.assert_dimensions(df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds]), self.conf.embedding_dimensions)
+        self.table.upsert(Written(typed(chunks.rows), chunks.path) if isinstance(chunks, Written) else typed(chunks))
 
     def search(self, queries: DataFrame, k: int | None = None, document_id: str | None = None) -> DataFrame:
         where = None if document_id is None else F.col("document_id") == document_id

@@ -77,6 +77,11 @@ def with_retry(fn: Callable, retries: int, sleep: Callable[[float], None] = time
 EMBED_TASK_ROWS = 2_048
 
 
+def dealt(df: DataFrame, rows: int, conf: EngineConf = DEFAULT, by: str | None = None) -> DataFrame:
+    """`df` of so many rows over tasks that embed some thousand texts each; by the hash of `by`, which needs no sort of the rows."""
+    return df.repartition(max(conf.embed_concurrency, -(-rows // EMBED_TASK_ROWS)), *([by] if by else []))
+
+
 def embed_column(df: DataFrame, text: str, embedder: Embedder, conf: EngineConf = DEFAULT, out: str = "embedding", errors: str | None = None, rows: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
     """`df` with an embedding of `text`: batches of embed_batch_size texts, vectors checked and conformed.
 
@@ -99,7 +104,7 @@ def embed_column(df: DataFrame, text: str, embedder: Embedder, conf: EngineConf
 
     size, dims, call = conf.embed_batch_size, conf.embedding_dimensions, with_retry(full, conf.embed_max_retries)
     if rows is not None:
-        df = df.repartition(max(conf.embed_concurrency, -(-rows // EMBED_TASK_ROWS)))
+        df = dealt(df, rows, conf)
     names = df.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     schema = f"{fields}, `{out}` array<float>" + (f", `{errors}` string" if errors else "")

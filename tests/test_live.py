@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import time
 import uuid
 
 import pytest
@@ -235,3 +237,62 @@ def test_what_to_ingest_is_found_without_the_texts_and_lines_are_dealt_in_whole_
     docs = spark.range(5).selectExpr("repeat('x', 9) as markdown")  # 45 characters are 5 parts
     cores = spark.sparkContext.defaultParallelism
     assert structure.parts_of(docs) == -(-5 // cores) * cores and structure.parts_of(docs.limit(0)) == cores
+
+
+def test_a_run_holds_one_copy_of_its_texts_and_no_shuffle_files_of_steps_that_are_over(spark, tmp_path):
+    eng = ingest.Ingestor(spark, str(tmp_path / "kb"), EngineConf(embedding_dimensions=2), picky)
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f.split("_")[1] for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    name, before, held = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffled(), {}
+
+    def tell(stage, events):
+        for _ in range(50):  # removal is not waited for
+            left = len(shuffled() - before)
+            if not left:
+                break
+            time.sleep(0.1)
+        held[stage] = {f for r in (tmp_path / "kb" / "runs").iterdir() for f in os.listdir(r)}, left, spark.conf.get(name)
+
+    usual = spark.conf.get(name)
+    batch = [doc(f"d{k}", "refuse this" if k == 3 else "Some text") for k in range(9)]
+    eng.ingest(spark.createDataFrame(batch, DOC), tell=tell)
+    texts = {"parsed", "source", "chunks", "embedded"}
+    assert [held[s][0] & texts for s in ("skip", "chunk", "embed", "done")] == [{"parsed"}, {"chunks"}, {"embedded"}, set()]
+    # A task that Spark cancelled late may leave the files of a shuffle behind.
+    assert {on for _, _, on in held.values()} == {"true"} and spark.conf.get(name) == usual and max(left for _, left, _ in held.values()) <= 2
+    (run,) = (tmp_path / "kb" / "runs").iterdir()
+    assert os.listdir(run) == ["results"] and eng.store.count() == 8 and not [f for f in os.listdir(tmp_path / "kb" / "chunks") if f.startswith("s-")]
+
+
+def test_rows_of_new_keys_come_beside_a_bucket_and_a_mutation_deals_rows_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "SMALL_BYTES", -1)
+    t, want, rng = store.VersionedTable(spark, str(tmp_path / "t"), "id", buckets=4, dealt_by="doc"), {}, random.Random(3)
+    kind = "id long, doc long, v long"
+    rows = lambda ids, v: spark.createDataFrame([(i, i // 3, v) for i in ids], kind)
+    t.upsert(rows(range(40), 0))
+    want |= dict.fromkeys(range(40), 0)
+    first = t._paths(t._pointer())
+    t.upsert(rows([*range(40, 80), 41], 1))
+    want |= dict.fromkeys(range(40, 80), 1)
+    assert set(first) < set(t._paths(t._pointer()))  # nothing was rewritten
+    for v in range(2, 8):
+        ids, gone = [rng.randrange(120) for _ in range(rng.choice([1, 9]))], [rng.randrange(120) for _ in range(3)]
+        t.upsert(rows(ids, v), drop=rows(gone, 0).select("id", "doc") if v % 2 else None)
+        want = {k: x for k, x in want.items() if not (v % 2 and k in gone)} | dict.fromkeys(ids, v)
+        assert {r.id: r.v for r in t.read().collect()} == want and t.read().count() == len(want)
+    docs = [rng.randrange(40) for _ in range(8)]
+    t.delete_matching(spark.createDataFrame([(d,) for d in docs], "doc long"), "doc")
+    assert {r.id: r.v for r in t.read().collect()} == {k: x for k, x in want.items() if k // 3 not in docs}
+    monkeypatch.setattr(store, "MOST_PIECES", 2)  # a bucket of many folders is one again
+    for k in range(3):
+        t.upsert(rows(range(1000 + 40 * k, 1040 + 40 * k), 9))
+    assert max(len(b["paths"]) for b in t._pointer()["buckets"].values()) <= 2
+    assert t.read().columns == ["id", "doc", "v"] and t.read().where("id >= 1000").count() == 120
+    plans, rewrite = [], t._rewrite
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(t, "_rewrite", lambda rows, touched, at, n, into, left: rewrite(rows, touched, at, n, into, lambda dealt: planned(left(dealt))))
+    t.upsert(rows(range(0, 9), 10), drop=rows([1000], 0).select("id", "doc"))
+    t.delete_matching(spark.createDataFrame([(2,)], "doc long"), "doc")
+    assert [p.count("Exchange ") for p in plans] == [1, 1]
+    assert sorted((r.id, r.v) for r in t.read().where("id < 9 or id = 1000").collect()) == [(i, 10) for i in range(6)]
+    assert {p.rsplit("/", 2)[1] for p in t._paths(t._pointer())} <= {f for f in os.listdir(tmp_path / "t") if f.startswith("v-")}
