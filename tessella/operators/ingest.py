@@ -209,8 +209,10 @@ class Ingestor:
         state = counts.join(why, "new_id", "left").withColumn("why", F.coalesce("why", F.when(F.col("chunk_count") == 0, "document produced no chunks")))
         state, _ = write(state, "state")
         tell("embed", told(state.where("why is null"), 3, "status", "embedding", done="chunk_count", total="chunk_count"))
-        failed = state.where("why is not null")
-        self.store.upsert(Written(ready.drop("_error").join(failed.select(F.col("new_id").alias("document_id")), "document_id", "left_anti"), f"{run}/embedded"))
+        failed, n_failed = write(state.where("why is not null"), "failed")
+        # Only ids meet the failed documents; the chunks themselves are dealt once, to their buckets.
+        out = ready.where("_error is null").select("id", "document_id").join(failed.select(F.col("new_id").alias("document_id")), "document_id", "left_semi")
+        self.store.upsert(Written(ready.where("_error is null").drop("_error"), f"{run}/embedded", out.select("id") if n_failed else None))
         drop("embedded")
 
         ok = F.col("why").isNull()
@@ -237,7 +239,7 @@ class Ingestor:
         if gone[-1][1]:
             self.store.delete_by_documents(gone[-1][0])
         tell("done", told(state.where("why is null"), 4, "done", "ready", chunks="chunk_count").unionByName(told(failed, 4, "error", message="why")))
-        drop("bad", "fresh", "skipped", "counts", "state", *(f"gone-{k}" for k in range(len(gone))))
+        drop("bad", "fresh", "skipped", "counts", "state", "failed", *(f"gone-{k}" for k in range(len(gone))))
         self._forget_runs()
         return results
 

@@ -22,7 +22,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,8 +44,8 @@ ORPHAN_SECONDS, TRIES = 24 * 3600, 20
 CODEC = "zstd"
 #: Buckets are dealt over so many times their number of tasks, so that few tasks get two.
 SPREAD = 2
-#: What a row is to a mutation, the stronger the higher: stored, a key to drop, new.
-_OLD, _GONE, _NEW = range(3)
+#: What a row is to a mutation, the stronger the higher: stored, a key to drop, new, a key that no new row may have.
+_OLD, _GONE, _NEW, _OUT = range(4)
 
 
 class ConflictError(RuntimeError):
@@ -54,10 +54,14 @@ class ConflictError(RuntimeError):
 
 @dataclass(frozen=True)
 class Written:
-    """Rows that an upsert need not write first: they read a table (at `path`) that stays as it is meanwhile."""
+    """Rows that an upsert need not write first: they read a table (at `path`) that stays as it is meanwhile.
+
+    A row whose key is among `without` is left out, as if it were not among the rows.
+    """
 
     rows: DataFrame
     path: str
+    without: DataFrame | None = None
 
 
 @contextmanager
@@ -220,17 +224,23 @@ class VersionedTable:
                 kept[k] = {"paths": [*(self._paths({"buckets": {k: beside}}) if beside else []), path], "bytes": (beside["bytes"] if beside else 0) + self._bytes(path)}
         self._publish({"schema": dealt.drop("_bucket").schema.jsonValue(), "n": n, "buckets": kept}, at)
 
-    def _merge(self, old: DataFrame | None, new: DataFrame | None, gone: DataFrame | None, order: str | None, touched: set[int] | None, at: dict | None, n: int, into: int | None = None) -> None:
-        """Write what is left of each key: a new row (the last by `order`, else any), or else the old one unless the key is `gone`."""
+    def _merge(self, old: DataFrame | None, new: DataFrame | None, gone: DataFrame | None, order: str | None, touched: set[int] | None, at: dict | None, n: int, into: int | None = None, out: DataFrame | None = None) -> None:
+        """Write what is left of each key: a new row (the last by `order`, else any) unless the key is `out`, or else the old one unless it is `gone`."""
         named = list(dict.fromkeys([self.key, self.dealt_by]))
         rows = [df.withColumn("_is", F.lit(k)) for df, k in ((old, _OLD), (new, _NEW)) if df is not None]
         both = rows[0].unionByName(rows[1]) if len(rows) > 1 else rows[0]
-        if gone is not None:
-            kinds = {f.name: f.dataType for f in both.schema}
-            both = both.unionByName(gone.select(*[F.col(c).cast(kinds[c]).alias(c) for c in named], F.lit(_GONE).alias("_is")), allowMissingColumns=True)
-        last = [F.col(order).desc()] if order else []
-        first = F.row_number().over(Window.partitionBy("_bucket", self.key).orderBy(F.col("_is").desc(), *last))
-        self._rewrite(both, touched, at, n, into, lambda dealt: dealt.withColumn("_n", first).where(f"_n = 1 and _is <> {_GONE}").drop("_n", "_is"))
+        kinds = {f.name: f.dataType for f in both.schema}
+        for keys, k in ((gone, _GONE), (out, _OUT)):
+            if keys is not None:
+                both = both.unionByName(keys.select(*[F.col(c).cast(kinds[c]).alias(c) for c in named], F.lit(k).alias("_is")), allowMissingColumns=True)
+        by = Window.partitionBy("_bucket", self.key).orderBy(F.col("_is").desc(), *([F.col(order).desc()] if order else []))
+
+        def left(dealt: DataFrame) -> DataFrame:
+            if out is not None:
+                dealt = dealt.withColumn("_n", F.first("_is").over(by)).where(f"_n < {_OUT} or _is < {_NEW}")
+            return dealt.withColumn("_n", F.row_number().over(by)).where(f"_n = 1 and _is <> {_GONE}").drop("_n", "_is")
+
+        self._rewrite(both, touched, at, n, into, left)
 
     def _staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
         """The rows written once: whatever made them (an embedder, say) runs once, and every later step reads the same."""
@@ -246,14 +256,14 @@ class VersionedTable:
         yet), it raises ConflictError unless that is still the current version.
         """
         if isinstance(rows, Written):
-            return self._apply(rows.rows, order, drop, self._bytes(rows.path), after)
+            return self._apply(rows.rows, order, drop, self._bytes(rows.path), after, rows.without)
         staged, path = self._staged(rows)
         try:
             self._apply(staged, order, drop, self._bytes(path), after)
         finally:
             self._fs(path)[0].delete(self._fs(path)[1], True)
 
-    def _apply(self, rows: DataFrame, order: str | None, drop: DataFrame | None, size: int, after: dict | None) -> None:
+    def _apply(self, rows: DataFrame, order: str | None, drop: DataFrame | None, size: int, after: dict | None, out: DataFrame | None = None) -> None:
         at = self._pointer()
         if after is not None and (at or {}).get("version") != after.get("version"):
             raise ConflictError(f"{self.path} is no longer at the version that was read")
@@ -272,7 +282,7 @@ class VersionedTable:
             into, touched = len(touched), self._met(at, touched, rows, drop)
         elif at is None and rows.isEmpty():
             return
-        self._merge(None if at is None else self._in(at, touched), rows, drop, order, touched, at, n, into)
+        self._merge(None if at is None else self._in(at, touched), rows, drop, order, touched, at, n, into, out)
 
     def _met(self, at: dict, touched: set[int], rows: DataFrame, drop: DataFrame | None) -> set[int]:
         """Buckets of `touched` that must be rewritten: they have a key of `rows` or `drop`, or many folders.  Small ones are not asked."""
@@ -342,7 +352,7 @@ class ParquetVectorStore:
         """Insert or replace chunks by id.  Vectors of another length than the settings ask raise, and no version is written."""
         kinds = dict(x.split(" ", 1) for x in CHUNK_SCHEMA.split(", "))
         typed = lambda df: retrieval.assert_dimensions(df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds]), self.conf.embedding_dimensions)
-        self.table.upsert(Written(typed(chunks.rows), chunks.path) if isinstance(chunks, Written) else typed(chunks))
+        self.table.upsert(replace(chunks, rows=typed(chunks.rows)) if isinstance(chunks, Written) else typed(chunks))
 
     def search(self, queries: DataFrame, k: int | None = None, document_id: str | None = None) -> DataFrame:
         where = None if document_id is None else F.col("document_id") == document_id

@@ -296,3 +296,27 @@ def test_rows_of_new_keys_come_beside_a_bucket_and_a_mutation_deals_rows_once(sp
     assert [p.count("Exchange ") for p in plans] == [1, 1]
     assert sorted((r.id, r.v) for r in t.read().where("id < 9 or id = 1000").collect()) == [(i, 10) for i in range(6)]
     assert {p.rsplit("/", 2)[1] for p in t._paths(t._pointer())} <= {f for f in os.listdir(tmp_path / "t") if f.startswith("v-")}
+
+
+def test_chunks_of_a_refused_document_stay_out_without_an_exchange_of_texts_for_it(spark, tmp_path, monkeypatch):
+    eng = ingest.Ingestor(spark, str(tmp_path / "kb"), EngineConf(embedding_dimensions=2, max_chunk_tokens=20), picky)
+    long = lambda i, n, bad=None: (i, "# T\n\n" + "\n\n".join(f"{'refuse' if k == bad else 'keep'} paragraph {k} of {i}, of some fifteen tokens or a few more" for k in range(n)), "T", None, f"u/{i}", None)
+    plans, rewrite = [], eng.store.table._rewrite
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(eng.store.table, "_rewrite", lambda rows, touched, at, n, into, left: rewrite(rows, touched, at, n, into, lambda dealt: planned(left(dealt))))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.id.split("-")[0]: (r.chunks, r.error) for r in eng.ingest(spark.createDataFrame([long("a", 4), long("b", 4, 2), long("c", 1, 0)], DOC)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {"a": (4, None), "b": (0, "refused"), "c": (0, "refused")}
+    assert {(r.document_id.split("-")[0], r.ordinal) for r in eng.store.rows().collect()} == {("a", k) for k in range(4)}
+    (plan,) = plans
+    assert "LeftAnti" not in plan and plan.count("Exchange hashpartitioning(_bucket") == 1 and plan.count("Exchange hashpartitioning(") == 3  # two of ids
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id long, v string")
+    t = store.VersionedTable(spark, str(tmp_path / "t"), "id", buckets=2)
+    t.upsert(rows(range(4), "old"))
+    new, path = t._staged(rows([2, 2, 3, 4, 5], "new"))
+    t.upsert(store.Written(new, path, rows([3, 5, 9], "").select("id")), drop=rows([0, 4], "").select("id"))
+    assert sorted((r.id, r.v) for r in t.read().collect()) == [(1, "old"), (2, "new"), (3, "old"), (4, "new")]
