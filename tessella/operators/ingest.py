@@ -155,7 +155,8 @@ class Ingestor:
         reads them.  All documents that are replaced go in one pass.  Results are a written table.
 
         `tell` gets each stage's name and events (INGEST_EVENT) as soon as the stage is written, so
-        what a later failure leaves behind are the events up to it.
+        what a later failure leaves behind are the events up to it.  It has to read them at once: the
+        tables they come from go as the run goes on.
 
         Disk: each step's table goes as soon as the next one is written, and its shuffle files when
         it is over, so a run holds one copy of its texts, the exchange and the outcome of one step.
