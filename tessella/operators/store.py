@@ -11,7 +11,8 @@ the pointer, chosen by the bytes of the first write and doubled when a table out
 
 Beside the versions that are kept, a mutation needs the disk of one exchange of the rows it
 rewrites: old rows, new ones and keys to drop are dealt to their buckets together, and what is
-left of a key is decided there.
+left of a key is decided there.  Where keys are only dropped, a large table is rewritten some
+buckets at a time, so the exchange does not grow with it.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ MOST_PIECES, SMALL_BYTES = 8, 16 << 20
 KEPT_VERSIONS = 2
 #: A data folder that no pointer names is a running write's for so long, then an orphan; tries of a read-modify-write.
 ORPHAN_SECONDS, TRIES = 24 * 3600, 20
+#: Buckets that a deletion rewrites at a time hold so many bytes at least, and are so many for each core.
+ROUND_BYTES, ROUND_TASKS = 1 << 30, 2
 #: Parquet of tables and of scratch tables: texts take two thirds of what they do with Spark's default codec.
 CODEC = "zstd"
 #: Buckets are dealt over so many times their number of tasks, so that few tasks get two.
@@ -203,17 +206,19 @@ class VersionedTable:
         fs, p = self._fs(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
-    def _rewrite(self, rows: DataFrame, touched: set[int] | None, at: dict | None, n: int, into: int | None = None, left: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    def _rewrite(self, rows: DataFrame | list[DataFrame], touched: set[int] | None, at: dict | None, n: int, into: int | None = None, left: Callable[[DataFrame], DataFrame] | None = None) -> None:
         """Write `rows` as the buckets `touched` (None: all) of n, and move the pointer; rows of other buckets come beside what these have.
 
-        `into` is the number of buckets that get rows, where it is more than `touched`; `left` takes
-        the rows once they lie with their buckets (_bucket).
+        `into` is the number of buckets that get rows at a time, where it is not that of `touched`; `left`
+        takes the rows once they lie with their buckets (_bucket).  Several `rows`, each of buckets
+        of its own, are written one after another.
         """
         folder = f"{self.path}/v-{uuid.uuid4().hex}"
         into = into or (n if touched is None else len(touched))
-        dealt = rows.withColumn("_bucket", self._bucket(n)).repartition(SPREAD * into if into > 1 else 1, "_bucket")
-        dealt = left(dealt) if left else dealt
-        dealt.write.option("compression", CODEC).partitionBy("_bucket").parquet(folder)
+        for some in rows if isinstance(rows, list) else [rows]:
+            dealt = some.withColumn("_bucket", self._bucket(n)).repartition(SPREAD * into if into > 1 else 1, "_bucket")
+            dealt = left(dealt) if left else dealt
+            dealt.write.mode("append").option("compression", CODEC).partitionBy("_bucket").parquet(folder)
         kept = {} if touched is None or at is None else {k: v for k, v in at["buckets"].items() if int(k) not in touched}
         fs, root = self._fs(folder)
         for f in fs.listStatus(root) if fs.exists(root) else []:
@@ -224,23 +229,37 @@ class VersionedTable:
                 kept[k] = {"paths": [*(self._paths({"buckets": {k: beside}}) if beside else []), path], "bytes": (beside["bytes"] if beside else 0) + self._bytes(path)}
         self._publish({"schema": dealt.drop("_bucket").schema.jsonValue(), "n": n, "buckets": kept}, at)
 
-    def _merge(self, old: DataFrame | None, new: DataFrame | None, gone: DataFrame | None, order: str | None, touched: set[int] | None, at: dict | None, n: int, into: int | None = None, out: DataFrame | None = None) -> None:
-        """Write what is left of each key: a new row (the last by `order`, else any) unless the key is `out`, or else the old one unless it is `gone`."""
-        named = list(dict.fromkeys([self.key, self.dealt_by]))
+    def _together(self, old: DataFrame | None, new: DataFrame | None, gone: DataFrame | None, out: DataFrame | None = None) -> DataFrame:
+        """Old and new rows, and keys that are `gone` or `out`, with what they are to `_left` (_is)."""
         rows = [df.withColumn("_is", F.lit(k)) for df, k in ((old, _OLD), (new, _NEW)) if df is not None]
         both = rows[0].unionByName(rows[1]) if len(rows) > 1 else rows[0]
         kinds = {f.name: f.dataType for f in both.schema}
         for keys, k in ((gone, _GONE), (out, _OUT)):
             if keys is not None:
-                both = both.unionByName(keys.select(*[F.col(c).cast(kinds[c]).alias(c) for c in named], F.lit(k).alias("_is")), allowMissingColumns=True)
+                named = [F.col(c).cast(kinds[c]).alias(c) for c in dict.fromkeys([self.key, self.dealt_by])]
+                both = both.unionByName(keys.select(*named, F.lit(k).alias("_is")), allowMissingColumns=True)
+        return both
+
+    def _left(self, order: str | None = None, out: bool = False) -> Callable[[DataFrame], DataFrame]:
+        """What is left of each key: a new row (the last by `order`, else any) unless the key is `out`, or else the old one unless it is `gone`."""
         by = Window.partitionBy("_bucket", self.key).orderBy(F.col("_is").desc(), *([F.col(order).desc()] if order else []))
 
         def left(dealt: DataFrame) -> DataFrame:
-            if out is not None:
+            if out:
                 dealt = dealt.withColumn("_n", F.first("_is").over(by)).where(f"_n < {_OUT} or _is < {_NEW}")
             return dealt.withColumn("_n", F.row_number().over(by)).where(f"_n = 1 and _is <> {_GONE}").drop("_n", "_is")
 
-        self._rewrite(both, touched, at, n, into, left)
+        return left
+
+    def _rounds(self, at: dict, touched: set[int]) -> list[set[int]]:
+        """`touched` in groups to be rewritten one after another."""
+        rounds, size, least = [set()], 0, ROUND_TASKS * self.spark.sparkContext.defaultParallelism
+        for k in sorted(touched):
+            if rounds[-1] and size >= ROUND_BYTES and len(rounds[-1]) >= least:
+                rounds, size = [*rounds, set()], 0
+            rounds[-1].add(k)
+            size += at["buckets"][str(k)]["bytes"]
+        return rounds
 
     def _staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
         """The rows written once: whatever made them (an embedder, say) runs once, and every later step reads the same."""
@@ -282,7 +301,8 @@ class VersionedTable:
             into, touched = len(touched), self._met(at, touched, rows, drop)
         elif at is None and rows.isEmpty():
             return
-        self._merge(None if at is None else self._in(at, touched), rows, drop, order, touched, at, n, into, out)
+        both = self._together(None if at is None else self._in(at, touched), rows, drop, out)
+        self._rewrite(both, touched, at, n, into, self._left(order, out is not None))
 
     def _met(self, at: dict, touched: set[int], rows: DataFrame, drop: DataFrame | None) -> set[int]:
         """Buckets of `touched` that must be rewritten: they have a key of `rows` or `drop`, or many folders.  Small ones are not asked."""
@@ -317,7 +337,9 @@ class VersionedTable:
         try:
             touched = {r[0] for r in keys.select(self._bucket(at["n"]).alias("b")).distinct().collect()}
             if touched:
-                self._merge(self._in(at, touched), None, keys, None, touched, at, at["n"])
+                rounds = self._rounds(at, touched)
+                some = [self._together(self._in(at, r), None, keys.where(self._bucket(at["n"]).isin(*r))) for r in rounds]
+                self._rewrite(some, touched, at, at["n"], max(map(len, rounds)), self._left())
         finally:
             self._fs(path)[0].delete(self._fs(path)[1], True)
 

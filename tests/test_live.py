@@ -294,6 +294,12 @@ def test_rows_of_new_keys_come_beside_a_bucket_and_a_mutation_deals_rows_once(sp
     t.upsert(rows(range(0, 9), 10), drop=rows([1000], 0).select("id", "doc"))
     t.delete_matching(spark.createDataFrame([(2,)], "doc long"), "doc")
     assert [p.count("Exchange ") for p in plans] == [1, 1]
+    monkeypatch.setattr(store, "ROUND_BYTES", 0)  # a bucket at a time, in one version
+    monkeypatch.setattr(store, "ROUND_TASKS", 0)
+    version, had = t._pointer()["version"], {r.id: r.v for r in t.read().collect()}
+    t.delete_matching(spark.createDataFrame([(d,) for d in range(333, 347)], "doc long"), "doc")
+    assert len(plans) > 3 and {p.count("Exchange ") for p in plans} == {1} and t._pointer()["version"] == version + 1
+    assert {r.id: r.v for r in t.read().collect()} == {k: v for k, v in had.items() if not 333 <= k // 3 < 347} and len(t.read().collect()) < len(had)
     assert sorted((r.id, r.v) for r in t.read().where("id < 9 or id = 1000").collect()) == [(i, 10) for i in range(6)]
     assert {p.rsplit("/", 2)[1] for p in t._paths(t._pointer())} <= {f for f in os.listdir(tmp_path / "t") if f.startswith("v-")}
 
